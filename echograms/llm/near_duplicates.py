@@ -5,9 +5,10 @@ sequence as one; without words nothing, and it is linked with nothing. Two texts
 
 1. One map pass computes each text's shingles, the digest of its set and the band keys of its SuperMinHash signature.
 2. Texts with the same set form a class; only the class's smallest id goes on (copies are never paired with each other).
-3. In each bucket (band, key) every class is compared with a pivot, its smallest member, and linked classes are grouped. What remains are
-   buckets whose members are in different groups. The next round takes the next pivot in those; after PIVOTS rounds, the members of different
-   groups that are left are compared directly. So each pair of classes that shares a bucket and is not in one group already is verified.
+3. In each bucket (band, key) every class is compared with a pivot, the member that meets most others, and linked classes are grouped. What
+   remains are buckets whose members are in different groups; while a round still joins groups, the next pivots are taken there. Of the pairs that
+   are then left, in one bucket and different groups, those that an exact bound does not rule out are compared. So each pair of classes that
+   shares a bucket is verified, proven unlinked, or in one group already.
    With 20 bands of 4 rows a pair of similarity 0.85 shares no bucket with probability 4e-7.
 """
 
@@ -25,7 +26,7 @@ from echograms.llm.components import components
 from echograms.llm.runtime import cut, safe_columns
 from echograms.llm.wordhash import BASE, NOT_SPACE, U, mix, slices, text_shingles, word_hashes
 
-BANDS, ROWS, PIVOTS = 20, 4, 3
+BANDS, ROWS, PIVOTS, PAIRS_A_TASK = 20, 4, 4, 500
 EMPTY, MASK = np.iinfo(np.uint64).max, (1 << 64) - 1
 
 
@@ -88,26 +89,77 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([shingles[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])
 
 
-def _linked(percent: int):
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column(1)]
+            reps, labels = (np.repeat(part.column(k).to_numpy(), [len(x) for x in sets]) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(sets)), pa.array(labels)], ["rep", "element", "label"])
+
+
+def _compare(percent: int):
+    """Rows (b, salt, a, shingles) sorted by b, salt, a, with a null for b's own set, which comes first: those a whose set is similar enough to b's."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, U)
         for batch in batches:
-            a, b, keep = batch.column(0), batch.column(1), []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out: list[tuple[int, int]] = []
+            for b, a, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+                other = np.frombuffer(packed.as_buffer(), dtype=U)
+                if a is None:
+                    own = other
+                elif 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
 
     return run
 
 
+def _shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the wanted ids; only their sets are built."""
+    return cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+
+
 def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets are similar enough; only the sets of texts that occur in a pair are built."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    full = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-    return full.mapInArrow(_linked(percent), "a long, b long")
+    """Those of pairs (a, b) whose full shingle sets are similar enough. b's set travels once for each PAIRS_A_TASK of its pairs, a's once for each pair."""
+    sets = _shingle_sets(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+    salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("salts"))
+    own = sets.join(salts, sets.doc_id == salts.b).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "shingles")
+    other = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), "a").join(sets, F.col("a") == sets.doc_id).select("b", "salt", "a", "shingles")
+    rows = own.union(other).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
+    return rows.mapInArrow(_compare(percent), "a long, b long")
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, members.rep == labels.node, "left").drop("node").withColumn("label", F.coalesce("component", "rep")).drop("component")
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """Members of the buckets whose members are in different groups."""
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return named.join(mixed, "bucket")
+
+
+def _rest(named: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket that are in different groups and may be similar enough.
+
+    An element that occurs in one group only cannot be shared with another group. With o elements of a set that others have, the intersection of a
+    pair is at most the smaller o, which bounds the similarity; pairs below the bound are proven unlinked. Each pair leaves from its first common bucket only."""
+    reps = named.groupBy("rep").agg(F.first("label").alias("label"), F.sort_array(F.collect_list("bucket")).alias("buckets"))
+    sets = _shingle_sets(texts, reps.select(F.col("rep").alias("doc_id")))
+    elements = cut(sets.join(reps.select("rep", "label"), sets.doc_id == F.col("rep")).select("rep", "shingles", "label").mapInArrow(_elements, "rep long, element long, label long"), "elements")
+    shared = elements.groupBy("element").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("element")
+    known = elements.join(shared, "element").groupBy("rep").agg(F.count("*").alias("o"))
+    facts = reps.join(known, "rep").join(classes.select("rep", "n_shingles"), "rep").where(100 * F.col("o") >= percent * F.col("n_shingles"))
+    rows = cut(facts.select("rep", "label", "buckets", F.col("n_shingles").alias("n"), "o").withColumn("bucket", F.explode("buckets")), "rest")
+    x, y = rows.alias("x"), rows.alias("y")
+    o = F.least("x.o", "y.o")
+    may = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("y.rep") < F.col("x.rep")) & (F.col("x.label") != F.col("y.label")) & (100 * o >= percent * (F.col("x.n") + F.col("y.n") - o))
+    first = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")
+    return x.join(y, may & first).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -119,31 +171,29 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id
     signed = cut(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures")
     classes = cut(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("x")).select("set_key", "rep", "x.n_shingles", "x.bands"), "classes")
     rows = classes.select("rep", F.posexplode("bands").alias("band", "band_key")).select("rep", F.xxhash64("band", "band_key").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(rows.join(shared, "bucket"), "buckets")
+    central = members.groupBy("rep").agg(F.sum("n").alias("central"))  # who meets many is likely to be close to many
+    members = cut(members.join(central, "rep").drop("n"), "members")
     found = labels = None
-    for turn in range(PIVOTS + 2):
-        if turn:
+    for turn in range(PIVOTS):
+        pivots = members.groupBy("bucket").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("pivot"))
+        joined = members.join(pivots, "bucket").where("rep <> pivot")
+        pairs = cut(joined.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+        fresh = cut(_verify(pairs, texts, percent), "linked")
+        merged = fresh if labels is None else _labelled(_labelled(fresh.withColumnRenamed("a", "rep"), labels).drop("rep").withColumnsRenamed({"label": "p", "b": "rep"}), labels).where("p <> label")
+        new = not merged.isEmpty()
+        found = fresh if found is None else found.union(fresh)
+        if new or labels is None:
             labels = cut(components(found), "labels")
-            if turn > PIVOTS:
-                break
-            named = members.join(labels, members.rep == labels.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label"))
-            open_buckets = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-            left = named.join(open_buckets, "bucket")
-            members = cut(left.select("bucket", "rep"), "buckets")
-            if members.isEmpty():
-                break
-        if turn < PIVOTS:
-            pivots = members.groupBy("bucket").agg(F.min("rep").alias("pivot"))
-            joined = members.join(pivots, "bucket").where("rep <> pivot")
-            pairs = joined.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-            members = joined.select("bucket", "rep")
-        else:
-            named = cut(members.join(labels, members.rep == labels.node, "left").select("bucket", "rep", F.coalesce("component", "rep").alias("label")), "rest")
-            other = named.select("bucket", F.col("rep").alias("b"), F.col("label").alias("other"))
-            pairs = named.withColumnRenamed("rep", "a").join(other, "bucket").where("b < a and label <> other").select("a", "b").distinct()
-        fresh = _verify(cut(pairs, "pairs"), texts, percent)
-        found = cut(fresh if found is None else found.union(fresh), "linked")
+        members = cut(_open(_labelled(joined.select("bucket", "rep", "central"), labels)).drop("label"), "members")
+        if not new or members.isEmpty():
+            break
+    if not members.isEmpty():
+        named = cut(_labelled(members.select("bucket", "rep"), labels), "open")
+        fresh = cut(_verify(cut(_rest(named, classes, texts, percent), "pairs"), texts, percent), "linked")
+        if not fresh.isEmpty():
+            labels = cut(components(found.union(fresh)), "labels")
     of_rep = classes.select("set_key", "rep").join(labels, F.col("rep") == labels.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
     return signed.select("doc_id", "n_shingles", "set_key").join(of_rep, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
