@@ -6,9 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from echograms.llm.chat import op8_chat
+from echograms.llm.decontamination import op1_decontamination
+from echograms.llm.fingerprints import op5_fingerprints
+from echograms.llm.language_id import op4_language_id
+from echograms.llm.mixing import op2_mixing
 from echograms.llm.near_duplicates import op7_near_duplicates
+from echograms.llm.packing import op6_packed_ids
+from echograms.llm.pii import op9_personal_data
+from echograms.llm.token_lengths import op10_token_lengths
+from echograms.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
+    "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
+    "op4_language_id": op4_language_id,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_packed_ids": op6_packed_ids,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_chat": op8_chat,
+    "op9_personal_data": op9_personal_data,
+    "op10_token_lengths": op10_token_lengths,
 }
 ORACLE_SQL: dict[str, str] = {}

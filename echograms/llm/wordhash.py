@@ -61,26 +61,32 @@ def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np
         a = b
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and for each text the index of its first word (one more entry than texts)."""
+def hash_edges(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, total, inverse, first) of all words: the lower-cased bytes a to b hash to (total[b] - total[a]) * inverse[a], before mixing;
+    first is for each text the index of its first word, with one more entry than texts."""
     n = len(data)
+    power, inverse = _powers(n)
+    total = np.zeros(n + 1, dtype=U)
     if not n:
-        return np.zeros(0, U), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return none, none, total, inverse, np.zeros(len(offsets), np.int64)
     inside = is_word[data]
     before = np.empty(n, dtype=bool)
     before[0], before[1:] = False, inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < n]
-    before[edges] = False
+    before[offsets[:-1][offsets[:-1] < n]] = False
     starts = np.flatnonzero(inside & ~before)
     after = np.empty(n, dtype=bool)
     after[-1], after[:-1] = False, inside[1:]
-    edges = offsets[(offsets > 0) & (offsets < n)] - 1
-    after[edges] = False
+    after[offsets[(offsets > 0) & (offsets < n)] - 1] = False
     ends = np.flatnonzero(inside & ~after) + 1
-    power, inverse = _powers(n)
-    total = np.zeros(n + 1, dtype=U)
     np.cumsum((LOWER[data].astype(U) + U(1)) * power[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts]), np.searchsorted(starts, offsets)
+    return starts, ends, total, inverse, np.searchsorted(starts, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in order, and for each text the index of its first word (one more entry than texts)."""
+    starts, ends, total, inverse, first = hash_edges(data, offsets, is_word)
+    return mix((total[ends] - total[starts]) * inverse[starts]), first
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
