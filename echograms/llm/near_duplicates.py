@@ -26,7 +26,7 @@ from echograms.llm.components import components
 from echograms.llm.runtime import cut, safe_columns
 from echograms.llm.wordhash import BASE, NOT_SPACE, U, mix, slices, text_shingles, word_hashes
 
-BANDS, ROWS, PIVOTS, PAIRS_A_TASK = 20, 4, 4, 500
+BANDS, ROWS, PIVOTS, PAIRS_A_TASK, BROADCAST_IDS = 20, 4, 4, 500, 2_000_000
 EMPTY, MASK = np.iinfo(np.uint64).max, (1 << 64) - 1
 
 
@@ -119,13 +119,15 @@ def _compare(percent: int):
 
 
 def _shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the wanted ids; only their sets are built."""
+    """(doc_id, shingles) of the wanted ids; only their sets are built. Up to BROADCAST_IDS ids go to the texts, beyond that both sides are dealt by id."""
+    wanted = cut(wanted, "wanted")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     return cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full shingle sets are similar enough. b's set travels once for each PAIRS_A_TASK of its pairs, a's once for each pair."""
-    sets = _shingle_sets(texts, pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("salts"))
     own = sets.join(salts, sets.doc_id == salts.b).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "shingles")
     other = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), "a").join(sets, F.col("a") == sets.doc_id).select("b", "salt", "a", "shingles")
@@ -143,13 +145,12 @@ def _open(named: DataFrame) -> DataFrame:
     return named.join(mixed, "bucket")
 
 
-def _rest(named: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _rest(named: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket that are in different groups and may be similar enough.
 
     An element that occurs in one group only cannot be shared with another group. With o elements of a set that others have, the intersection of a
     pair is at most the smaller o, which bounds the similarity; pairs below the bound are proven unlinked. Each pair leaves from its first common bucket only."""
     reps = named.groupBy("rep").agg(F.first("label").alias("label"), F.sort_array(F.collect_list("bucket")).alias("buckets"))
-    sets = _shingle_sets(texts, reps.select(F.col("rep").alias("doc_id")))
     elements = cut(sets.join(reps.select("rep", "label"), sets.doc_id == F.col("rep")).select("rep", "shingles", "label").mapInArrow(_elements, "rep long, element long, label long"), "elements")
     shared = elements.groupBy("element").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("element")
     known = elements.join(shared, "element").groupBy("rep").agg(F.count("*").alias("o"))
@@ -175,12 +176,13 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id
     members = cut(rows.join(shared, "bucket"), "buckets")
     central = members.groupBy("rep").agg(F.sum("n").alias("central"))  # who meets many is likely to be close to many
     members = cut(members.join(central, "rep").drop("n"), "members")
+    sets = _shingle_sets(texts, members.select(F.col("rep").alias("doc_id")).distinct())
     found = labels = None
     for turn in range(PIVOTS):
         pivots = members.groupBy("bucket").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("pivot"))
         joined = members.join(pivots, "bucket").where("rep <> pivot")
         pairs = cut(joined.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-        fresh = cut(_verify(pairs, texts, percent), "linked")
+        fresh = cut(_verify(pairs, sets, percent), "linked")
         merged = fresh if labels is None else _labelled(_labelled(fresh.withColumnRenamed("a", "rep"), labels).drop("rep").withColumnsRenamed({"label": "p", "b": "rep"}), labels).where("p <> label")
         new = not merged.isEmpty()
         found = fresh if found is None else found.union(fresh)
@@ -191,7 +193,7 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id
             break
     if not members.isEmpty():
         named = cut(_labelled(members.select("bucket", "rep"), labels), "open")
-        fresh = cut(_verify(cut(_rest(named, classes, texts, percent), "pairs"), texts, percent), "linked")
+        fresh = cut(_verify(cut(_rest(named, classes, sets, percent), "pairs"), sets, percent), "linked")
         if not fresh.isEmpty():
             labels = cut(components(found.union(fresh)), "labels")
     of_rep = classes.select("set_key", "rep").join(labels, F.col("rep") == labels.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
