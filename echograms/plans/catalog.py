@@ -1,6 +1,762 @@
-"""All queries of the pattern-mining operators, and the SQL that states each result independently."""
+"""All queries of the pattern-mining operators, each over a whole table, and SQL that states its result independently.
+
+Queries on `benchmark` have definitions by all substrings as their SQL; queries on `documents` have linear definitions, or none where every
+definition in SQL is quadratic in the length of a text (tests hold those against brute force)."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from echograms.functions import codecs, complexity as cx, sequences as sq
+from echograms.operators import ranges, repeats, search, sets, suffixes
+from echograms.sources import texts as src
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return suffixes.text_table(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id", "text").where("body is not null")
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return suffixes.text_table(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").where("body is not null")
+
+
+def _dna(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("text_id", sq.as_dna(F.col("body")).alias("body"))
+
+
+def _following(items: DataFrame, *steps: int) -> DataFrame:
+    """(base_id, other_id): each item with the items whose ids follow its own by these steps."""
+    ids = items.select(F.col("text_id").alias("base_id"), F.explode(F.array(*[F.lit(s) for s in steps])).alias("step"))
+    wanted = ids.select("base_id", (F.col("base_id") + F.col("step")).alias("other_id"))
+    return wanted.join(items.select(F.col("text_id").alias("other_id")), "other_id").select("base_id", "other_id")
+
+
+# Common table expressions of the SQL side.
+T = "t as (select item_id text_id, text body from benchmark where text is not null)"
+D = "t as (select doc_id text_id, text body from documents where text is not null)"
+LETTERS26 = ("ACGTN" * 6)[:26]
+DNA = f"t as (select doc_id text_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{LETTERS26}') body from documents where text is not null)"
+P = "p as (select text_id, body, unnest(range(1, length(body) + 1)) i from t)"
+SA = "sa as (select text_id, body, i - 1 pos, row_number() over (partition by text_id order by substr(body, i)) - 1 rank, case when i > 1 then substr(body, i - 1, 1) else '' end lc from p)"
+H = "h as (select text_id, body, rank, pos, lc, coalesce(list_max(list_filter(range(0, length(body) - greatest(pos, nxt) + 1), lambda l: substr(body, pos + 1, l) = substr(body, nxt + 1, l))), 0) lcp from (select *, lead(pos) over (partition by text_id order by rank) nxt from sa))"
+SUB = "sub as (select text_id, body, i, l, substr(body, i, l) w, case when i > 1 then substr(body, i - 1, 1) else '' end lc, substr(body, i + l, 1) rc from p, unnest(range(1, length(body) - i + 2)) u(l))"
+MRS = "mrs as (select text_id, w, length(w) len, count(*) occs from sub group by text_id, w having count(*) > 1 and count(distinct lc) > 1 and count(distinct rc) > 1)"
+CORE = f"{T}, {P}, {SA}, {H}"
+SUBS = f"{T}, {P}, {SUB}, {MRS}"
+LONGEST = "ls as (select text_id, pos, greatest(lcp, coalesce(lag(lcp) over (partition by text_id order by rank), 0)) len from h)"
+
+
+def _pairs_sql(name: str, *steps: int) -> str:
+    return f"{name} as (select a.text_id base_id, b.text_id other_id, a.body, b.body other from t a join t b on b.text_id - a.text_id in ({', '.join(map(str, steps))}))"
+
+
+# --- suffix order ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {CORE} select text_id, rank, pos from h")
+def suffix_array(spark, d):
+    return suffixes.suffix_array(_items(spark, d)).select("text_id", "rank", "pos")
+
+
+@query(f"with {CORE} select text_id, pos, rank from h")
+def inverse_suffix_array(spark, d):
+    return suffixes.inverse_suffix_array(suffixes.suffix_array(_items(spark, d)))
+
+
+@query(f"with {CORE} select text_id, rank, pos, lcp, lc \"left\" from h")
+def lcp_array(spark, d):
+    return suffixes.suffix_array(_items(spark, d))
+
+
+@query(f"with {CORE} select text_id, rank, pos, least(lcp, 16) lcp from h")
+def capped_lcp_array(spark, d):
+    return suffixes.capped_lcp(suffixes.suffix_array(_items(spark, d)), 16).select("text_id", "rank", "pos", "lcp")
+
+
+@query(f"""with {T}, parts as (select text_id, unnest(string_split(body, '.')) body, generate_subscripts(string_split(body, '.'), 1) - 1 part from t),
+q as (select text_id, part, body, unnest(range(1, length(body) + 1)) i from parts),
+s2 as (select text_id, part, body, i - 1 pos, row_number() over (partition by text_id, part order by substr(body, i)) - 1 rank from q),
+n2 as (select *, lead(pos) over (partition by text_id, part order by rank) nxt from s2)
+select text_id, part, rank, pos, coalesce(list_max(list_filter(range(0, length(body) - greatest(pos, nxt) + 1), lambda l: substr(body, pos + 1, l) = substr(body, nxt + 1, l))), 0) lcp from n2""")
+def separated_lcp_array(spark, d):
+    parts = suffixes.split_texts(_items(spark, d), ".").withColumn("id", F.col("text_id") * 1_000_000 + F.col("part"))
+    order = suffixes.suffix_array(parts.select(F.col("id").alias("text_id"), "body"))
+    return order.select(F.floor(F.col("text_id") / 1_000_000).alias("text_id"), (F.col("text_id") % 1_000_000).alias("part"), "rank", "pos", "lcp")
+
+
+@query(f"""with {T}, {P}, rot as (select text_id, body, i, row_number() over (partition by text_id order by substr(body || body, i, length(body)), i) - 1 rank from p)
+select text_id, string_agg(case when i > 1 then substr(body, i - 1, 1) else substr(body, length(body), 1) end, '' order by rank) bwt, max(case when i = 1 then rank end) prim from rot group by text_id""")
+def rotation_bwt(spark, d):
+    return suffixes.burrows_wheeler(_items(spark, d))
+
+
+@query(f"with {D} select text_id, md5(body) digest from t where length(body) > 0")
+def bwt_roundtrip(spark, d):
+    back = suffixes.inverse_burrows_wheeler(suffixes.burrows_wheeler(_docs(spark, d)))
+    return back.select("text_id", F.md5(F.encode("body", "UTF-8")).alias("digest"))
+
+
+@query()
+def document_suffix_profile(spark, d):
+    """Per document: number of suffixes, longest repeat and sum of common prefixes, from the suffix order of every whole document."""
+    return suffixes.suffix_array(_docs(spark, d)).groupBy("text_id").agg(F.count("*").alias("n"), F.max("lcp").alias("longest"), F.sum("lcp").alias("total"))
+
+
+# --- repeats --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {SUBS} select text_id, w pattern, len, occs from mrs")
+def maximal_repeats(spark, d):
+    return repeats.maximal_repeats(_items(spark, d)).select("text_id", "pattern", "len", "occs")
+
+
+@query(f"with {SUBS} select text_id, w pattern, len, occs from mrs where len >= 4")
+def long_maximal_repeats(spark, d):
+    return repeats.maximal_repeats(_items(spark, d), 4).select("text_id", "pattern", "len", "occs")
+
+
+@query()
+def document_maximal_repeats(spark, d):
+    return repeats.maximal_repeats(_docs(spark, d), 8, with_pattern=False).drop("pattern")
+
+
+SUPER = "sup as (select m.* from mrs m where not exists (select 1 from mrs o where o.text_id = m.text_id and o.len > m.len and contains(o.w, m.w)))"
+
+
+@query(f"with {SUBS}, {SUPER} select text_id, w pattern, len, occs from sup")
+def supermaximal_repeats(spark, d):
+    items = _items(spark, d)
+    found = repeats.supermaximal_repeats(suffixes.suffix_array(items))
+    return repeats.with_pattern(found, items).select("text_id", "pattern", "len", "occs")
+
+
+@query()
+def document_supermaximal_repeats(spark, d):
+    return repeats.supermaximal_repeats(suffixes.suffix_array(_docs(spark, d)), 8)
+
+
+@query(f"with {SUBS} select len, occs, count(*) patterns from mrs group by len, occs")
+def repeat_histogram(spark, d):
+    return repeats.repeat_histogram(repeats.maximal_repeats(_items(spark, d)))
+
+
+@query(f"with {SUBS} select m.text_id, m.w pattern, s.i - 1 pos from mrs m join sub s on s.text_id = m.text_id and s.w = m.w")
+def repeat_occurrences(spark, d):
+    items = _items(spark, d)
+    order = suffixes.suffix_array(items)
+    rows = repeats.occurrences(repeats.maximal_repeats(items, with_pattern=False), order)
+    return rows.join(items, "text_id").select("text_id", F.substring("body", (F.col("pos") + 1).cast("int"), F.col("len").cast("int")).alias("pattern"), "pos")
+
+
+PAIR_MRS = f"""{T}, {_pairs_sql('pr', 1)}, two as (select base_id, 0 side, body from pr union all select base_id, 1, other from pr),
+p2 as (select base_id, side, body, unnest(range(1, length(body) + 1)) i from two),
+sub2 as (select base_id, side, substr(body, i, l) w, case when i > 1 then substr(body, i - 1, 1) else '^' || side end lc, case when i + l <= length(body) then substr(body, i + l, 1) else '$' || side end rc from p2, unnest(range(1, length(body) - i + 2)) u(l)),
+pm as (select base_id, w, length(w) len, count(*) occs, count(*) filter (side = 0) n_left, count(*) filter (side = 1) n_right from sub2 group by base_id, w having count(*) > 1 and count(distinct lc) > 1 and count(distinct rc) > 1)"""
+
+
+def _pair_repeats(spark, d) -> DataFrame:
+    items = _items(spark, d)
+    other = items.select((F.col("text_id") - 1).alias("text_id"), F.col("body").alias("other"))
+    return repeats.pair_repeats(items.join(other, "text_id")).select("text_id", "pattern", "len", "occs", "n_left", "n_right")
+
+
+@query(f"with {PAIR_MRS} select base_id text_id, w pattern, len, occs, n_left, n_right from pm")
+def pair_repeats(spark, d):
+    return _pair_repeats(spark, d)
+
+
+@query(f"with {PAIR_MRS} select base_id text_id, w pattern, len, occs, n_left, n_right from pm where n_left > 0 and n_right > 0")
+def repeats_both_sides(spark, d):
+    return repeats.one_sided(_pair_repeats(spark, d), "both")
+
+
+@query(f"with {PAIR_MRS} select base_id text_id, w pattern, len, occs, n_left, n_right from pm where n_right = 0")
+def repeats_left_only(spark, d):
+    return repeats.one_sided(_pair_repeats(spark, d), "left")
+
+
+@query(f"with {PAIR_MRS} select len, occs, count(*) patterns, sum(n_left)::bigint n_left, sum(n_right)::bigint n_right from pm group by len, occs")
+def pair_repeat_statistics(spark, d):
+    return _pair_repeats(spark, d).groupBy("len", "occs").agg(F.count("*").alias("patterns"), F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
+
+
+PREV = """occ as (select m.text_id, m.w, m.len, s.i - 1 pos, s.i - 1 - lag(s.i - 1) over (partition by m.text_id, m.w order by s.i) delta from mrs m join sub s on s.text_id = m.text_id and s.w = m.w),
+prev as (select p.text_id, p.i - 1 pos, coalesce(max(o.len), 0) len, coalesce(max_by(o.delta, o.len), 0) delta from p left join (select * from occ where delta is not null) o on o.text_id = p.text_id and o.pos = p.i - 1 group by p.text_id, p.i)"""
+
+
+def _previous(spark, d) -> DataFrame:
+    items = _items(spark, d)
+    return repeats.longest_previous(repeats.maximal_repeats(items, with_pattern=False), suffixes.suffix_array(items))
+
+
+@query(f"with {SUBS}, {PREV} select text_id, pos, len, delta from prev")
+def longest_previous_repeat(spark, d):
+    return _previous(spark, d)
+
+
+COVER = f"{CORE}, {LONGEST}, cov as (select a.text_id, a.pos, coalesce(max(b.len), 0) cover from ls a left join ls b on b.text_id = a.text_id and b.pos <= a.pos and a.pos < b.pos + b.len group by a.text_id, a.pos)"
+
+
+@query(f"with {COVER} select text_id, pos, cover from cov")
+def repeat_coverage(spark, d):
+    return repeats.coverage(repeats.longest_starts(suffixes.suffix_array(_items(spark, d))))
+
+
+@query()
+def document_repeat_coverage(spark, d):
+    """Per document: how many characters repeats of at least 8, 32 and 128 characters cover."""
+    cover = repeats.coverage(repeats.longest_starts(suffixes.suffix_array(_docs(spark, d))))
+    return cover.groupBy("text_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("cover") >= k).alias(f"covered_{k}") for k in (8, 32, 128)])
+
+
+@query(f"with {COVER}, runs as (select text_id, pos, pos - row_number() over (partition by text_id order by pos) g from cov where cover < 5), f as (select text_id, min(pos) start, count(*) len from runs group by text_id, g) select f.text_id, f.start, f.len, substr(t.body, f.start + 1, f.len) body from f join t using (text_id)")
+def uncovered_fragments(spark, d):
+    items = _items(spark, d)
+    cover = repeats.coverage(repeats.longest_starts(suffixes.suffix_array(items)))
+    return repeats.fragments(cover, items, F.col("cover") < 5)
+
+
+@query(f"""with {T}, {_pairs_sql('pr', 1)}, m as (select base_id, body, unnest(range(0, length(body))) pos, other from pr),
+ms as (select base_id, pos, list_max(list_filter(range(0, length(body) - pos + 1), lambda l: l = 0 or contains(other, substr(body, pos + 1, l)))) len from m)
+select a.base_id text_id, a.pos, coalesce(max(b.len), 0) cover from ms a left join ms b on b.base_id = a.base_id and b.pos <= a.pos and a.pos < b.pos + b.len group by a.base_id, a.pos""")
+def shared_coverage(spark, d):
+    items = _items(spark, d)
+    m = sets.matching_statistics(items, _following(items, 1))
+    return repeats.coverage(m.select(F.col("base_id").alias("text_id"), "pos", "len"))
+
+
+_LINE = "select l_suppkey, date_diff('day', date '1992-01-01', l_shipdate::date) \"start\", date_diff('day', date '1992-01-01', l_shipdate::date) + l_quantity::bigint \"end\" from lineitem"
+
+
+def _line_intervals(spark, d) -> DataFrame:
+    start = F.datediff(F.to_date("l_shipdate"), F.lit("1992-01-01").cast("date")).cast("long")
+    return spark.read.parquet(f"{d}/lineitem.parquet").select("l_suppkey", start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"))
+
+
+@query(f'with i as ({_LINE}), d as (select distinct * from i) select l_suppkey, "start", "end" from d a where not exists (select 1 from d b where b.l_suppkey = a.l_suppkey and b."start" <= a."start" and b."end" >= a."end" and (b."start" <> a."start" or b."end" <> a."end"))')
+def maximal_intervals(spark, d):
+    return repeats.maximal_intervals(_line_intervals(spark, d), "l_suppkey")
+
+
+# --- sets of texts --------------------------------------------------------------------------------------------------------
+
+MS = f"{T}, {_pairs_sql('pr', 1, 2)}, m as (select base_id, other_id, body, other, unnest(range(0, length(body))) pos from pr), ms as (select base_id, other_id, pos, list_max(list_filter(range(0, length(body) - pos + 1), lambda l: l = 0 or contains(other, substr(body, pos + 1, l)))) len from m)"
+
+
+@query(f"with {MS} select base_id, other_id, pos, len from ms")
+def matching_statistics(spark, d):
+    items = _items(spark, d)
+    return sets.matching_statistics(items, _following(items, 1, 2))
+
+
+@query(f"with {MS} select base_id, pos, min(len) len from ms group by base_id, pos")
+def matched_in_all(spark, d):
+    items = _items(spark, d)
+    return sets.fold(sets.matching_statistics(items, _following(items, 1, 2)), "all")
+
+
+@query(f"with {MS} select base_id, pos, max(len) len from ms group by base_id, pos")
+def matched_in_any(spark, d):
+    items = _items(spark, d)
+    return sets.fold(sets.matching_statistics(items, _following(items, 1, 2)), "any")
+
+
+@query(f"with {MS} select base_id, pos, other_id - base_id step, min(len) over w held_by_all, max(len) over w held_by_any from ms window w as (partition by base_id, pos order by other_id)")
+def running_matches(spark, d):
+    items = _items(spark, d)
+    pairs = _following(items, 1, 2)
+    return sets.running_fold(sets.matching_statistics(items, pairs), pairs.withColumn("step", F.col("other_id") - F.col("base_id")))
+
+
+RIVAL = f"{SUBS}, {_pairs_sql('pr', 1, 2)}"
+
+
+@query(f"with {RIVAL} select text_id, w pattern, len, occs from mrs where not exists (select 1 from pr where pr.base_id = mrs.text_id and contains(pr.other, mrs.w))")
+def exclusive_repeats(spark, d):
+    items = _items(spark, d)
+    others = sets.fold(sets.matching_statistics(items, _following(items, 1, 2)), "any")
+    return sets.exclusive(repeats.maximal_repeats(items), suffixes.suffix_array(items), others).select("text_id", "pattern", "len", "occs")
+
+
+@query(f"with {RIVAL}, {SUPER} select text_id, w pattern, len, occs from sup where not exists (select 1 from pr where pr.base_id = sup.text_id and contains(pr.other, sup.w))")
+def exclusive_supermaximal_repeats(spark, d):
+    items = _items(spark, d)
+    order = suffixes.suffix_array(items)
+    others = sets.fold(sets.matching_statistics(items, _following(items, 1, 2)), "any")
+    found = repeats.with_pattern(repeats.supermaximal_repeats(order), items)
+    return sets.exclusive(found, order, others).select("text_id", "pattern", "len", "occs")
+
+
+HELD = "c as (select distinct s.text_id, s.w from sub s where exists (select 1 from pr where pr.base_id = s.text_id) and not exists (select 1 from pr where pr.base_id = s.text_id and not contains(pr.other, s.w)))"
+
+
+@query(f"with {RIVAL}, {HELD} select text_id, w pattern, length(w) len from c where length(w) >= 2 and not exists (select 1 from c b where b.text_id = c.text_id and length(b.w) = length(c.w) + 1 and (substr(b.w, 2) = c.w or substr(b.w, 1, length(c.w)) = c.w))")
+def common_substrings(spark, d):
+    items = _items(spark, d)
+    everywhere = sets.fold(sets.matching_statistics(items, _following(items, 1, 2)), "all")
+    return sets.common_substrings(items, everywhere, 2)
+
+
+TAGS = f"{RIVAL}, {_pairs_sql('no', 3, 4)}, {HELD}, tg as (select text_id, w from c where exists (select 1 from no where no.base_id = c.text_id) and not exists (select 1 from no where no.base_id = c.text_id and contains(no.other, c.w)))"
+
+
+def _tags(spark, d, mode: str) -> DataFrame:
+    items = _items(spark, d)
+    fold = lambda how, *steps: sets.fold(sets.matching_statistics(items, _following(items, *steps)), how)
+    return sets.tags(items, fold("all", 1, 2), fold("any", 3, 4), mode)
+
+
+@query(f"with {TAGS} select text_id, w pattern, length(w) len from tg where not exists (select 1 from tg b where b.text_id = tg.text_id and (b.w = substr(tg.w, 2) or b.w = substr(tg.w, 1, length(tg.w) - 1)))")
+def minimal_tags(spark, d):
+    return _tags(spark, d, "minimal")
+
+
+SHORT = "sh as (select text_id, min(length(w)) len from tg group by text_id)"
+
+
+@query(f"with {TAGS}, {SHORT} select text_id, w pattern, length(w) len from tg join sh using (text_id) where length(w) = sh.len")
+def all_shortest_tags(spark, d):
+    return _tags(spark, d, "all_shortest")
+
+
+@query(f"with {TAGS}, {SHORT}, f as (select tg.text_id, tg.w, min(s.i) i from tg join sh on sh.text_id = tg.text_id and length(tg.w) = sh.len join sub s on s.text_id = tg.text_id and s.w = tg.w group by tg.text_id, tg.w) select text_id, arg_min(w, i) pattern, length(arg_min(w, i)) len from f group by text_id")
+def shortest_tag(spark, d):
+    return _tags(spark, d, "shortest")
+
+
+# --- search ---------------------------------------------------------------------------------------------------------------
+
+
+def _patterns(spark, d) -> DataFrame:
+    """Every sentence of the benchmark of at least 12 characters."""
+    parts = suffixes.split_texts(_items(spark, d), ".").select(F.trim("body").alias("pattern")).where(F.length("pattern") >= 12).distinct()
+    return parts.select(F.md5(F.encode("pattern", "UTF-8")).alias("pattern_id"), "pattern")
+
+
+PAT = "pat as (select distinct trim(unnest(string_split(text, '.')), ' ') pattern from benchmark where text is not null), pt as (select md5(pattern) pattern_id, pattern from pat where length(pattern) >= 12)"
+OCC = f"{D}, {PAT}, near as (select t.text_id, t.body, pt.pattern_id, pt.pattern from t join pt on contains(t.body, pt.pattern)), oc as (select text_id, pattern_id, i - 1 pos from (select *, unnest(range(1, length(body) - length(pattern) + 2)) i from near) where substr(body, i, length(pattern)) = pattern)"
+
+
+@query(f"with {OCC} select text_id, pattern_id, pos from oc")
+def pattern_occurrences(spark, d):
+    return search.pattern_occurrences(_docs(spark, d), _patterns(spark, d))
+
+
+@query(f"with {OCC} select text_id, pattern_id, pos from oc")
+def chunked_search(spark, d):
+    return search.chunked_search(_docs(spark, d), _patterns(spark, d), 1024)
+
+
+@query(f"with {OCC} select pt.pattern_id, count(oc.pos) occs, count(distinct oc.text_id) texts from pt left join oc using (pattern_id) group by pt.pattern_id")
+def pattern_counts(spark, d):
+    return search.pattern_counts(_docs(spark, d), _patterns(spark, d))
+
+
+@query(f'with {OCC}, n as (select pt.pattern_id, count(oc.pos) occs, count(distinct oc.text_id) texts from pt left join oc using (pattern_id) group by pt.pattern_id) select *, ((occs >= 1)::bigint + (occs >= 2)::bigint + (occs >= 10)::bigint) "class" from n')
+def pattern_classes(spark, d):
+    return search.classified(search.pattern_counts(_docs(spark, d), _patterns(spark, d)), [1, 2, 10])
+
+
+def _words(items: DataFrame) -> DataFrame:
+    words = items.select("text_id", F.explode(F.split("body", r"[^a-z]+")).alias("pattern")).where("pattern <> ''").distinct()
+    return words.select("text_id", F.col("pattern").alias("pattern_id"), "pattern")
+
+
+WORDS = "wd as (select distinct text_id, unnest(regexp_split_to_array(body, '[^a-z]+')) w from t), ww as (select * from wd where w <> '')"
+RANGE = f"{CORE}, {WORDS}, rg as (select h.text_id, ww.w pattern_id, min(rank) \"from\", max(rank) + 1 \"to\" from ww join h on h.text_id = ww.text_id and starts_with(substr(h.body, h.pos + 1), ww.w) group by h.text_id, ww.w)"
+
+
+@query(f'with {RANGE} select text_id, pattern_id, "from", "to" from rg')
+def pattern_rank_ranges(spark, d):
+    items = _items(spark, d)
+    return search.rank_ranges(items, suffixes.suffix_array(items), _words(items))
+
+
+@query(f'with {RANGE} select text_id, pattern_id, "from", "to" from rg where length(pattern_id) <= 6')
+def backward_search(spark, d):
+    items = _items(spark, d)
+    return search.backward_search(suffixes.suffix_array(items), items, _words(items).where(F.length("pattern") <= 6), 6)
+
+
+@query(f'with {RANGE} select rg.text_id, rg.pattern_id, h.pos from rg join h on h.text_id = rg.text_id and h.rank >= rg."from" and h.rank < rg."to"')
+def positions_of_ranges(spark, d):
+    items = _items(spark, d)
+    order = suffixes.suffix_array(items)
+    return search.positions_of_ranges(order, search.rank_ranges(items, order, _words(items)))
+
+
+# --- complexity -----------------------------------------------------------------------------------------------------------
+
+SYM = f"{D}, s as (select text_id, unnest(string_split(body, '')) sym, generate_subscripts(string_split(body, ''), 1) - 1 pos from t where length(body) > 0)"
+FREQ = f"{SYM}, fr as (select text_id, sym, count(*) n from s group by text_id, sym)"
+
+
+@query(f"with {FREQ} select text_id, sym, n from fr")
+def symbol_frequency(spark, d):
+    return cx.symbol_frequency(_docs(spark, d))
+
+
+@query(f"with {FREQ}, e as (select text_id, sum(n)::bigint n, -sum(n / tot * log2(n / tot)) bits from (select *, sum(n) over (partition by text_id) tot from fr) group by text_id) select text_id, n, round(bits, 6) bits, round(bits * n, 4) total_bits, floor((ceil(round(bits * n, 6)) + 7) / 8)::bigint est_bytes from e")
+def entropy(spark, d):
+    e = cx.entropy(cx.symbol_frequency(_docs(spark, d)))
+    return e.select("text_id", "n", F.round("bits", 6).alias("bits"), F.round("total_bits", 4).alias("total_bits"), "est_bytes")
+
+
+@query(f"with {SYM} select text_id, count(*) filter (sym = before) zeros from (select *, coalesce(lag(sym) over (partition by text_id order by pos), chr(1)) before from s) group by text_id")
+def repeated_symbols(spark, d):
+    return cx.repeated_symbols(cx.symbols(_docs(spark, d)))
+
+
+@query(f"with {CORE}, b as (select text_id, rank, case when lc = '' then chr(1) else lc end sym from h union all select text_id, -1, substr(body, length(body), 1) from t where length(body) > 0) select text_id, count(*) filter (sym = before) zeros from (select *, coalesce(lag(sym) over (partition by text_id order by rank), chr(2)) before from b) group by text_id")
+def bwt_zero_count(spark, d):
+    items = _items(spark, d)
+    return cx.repeated_symbols(cx.bwt_symbols(suffixes.suffix_array(items), items), "rank")
+
+
+COUNTS = f"{CORE}, top as (select *, max(rank) over (partition by text_id) mx from h), lc as (select text_id, lcp, count(*) n from top where rank < mx group by text_id, lcp)"
+ARR = f"{CORE}, ar as (select text_id, row_number() over (partition by text_id order by lcp) - 1 i, lcp from (select *, max(rank) over (partition by text_id) mx from h) where rank < mx)"
+
+
+def _array(spark, d) -> DataFrame:
+    return cx.lcp_array(cx.lcp_counts(suffixes.suffix_array(_items(spark, d))))
+
+
+@query(f"with {COUNTS} select text_id, lcp, n from lc")
+def lcp_histogram(spark, d):
+    return cx.lcp_counts(suffixes.suffix_array(_items(spark, d)))
+
+
+@query(f"with {ARR} select text_id, i, lcp from ar")
+def sorted_lcp_array(spark, d):
+    return _array(spark, d)
+
+
+@query(f"with {COUNTS} select text_id, round(1 + sum(n / (lcp + 1)), 9) k from lc group by text_id")
+def k_complexity(spark, d):
+    items = _items(spark, d)
+    k = cx.complexity(cx.lcp_counts(suffixes.suffix_array(items)), items)
+    return k.select("text_id", F.round("k", 9).alias("k"))
+
+
+@query()
+def document_complexity(spark, d):
+    docs = _docs(spark, d)
+    k = cx.complexity(cx.lcp_counts(suffixes.suffix_array(docs)), docs)
+    return k.select("text_id", F.round("k", 9).alias("k"))
+
+
+LOW = "floor((length(bin(i + 1)) - 1) / 2)"
+
+
+@query(f"with {ARR}, x as (select text_id, i, lcp v, least({LOW}, lcp) l from ar) select text_id, round(1 + sum(1 / (v - l + 1)), 9) k_offset, round(1 + sum(1 / (v - l + 1) / (v - l + 1)), 9) k_offset2, round(1 + sum((i - v) / (i - l + 1)), 9) k_norm, round(1 + sum((i - v) / (i - l + 1) * (i - v) / (i - l + 1)), 9) k_norm2, round(1 + sum(1 / (v + 1)), 9) k_inv, round(1 + sum(1 / (v + 1) / (v + 1)), 9) k_inv2 from x group by text_id")
+def k_measures(spark, d):
+    m = cx.six_measures(_array(spark, d))
+    return m.select("text_id", *[F.round(c, 9).alias(c) for c in m.columns[1:]])
+
+
+@query(f"with {ARR}, x as (select text_id, i, lcp v, case when {LOW} > lcp then 0 else {LOW} end l from ar) select text_id, round(1 + sum((i - v) / (i + 1)), 9) k_normalised, round(1 + sum(1 / (v - l + 1)), 9) k_de_bruijn, round(1 + sum(1 / (v - l + 1) / (v - l + 1)), 9) k_de_bruijn2 from x group by text_id")
+def k_by_function(spark, d):
+    array = _array(spark, d)
+    a = cx.complexity_by(array, cx.normalised, "k_normalised")
+    b, c = cx.complexity_by(array, cx.de_bruijn, "k_de_bruijn"), cx.complexity_by(array, cx.squared(cx.de_bruijn), "k_de_bruijn2")
+    rows = a.join(b, "text_id").join(c, "text_id")
+    return rows.select("text_id", *[F.round(n, 9).alias(n) for n in rows.columns[1:]])
+
+
+@query(f"with {CORE}, {LONGEST} select text_id, round(sum(ln((len + 2) / (len + 1))) / ln(4), 9) k_log from ls group by text_id")
+def log_complexity(spark, d):
+    k = cx.log_complexity(repeats.longest_starts(suffixes.suffix_array(_items(spark, d))))
+    return k.select("text_id", F.round("k_log", 9).alias("k_log"))
+
+
+@query(f"with {CORE}, {LONGEST} select text_id, pos, round(sum(ln((len + 2) / (len + 1))) over (partition by text_id order by pos) / ln(4), 9) curve from ls")
+def log_curve(spark, d):
+    c = cx.log_curve(repeats.longest_starts(suffixes.suffix_array(_items(spark, d))))
+    return c.select("text_id", "pos", F.round("curve", 9).alias("curve"))
+
+
+@query(f"""with {CORE}, {LONGEST}, z as (select text_id, pos + 1 n, max(len) over (partition by text_id order by pos) k from ls), f as (select *, case when n > 1 then n / ln(n) end bound, case when n > 2 then (n - 1) / ln(n - 1) end before from z)
+select text_id, n, k, round(bound, 9) bound, round((2 * before + 1 / ((k + 1) * ln(4))) / bound, 9) ratio from f""")
+def prefix_ratios(spark, d):
+    starts = repeats.longest_starts(suffixes.suffix_array(_items(spark, d)))
+    r = cx.prefix_ratios(starts.select("text_id", (F.col("pos") + 1).alias("n"), F.col("len").alias("z")), 4)
+    return r.select("text_id", "n", "k", F.round("bound", 9).alias("bound"), F.round("ratio", 9).alias("ratio"))
+
+
+PAIR_K = f"""{T}, pr as (select a.text_id base_id, b.text_id other_id, a.body, b.body other from t a join t b on a.text_id // 4 = b.text_id // 4 and a.text_id < b.text_id),
+two as (select base_id, other_id, 0 side, body from pr union all select base_id, other_id, 1, other from pr union all select text_id, text_id, 0, body from t),
+p2 as (select base_id, other_id, side, substr(body, i) s, case when i > 1 then substr(body, i - 1, 1) else chr(1) || side end lc from (select *, unnest(range(1, length(body) + 1)) i from two)),
+o2 as (select base_id, other_id, s, lc, row_number() over w rank, lead(s) over w nxt, lag(lc) over w before from p2 window w as (partition by base_id, other_id order by s, side)),
+k2 as (select base_id, other_id, count(*) n, 1 + sum(case when nxt is null then 0 else 1 / (list_max(list_filter(range(0, least(length(s), length(nxt)) + 1), lambda l: substr(s, 1, l) = substr(nxt, 1, l))) + 1) end) k, count(*) filter (lc = before) zeros from o2 group by base_id, other_id)"""
+
+
+@query(f"""with {PAIR_K} select ab.base_id, ab.other_id, round((ab.k - least(a.k, b.k)) / greatest(a.k, b.k), 9) k_distance, round(((ab.n - ab.zeros) - least(a.n - a.zeros, b.n - b.zeros)) / greatest(a.n - a.zeros, b.n - b.zeros), 9) zero_distance,
+greatest(0, ab.zeros - a.zeros - b.zeros) zdif, round(1 - greatest(0, ab.zeros - a.zeros - b.zeros) / (a.n + b.n), 9) znorm from k2 ab join k2 a on a.base_id = ab.base_id and a.other_id = ab.base_id join k2 b on b.base_id = ab.other_id and b.other_id = ab.other_id where ab.base_id < ab.other_id""")
+def text_distances(spark, d):
+    """Distances of all pairs of items in blocks of four ids."""
+    items = _items(spark, d)
+    block = items.select("text_id", F.floor(F.col("text_id") / 4).alias("block"))
+    pairs = block.select(F.col("text_id").alias("base_id"), "block").join(block.select(F.col("text_id").alias("other_id"), "block"), "block").where("base_id < other_id").select("base_id", "other_id")
+    own = suffixes.suffix_array(items).select(F.col("text_id").alias("base_id"), F.col("text_id").alias("other_id"), "rank", "lcp", F.when(F.col("left") == "", "\u00010").otherwise(F.col("left")).alias("sym"))
+    both = sets.pair_suffixes(items, pairs).select("base_id", "other_id", "rank", "lcp", F.when(F.col("left") == "", F.concat(F.lit("\u0001"), F.col("is_other").cast("int").cast("string"))).otherwise(F.col("left")).alias("sym"))
+    w = Window.partitionBy("base_id", "other_id").orderBy("rank")
+    rows = own.union(both).withColumn("last", F.lead("rank").over(w).isNull()).withColumn("before", F.lag("sym").over(w))
+    k = rows.groupBy("base_id", "other_id").agg(F.count("*").alias("n"), (1 + F.sum(F.when(~F.col("last"), 1 / (F.col("lcp") + 1)).otherwise(0))).alias("k"), F.count_if(F.col("sym") == F.col("before")).alias("zeros"))
+    single = k.where("base_id = other_id")
+    a, b = (single.select(F.col("base_id").alias(f"{s}_id"), *[F.col(c).alias(f"{s}{c}") for c in ("n", "k", "zeros")]) for s in "ab")
+    j = k.where("base_id < other_id").join(a, F.col("base_id") == F.col("a_id")).join(b, F.col("other_id") == F.col("b_id"))
+    c = F.col
+    return j.select("base_id", "other_id", F.round(cx.distance(c("k"), c("ak"), c("bk")), 9).alias("k_distance"), F.round(cx.distance(c("n") - c("zeros"), c("an") - c("azeros"), c("bn") - c("bzeros")), 9).alias("zero_distance"), cx.zero_gain(c("zeros"), c("azeros"), c("bzeros")).alias("zdif"), F.round(cx.zero_norm(c("zeros"), c("azeros"), c("bzeros"), c("an") + c("bn")), 9).alias("znorm"))
+
+
+# --- encodings ------------------------------------------------------------------------------------------------------------
+
+BYTES = f"{D}, hx as (select text_id, hex(encode(body)) hx from t), by8 as (select text_id, unnest(range(0, length(hx) // 2)) pos, hx from hx), b as (select text_id, pos, substr(hx, 2 * pos + 1, 2) v from by8)"
+
+
+@query(f"with {D} select text_id, md5(body) digest from t")
+def mtf_roundtrip(spark, d):
+    back = codecs.decode_texts(codecs.encode_texts(_docs(spark, d), "mtf"), "mtf")
+    return back.select("text_id", F.md5(F.encode("value", "UTF-8")).alias("digest"))
+
+
+@query(f"with {D} select text_id, md5(body) digest from t")
+def rle_roundtrip(spark, d):
+    back = codecs.decode_texts(codecs.encode_texts(_docs(spark, d), "rle"), "rle")
+    return back.select("text_id", F.md5(F.encode("value", "UTF-8")).alias("digest"))
+
+
+@query(f"with {D} select text_id, md5(body) digest from t")
+def lzw_roundtrip(spark, d):
+    back = codecs.decode_texts(codecs.encode_texts(_docs(spark, d), "lzw"), "lzw")
+    return back.select("text_id", F.md5(F.encode("value", "UTF-8")).alias("digest"))
+
+
+RUNS = f"{BYTES}, g as (select text_id, v, pos - row_number() over (partition by text_id, v order by pos) grp from b), r as (select text_id, v, grp, count(*) n from g group by text_id, v, grp)"
+
+
+@query(f"with {RUNS} select t.text_id, coalesce(sum(case when n < 4 then n else 5 + 2 * ((n - 4) // 256) end), 0)::bigint bytes from t left join r using (text_id) group by t.text_id")
+def run_length_size(spark, d):
+    return codecs.run_length_size(_docs(spark, d))
+
+
+@query()
+def lzw_code_counts(spark, d):
+    return codecs.encode_texts(_docs(spark, d), "lzw").select("text_id", F.size("value").cast("long").alias("codes"), F.array_max("value").cast("long").alias("largest"))
+
+
+@query()
+def huffman_bits(spark, d):
+    return codecs.huffman_bits(cx.symbol_frequency(_docs(spark, d)))
+
+
+@query()
+def huffman_codes(spark, d):
+    return codecs.huffman_codes(cx.symbol_frequency(_docs(spark, d)))
+
+
+@query()
+def lz_factors(spark, d):
+    return codecs.factor_counts(_items(spark, d))
+
+
+@query()
+def greedy_code_cost(spark, d):
+    p = _previous(spark, d)
+    a, b, c = codecs.greedy_cost(p, 8, True), codecs.greedy_cost(p, 3, True), codecs.greedy_cost(p, 3, False)
+    return a.withColumnRenamed("cost", "cost8").join(b.withColumnRenamed("cost", "cost3"), "text_id").join(c.withColumnRenamed("cost", "cost3_free"), "text_id")
+
+
+# --- sequences and sources ------------------------------------------------------------------------------------------------
+
+
+@query(f"with {D}, r as (select text_id, string_split(body, chr(10)) p from t) select text_id, i record, p[i + 1] body from (select text_id, p, unnest(range(0, length(p) - 1)) i from r)")
+def line_records(spark, d):
+    return src.records(_docs(spark, d))
+
+
+@query(f"with {D}, r as (select text_id, string_split(body, chr(10)) p from t) select text_id, i // 4 \"read\", p[i + 1] body from (select text_id, p, unnest(range(0, length(p))) i from r) where i % 4 = 1")
+def fastq_records(spark, d):
+    return src.fastq_records(_docs(spark, d))
+
+
+@query(f"with {D}, r as (select string_split(body, chr(10)) p from t), x as (select p[i + 1] body from (select p, unnest(range(0, length(p))) i from r) where i % 4 = 1) select count(*) \"count\", round(avg(length(body)), 9) avg_len from x")
+def fastq_summary(spark, d):
+    s = src.fastq_summary(src.fastq_records(_docs(spark, d)))
+    return s.select("count", F.round("avg_len", 9).alias("avg_len"))
+
+
+@query(f"with {D} select text_id, regexp_replace(regexp_replace('>' || text_id || ' x' || chr(10) || upper(body), '^>[^\\n]*\\n', ''), '[^ACGTN]', '', 'g') body from t")
+def fasta_body(spark, d):
+    fasta = F.concat(F.lit(">"), F.col("text_id").cast("string"), F.lit(" x\n"), F.upper("body"))
+    return _docs(spark, d).select("text_id", src.fasta_body(fasta).alias("body"))
+
+
+NRUN = f"{DNA}, ch as (select text_id, unnest(range(0, length(body))) pos, body from t), nn as (select text_id, pos, pos - row_number() over (partition by text_id order by pos) g from ch where substr(body, pos + 1, 1) = 'N'), nr as (select text_id, min(pos) \"start\", count(*) len from nn group by text_id, g), nk as (select *, case when len <= 2 then len else 2 + length(bin(len - 2)) end kept from nr)"
+
+
+@query(f'with {NRUN} select text_id, "start", len, kept from nk')
+def n_runs(spark, d):
+    return src.n_runs(_dna(spark, d))
+
+
+@query(f"with {NRUN}, lost as (select text_id, sum(len - kept)::bigint lost from nk group by text_id) select t.text_id, length(t.body) - coalesce(lost, 0) n from t left join lost using (text_id)")
+def collapsed_length(spark, d):
+    return _dna(spark, d).select("text_id", F.length(src.collapse_runs(F.col("body"))).cast("long").alias("n"))
+
+
+TRACE = f"""{NRUN}, mv as (select *, sum(len - kept) over (partition by text_id order by "start") lost, sum(case when len >= 5 then len - kept else 0 end) over (partition by text_id order by "start") shift from nk),
+tr as (select text_id, ("start" - (lost - (len - kept)) + 2)::bigint virt_start, shift::bigint shift from mv where len >= 5 union all select text_id, 0, 0 from t)"""
+
+
+@query(f"with {TRACE} select text_id, virt_start, shift from tr")
+def gap_trace(spark, d):
+    dna = _dna(spark, d)
+    return src.gap_trace(src.n_runs(dna), dna)
+
+
+def _probes(dna: DataFrame, step: int) -> DataFrame:
+    n = F.length("body")
+    return dna.where(n > 0).select("text_id", F.explode(F.sequence(F.lit(0), n - 1, F.lit(step))).cast("long").alias("pos"))
+
+
+@query(f"with {TRACE}, pb as (select text_id, unnest(range(0, length(body), 50)) pos from t) select pb.text_id, pb.pos, pb.pos + arg_max(tr.shift, tr.virt_start) \"real\" from pb join tr on tr.text_id = pb.text_id and tr.virt_start <= pb.pos group by pb.text_id, pb.pos")
+def virtual_to_real(spark, d):
+    dna = _dna(spark, d)
+    return src.to_real(_probes(dna, 50), src.gap_trace(src.n_runs(dna), dna))
+
+
+@query(f"with {TRACE}, ev as (select *, virt_start + coalesce(lag(shift) over (partition by text_id order by virt_start), 0) gap from tr), pb as (select text_id, unnest(range(0, length(body), 50)) pos from t), fd as (select pb.text_id, pb.pos, arg_max(ev.shift, ev.gap) shift, arg_max(ev.virt_start + ev.shift, ev.gap) ends from pb join ev on ev.text_id = pb.text_id and ev.gap <= pb.pos group by pb.text_id, pb.pos) select text_id, pos, case when pos >= ends then pos - shift end virtual from fd")
+def real_to_virtual(spark, d):
+    dna = _dna(spark, d)
+    return src.to_virtual(_probes(dna, 50), src.gap_trace(src.n_runs(dna), dna))
+
+
+@query(f"with {DNA} select text_id, reverse(translate(body, 'ACGT', 'TGCA')) body from t")
+def reverse_complement(spark, d):
+    return _dna(spark, d).select("text_id", sq.reverse_complement(F.col("body")).alias("body"))
+
+
+@query(f"with {DNA} select text_id, body || 'N' || reverse(translate(body, 'ACGT', 'TGCA')) body from t")
+def with_reverse_complement(spark, d):
+    return _dna(spark, d).select("text_id", sq.with_reverse_complement(F.col("body")).alias("body"))
+
+
+ITEM_DNA = f"t as (select item_id text_id, translate(regexp_replace(lower(text), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{LETTERS26}') body from benchmark where text is not null)"
+
+
+@query(f"with {ITEM_DNA}, c as (select text_id, i - 1 pos, list_transform(range(0, 4), lambda k: instr('ACGNT', substr(body || body || body || body, i + k, 1)) - 1) g from (select *, unnest(range(1, length(body) + 1)) i from t)) select text_id, pos, ((g[1] * 5 + g[2]) * 5 + g[3]) * 2 + (g[4] // 4) code from c")
+def four_letter_codes(spark, d):
+    dna = _items(spark, d).select("text_id", sq.as_dna(F.col("body")).alias("body"))
+    return dna.select("text_id", F.posexplode(sq.four_letter_codes(F.col("body"))).alias("pos", "code")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(f"with {ITEM_DNA} select text_id, body from t")
+def four_letter_roundtrip(spark, d):
+    dna = _items(spark, d).select("text_id", sq.as_dna(F.col("body")).alias("body"))
+    return dna.select("text_id", sq.from_four_letter_codes(sq.four_letter_codes(F.col("body"))).alias("body"))
+
+
+@query(f"with {D} select text_id, substr(regexp_replace(body, '[ \\t\\n\\f\\r\\x0B]', '', 'g'), 11, 20) body from t")
+def piece_at(spark, d):
+    return _docs(spark, d).select("text_id", sq.piece_at(F.col("body"), 10, 20).alias("body"))
+
+
+@query(f"with {DNA} select t.text_id, l.letter, length(body) - length(replace(body, l.letter, '')) n from t, (select unnest(['A', 'C', 'G', 'T', 'N']) letter) l")
+def letter_counts(spark, d):
+    dna = _dna(spark, d)
+    n = lambda x: F.length("body") - F.length(F.replace(F.col("body"), F.lit(x), F.lit("")))
+    return dna.select("text_id", F.explode(F.array(*[F.struct(F.lit(x).alias("letter"), n(x).cast("long").alias("n")) for x in "ACGTN"])).alias("x")).select("text_id", "x.letter", "x.n")
+
+
+@query(f"""with {T}, z as (select a.text_id, a.body, b.body other from t a join t b on b.text_id = a.text_id + 1), x as (select text_id, substr(body, i, 1) a, substr(other, i, 1) b from (select *, unnest(range(1, least(length(body), length(other)) + 1)) i from z)),
+u as (select text_id, a letter, 1 total, (a <> b)::int lost, 0 gained from x union all select text_id, b, 0, 0, (a <> b)::int from x) select text_id, letter, sum(total)::bigint total, sum(lost)::bigint lost, sum(gained)::bigint gained from u group by text_id, letter""")
+def letter_changes(spark, d):
+    items = _items(spark, d)
+    other = items.select((F.col("text_id") - 1).alias("text_id"), F.col("body").alias("other"))
+    return sq.letter_changes(items.join(other, "text_id"))
+
+
+@query(f"""with {T}, iv as (select text_id, x.s "start", x.e "end" from t, (values (5, 20), (15, 40), (60, 70), (71, 80), (100, 101)) x(s, e)), pp as (select text_id, body, unnest(range(0, length(body))) pos from t),
+kp as (select text_id, pos, substr(body, pos + 1, 1) c, pos - row_number() over (partition by text_id order by pos) g from pp where exists (select 1 from iv where iv.text_id = pp.text_id and pos between iv."start" and iv."end")),
+rn as (select text_id, g, min(pos) st, string_agg(c, '' order by pos) part from kp group by text_id, g) select text_id, string_agg(part, 'N' order by st) body from rn group by text_id""")
+def kept_intervals(spark, d):
+    items = _items(spark, d)
+    bounds = [(5, 20), (15, 40), (60, 70), (71, 80), (100, 101)]
+    n = F.length("body").cast("long")
+    spans = items.select("text_id", n.alias("n"), F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for a, b in bounds])).alias("x"))
+    return sq.kept_intervals(items, spans.where("x.start < n").select("text_id", "x.start", F.least("x.end", F.col("n") - 1).alias("end")))
+
+
+# --- arrays and bits ------------------------------------------------------------------------------------------------------
+
+ARRAY = "a as (select l_suppkey array_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) - 1 pos, l_quantity::bigint \"value\", l_orderkey * 10 + l_linenumber query_id, (l_returnflag = 'R')::bigint bit from lineitem)"
+
+
+def _rows(spark, d) -> DataFrame:
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("array_id"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("l_quantity").cast("long").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("query_id"), (F.col("l_returnflag") == "R").cast("long").alias("bit"))
+
+
+@query(f'with {ARRAY} select q.array_id, q.query_id, min(a."value") low, max(a."value") high from a q join a on a.array_id = q.array_id and a.pos >= q.pos and a.pos < q.pos + 7 * q."value" group by q.array_id, q.query_id')
+def range_extremes(spark, d):
+    rows = _rows(spark, d)
+    return ranges.range_extremes(rows.select("array_id", "pos", "value"), rows.select("array_id", "query_id", F.col("pos").alias("start"), (F.col("pos") + 7 * F.col("value")).alias("end")))
+
+
+@query(f'with {ARRAY} select array_id, pos, case when bit = 1 then 0 else "value" end "value" from a')
+def updated_array(spark, d):
+    rows = _rows(spark, d)
+    return ranges.updated(rows.select("array_id", "pos", "value"), rows.where("bit = 1").select("array_id", "pos", F.lit(0).cast("long").alias("value")))
+
+
+@query(f'with {ARRAY} select q.array_id, q.query_id, min(a.pos) filter (a.pos >= q.pos) "next", max(a.pos) filter (a.pos <= q.pos) previous from a q left join a on a.array_id = q.array_id and a."value" <= q."value" - 20 group by q.array_id, q.query_id')
+def next_at_most(spark, d):
+    rows = _rows(spark, d)
+    return ranges.next_at_most(rows.select("array_id", "pos", "value"), rows.select("array_id", "query_id", "pos", (F.col("value") - 20).alias("bound")))
+
+
+@query(f'with {ARRAY} select q.array_id, q.query_id, min(a.pos) filter (a.pos >= q.pos) "next", max(a.pos) filter (a.pos <= q.pos) previous from a q left join a on a.array_id = q.array_id and a."value" >= q."value" + 20 group by q.array_id, q.query_id')
+def next_at_least(spark, d):
+    rows = _rows(spark, d)
+    return ranges.next_at_least(rows.select("array_id", "pos", "value"), rows.select("array_id", "query_id", "pos", (F.col("value") + 20).alias("bound")))
+
+
+RANK = f"{ARRAY}, rk as (select array_id, pos, bit, coalesce(sum(bit) over (partition by array_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint rank1 from a)"
+
+
+@query(f"with {RANK} select array_id, pos, bit, rank1, pos - rank1 rank0 from rk")
+def bit_ranks(spark, d):
+    return ranges.bit_ranks(_rows(spark, d).select("array_id", "pos", "bit"))
+
+
+@query(f"with {RANK} select array_id, rank1 + 1 i, pos from rk where bit = 1")
+def bit_select(spark, d):
+    return ranges.bit_select(_rows(spark, d).select("array_id", "pos", "bit"))
+
+
+@query(f"with {RANK} select array_id, pos - rank1 + 1 i, pos from rk where bit = 0")
+def bit_select_zero(spark, d):
+    return ranges.bit_select(_rows(spark, d).select("array_id", "pos", "bit"), 0)
+
+
+@query(f'with {ARRAY}, m as (select distinct array_id, "value" v from a where bit = 1) select q.array_id, q.query_id, max(m.v) filter (m.v <= q."value") at_most, min(m.v) filter (m.v >= q."value") at_least from a q left join m on m.array_id = q.array_id group by q.array_id, q.query_id')
+def set_neighbours(spark, d):
+    rows = _rows(spark, d)
+    return ranges.set_neighbours(rows.where("bit = 1").select("array_id", "value"), rows.select("array_id", "query_id", "value"))
