@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from echograms.llm.runtime import equal_depth_cuts, range_index
 
-BINS, BITS, ATTEMPTS, WORDS = 128, 8, 12, 5
+BINS, BITS, ATTEMPTS, WORDS = 256, 8, 12, 5
 EMPTY = "-" * (BINS * BITS // 4)  # the fingerprint of a text without words
 HEX = BINS * BITS // 4
 
@@ -24,7 +24,7 @@ def _with_bins(df: DataFrame, text: str, name: str) -> DataFrame:
     df = df.withColumn("_w", words)
     w = F.col("_w")
     runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - WORDS, F.lit(0))), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WORDS)]))
-    # bin in bits 40 to 46, value below: one sort puts the bins in order and each bin's least hash first
+    # bin from bit 40 on, value below: one sort puts the bins in order and each bin's least hash first
     keys = F.transform(runs, lambda h: F.shiftleft(F.pmod(h, F.lit(BINS)), 40) + F.shiftrightunsigned(h, 24))
     df = df.withColumn("_k", F.when(F.size(w) > 0, F.sort_array(keys)).otherwise(F.array().cast("array<bigint>"))).drop("_w")
     k = F.col("_k")
