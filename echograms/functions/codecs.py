@@ -81,14 +81,14 @@ class _Phrases:
     """Phrases by code: all bytes, then pairs seeded by small values; when all codes are taken, the least recently used one above the bytes is
     given up."""
 
+    _seeded: tuple[dict[int, bytes], dict[bytes, int], OrderedDict[int, None]] | None = None
+
     def __init__(self):
-        self.text: dict[int, bytes] = {i: bytes([i]) for i in range(256)}
-        self.code: dict[bytes, int] = {v: k for k, v in self.text.items()}
-        self.used: OrderedDict[int, None] = OrderedDict()
-        for i in range(DICTIONARY // 256):
-            for pair in [(i, i), *[p for j in range(i + 1, 256) for p in ((i, j), (j, i))]]:
-                if len(self.text) < DICTIONARY:
-                    self.put(len(self.text), bytes(pair))
+        if _Phrases._seeded is None:
+            pairs = [bytes(p) for i in range(DICTIONARY // 256) for p in [(i, i), *[q for j in range(i + 1, 256) for q in ((i, j), (j, i))]]]
+            text = dict(enumerate([bytes([i]) for i in range(256)] + pairs[: DICTIONARY - 256]))
+            _Phrases._seeded = text, {v: k for k, v in text.items()}, OrderedDict.fromkeys(range(256, DICTIONARY))
+        self.text, self.code, self.used = (x.copy() for x in _Phrases._seeded)
 
     def put(self, code: int, phrase: bytes) -> None:
         self.text[code], self.code[phrase] = phrase, code

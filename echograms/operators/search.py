@@ -18,17 +18,25 @@ def _anchored(texts: DataFrame, patterns: DataFrame, unit: Column) -> tuple[Data
     return texts.withColumn("raw", F.encode(unit, "UTF-8")), F.broadcast(known) if row.n <= PATTERN_ROWS else known, size
 
 
+def _occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Occurrences in texts (text_id, body, within) that start in the first `within` characters (null: anywhere)."""
+    rows, known, size = _anchored(texts, patterns, F.col("body"))
+    owned = F.coalesce(F.octet_length(F.encode(F.left("body", F.col("within")), "UTF-8")) - 1, F.lit(2**31 - 1))
+    last = F.least(F.octet_length("raw") - size, owned)
+    offers = rows.where(last >= 0).select("text_id", "raw", F.explode(F.sequence(F.lit(0), last)).alias("at"))
+    hashed = offers.withColumn("anchor", F.xxhash64(F.substring(F.col("raw"), F.col("at") + 1, F.lit(size))))
+    met = hashed.join(known, "anchor").where(F.substring(F.col("raw"), F.col("at") + 1, F.octet_length("bytes")) == F.col("bytes"))
+    # never null, so that no test for null is pushed below the join and worked out for every offset
+    pos = F.coalesce(F.length(F.substring(F.col("raw"), F.lit(1), F.col("at")).cast("string")).cast("long"), F.lit(0).cast("long"))
+    return met.select("text_id", "pattern_id", pos.alias("pos"))
+
+
 def pattern_occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(text_id, pattern_id, pos) of every occurrence, overlapping ones too, of patterns (pattern_id, pattern) in texts (text_id, body).
 
     Every byte offset of a text offers the hash of the next few bytes; those that begin a pattern are joined with it and compared in full. Work is
     done on bytes, where slices need no scan from the start; pos counts code points. Empty and null patterns occur nowhere."""
-    rows, known, size = _anchored(texts.select("text_id", "body"), patterns, F.col("body"))
-    last = F.octet_length("raw") - size
-    offers = rows.where(last >= 0).select("text_id", "raw", F.explode(F.sequence(F.lit(0), last)).alias("at"))
-    hashed = offers.withColumn("anchor", F.xxhash64(F.substring(F.col("raw"), F.col("at") + 1, F.lit(size))))
-    met = hashed.join(known, "anchor").where(F.substring(F.col("raw"), F.col("at") + 1, F.octet_length("bytes")) == F.col("bytes"))
-    return met.select("text_id", "pattern_id", F.length(F.decode(F.substring(F.col("raw"), F.lit(1), F.col("at")), "UTF-8")).cast("long").alias("pos"))
+    return _occurrences(texts.select("text_id", "body", F.lit(None).cast("int").alias("within")), patterns)
 
 
 def chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -43,8 +51,7 @@ def chunked_search(texts: DataFrame, patterns: DataFrame, size: int = 4096, over
     if overlap is None:
         overlap = max(0, (patterns.agg(F.max(F.length("pattern"))).first()[0] or 1) - 1)
     parts = chunks(texts, size, overlap)
-    keyed = parts.select(F.struct("text_id", "start").alias("text_id"), "body")
-    hits = pattern_occurrences(keyed, patterns).where(F.col("pos") < size)
+    hits = _occurrences(parts.select(F.struct("text_id", "start").alias("text_id"), "body", F.lit(size).alias("within")), patterns)
     return hits.select(F.col("text_id.text_id").alias("text_id"), "pattern_id", (F.col("text_id.start") + F.col("pos")).alias("pos"))
 
 

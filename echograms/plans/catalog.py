@@ -633,7 +633,8 @@ def gap_trace(spark, d):
 
 def _probes(dna: DataFrame, step: int) -> DataFrame:
     n = F.length("body")
-    return dna.where(n > 0).select("text_id", F.explode(F.sequence(F.lit(0), n - 1, F.lit(step))).cast("long").alias("pos"))
+    rows = dna.where(n > 0).select("text_id", F.explode(F.sequence(F.lit(0), n - 1, F.lit(step))).alias("pos"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
 @query(f"with {TRACE}, pb as (select text_id, unnest(range(0, length(body), 50)) pos from t) select pb.text_id, pb.pos, pb.pos + arg_max(tr.shift, tr.virt_start) \"real\" from pb join tr on tr.text_id = pb.text_id and tr.virt_start <= pb.pos group by pb.text_id, pb.pos")
@@ -706,12 +707,12 @@ def kept_intervals(spark, d):
 
 # --- arrays and bits ------------------------------------------------------------------------------------------------------
 
-ARRAY = "a as (select l_suppkey array_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) - 1 pos, l_quantity::bigint \"value\", l_orderkey * 10 + l_linenumber query_id, (l_returnflag = 'R')::bigint bit from lineitem)"
+ARRAY = "a as (select *, pos query_id from (select l_suppkey array_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) - 1 pos, l_quantity::bigint \"value\", (l_returnflag = 'R')::bigint bit from lineitem))"
 
 
 def _rows(spark, d) -> DataFrame:
-    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")
-    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("array_id"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("l_quantity").cast("long").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("query_id"), (F.col("l_returnflag") == "R").cast("long").alias("bit"))
+    w = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    return spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("array_id"), (F.row_number().over(w) - 1).cast("long").alias("pos"), F.col("l_quantity").cast("long").alias("value"), (F.col("l_returnflag") == "R").cast("long").alias("bit")).withColumn("query_id", F.col("pos"))
 
 
 @query(f'with {ARRAY} select q.array_id, q.query_id, min(a."value") low, max(a."value") high from a q join a on a.array_id = q.array_id and a.pos >= q.pos and a.pos < q.pos + 7 * q."value" group by q.array_id, q.query_id')
