@@ -62,6 +62,13 @@ def masked_headers(text: Column) -> Column:
     return F.substring(F.array_join(marked, ""), F.lit(2), F.length(text))
 
 
+def with_headers(masked: DataFrame, lines: DataFrame) -> DataFrame:
+    """(text_id, body): masked texts with the header lines (text_id, offset, header) back in their places."""
+    listed = lines.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("offset", "header"))).alias("hs"))
+    put = lambda acc, h: F.overlay(acc, h["header"], (h["offset"] + 1).cast("int"))
+    return masked.join(listed, "text_id", "left").select("text_id", F.when(F.col("hs").isNull(), F.col("body")).otherwise(F.aggregate("hs", F.col("body"), put)).alias("body"))
+
+
 def kept_intervals(texts: DataFrame, intervals: DataFrame, separator: str = "N") -> DataFrame:
     """(text_id, body): the parts of each text inside any of its intervals (text_id, start, end, both included), a separator between parts."""
     w = Window.partitionBy("text_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)

@@ -71,6 +71,14 @@ def classified(counts: DataFrame, bounds: list[int]) -> DataFrame:
     return counts.withColumn("class", out)
 
 
+def sampled_reads(texts: DataFrame, size: int, per_text: int, seed: int = 1) -> DataFrame:
+    """(pattern_id, pattern): per_text pieces of `size` characters from hashed places of each text that is long enough."""
+    room = F.length("body") - size + 1
+    rows = texts.where(F.length("body") >= size).select("text_id", "body", room.alias("room"), F.explode(F.sequence(F.lit(1), F.lit(per_text))).alias("k"))
+    at = F.pmod(F.xxhash64(F.lit(seed), "text_id", "k"), F.col("room")) + 1
+    return rows.select(F.concat_ws(":", "text_id", "k").alias("pattern_id"), F.substring(F.col("body"), at.cast("int"), F.lit(size)).alias("pattern"))
+
+
 def rank_ranges(texts: DataFrame, suffixes: DataFrame, patterns: DataFrame) -> DataFrame:
     """(text_id, pattern_id, from, to): the half-open range of ranks whose suffixes start with the pattern, for patterns (text_id, pattern_id,
     pattern) that occur in their text."""

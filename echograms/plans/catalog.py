@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from echograms.functions import codecs, complexity as cx, sequences as sq
 from echograms.operators import ranges, repeats, search, sets, suffixes
-from echograms.sources import texts as src
+from echograms.sources import sinks, texts as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -576,6 +576,47 @@ def lz_factors(spark, d):
     return codecs.factor_counts(_items(spark, d))
 
 
+@query()
+def front_statistics(spark, d):
+    return codecs.front_statistics(suffixes.burrows_wheeler(_docs(spark, d)).select("text_id", F.col("bwt").alias("body")))
+
+
+@query()
+def mtf_codes(spark, d):
+    return codecs.encode_texts(_docs(spark, d), "mtf").select("text_id", F.hex("value").alias("codes"))
+
+
+@query()
+def run_statistics(spark, d):
+    """A row for each item: sizes and estimates of every measure of the compression pipeline."""
+    items = _items(spark, d)
+    order = suffixes.suffix_array(items)
+    bwt = suffixes.burrows_wheeler(items).select("text_id", F.col("bwt").alias("body"), "prim")
+    front = codecs.front_statistics(bwt).withColumnsRenamed({"zeros": "zero_mtf", "falls": "nzz_est", "est_bytes": "mtf_entropy"})
+    k = cx.complexity(cx.lcp_counts(order), items)
+    lzw = codecs.encode_texts(bwt, "lzw").select("text_id", F.size("value").cast("long").alias("lzw_codes"), F.posexplode("value").alias("i", "sym"))
+    huffman = codecs.huffman_bits(lzw.groupBy("text_id", "sym").agg(F.count("*").alias("n"))).select("text_id", F.ceil(F.col("bits") / 8).alias("huf_len"))
+    sizes = lzw.select("text_id", "lzw_codes").distinct()
+    patterns = repeats.maximal_repeats(items).groupBy("text_id").agg(F.count("*").alias("mrs"), F.max("len").alias("longest"))
+    out = bwt.select("text_id", "prim")
+    for part in (front, k.select("text_id", F.round("k", 9).alias("kinv_lcp")), sizes, huffman, patterns):
+        out = out.join(part, "text_id", "left")
+    return out
+
+
+@query()
+def read_classes(spark, d):
+    docs = _docs(spark, d)
+    return search.classified(search.pattern_counts(docs, search.sampled_reads(docs, 24, 2)), [1, 2, 10, 100])
+
+
+@query(f"with {SUBS}, {SA} select m.text_id, m.w pattern, m.len, string_agg(s.pos::varchar, ' ' order by s.rank) places from mrs m join sa s on s.text_id = m.text_id and starts_with(substr(s.body, s.pos + 1), m.w) group by m.text_id, m.w, m.len")
+def readable_repeats(spark, d):
+    items = _items(spark, d)
+    rows = sinks.readable(repeats.maximal_repeats(items), suffixes.suffix_array(items))
+    return rows.select("text_id", "pattern", "len", F.array_join(F.transform("places", lambda p: p.cast("string")), " ").alias("places"))
+
+
 @query()
 def greedy_code_cost(spark, d):
     p = _previous(spark, d)

@@ -196,3 +196,36 @@ def test_ranges(spark):
     hits = ranges.overlapping(rows.select("array_id", "pos"), spark.createDataFrame([(1, 250, 260, 7)], "array_id long, start long, end long, interval_id long"))
     assert sorted(r.pos for r in hits.collect()) == list(range(250, 260))
     assert brute.common("ab", "ac") == 1
+
+
+def test_sinks(spark, tmp_path):
+    from echograms.sources import sinks
+
+    t = table(spark, ["abcabxab", "NNNNNNNNACGTACGT"])
+    found, order = repeats.maximal_repeats(t), suffixes.suffix_array(t)
+    places = {(r.text_id, r.pattern): r.places for r in sinks.readable(found, order).collect()}
+    assert places[0, "ab"] == sorted([0, 3, 6], key=lambda i: "abcabxab"[i:])
+    sinks.write_triples(found, str(tmp_path / "t"), as_text=True)
+    assert all(len(r.value.split()) == 3 for r in spark.read.text(str(tmp_path / "t")).collect())
+    sinks.write_readable(found, order, str(tmp_path / "r"))
+    assert any(r.value.startswith("ab (2) #") for r in spark.read.text(str(tmp_path / "r")).collect())
+    collapsed = t.select("text_id", src.collapse_runs(F.col("body")).alias("body"))
+    rows = sinks.tracked(repeats.maximal_repeats(collapsed, 4), suffixes.suffix_array(collapsed), src.gap_trace(src.n_runs(t), t)).where("text_id = 1").collect()
+    assert sorted(r.real for r in rows) == [0, 1, 8, 12]  # NNNN at 0 and 1, ACGT at 8 and 12
+    wide = sinks.matrix(spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25), (2, 3, 0.75)], "base_id long, other_id long, x double"), "x").collect()
+    assert wide[0]["2"] == 0.5 and wide[2]["1"] == 0.25
+    sinks.nothing(found)
+    assert sinks.patterns_only(found).columns == ["value"]
+
+
+def test_headers_come_back(spark):
+    t = table(spark, [">one\nAC\n>two\nTT", "no header"])
+    masked = t.select("text_id", sq.masked_headers(F.col("body")).alias("body"))
+    assert {r.text_id: r.body for r in sq.with_headers(masked, sq.headers(t)).collect()} == {0: ">one\nAC\n>two\nTT", 1: "no header"}
+
+
+def test_front_statistics(spark):
+    values = ["aabb\u0000b", "", "zzzz"]
+    for r in codecs.front_statistics(table(spark, values)).collect():
+        c = codecs.move_to_front(values[r.text_id].encode())
+        assert (r.n, r.zeros, r.falls) == (len(c), c.count(0), sum(bool(a) and not b for a, b in zip(c, c[1:])))
