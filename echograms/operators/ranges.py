@@ -46,15 +46,29 @@ def next_at_least(array: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def _nearest(array: DataFrame, queries: DataFrame, passes, extreme: str) -> DataFrame:
-    """The block of the query and the nearest block whose extreme passes are the only places looked at."""
-    q = queries.select("array_id", "query_id", F.col("pos").alias("from"), "bound").withColumn("own", _block("from"))
-    blocks = array.groupBy("array_id", _block("pos").alias("block")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    able = q.join(blocks, "array_id").where(passes(F.col(extreme), F.col("bound")))
-    wanted = able.groupBy("array_id", "query_id").agg(F.min(F.when(F.col("block") > F.col("own"), F.col("block"))).alias("after"), F.max(F.when(F.col("block") < F.col("own"), F.col("block"))).alias("before"))
-    places = q.join(wanted, ["array_id", "query_id"], "left").withColumn("block", F.explode(F.array_compact(F.array("own", "after", "before"))))
-    rows = places.join(array.withColumn("block", _block("pos")), ["array_id", "block"]).where(passes(F.col("value"), F.col("bound")))
-    found = rows.groupBy("array_id", "query_id").agg(F.min(F.when(F.col("pos") >= F.col("from"), F.col("pos"))).alias("next"), F.max(F.when(F.col("pos") <= F.col("from"), F.col("pos"))).alias("previous"))
-    return queries.select("array_id", "query_id").join(found, ["array_id", "query_id"], "left")
+    longest = array.agg(F.max("pos")).first()[0] or 0
+    q = queries.select("array_id", "query_id", F.col("pos").alias("from"), "bound")
+    after = _toward(array, q, passes, extreme, True, longest).withColumnRenamed("found", "next")
+    before = _toward(array, q, passes, extreme, False, longest).withColumnRenamed("found", "previous")
+    return queries.select("array_id", "query_id").join(after, ["array_id", "query_id"], "left").join(before, ["array_id", "query_id"], "left")
+
+
+def _toward(array: DataFrame, queries: DataFrame, passes, extreme: str, forward: bool, longest: int) -> DataFrame:
+    """(array_id, query_id, found): the nearest place from `from` on, or back, that passes. A query first looks at its own block; if nothing there
+    passes, the same question is put to the table of block extremes, one level up, and the block that it names is looked at."""
+    pick = F.min if forward else F.max
+    beyond = (F.col("pos") >= F.col("from")) if forward else (F.col("pos") <= F.col("from"))
+    rows = array.withColumn("block", _block("pos"))
+    here = queries.withColumn("block", _block("from")).join(rows, ["array_id", "block"]).where(beyond & passes(F.col("value"), F.col("bound")))
+    own = here.groupBy("array_id", "query_id").agg(pick("pos").alias("found"))
+    if longest < BLOCK:
+        return own
+    rest = queries.join(own, ["array_id", "query_id"], "left_anti")
+    upper = rows.groupBy("array_id", F.col("block").alias("pos")).agg((F.min if extreme == "low" else F.max)("value").alias("value"))
+    asked = rest.withColumn("from", _block("from") + F.lit(1 if forward else -1))
+    blocks = _toward(upper, asked, passes, extreme, forward, longest // BLOCK).withColumnRenamed("found", "block")
+    there = blocks.join(rest.select("array_id", "query_id", "bound"), ["array_id", "query_id"]).join(rows, ["array_id", "block"]).where(passes(F.col("value"), F.col("bound")))
+    return own.union(there.groupBy("array_id", "query_id").agg(pick("pos").alias("found")))
 
 
 def bit_ranks(bits: DataFrame) -> DataFrame:
