@@ -201,10 +201,11 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id
 
 
 def keep_one_each(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without the near-duplicates of a kept row: of each group the row with the smallest doc_id stays, of rows that repeat an id one."""
+    """docs without the near-duplicates of a kept row: of each group the row with the smallest doc_id stays, of rows that repeat an id one.
+    Rows without an id belong to no group and stay."""
     groups = near_duplicate_groups(docs, percent)
     kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -57,6 +57,7 @@ def test_odd_rows(spark):
 def test_empty_table_and_null_ids(spark):
     assert nd.near_duplicate_groups(documents(spark, [])).collect() == []
     assert [r.doc_id for r in nd.near_duplicate_groups(documents(spark, [(None, "a b"), (1, "a b")])).collect()] == [1]
+    assert sorted(str(r.doc_id) for r in nd.keep_one_each(documents(spark, [(None, "a b"), (2, "a b"), (1, "a b")])).collect()) == ["1", "None"]
 
 
 def test_signature_estimates_similarity():
