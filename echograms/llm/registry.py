@@ -29,4 +29,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_token_lengths": op10_token_lengths,
 }
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/?INST\]|/?TURN\]|/?s>)', '\1\\\2\3', 'g')"
+
+#: The others draw random numbers from a hash that DuckDB lacks, learn, tokenise, or list what their method adds; tests hold those to brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": rf"""
+with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from documents),
+iw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') ws from benchmark),
+ik as (select item_id, ws, least(10, len(ws)) k from iw where len(ws) > 0),
+win as (select distinct item_id, k, array_to_string(ws[i:i + k - 1], ' ') g from (select *, unnest(range(1, len(ws) - k + 2)) i from ik)),
+ks as (select distinct k from win),
+dw as (select doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') g from (select doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) i from w, ks where len(ws) >= k)),
+hit as (select distinct dw.doc_id, dw.i, dw.k, win.item_id from dw join win on win.k = dw.k and win.g = dw.g),
+h as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + k)) p from hit) group by doc_id),
+it as (select doc_id, count(distinct item_id) n_items, array_to_string(list_sort(list_distinct(list(item_id::varchar))), ',') names from hit group by doc_id)
+select w.doc_id, len(ws)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated
+from w left join h using (doc_id) left join it using (doc_id)""",
+    "op7_near_duplicates": rf"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + least(5, len(ws)) - 1], ' ') g from (select doc_id, ws, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) i from w where len(ws) > 0)),
+n as (select doc_id, count(*) n from s group by doc_id),
+both_ as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+link as (select a, b from both_ join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 85 * (x.n + y.n - c)),
+reach(node, start) as (select doc_id, doc_id from w union select link.b, reach.start from reach join link on link.a = reach.node),
+c as (select node doc_id, min(start) component_id from reach group by node)
+select w.doc_id, coalesce(n.n, 0) n_shingles, component_id, w.doc_id = component_id kept from w left join n using (doc_id) join c using (doc_id)""",
+    "op8_chat": rf"""
+with r as (select conv_id, turn, coalesce(role, '') "role", coalesce(text, '') text from conversations union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g as (select conv_id, count(*) n_turns, string_agg("role" || chr(10) || text || chr(10), '' order by turn, "role", text) turns, coalesce(string_agg(text, '' order by turn, "role", text) filter ("role" = 'assistant'), '') loss,
+sum(case when "role" = 'user' then 13 + length({ESCAPED.format('text')}) else 17 + length({ESCAPED.format('"role"')}) + length({ESCAPED.format('text')}) end)::bigint formatted_chars from r group by conv_id)
+select conv_id, n_turns, sha256(turns) turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256, formatted_chars from g""",
+}
