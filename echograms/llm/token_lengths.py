@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from echograms.llm.runtime import cut
 from echograms.llm.tokens import VOCABULARY, encoder, read_vocabulary
 
 BLOCK = 256
@@ -48,4 +49,4 @@ def context_report(histogram: DataFrame) -> DataFrame:
 
 
 def op10_token_lengths(spark, sf_dir: str) -> DataFrame:
-    return context_report(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return context_report(cut(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "lengths"))
