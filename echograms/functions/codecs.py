@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echograms.operators.suffixes import spread
-
 #: Shortest run that is shortened, longest count in one byte, and the size of the code dictionary.
 RUN, COUNT, DICTIONARY = 4, 255, 1 << 14
 
@@ -187,13 +185,13 @@ def encode_texts(texts: DataFrame, codec: str) -> DataFrame:
     """(text_id, value) with value the text's UTF-8 bytes (null: none) in one of the encodings mtf, rle (binary) or lzw (array of codes)."""
     functions = {"mtf": (move_to_front, pa.binary(), "binary"), "rle": (run_lengths, pa.binary(), "binary"), "lzw": (phrases, pa.list_(pa.int32()), "array<int>")}
     function, kind, sql = functions[codec]
-    return spread(texts.select("text_id", "body")).mapInArrow(_map(lambda x: function((x or "").encode()), kind), f"text_id long, value {sql}")
+    return texts.select("text_id", "body").mapInArrow(_map(lambda x: function((x or "").encode()), kind), f"text_id long, value {sql}")
 
 
 def decode_texts(encoded: DataFrame, codec: str) -> DataFrame:
     """(text_id, value string): the inverse of encode_texts."""
     function = {"mtf": from_front, "rle": from_run_lengths, "lzw": from_phrases}[codec]
-    return spread(encoded.select("text_id", "value")).mapInArrow(_map(lambda x: function(x).decode(), pa.string()), "text_id long, value string")
+    return encoded.select("text_id", "value").mapInArrow(_map(lambda x: function(x).decode(), pa.string()), "text_id long, value string")
 
 
 def _front_statistics(raw: bytes) -> dict[str, float]:
@@ -208,12 +206,12 @@ def front_statistics(texts: DataFrame) -> DataFrame:
     code, and the size in bytes that arithmetic coding of the codes comes near. Given transformed texts, these are the usual estimates of a
     block-sorting compressor."""
     kind = pa.struct([("n", pa.int64()), ("zeros", pa.int64()), ("falls", pa.int64()), ("est_bytes", pa.int64())])
-    rows = spread(texts.select("text_id", "body")).mapInArrow(_map(lambda x: _front_statistics((x or "").encode()), kind), "text_id long, value struct<n:long,zeros:long,falls:long,est_bytes:long>")
+    rows = texts.select("text_id", "body").mapInArrow(_map(lambda x: _front_statistics((x or "").encode()), kind), "text_id long, value struct<n:long,zeros:long,falls:long,est_bytes:long>")
     return rows.select("text_id", "value.*")
 
 
 def factor_counts(texts: DataFrame) -> DataFrame:
-    return spread(texts.select("text_id", "body")).mapInArrow(_map(lambda x: factors(x or ""), pa.int64()), "text_id long, value long")
+    return texts.select("text_id", "body").mapInArrow(_map(lambda x: factors(x or ""), pa.int64()), "text_id long, value long")
 
 
 def run_length_size(texts: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echograms.functions.suffix_kernels import SuffixOrder, repeat_intervals, text_runs
-from echograms.operators.suffixes import spread
 
 REPEATS = "text_id long, pattern string, len long, occs long, first_rank long, n_left long, n_right long"
 
@@ -47,13 +46,13 @@ def maximal_repeats(texts: DataFrame, least: int = 1, with_pattern: bool = True)
     """(text_id, pattern, len, occs, first_rank) of every maximal repeat of each text: it occurs at least twice, and its occurrences are not all
     preceded, nor all followed, by the same character (the ends of a text differ from all characters). Its occurrences are the suffixes with
     ranks first_rank to first_rank + occs - 1. with_pattern=False leaves the pattern null, as long repeats nested in each other add up."""
-    return spread(texts.select("text_id", "body")).mapInArrow(_repeats(least, with_pattern, False), REPEATS).drop("n_left", "n_right")
+    return texts.select("text_id", "body").mapInArrow(_repeats(least, with_pattern, False), REPEATS).drop("n_left", "n_right")
 
 
 def pair_repeats(pairs: DataFrame, least: int = 1, with_pattern: bool = True) -> DataFrame:
     """Maximal repeats of pairs of texts (text_id, body, other): occurrences may lie in either text, and none crosses from one into the other.
     n_left and n_right count the occurrences in body and other."""
-    return spread(pairs.select("text_id", "body", "other")).mapInArrow(_repeats(least, with_pattern, True), REPEATS)
+    return pairs.select("text_id", "body", "other").mapInArrow(_repeats(least, with_pattern, True), REPEATS)
 
 
 def one_sided(repeats: DataFrame, side: str) -> DataFrame:

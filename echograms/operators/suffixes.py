@@ -35,19 +35,13 @@ def text_table(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(df[f"`{key}`"].cast("long").alias("text_id"), df[f"`{text}`"].alias("body")).where("text_id is not null")
 
 
-def spread(texts: DataFrame) -> DataFrame:
-    """texts over as many partitions as there are cores, where the input has fewer: one small file must not mean one task."""
-    cores = texts.sparkSession.sparkContext.defaultParallelism
-    return texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
-
-
 def suffix_array(texts: DataFrame, rotations: bool = False) -> DataFrame:
     """(text_id, rank, pos, lcp, left) for each suffix of each text (text_id, body).
 
     Ranks are in code point order, a proper prefix first, as with a terminator below all characters that has no row of its own. lcp is the
     common prefix with the next rank, 0 for the last. left is the character before, empty at the start. With rotations=True, rotations are
     sorted instead, equal ones by position (lcp is then without meaning)."""
-    return spread(texts.select("text_id", "body")).mapInArrow(_suffixes(rotations), SUFFIXES)
+    return texts.select("text_id", "body").mapInArrow(_suffixes(rotations), SUFFIXES)
 
 
 def inverse_suffix_array(suffixes: DataFrame) -> DataFrame:
@@ -88,7 +82,7 @@ def _unwind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inverse_burrows_wheeler(transformed: DataFrame) -> DataFrame:
     """(text_id, body) from (text_id, bwt, prim)."""
-    return spread(transformed.select("text_id", "bwt", "prim")).mapInArrow(_unwind, "text_id long, body string")
+    return transformed.select("text_id", "bwt", "prim").mapInArrow(_unwind, "text_id long, body string")
 
 
 def split_texts(texts: DataFrame, separator: str) -> DataFrame:

@@ -28,12 +28,18 @@ def query(sql: str | None = None):
     return add
 
 
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """A scan over at least as many partitions as there are cores: a small table in one file must not mean one task. A larger one stays as it is."""
+    table, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return suffixes.text_table(spark.read.parquet(f"{d}/benchmark.parquet"), "item_id", "text").where("body is not null")
+    return suffixes.text_table(_read(spark, f"{d}/benchmark.parquet"), "item_id", "text").where("body is not null")
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return suffixes.text_table(spark.read.parquet(f"{d}/documents.parquet"), "doc_id", "text").where("body is not null")
+    return suffixes.text_table(_read(spark, f"{d}/documents.parquet"), "doc_id", "text").where("body is not null")
 
 
 def _dna(spark: SparkSession, d: str) -> DataFrame:
