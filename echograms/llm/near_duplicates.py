@@ -26,7 +26,7 @@ from echograms.llm.components import components
 from echograms.llm.runtime import cut, safe_columns
 from echograms.llm.wordhash import BASE, NOT_SPACE, U, mix, slices, text_shingles, word_hashes
 
-BANDS, ROWS, PIVOTS, PAIRS_A_TASK, BROADCAST_IDS = 20, 4, 4, 500, 2_000_000
+BANDS, ROWS, PIVOTS, PAIRS_A_TASK, BROADCAST_IDS, CELLS = 20, 4, 4, 500, 2_000_000, 64
 EMPTY, MASK = np.iinfo(np.uint64).max, (1 << 64) - 1
 
 
@@ -148,19 +148,24 @@ def _open(named: DataFrame) -> DataFrame:
 def _rest(named: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket that are in different groups and may be similar enough.
 
-    An element that occurs in one group only cannot be shared with another group. With o elements of a set that others have, the intersection of a
-    pair is at most the smaller o, which bounds the similarity; pairs below the bound are proven unlinked. Each pair leaves from its first common bucket only."""
+    An element that occurs in one group only cannot be shared with another group. The other elements of a set are counted in CELLS cells by hash;
+    the intersection of a pair is at most the sum over cells of the smaller count, which bounds the similarity; pairs below the bound are proven
+    unlinked. Each pair leaves from its first common bucket only."""
     reps = named.groupBy("rep").agg(F.first("label").alias("label"), F.sort_array(F.collect_list("bucket")).alias("buckets"))
     elements = cut(sets.join(reps.select("rep", "label"), sets.doc_id == F.col("rep")).select("rep", "shingles", "label").mapInArrow(_elements, "rep long, element long, label long"), "elements")
     shared = elements.groupBy("element").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("element")
-    known = elements.join(shared, "element").groupBy("rep").agg(F.count("*").alias("o"))
+    counts = elements.join(shared, "element").groupBy("rep", F.pmod("element", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").cast("int").alias("n"))
+    whole = counts.groupBy("rep").agg(F.sum("n").alias("o"), F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("by"))
+    known = whole.select("rep", "o", F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.coalesce(F.try_element_at(F.col("by"), c), F.lit(0))).alias("cells"))
     facts = reps.join(known, "rep").join(classes.select("rep", "n_shingles"), "rep").where(100 * F.col("o") >= percent * F.col("n_shingles"))
-    rows = cut(facts.select("rep", "label", "buckets", F.col("n_shingles").alias("n"), "o").withColumn("bucket", F.explode("buckets")), "rest")
+    rows = cut(facts.select("rep", "label", "buckets", F.col("n_shingles").alias("n"), "o", "cells").withColumn("bucket", F.explode("buckets")), "rest")
     x, y = rows.alias("x"), rows.alias("y")
     o = F.least("x.o", "y.o")
     may = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("y.rep") < F.col("x.rep")) & (F.col("x.label") != F.col("y.label")) & (100 * o >= percent * (F.col("x.n") + F.col("y.n") - o))
     first = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")
-    return x.join(y, may & first).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    most = F.aggregate(F.zip_with("x.cells", "y.cells", lambda a, b: F.least(a, b)), F.lit(0), lambda total, c: total + c)
+    close = 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
+    return x.join(y, may & first & close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
 def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
