@@ -71,14 +71,17 @@ def supermaximal_repeats(suffixes: DataFrame, least: int = 1) -> DataFrame:
     """(text_id, len, occs, first_rank, first_pos) of every repeat that is not part of another: a run of equal common prefixes that is higher than
     both its neighbours, whose occurrences are all preceded by different characters."""
     w = Window.partitionBy("text_id").orderBy("rank")
-    island = F.sum(F.coalesce((F.col("lcp") != F.lag("lcp").over(w)).cast("int"), F.lit(1))).over(w)
-    runs = suffixes.withColumn("island", island).groupBy("text_id", "island").agg(F.min("lcp").alias("len"), F.min("rank").alias("a"), F.max("rank").alias("b"))
-    i = Window.partitionBy("text_id").orderBy("island")
-    peaks = runs.withColumn("before", F.lag("len", 1, 0).over(i)).withColumn("after", F.lead("len", 1, 0).over(i)).where((F.col("len") >= least) & (F.col("len") > F.col("before")) & (F.col("len") > F.col("after")))
-    ranks = peaks.select("text_id", "len", F.col("a").alias("first_rank"), F.explode(F.sequence("a", F.col("b") + 1)).alias("rank"))
-    rows = ranks.join(suffixes.select("text_id", "rank", "left", "pos"), ["text_id", "rank"])
-    groups = rows.groupBy("text_id", "first_rank", "len").agg(F.count("*").alias("occs"), F.countDistinct("left").alias("lefts"), F.min("pos").alias("first_pos"))
-    return groups.where("occs = lefts").select("text_id", "len", "occs", "first_rank", "first_pos")
+    around = suffixes.withColumns({"before": F.lag("lcp", 1, 0).over(w), "after": F.lead("lcp", 1, 0).over(w), "next_left": F.lead("left").over(w), "next_pos": F.lead("pos").over(w)})
+    island = F.col("rank") - F.row_number().over(Window.partitionBy("text_id", "lcp").orderBy("rank"))
+    high = around.where(F.col("lcp") >= least).withColumn("island", island)
+    last = lambda c: F.max_by(c, "rank")
+    runs = high.groupBy("text_id", F.col("lcp").alias("len"), "island").agg(
+        F.min("rank").alias("first_rank"), (F.count("*") + 1).alias("occs"), F.min_by("before", "rank").alias("before"), last("after").alias("after"),
+        F.collect_set("left").alias("lefts"), last("next_left").alias("last_left"), F.least(F.min("pos"), last("next_pos")).alias("first_pos"),
+    )
+    peaks = runs.where((F.col("len") > F.col("before")) & (F.col("len") > F.col("after")))
+    varied = (F.size("lefts") == F.col("occs") - 1) & ~F.array_contains("lefts", F.col("last_left"))
+    return peaks.where(varied).select("text_id", "len", "occs", "first_rank", "first_pos")
 
 
 def with_pattern(repeats: DataFrame, texts: DataFrame) -> DataFrame:
