@@ -9,7 +9,7 @@ from echograms.llm import chat
 from echograms.llm.tokens import encoder, read_vocabulary
 
 ENC = encoder(read_vocabulary())
-TRICKY = st.text(st.sampled_from(["[INST]", "[/INST]", "</s>", "<s>", "\\", "[", "<", "[TURN]", "[\\INST]", "é", " ", "a", "\n", "/INST]"]), max_size=12) if False else st.lists(st.sampled_from(["[INST]", "[/INST]", "</s>", "<s>", "\\", "[", "<", "[TURN]", "[\\INST]", "é漢", " ", "a", "\n", "/INST]", "[/TURN]"]), max_size=10).map("".join)
+TRICKY = st.lists(st.sampled_from(["[INST]", "[/INST]", "</s>", "<s>", "\\", "[", "<", "[TURN]", "[\\INST]", "é漢", " ", "a", "\n", "/INST]", "[/TURN]"]), max_size=10).map("".join)
 
 
 @settings(max_examples=300, deadline=None)

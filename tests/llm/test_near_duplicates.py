@@ -5,7 +5,7 @@ import numpy as np
 
 from echograms.llm import near_duplicates as nd
 from echograms.llm.components import components
-from tests.llm.helpers import documents, groups, odd_rows, prose, shingles
+from tests.llm.helpers import documents, groups, odd_rows, shingles
 
 
 def brute(rows, percent):
