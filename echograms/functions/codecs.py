@@ -5,7 +5,7 @@ Texts are encoded as UTF-8 bytes."""
 from __future__ import annotations
 
 import heapq
-from collections import Counter, OrderedDict
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 
 import numpy as np
