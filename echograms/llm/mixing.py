@@ -43,9 +43,9 @@ def _same_source(a: DataFrame, b: DataFrame) -> Column:
 
 
 def mix_plan(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: int = SEED, shards: int | None = None, max_blocks: int = 16_384, block_docs: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(documents, blocks). documents: doc_id, size, source, source_size, target, block, copies, text_key; blocks: source, block, copy, shard, with copy from 1.
+    """(documents, blocks). documents: doc_id, size, source, source_size, target, block, row, copies, text_key; blocks: source, block, copy, shard, with copy from 1.
 
-    size is the number of words of the text (null: 0). Rows that repeat an id are rows of their own. Documents without words have copies 0 or more
+    row numbers the documents of a block. size is the number of words of the text (null: 0). Rows that repeat an id are rows of their own. Documents without words have copies 0 or more
     and add no words. An empty table gives empty results. shards is a power of two; without it there is one for about SHARD_WORDS words, 16 to 4096."""
     if shards is not None and (shards < 1 or shards & (shards - 1)):
         raise ValueError("shards must be a power of two")
@@ -65,10 +65,11 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: int =
     inner = Window.partitionBy("source", "block").orderBy("draw", "doc_id", "text_key")
     b = blocks.select(F.col("source").alias("of"), F.col("block").alias("at"), "whole", "room", "block_size")
     joined = placed.join(b, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).drop("of", "at")
+    row = F.row_number().over(inner)  # of equal rows it does not matter which is first
     middle = F.sum("size").over(inner) - F.col("size") / 2
     extra = F.when(F.col("room") >= F.col("block_size"), 1).when(F.col("room") <= 0, 0).otherwise((middle <= F.col("room")).cast("int"))
-    documents = joined.withColumn("copies", (F.col("whole") + extra).cast("long")).select("doc_id", "size", "source", "source_size", "target", "block", "copies", "text_key")
-    taken = blocks.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + 1))).where("copy <= whole or room > 0").withColumn("shard", F.lit(0))
+    documents = joined.withColumn("copies", (F.col("whole") + extra).cast("long")).select("doc_id", "size", "source", "source_size", "target", "block", row.alias("row"), "copies", "text_key")
+    taken = blocks.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + 1))).where("copy <= whole or room > 0 or room >= block_size").withColumn("shard", F.lit(0))
     for level in range(shards.bit_length() - 1):
         node = Window.partitionBy("shard")
         rank = F.row_number().over(node.orderBy(F.xxhash64(F.lit(seed), F.lit(level), "source", "block", "copy"), F.col("source").asc_nulls_last(), "block", "copy"))
@@ -76,19 +77,41 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: int =
     return documents, taken.select("source", "block", "copy", "shard")
 
 
+def _drawn(documents: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The rows of documents (source, block, copies and others) once for each copy that is taken, with copy and its shard in the tree."""
+    b = cut(blocks, "dealt").withColumnsRenamed({"source": "of", "block": "at"})
+    return documents.where("copies > 0").join(b, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")) & (F.col("copy") <= F.col("copies"))).drop("of", "at")
+
+
+def _order(seed: int) -> Column:
+    """What the copies of a shard are in random order by."""
+    return F.xxhash64(F.lit(seed), "shard", "doc_id", "copy")
+
+
+def draws(documents: DataFrame, blocks: DataFrame, seed: int = SEED) -> DataFrame:
+    """(source, block, row, taken, shards, draws) of the documents of a plan that are taken: the words of their drawn copies, the number of shards that
+    these are in, and for each copy its shard and its place in the random order of that shard, from 1."""
+    place = F.row_number().over(Window.partitionBy("shard").orderBy(_order(seed), "doc_id", "copy", F.col("source").asc_nulls_last(), "block", "row"))
+    placed = _drawn(documents.select("doc_id", "size", "source", "block", "row", "copies"), blocks).withColumn("place", place)
+    return placed.groupBy("source", "block", "row").agg(F.sum("size").alias("taken"), F.count_distinct("shard").alias("shards"), F.sort_array(F.collect_list(F.struct("copy", "shard", "place"))).alias("draws"))
+
+
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: int = SEED, shards: int | None = None) -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken, with its shard; partitioned by shard and in random order within each."""
     documents, blocks = mix_plan(docs, weights, limit, seed, shards)
-    d = documents.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), "block", "copies").distinct()
-    b = cut(blocks, "dealt").select(F.col("source").alias("_of"), F.col("block").alias("_at"), "copy", "shard")
-    drawn = d.join(b, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("block") == F.col("_at")) & (F.col("copy") <= F.col("copies"))).select("_id", "_key", "_source", "copy", "shard")
+    d = documents.where("copies > 0").select("doc_id", "text_key", "source", "block", "copies").distinct()
+    drawn = _drawn(d, blocks).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), "copy", "shard")
     rows = docs.withColumn("_text", F.xxhash64("text"))
     full = rows.join(drawn, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")) & rows["source"].eqNullSafe(F.col("_source")))
-    shuffled = full.withColumn("_order", F.xxhash64(F.lit(seed), "shard", "doc_id", "copy"))
+    shuffled = full.withColumn("_order", _order(seed))
     return shuffled.repartition("shard").sortWithinPartitions("shard", "_order").select(*docs.columns, "shard")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    documents, _ = mix_plan(docs.select("doc_id", "source", "text"))
-    return documents.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    documents, blocks = mix_plan(docs.select("doc_id", "source", "text"))
+    plan = cut(documents, "plan")
+    drawn = draws(plan, blocks).withColumnsRenamed({"source": "of", "block": "at", "row": "nth"})
+    full = plan.join(drawn, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")) & (F.col("row") == F.col("nth")), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return full.select("doc_id", "size", "source_size", "target", zero("taken"), "copies", zero("shards"), F.coalesce("draws", F.array()).alias("draws"))

@@ -62,3 +62,22 @@ def test_empty_and_wordless(spark):
     assert mx.mix_plan(documents(spark, []))[0].collect() == []
     only = mx.mix_plan(documents(spark, [(1, None, "en", None), (2, "", "en", "a")]))[0].collect()
     assert {(r.size, r.target) for r in only} == {(0, 0.0)}
+
+
+def test_query_draws_from_the_tree(spark, tmp_path):
+    rows = corpus() + [(2000 + i, t, "en", "wordless") for i, t in enumerate([None, "", " \t"])] + [(None, "no id", "en", "a")] * 2
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mx.op2_mixing(spark, str(tmp_path)).collect()
+    mixed = mx.mixed_rows(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    shards = defaultdict(list)
+    for r in mixed:
+        shards[r.shard].append(r.doc_id)
+    drawn = defaultdict(dict)
+    for r in got:
+        assert [x.copy for x in r.draws] == list(range(1, r.copies + 1)) and r.taken == r.size * len(r.draws)
+        assert r.shards == len({x.shard for x in r.draws})
+        for x in r.draws:
+            assert x.place not in drawn[x.shard]
+            drawn[x.shard][x.place] = r.doc_id
+    assert len(got) == len(rows) and len(shards) > 1 and any(r.shards > 1 for r in got) and any(not r.copies for r in got)
+    assert {s: [p[i + 1] for i in range(len(p))] for s, p in drawn.items()} == dict(shards)
