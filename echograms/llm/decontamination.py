@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from echograms.llm.runtime import cut
 from echograms.llm.wordhash import LETTER_OR_DIGIT, U, slices, window_hashes, word_hashes
@@ -156,12 +157,12 @@ def _mark(index: _Index, items_first: np.ndarray, items: np.ndarray, names: list
     return run
 
 
-MARKED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
+MARKED = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
 
 
 def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item_id string, gram, size, at, word): the words of every distinct window of every item. Null texts have none; null ids are left out."""
-    named = items.select(items["item_id"].cast("string").alias("item_id"), items["text"].alias("text")).where("item_id is not null")
+    """(item_id string, gram, size, at, word): the words of every distinct window of every item. Null texts have none."""
+    named = items.select(items["item_id"].cast("string").alias("item_id"), items["text"].alias("text"))
     return named.mapInArrow(_item_windows(size), "item_id string, gram long, size int, at int, word long")
 
 
@@ -172,8 +173,13 @@ def _u64(values) -> np.ndarray:
 def mark_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE, index_rows: int = INDEX_ROWS) -> DataFrame:
     """For each row of docs: doc_id, n_words, n_hit (words inside an occurrence), n_items, items_sha256, items (sorted ids as strings).
 
-    Null and empty texts have no words. Repeated rows give repeated results. An empty benchmark marks nothing. Other columns are ignored."""
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    Null and empty texts have no words. Repeated rows give repeated results. An empty benchmark marks nothing. Other columns are ignored. Items
+    without an id count for n_hit and are not listed."""
+    return _marked(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), items, size, index_rows)
+
+
+def _marked(texts: DataFrame, items: DataFrame, size: int, index_rows: int) -> DataFrame:
+    """mark_contaminated for rows (doc_id, text), where doc_id may be of any type and goes with its row."""
     windows = cut(item_windows(items, size), "windows")
     if windows.count() > index_rows:
         return _mark_by_shuffle(texts, windows, size)
@@ -189,14 +195,15 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE, index
     sorted_grams = np.rec.fromarrays([_u64(prefix.gram)[order], prefix["size"].to_numpy()[order]], names="gram,size")
     matrix = np.zeros((len(order), size), dtype=U)
     matrix[np.searchsorted(sorted_grams["gram"], _u64(grams.gram)), grams["at"].to_numpy()] = _u64(grams.word)
-    names = sorted(flat.item_id.unique(), key=lambda x: x.encode())
+    named = flat[flat.item_id.notna()]
+    names = sorted(named.item_id.unique(), key=lambda x: x.encode())
     number = {n: i for i, n in enumerate(names)}
-    owners = flat[["gram", "item_id"]].drop_duplicates()
+    owners = named[["gram", "item_id"]].drop_duplicates()
     at = np.searchsorted(sorted_grams["gram"], _u64(owners.gram))
     item = np.array([number[x] for x in owners.item_id], dtype=np.int64)
     by = np.lexsort((item, at))
     first = np.searchsorted(at[by], np.arange(len(order) + 1))
-    return texts.mapInArrow(_mark(_Index(rows, sorted_grams, matrix), first, item[by], names), MARKED)
+    return texts.mapInArrow(_mark(_Index(rows, sorted_grams, matrix), first, item[by], names), StructType([texts.schema["doc_id"], *StructType.fromDDL(MARKED)]))
 
 
 def _spread(size: int):
@@ -220,7 +227,7 @@ def _spread(size: int):
 
 def _mark_by_shuffle(texts: DataFrame, windows: DataFrame, size: int) -> DataFrame:
     """The same for a benchmark of any size: the prefix join, the bounds and the confirmation are DataFrame joins and filters."""
-    keyed = texts.withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string")))
+    keyed = texts.withColumn("row", F.sha2(F.coalesce("text", F.lit("")), 256))  # all marks follow from the text
     spread = cut(keyed.select("row", "text").dropDuplicates(["row"]).mapInArrow(_spread(size), "row string, n_words long, word long, place long, around array<long>"), "words")
     counts = spread.groupBy("word").agg(F.count("*").alias("n"))
     grams = windows.select("gram", "size", "at", "word").distinct().join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -240,10 +247,11 @@ def _mark_by_shuffle(texts: DataFrame, windows: DataFrame, size: int) -> DataFra
     return full.select("doc_id", zero("n_words"), zero("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), items.alias("items"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """docs without the rows that hold a window of the benchmark; rows without an id stay if no row without an id is contaminated."""
-    marked = mark_contaminated(docs, items, size).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(marked, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE, index_rows: int = INDEX_ROWS) -> DataFrame:
+    """docs without the rows that hold a window of the benchmark. Each row is judged by its own text, whether its id is null or repeated."""
+    row = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    bad = _marked(docs.select(row.alias("doc_id"), docs["text"].alias("text")), items, size, index_rows).where("n_hit > 0").select("doc_id.*").distinct().toDF("_id", "_text")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left_anti")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

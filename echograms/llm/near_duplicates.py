@@ -206,11 +206,15 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id
 
 
 def keep_one_each(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without the near-duplicates of a kept row: of each group the row with the smallest doc_id stays, of rows that repeat an id one.
-    Rows without an id belong to no group and stay."""
-    groups = near_duplicate_groups(docs, percent)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).union(docs.where("doc_id is null"))
+    """docs without the near-duplicates of a kept row: of each group the row with the smallest doc_id stays. Rows that share an id and hold different
+    texts are compared as rows of their own; equal rows count once. Rows without an id are grouped among themselves, and one of each group stays;
+    without words they are in no group and all stay."""
+    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(~loose).withColumn("_node", F.xxhash64("doc_id", "text"))
+    groups = near_duplicate_groups(rows.select("_node", "text"), percent, "_node").select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    ids = rows.select("_node", F.col("doc_id").cast("long").alias("id")).distinct()
+    kept = groups.join(ids, "_node").groupBy("component_id", F.col("id").isNull()).agg(F.min(F.struct("id", "_node")).alias("least")).select("least._node")
+    return rows.join(kept, "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns).union(docs.where(loose))
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:

@@ -54,3 +54,16 @@ def test_empty_tables(spark):
     check(spark, [], items)
     kept = dc.drop_contaminated(documents(spark, [(1, "a b c"), (2, "x A, b!"), (3, None)]), spark.createDataFrame([(1, "a b")], "item_id long, text string"))
     assert [r.doc_id for r in kept.collect()] == [3]
+
+
+def test_rows_and_items_without_an_id(spark):
+    rows = [(None, "a b c"), (None, "clean"), (None, None), (7, "x a b"), (7, "clean too"), (7, "clean too"), (8, "p q")]
+    docs, items = documents(spark, rows), spark.createDataFrame([(1, "a b"), (None, "p q"), (None, "a b")], "item_id long, text string")
+    for more in ({}, {"index_rows": 0}):
+        kept = dc.drop_contaminated(docs, items, **more)
+        assert kept.columns == docs.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
+        got = {(r.doc_id, r.text): r for r in dc.mark_contaminated(docs, items, **more).join(docs, "doc_id").select("doc_id", "text", "n_hit", "n_items", "items_sha256").where("doc_id = 8").collect()}
+        only = got[(8, "p q")]
+        assert (only.n_hit, only.n_items, only.items_sha256) == (2, 0, hashlib.sha256(b"").hexdigest())
+        nobody = spark.createDataFrame([(None, "p q")], "item_id long, text string")
+        assert len(dc.drop_contaminated(docs, nobody, **more).collect()) == len(rows) - 1

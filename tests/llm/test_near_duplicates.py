@@ -75,3 +75,10 @@ def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(0, 200)] + [(1000 + i, 1000) for i in range(300)] + [(5, 5), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
     assert got == {**{i: 0 for i in range(201)}, **{1000 + i: 1000 for i in range(300)}}
+
+
+def test_rows_are_kept_by_their_own_text(spark):
+    rows = [(None, "a b"), (None, "a b"), (None, "A b"), (None, "c d"), (None, None), (None, None), (None, " "), (4, "e f"), (4, "g h"), (4, "g h"), (3, "G h"), (9, "e f")]
+    kept = nd.keep_one_each(documents(spark, rows)).collect()
+    got = sorted(str((r.doc_id, (r.text or "-").lower())) for r in kept)
+    assert got == sorted(map(str, [(None, "a b"), (None, "c d"), (None, "-"), (None, "-"), (None, " "), (4, "e f"), (3, "g h")]))
