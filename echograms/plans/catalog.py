@@ -696,6 +696,23 @@ def real_to_virtual(spark, d):
     return src.to_virtual(_probes(dna, 50), src.gap_trace(src.n_runs(dna), dna))
 
 
+EVERY = ("range(0, length(body), 50)", "range(0, length(body))")
+
+
+@query(ORACLE_SQL["virtual_to_real"].replace(*EVERY))
+def virtual_to_real_everywhere(spark, d):
+    """Every position of every sequence; virtual_to_real takes each 50th."""
+    dna = _dna(spark, d)
+    return src.to_real(_probes(dna, 1), src.gap_trace(src.n_runs(dna), dna))
+
+
+@query(ORACLE_SQL["real_to_virtual"].replace(*EVERY))
+def real_to_virtual_everywhere(spark, d):
+    """Every position of every sequence; real_to_virtual takes each 50th."""
+    dna = _dna(spark, d)
+    return src.to_virtual(_probes(dna, 1), src.gap_trace(src.n_runs(dna), dna))
+
+
 @query(f"with {DNA} select text_id, reverse(translate(body, 'ACGT', 'TGCA')) body from t")
 def reverse_complement(spark, d):
     return _dna(spark, d).select("text_id", sq.reverse_complement(F.col("body")).alias("body"))
