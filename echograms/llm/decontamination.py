@@ -1,14 +1,15 @@
-"""Benchmark decontamination: a prefix-filtered set join between item windows and document words, confirmed word by word.
+"""Benchmark decontamination: a prefix-filtered set join between item windows and document words, confirmed on the words themselves.
 
 Words: A-Z lower-cased, runs of letters a-z, digits and characters above \\x7F. A window is `size` consecutive words of an item; an item of fewer words,
 but not none, is one window. A document holds a window where the same words stand in the same order.
 
 1. The words of the benchmark are counted over all documents. In each window they are ordered by that rarity.
-2. All words of a contained window must occur, so the rarest one is a sufficient prefix. It is the join key: a document word is looked up among the
-   prefix words. (Window, place of the word in it) tells where the window would start and end; both must lie inside the document.
-3. Survivors are confirmed by comparing all words of the window with the document's words there (as 64-bit hashes).
+2. All words of a contained window must occur, so the rarest one is a sufficient prefix. A document's words are looked up among the prefixes; the
+   prefix's place in its window says where the window would start and end, and both must lie inside the document.
+3. What is left is joined with the windows by hash and by the words themselves.
 
-The index of windows is held in each task while its size, which is counted first, is within INDEX_ROWS; a larger benchmark is joined by shuffling."""
+Tasks know the prefixes and windows as bit tables of at most 2^27 bits, whatever the benchmark's size, so steps 1 and 2 are map passes. A bit table can
+only let too much through; counts and the last join are exact. Only spans that pass reach the join, once for each distinct text."""
 
 from __future__ import annotations
 
@@ -21,239 +22,171 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from echograms.llm.runtime import cut
-from echograms.llm.wordhash import LETTER_OR_DIGIT, U, slices, window_hashes, word_hashes
+from echograms.llm.runtime import Bits, bit_table, cut
+from echograms.llm.wordhash import BASE, LETTER_OR_DIGIT, U, Words, mix, slices, window_hashes
 
 SIZE = 10
-INDEX_ROWS = 500_000
-HIT = "struct<start:bigint,size:int,gram:bigint>"
+HIT = pa.struct([("start", pa.int64()), ("size", pa.int32()), ("gram", pa.int64()), ("window", pa.string())])
+SEEN = "text_key string, n_words long, hits array<struct<start:bigint,size:int,gram:bigint,window:string>>"
+COUNTED = 1 << 20
 
 
 def _item_windows(size: int):
-    """(item_id, gram, size, at, word) for each word of each distinct window of an item."""
+    """(item_id, gram, size, window, words) for each distinct window of an item; window holds its words, words their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in slices(batch.column(1), 1 << 16):
-                words, first = word_hashes(data, offsets, LETTER_OR_DIGIT)
-                rows = []
-                for i in range(b - a):
-                    own = words[first[i] : first[i + 1]]
-                    k = min(size, len(own))
-                    if k:
-                        grams, at = np.unique(window_hashes(own, k), return_index=True)
-                        n = len(grams) * k
-                        rows.append((np.full(n, a + i), np.repeat(grams, k), np.full(n, k), np.tile(np.arange(k), len(grams)), own[(at[:, None] + np.arange(k)).ravel()]))
-                if rows:
-                    owner, gram, k, at, word = (np.concatenate(x) for x in zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(gram.astype(np.int64)), pa.array(k, pa.int32()), pa.array(at, pa.int32()), pa.array(word.astype(np.int64))], ["item_id", "gram", "size", "at", "word"])
+                words = Words(data, offsets, LETTER_OR_DIGIT)
+                hashes, ids = words.hashes(), batch.column(0).slice(a, b - a).to_pylist()
+                rows: dict[tuple, tuple] = {}
+                for i, (lo, hi) in enumerate(zip(words.first, words.first[1:], strict=False)):
+                    k = min(size, hi - lo)
+                    spelled = [words.bytes(w).decode() for w in range(lo, hi)]
+                    grams = window_hashes(hashes[lo:hi], k).astype(np.int64).tolist() if k else []
+                    for at, gram in enumerate(grams):
+                        rows.setdefault((i, " ".join(spelled[at : at + k])), (ids[i], gram, k, hashes[lo + at : lo + at + k].astype(np.int64)))
+                columns = list(zip(*rows.values(), strict=True)) or [[]] * 4
+                kinds = (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+                own = [pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*own[:3], pa.array([w for _, w in rows], pa.string()), own[3]], ["item_id", "gram", "size", "window", "words"])
 
     return run
 
 
-def _count_words(vocabulary: np.ndarray):
-    """How often each word of a sorted vocabulary occurs in the task's rows."""
+def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
+    """(item_id string, gram, size, window, words): every distinct window of every item, its words joined by spaces and their hashes. Null texts have none."""
+    named = items.select(items["item_id"].cast("string").alias("item_id"), items["text"].alias("text"))
+    return named.mapInArrow(_item_windows(size), "item_id string, gram long, size int, window string, words array<long>")
+
+
+def _count_words(known):
+    """(word, n): how often each word that passes the bit table occurs in the task's rows. A word may come in several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), np.int64)
+        bits: Bits = known.value
+        words, counts = np.zeros(0, U), np.zeros(0, np.int64)
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(counts)], ["word", "n"])
+
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
-                words, _ = word_hashes(data, offsets, LETTER_OR_DIGIT)
-                at = _lookup(vocabulary, words)
-                total += np.bincount(at[at >= 0], minlength=len(vocabulary))
-        yield pa.RecordBatch.from_arrays([pa.array(vocabulary.astype(np.int64)), pa.array(total)], ["word", "n"])
+                found = Words(data, offsets, LETTER_OR_DIGIT).hashes()
+                distinct, n = np.unique(found[bits.test(found)], return_counts=True)
+                words, at = np.unique(np.concatenate([words, distinct]), return_inverse=True)
+                counts = np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(words)).astype(np.int64)
+            if len(words) > COUNTED:
+                yield packed()
+                words, counts = words[:0], counts[:0]
+        yield packed()
 
     return run
 
 
-def _lookup(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Index of each value in a sorted table, or -1. A small table of hash bits turns away most values first."""
-    out = np.full(len(values), -1)
-    if not len(table) or not len(values):
-        return out
-    bits = np.zeros(1 << 20, dtype=bool)
-    bits[(table & U(0xFFFFF)).astype(np.int64)] = True
-    may = np.flatnonzero(bits[(values & U(0xFFFFF)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(table, values[may]), len(table) - 1)
-    out[may] = np.where(table[at] == values[may], at, -1)
-    return out
-
-
-class _Index:
-    """Windows by prefix word: runs of (offset of the word in the window, size) for each word, and the words of all windows by gram."""
-
-    def __init__(self, rows: np.ndarray, windows: np.ndarray, words: np.ndarray):
-        """rows: (prefix word, at, size) distinct and sorted; windows: sorted gram hashes with size; words: matrix of the windows' words."""
-        self.prefix, self.first = np.unique(rows["word"], return_index=True)
-        self.first = np.append(self.first, len(rows))
-        self.at, self.size = rows["at"].astype(np.int64), rows["size"].astype(np.int64)
-        self.gram, self.gram_size, self.words = windows["gram"], windows["size"].astype(np.int64), words
-
-    def hits(self, words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, start in it, size, window) of every occurrence, in order of text, start and size."""
-        none = (np.zeros(0, np.int64),) * 4
-        found = _lookup(self.prefix, words)
-        place = np.flatnonzero(found >= 0)
-        if not len(place):
-            return none
-        text = np.searchsorted(first, place, side="right") - 1
-        run = self.first[found[place] + 1] - self.first[found[place]]
-        pick = np.repeat(np.arange(len(place)), run)
-        row = np.arange(len(pick)) - np.repeat(np.cumsum(run) - run, run) + np.repeat(self.first[found[place]], run)
-        start, size, text = place[pick] - self.at[row], self.size[row], text[pick]
-        inside = (start >= first[text]) & (start + size <= first[text + 1])
-        start, size, text = start[inside], size[inside], text[inside]
-        keep, window = [], []
-        for k in np.unique(size):
-            mine = np.flatnonzero(size == k)
-            span = words[start[mine][:, None] + np.arange(k)]
-            gram = span_hashes(span)
-            at = np.minimum(np.searchsorted(self.gram, gram), len(self.gram) - 1)
-            ok = (self.gram[at] == gram) & (self.gram_size[at] == k)
-            ok[ok] = (self.words[at[ok], :k] == span[ok]).all(axis=1)
-            keep.append(mine[ok])
-            window.append(at[ok])
-        if not keep:
-            return none
-        keep, window = np.concatenate(keep), np.concatenate(window)
-        order = np.lexsort((size[keep], start[keep]))
-        keep, window = keep[order], window[order]
-        return text[keep], start[keep] - first[text[keep]], size[keep], window
-
-
-def span_hashes(spans: np.ndarray) -> np.ndarray:
-    """window_hashes of each row of a matrix of words."""
-    rows, k = spans.shape
-    return window_hashes(np.ascontiguousarray(spans).ravel(), k)[::k] if rows else np.zeros(0, U)
-
-
-def covered(text: np.ndarray, start: np.ndarray, size: np.ndarray, texts: int) -> np.ndarray:
-    """Words of each text inside any of its spans, which are in order of text and start."""
-    if not len(text):
-        return np.zeros(texts, np.int64)
-    wide = int((start + size).max()) + 1
-    key = text * wide
-    reach = np.maximum.accumulate(key + start + size)  # ends of earlier texts are below every start of this one
-    before = np.concatenate([[0], reach[:-1]])
-    return np.bincount(text, weights=np.maximum(0, key + start + size - np.maximum(before, key + start)), minlength=texts).astype(np.int64)
-
-
-def _mark(index: _Index, items_first: np.ndarray, items: np.ndarray, names: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in slices(batch.column(1)):
-                words, first = word_hashes(data, offsets, LETTER_OR_DIGIT)
-                text, start, size, window = index.hits(words, first)
-                n_hit = covered(text, start, size, b - a)
-                ends = np.searchsorted(text, np.arange(b - a + 1))
-                listed = []
-                for s, e in zip(ends, ends[1:], strict=False):
-                    own = np.unique(window[s:e])
-                    ids = np.unique(np.concatenate([items[items_first[w] : items_first[w + 1]] for w in own])) if len(own) else []
-                    listed.append([names[i] for i in ids])
-                digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(first), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in listed], pa.int64()), pa.array(digest), pa.array(listed, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items"])
+def _prefix_hash(words: np.ndarray, at: np.ndarray | int, size: np.ndarray | int) -> np.ndarray:
+    """Hash of a prefix word with its place in a window of that size."""
+    return mix(words + np.asarray(at * 1024 + size, dtype=np.int64).astype(U) * BASE)
 
-    return run
 
+def _hashed_prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        word, at, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        yield pa.RecordBatch.from_arrays([pa.array(_prefix_hash(word.view(U), at.astype(np.int64), size.astype(np.int64)).astype(np.int64))], ["prefix"])
 
-MARKED = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
 
+def _find(tables, sizes: list[int]):
+    """The rows with text_key, n_words and the spans that may be windows."""
 
-def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
-    """(item_id string, gram, size, at, word): the words of every distinct window of every item. Null texts have none."""
-    named = items.select(items["item_id"].cast("string").alias("item_id"), items["text"].alias("text"))
-    return named.mapInArrow(_item_windows(size), "item_id string, gram long, size int, at int, word long")
+    def candidates(words: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, size, gram) of spans whose prefix, bounds and gram hash pass, in order of first word and size."""
+        known, prefixes, grams = tables.value
+        place = np.flatnonzero(known.test(hashes))
+        text = np.searchsorted(words.first, place, side="right") - 1
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))]
+        for k in sizes:
+            gram = window_hashes(hashes, k)
+            for at in range(k):
+                start = place - at
+                inside = (start >= words.first[text]) & (start + k <= words.first[text + 1])
+                inside[inside] = prefixes.test(_prefix_hash(hashes[place[inside]], at, k))
+                start = start[inside]
+                start = start[grams.test(gram[start])] if len(start) else start
+                found.append((start, np.full(len(start), k), gram[start] if len(start) else np.zeros(0, U)))
+        start, size, gram = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((size, start))
+        return start[order], size[order], gram[order]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in slices(batch.column(batch.num_columns - 1)):
+                words = Words(data, offsets, LETTER_OR_DIGIT)
+                start, size, gram = candidates(words, words.hashes())
+                text = np.searchsorted(words.first, start, side="right") - 1
+                window = [" ".join([words.bytes(w).decode() for w in range(s, s + k)]) for s, k in zip(start.tolist(), size.tolist(), strict=True)]
+                inner = [start - words.first[text], size.astype(np.int32), gram.astype(np.int64)]
+                hits = pa.StructArray.from_arrays([*map(pa.array, inner), pa.array(window, pa.string())], fields=list(HIT))
+                ends = pa.array(np.searchsorted(text, np.arange(b - a + 1)).astype(np.int32))
+                raw = data.tobytes()
+                keys = [hashlib.sha256(raw[s:e]).hexdigest() for s, e in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+                kept = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(keys, pa.string()), pa.array(np.diff(words.first), pa.int64()), pa.ListArray.from_arrays(ends, hits)], [*batch.schema.names[:-1], "text_key", "n_words", "hits"])
 
-def _u64(values) -> np.ndarray:
-    return np.asarray(values, dtype=np.int64).view(U)
-
+    return run
 
-def mark_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE, index_rows: int = INDEX_ROWS) -> DataFrame:
-    """For each row of docs: doc_id, n_words, n_hit (words inside an occurrence), n_items, items_sha256, items (sorted ids as strings).
 
-    Null and empty texts have no words. Repeated rows give repeated results. An empty benchmark marks nothing. Other columns are ignored. Items
-    without an id count for n_hit and are not listed."""
-    return _marked(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), items, size, index_rows)
+def text_key(text) -> F.Column:
+    """What a text's marks are kept under: a digest of all of it, null as empty."""
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
-def _marked(texts: DataFrame, items: DataFrame, size: int, index_rows: int) -> DataFrame:
-    """mark_contaminated for rows (doc_id, text), where doc_id may be of any type and goes with its row."""
+def _marks(rows: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(seen, marks) for rows whose last column is `text`: seen has the other columns with text_key and n_words, marks has (text_key, n_hit, items)
+    for each distinct text that holds a window."""
+    spark, texts = rows.sparkSession, rows.select("text")
     windows = cut(item_windows(items, size), "windows")
-    if windows.count() > index_rows:
-        return _mark_by_shuffle(texts, windows, size)
-    flat = windows.toPandas()  # at most index_rows rows
-    grams = flat.drop_duplicates(["gram", "at"]).sort_values(["gram", "at"])
-    vocabulary = np.unique(_u64(grams.word))
-    counts = texts.select("text").mapInArrow(_count_words(vocabulary), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()  # a row for each benchmark word
-    rarity = dict(zip(counts.word, counts.n, strict=True))
-    grams = grams.assign(n=[rarity.get(w, 0) for w in grams.word])
-    prefix = grams.sort_values(["gram", "n", "word", "at"]).drop_duplicates("gram")
-    rows = np.unique(np.rec.fromarrays([_u64(prefix.word), prefix["at"].to_numpy(), prefix["size"].to_numpy()], names="word,at,size"))
-    order = np.argsort(_u64(prefix.gram))
-    sorted_grams = np.rec.fromarrays([_u64(prefix.gram)[order], prefix["size"].to_numpy()[order]], names="gram,size")
-    matrix = np.zeros((len(order), size), dtype=U)
-    matrix[np.searchsorted(sorted_grams["gram"], _u64(grams.gram)), grams["at"].to_numpy()] = _u64(grams.word)
-    named = flat[flat.item_id.notna()]
-    names = sorted(named.item_id.unique(), key=lambda x: x.encode())
-    number = {n: i for i, n in enumerate(names)}
-    owners = named[["gram", "item_id"]].drop_duplicates()
-    at = np.searchsorted(sorted_grams["gram"], _u64(owners.gram))
-    item = np.array([number[x] for x in owners.item_id], dtype=np.int64)
-    by = np.lexsort((item, at))
-    first = np.searchsorted(at[by], np.arange(len(order) + 1))
-    return texts.mapInArrow(_mark(_Index(rows, sorted_grams, matrix), first, item[by], names), StructType([texts.schema["doc_id"], *StructType.fromDDL(MARKED)]))
-
-
-def _spread(size: int):
-    """(row, n_words, word, place, around) for each word: around holds the size - 1 words on either side, 0 beyond the text."""
-    wide = 2 * size - 1
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in slices(batch.column(1), 1 << 17):
-                words, first = word_hashes(data, offsets, LETTER_OR_DIGIT)
-                owner = np.repeat(np.arange(b - a), np.diff(first))
-                place = np.arange(len(words)) - first[:-1][owner]
-                at = np.arange(len(words))[:, None] + np.arange(1 - size, size)
-                inside = (at >= first[:-1][owner][:, None]) & (at < first[1:][owner][:, None])
-                near = np.where(inside, words[np.clip(at, 0, max(0, len(words) - 1))], U(0)) if len(words) else np.zeros((0, wide), U)
-                around = pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1, dtype=np.int32) * wide), pa.array(near.astype(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(owner)), pa.array(np.diff(first)[owner], pa.int64()), pa.array(words.astype(np.int64)), pa.array(place, pa.int64()), around], ["row", "n_words", "word", "place", "around"])
+    grams = cut(windows.groupBy("gram", "window").agg(F.first("size").alias("size"), F.first("words").alias("words"), F.array_sort(F.collect_set("item_id")).alias("items")), "grams")
+    n_grams = grams.count()
+    spelled = grams.select("gram", "window", "size", F.posexplode("words").alias("at", "word"))
+    vocabulary = spelled.select("word").distinct()
+    known = spark.sparkContext.broadcast(bit_table(vocabulary, "word", 10 * n_grams))
+    counts = cut(texts.mapInArrow(_count_words(known), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).join(vocabulary, "word", "left_semi"), "counts")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "at"))
+    prefix = cut(spelled.join(counts, "word", "left").groupBy("gram", "window", "size").agg(rarest.alias("rare")).select("rare.word", "rare.at", "size").distinct(), "prefixes")
+    hashed = prefix.select("word", "at", "size").mapInArrow(_hashed_prefixes, "prefix long")
+    sizes = [r[0] for r in prefix.select("size").distinct().orderBy("size").collect()]  # at most `size` rows
+    tables = spark.sparkContext.broadcast((bit_table(prefix, "word", n_grams), bit_table(hashed, "prefix", n_grams), bit_table(grams, "gram", n_grams)))
+    seen = cut(rows.mapInArrow(_find(tables, sizes), StructType([*rows.schema.fields[:-1], *StructType.fromDDL(SEEN)])), "seen")
+    spans = seen.where(F.size("hits") > 0).select("text_key", F.explode("hits").alias("hit")).select("text_key", "hit.*").distinct()
+    met = spans.join(grams.select("gram", "window", "items"), ["gram", "window"])
+    reach = F.max(F.col("start") + F.col("size")).over(Window.partitionBy("text_key").orderBy("start", "size").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.greatest(F.lit(0), F.col("start") + F.col("size") - F.greatest("start", F.coalesce(reach, F.lit(0))))
+    listed = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    marks = met.withColumn("fresh", fresh).groupBy("text_key").agg(F.sum("fresh").alias("n_hit"), listed.alias("items"))
+    return seen.drop("hits"), cut(marks, "marks")
+
+
+def mark_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+    """For each row of docs: doc_id, n_words, n_hit (words inside an occurrence), n_items, items_sha256, items (sorted ids as strings).
 
-    return run
+    Null and empty texts have no words. Repeated rows give repeated results, and rows are judged by their own text, whether their id is null or
+    repeated. An empty benchmark marks nothing. Other columns are ignored. Items without an id count for n_hit and are not listed; items of one id
+    are one item. A text of any length is searched whole."""
+    seen, marks = _marks(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")), items, size)
+    full = seen.join(marks, "text_key", "left")
+    items_of = F.coalesce("items", F.array().cast("array<string>"))
+    return full.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(items_of).cast("long").alias("n_items"), F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"), items_of.alias("items"))
 
 
-def _mark_by_shuffle(texts: DataFrame, windows: DataFrame, size: int) -> DataFrame:
-    """The same for a benchmark of any size: the prefix join, the bounds and the confirmation are DataFrame joins and filters."""
-    keyed = texts.withColumn("row", F.sha2(F.coalesce("text", F.lit("")), 256))  # all marks follow from the text
-    spread = cut(keyed.select("row", "text").dropDuplicates(["row"]).mapInArrow(_spread(size), "row string, n_words long, word long, place long, around array<long>"), "words")
-    counts = spread.groupBy("word").agg(F.count("*").alias("n"))
-    grams = windows.select("gram", "size", "at", "word").distinct().join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    whole = grams.groupBy("gram", "size").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("words"), F.min(F.struct("n", "word", "at")).alias("rare"))
-    prefix = whole.select("gram", "size", "words", F.col("rare.word").alias("word"), F.col("rare.at").alias("at"))
-    start = F.col("place") - F.col("at")
-    met = spread.join(prefix, "word").where((start >= 0) & (start + F.col("size") <= F.col("n_words")))
-    hits = met.where(F.slice("around", size - F.col("at"), F.col("size")) == F.col("words")).select("row", start.alias("start"), "size", "gram").distinct()
-    before = F.max(F.col("start") + F.col("size")).over(Window.partitionBy("row").orderBy("start", "size", "gram").rowsBetween(Window.unboundedPreceding, -1))
-    fresh = F.greatest(F.lit(0), F.col("start") + F.col("size") - F.greatest(F.col("start"), F.coalesce(before, F.lit(0))))
-    per_row = hits.withColumn("fresh", fresh).groupBy("row").agg(F.sum("fresh").alias("n_hit"))
-    owned = hits.select("row", "gram").distinct().join(windows.select("gram", "item_id").distinct(), "gram").groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
-    n_words = spread.groupBy("row").agg(F.max("n_words").alias("n_words"))
-    full = keyed.select("doc_id", "row").join(n_words, "row", "left").join(per_row, "row", "left").join(owned, "row", "left")
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return full.select("doc_id", zero("n_words"), zero("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), items.alias("items"))
-
-
-def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE, index_rows: int = INDEX_ROWS) -> DataFrame:
-    """docs without the rows that hold a window of the benchmark. Each row is judged by its own text, whether its id is null or repeated."""
-    row = F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    bad = _marked(docs.select(row.alias("doc_id"), docs["text"].alias("text")), items, size, index_rows).where("n_hit > 0").select("doc_id.*").distinct().toDF("_id", "_text")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_text")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
+    """docs without the rows that hold a window of the benchmark, with all columns whatever their names. Each row is judged by its own text: rows
+    with a null or repeated id, and repeated rows, stay or go one by one. Null and empty texts stay; an empty benchmark drops nothing."""
+    _, marks = _marks(docs.select(docs["text"].alias("text")), items, size)
+    row = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), text_key(docs["text"]).alias("text_key"))
+    return row.join(marks.select("text_key"), "text_key", "left_anti").select("row.*")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
+    """mark_contaminated over documents and benchmark, with its rules for nulls, ties, repeated rows and empty tables; contaminated: n_hit > 0."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return mark_contaminated(docs, items).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))

@@ -3,13 +3,15 @@
 Words: A-Z lower-cased, runs of anything but space and \\x09-\\x0D. A text's set: its distinct five-word shingles; with fewer words its whole
 sequence as one; without words nothing, and it is linked with nothing. Two texts are linked when 100 * |A and B| >= percent * |A or B|.
 
-1. One map pass computes each text's shingles, the digest of its set and the band keys of its SuperMinHash signature.
-2. Texts with the same set form a class; only the class's smallest id goes on (copies are never paired with each other).
+1. One map pass computes the digest of each text's word sequence, the number of its shingles and the band keys of its SuperMinHash signature.
+2. Texts with the same words form a class with a number of its own. From here on classes are compared, never copies with each other; ids come back
+   at the end, so null and repeated ids do no harm.
 3. In each bucket (band, key) every class is compared with a pivot, the member that meets most others, and linked classes are grouped. What
    remains are buckets whose members are in different groups; while a round still joins groups, the next pivots are taken there. Of the pairs that
    are then left, in one bucket and different groups, those that an exact bound does not rule out are compared. So each pair of classes that
    shares a bucket is verified, proven unlinked, or in one group already.
    With 20 bands of 4 rows a pair of similarity 0.85 shares no bucket with probability 4e-7.
+4. Every comparison is of the full sets of shingles, spelled out in words; hashes only propose.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echograms.llm.components import components
-from echograms.llm.runtime import cut, safe_columns
+from echograms.llm.runtime import cut
 from echograms.llm.wordhash import BASE, NOT_SPACE, U, mix, slices, text_shingles, word_hashes
 
-BANDS, ROWS, PIVOTS, PAIRS_A_TASK, BROADCAST_IDS, CELLS = 20, 4, 4, 500, 2_000_000, 64
+BANDS, ROWS, PIVOTS, PAIRS_A_TASK, BLOCK, BROADCAST_IDS, CELLS, WORDS = 20, 4, 4, 500, 256, 2_000_000, 64, 5
 EMPTY, MASK = np.iinfo(np.uint64).max, (1 << 64) - 1
 
 
@@ -67,50 +69,64 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return out
 
 
+def spelled(raw: bytes) -> bytes:
+    """The words of a text, lower-cased, with one space between them: bytes.split cuts at \\x20 and \\x09-\\x0D, bytes.lower changes A-Z."""
+    return b" ".join(raw.lower().split())
+
+
+def _class_key(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, node, n_shingles, class_key, bands) for rows (doc_id, node, text); a text without words has no class."""
     for batch in batches:
-        ids = batch.column(0)
-        for a, b, data, offsets in slices(batch.column(1)):
+        for a, b, data, offsets in slices(batch.column(2)):
             words, first = word_hashes(data, offsets, NOT_SPACE)
-            owner, shingles = text_shingles(words, first, 5)
+            owner, shingles = text_shingles(words, first, WORDS)
             sizes = np.bincount(owner, minlength=b - a)
-            ends = np.cumsum(sizes)
-            digests = [hashlib.blake2b(shingles[e - n : e].tobytes(), digest_size=16).digest() if n else None for e, n in zip(ends, sizes, strict=True)]
+            raw = data.tobytes()
+            classes = [_class_key(spelled(raw[s:e])) if n else None for s, e, n in zip(offsets.tolist(), offsets[1:].tolist(), sizes.tolist(), strict=False)]
             keys = band_keys(superminhash(owner, shingles, b - a, BANDS * ROWS)).astype(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), bands], ["doc_id", "n_shingles", "set_key", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), bands], ["doc_id", "node", "n_shingles", "class_key", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, data, offsets in slices(batch.column(1)):
-            owner, shingles = text_shingles(*word_hashes(data, offsets, NOT_SPACE), 5)
-            ends = np.searchsorted(owner, np.arange(b - a + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([shingles[s:e].tobytes() for s, e in zip(ends, ends[1:], strict=False)], pa.binary())], ["doc_id", "shingles"])
+        words = [spelled(x.as_buffer().to_pybytes()) for x in batch.column(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([_class_key(w) for w in words], pa.binary()), pa.array(words, pa.binary()).cast(pa.string())], ["class_key", "words"])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, element, label) for each distinct shingle of rows (rep, words, label)."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 256):
-            part = batch.slice(i, 256)
-            sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in part.column(1)]
-            reps, labels = (np.repeat(part.column(k).to_numpy(), [len(x) for x in sets]) for k in (0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(sets)), pa.array(labels)], ["rep", "element", "label"])
+        for a, b, data, offsets in slices(batch.column(1)):
+            owner, shingles = text_shingles(*word_hashes(data, offsets, NOT_SPACE), WORDS)
+            reps, labels = (batch.column(k).slice(a, b - a).take(pa.array(owner)) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([reps, pa.array(shingles.astype(np.int64)), labels], ["rep", "element", "label"])
+
+
+def shingle_set(words: str) -> set[tuple[str, ...]]:
+    """The set of a text whose words are joined by spaces, spelled out."""
+    w = words.split(" ")
+    return set(zip(*(w[i:] for i in range(WORDS)), strict=False)) if len(w) >= WORDS else {tuple(w)}
 
 
 def _compare(percent: int):
-    """Rows (b, salt, a, shingles) sorted by b, salt, a, with a null for b's own set, which comes first: those a whose set is similar enough to b's."""
+    """Rows (b, salt, a, words) sorted by b, salt, a, with a null for b's own text, which comes first: those a whose set is similar enough to b's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(0, U)
+        own: set = set()
         for batch in batches:
             out: list[tuple[int, int]] = []
-            for b, a, packed in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-                other = np.frombuffer(packed.as_buffer(), dtype=U)
+            for b, a, words in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
                 if a is None:
-                    own = other
-                elif 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
-                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    own = shingle_set(words.as_py())
+                    continue
+                other = shingle_set(words.as_py())
+                if 100 * min(len(own), len(other)) >= percent * max(len(own), len(other)):
+                    both = len(own & other)
                     if 100 * both >= percent * (len(own) + len(other) - both):
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
@@ -118,19 +134,22 @@ def _compare(percent: int):
     return run
 
 
-def _shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the wanted ids; only their sets are built. Up to BROADCAST_IDS ids go to the texts, beyond that both sides are dealt by id."""
-    wanted = cut(wanted, "wanted")
+def _class_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(rep, words) for wanted classes (rep, class_key, node); only the rows of their nodes are read out. A hash of up to BROADCAST_IDS nodes goes to
+    the texts, beyond that both sides are dealt by it; what it lets through too much, the class key turns away."""
+    wanted = cut(wanted.withColumn("place", F.xxhash64("node")), "wanted")
+    places = wanted.select("place").distinct()
     if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    return cut(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "sets")
+        places = F.broadcast(places)
+    found = texts.withColumn("place", F.xxhash64("node")).join(places, "place", "left_semi").select("text").mapInArrow(_spell, "class_key binary, words string")
+    return cut(found.join(wanted.select("class_key", "rep"), "class_key").groupBy("rep").agg(F.first("words").alias("words")), "words")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full shingle sets are similar enough. b's set travels once for each PAIRS_A_TASK of its pairs, a's once for each pair."""
+    """Those of pairs (a, b) whose full shingle sets are similar enough. b's words travel once for each PAIRS_A_TASK of its pairs, a's once for each pair."""
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS_A_TASK).cast("int").alias("salts"))
-    own = sets.join(salts, sets.doc_id == salts.b).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "shingles")
-    other = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), "a").join(sets, F.col("a") == sets.doc_id).select("b", "salt", "a", "shingles")
+    own = sets.join(salts, sets.rep == salts.b).select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("a"), "words")
+    other = pairs.join(salts, "b").select("b", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), "a").join(sets, F.col("a") == sets.rep).select("b", "salt", "a", "words")
     rows = own.union(other).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a").asc_nulls_first())
     return rows.mapInArrow(_compare(percent), "a long, b long")
 
@@ -150,38 +169,40 @@ def _rest(named: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -
 
     An element that occurs in one group only cannot be shared with another group. The other elements of a set are counted in CELLS cells by hash;
     the intersection of a pair is at most the sum over cells of the smaller count, which bounds the similarity; pairs below the bound are proven
-    unlinked. Each pair leaves from its first common bucket only."""
+    unlinked. Each pair leaves from its first common bucket only. Members of a bucket meet in blocks of BLOCK rows against the bucket, each block a key of
+    its own, so no task squares a bucket."""
     reps = named.groupBy("rep").agg(F.first("label").alias("label"), F.sort_array(F.collect_list("bucket")).alias("buckets"))
-    elements = cut(sets.join(reps.select("rep", "label"), sets.doc_id == F.col("rep")).select("rep", "shingles", "label").mapInArrow(_elements, "rep long, element long, label long"), "elements")
+    elements = cut(sets.join(reps.select("rep", "label"), "rep").select("rep", "words", "label").mapInArrow(_elements, "rep long, element long, label long"), "elements")
     shared = elements.groupBy("element").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("element")
     counts = elements.join(shared, "element").groupBy("rep", F.pmod("element", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").cast("int").alias("n"))
     whole = counts.groupBy("rep").agg(F.sum("n").alias("o"), F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("by"))
     known = whole.select("rep", "o", F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.coalesce(F.try_element_at(F.col("by"), c), F.lit(0))).alias("cells"))
     facts = reps.join(known, "rep").join(classes.select("rep", "n_shingles"), "rep").where(100 * F.col("o") >= percent * F.col("n_shingles"))
     rows = cut(facts.select("rep", "label", "buckets", F.col("n_shingles").alias("n"), "o", "cells").withColumn("bucket", F.explode("buckets")), "rest")
-    x, y = rows.alias("x"), rows.alias("y")
+    blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(blocks, "bucket")
+    x = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).alias("x")
+    y = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     o = F.least("x.o", "y.o")
-    may = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("y.rep") < F.col("x.rep")) & (F.col("x.label") != F.col("y.label")) & (100 * o >= percent * (F.col("x.n") + F.col("y.n") - o))
+    may = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & (F.col("y.rep") < F.col("x.rep")) & (F.col("x.label") != F.col("y.label")) & (100 * o >= percent * (F.col("x.n") + F.col("y.n") - o))
     first = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")
     most = F.aggregate(F.zip_with("x.cells", "y.cells", lambda a, b: F.least(a, b)), F.lit(0), lambda total, c: total + c)
     close = 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
     return x.join(y, may & first & close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
-def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs.
-
-    Null and empty texts, and texts of white space, have n_shingles 0 and are their own component. A repeated row gives its row again. Where rows
-    of one id hold different texts, the id is one node, and one of these texts is compared. Rows without an id are left out, other columns ignored."""
-    texts = docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text")).where("doc_id is not null")
-    signed = cut(texts.mapInArrow(_signatures, "doc_id long, n_shingles long, set_key binary, bands array<long>"), "signatures")
-    classes = cut(signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_shingles", "bands"), "doc_id").alias("x")).select("set_key", "rep", "x.n_shingles", "x.bands"), "classes")
+def _classes_of(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(signed, classes) for rows (doc_id, node, text): signed is (doc_id, node, n_shingles, class_key), classes is (class_key, component, least_id), where
+    component numbers the groups of linked classes and least_id is the smallest id of the group's texts, null if none has one."""
+    signed = cut(texts.mapInArrow(_signatures, "doc_id long, node binary, n_shingles long, class_key binary, bands array<long>"), "signatures")
+    per_class = signed.where("n_shingles > 0").groupBy("class_key").agg(F.min("doc_id").alias("least_id"), F.min_by(F.struct("node", "n_shingles", "bands"), "node").alias("x"))
+    classes = cut(per_class.select("class_key", "least_id", "x.*", F.monotonically_increasing_id().alias("rep")), "classes")  # numbered once, when written
     rows = classes.select("rep", F.posexplode("bands").alias("band", "band_key")).select("rep", F.xxhash64("band", "band_key").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = cut(rows.join(shared, "bucket"), "buckets")
     central = members.groupBy("rep").agg(F.sum("n").alias("central"))  # who meets many is likely to be close to many
     members = cut(members.join(central, "rep").drop("n"), "members")
-    sets = _shingle_sets(texts, members.select(F.col("rep").alias("doc_id")).distinct())
+    sets = _class_words(texts, classes.select("rep", "class_key", "node").join(members.select("rep").distinct(), "rep"))
     found = labels = None
     for turn in range(PIVOTS):
         pivots = members.groupBy("bucket").agg(F.max_by("rep", F.struct("central", -F.col("rep"))).alias("pivot"))
@@ -201,23 +222,46 @@ def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id
         fresh = cut(_verify(cut(_rest(named, classes, sets, percent), "pairs"), sets, percent), "linked")
         if not fresh.isEmpty():
             labels = cut(components(found.union(fresh)), "labels")
-    of_rep = classes.select("set_key", "rep").join(labels, F.col("rep") == labels.node, "left").select("set_key", F.coalesce("component", "rep").alias("component"))
-    return signed.select("doc_id", "n_shingles", "set_key").join(of_rep, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    linked = classes.select("class_key", "least_id", "rep").join(labels, F.col("rep") == labels.node)
+    least = linked.groupBy("component").agg(F.min("least_id").alias("least"))
+    grouped = linked.join(least, "component").select("class_key", F.col("component"), "least")
+    full = classes.select("class_key", "least_id", "rep").join(grouped, "class_key", "left")
+    known = F.col("component").isNotNull()
+    return signed.drop("bands"), full.select("class_key", F.coalesce("component", "rep").alias("component"), F.when(known, F.col("least")).otherwise(F.col("least_id")).alias("least_id"))
+
+
+def _node(key, text) -> F.Column:
+    """16 bytes that stand for a row's id and text."""
+    return F.substring(F.unhex(F.sha2(F.concat_ws(":", F.coalesce(key.cast("string"), F.lit("-")), F.coalesce(text, F.lit(""))).cast("binary"), 256)), 1, 16)
+
+
+def near_duplicate_groups(docs: DataFrame, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs.
+
+    Every row is a document of its own: rows that repeat an id with another text are compared by their own texts, and a repeated row gives its row
+    again. Null and empty texts, and texts of white space, have n_shingles 0 and are their own component. component_id is the smallest id of the
+    documents that can be reached; a row without an id takes part, and gets null where no document in its group has one. Texts of any length are
+    compared whole. An empty table gives an empty result; other columns are ignored."""
+    k, t = docs[f"`{key}`"].cast("long"), docs[f"`{text}`"]
+    signed, classes = _classes_of(docs.select(k.alias("doc_id"), _node(k, t).alias("node"), t.alias("text")), percent)
+    return signed.join(classes.select("class_key", "least_id"), "class_key", "left").select("doc_id", "n_shingles", F.when(F.col("class_key").isNull(), F.col("doc_id")).otherwise(F.col("least_id")).alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without the near-duplicates of a kept row: of each group the row with the smallest doc_id stays. Rows that share an id and hold different
-    texts are compared as rows of their own; equal rows count once. Rows without an id are grouped among themselves, and one of each group stays;
-    without words they are in no group and all stay."""
-    loose = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    rows = docs.where(~loose).withColumn("_node", F.xxhash64("doc_id", "text"))
-    groups = near_duplicate_groups(rows.select("_node", "text"), percent, "_node").select(F.col("doc_id").alias("_node"), "component_id").distinct()
-    ids = rows.select("_node", F.col("doc_id").cast("long").alias("id")).distinct()
-    kept = groups.join(ids, "_node").groupBy("component_id", F.col("id").isNull()).agg(F.min(F.struct("id", "_node")).alias("least")).select("least._node")
-    return rows.join(kept, "_node", "left_semi").dropDuplicates(["_node"]).select(*docs.columns).union(docs.where(loose))
+    """docs with one row of each group of near-duplicates: the one with the smallest doc_id, ids before null; of rows that share that id, the one with the
+    least digest; of rows equal in id and text, any. Rows are judged by their own text. Null and empty texts, and texts of white space, are in no
+    group and all stay. All columns are kept, whatever their names; an empty table gives an empty result."""
+    k, t = docs["doc_id"].cast("long"), docs["text"]
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    has_words = F.coalesce(t.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    rows = docs.where(has_words).select(row, k.alias("doc_id"), t.alias("text"), _node(k, t).alias("node"))
+    signed, classes = _classes_of(rows.select("doc_id", "node", "text"), percent)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node"))
+    kept = signed.join(classes.select("class_key", "component"), "class_key").groupBy("component").agg(first.alias("least")).select("least.node")
+    return rows.select("node", "row").join(kept, "node", "left_semi").dropDuplicates(["node"]).select("row.*").union(docs.where(~has_words))
 
 
 def op7_near_duplicates(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    groups = near_duplicate_groups(safe_columns(docs, "doc_id", "text"))
-    return groups.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    """near_duplicate_groups over documents, with its rules for nulls, ties, repeated rows and empty tables; kept: doc_id is component_id (null like null)."""
+    groups = near_duplicate_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

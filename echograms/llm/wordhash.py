@@ -1,7 +1,11 @@
-"""Words of a batch of texts as 64-bit hashes, found and hashed with numpy over the UTF-8 bytes of an Arrow column."""
+"""Words of a batch of texts as 64-bit hashes, found and hashed with numpy over the UTF-8 bytes of an Arrow column.
+
+Words of one length up to 8 bytes never share a hash; longer ones go through a chain of mixed 8-byte pieces, above 64 bytes through a keyed digest. A
+hash only proposes: operators that must be exact compare the words themselves where hashes agree."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,8 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-BASE = U(0x9E3779B97F4A7C15 | 1)
-BASE_INVERSE = U(pow(int(BASE), -1, 1 << 64))
+BASE = U(0x9E3779B97F4A7C15)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of the words [^\x20\x09-\x0D]+ and [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after A-Z are lower-cased.
@@ -18,9 +21,9 @@ NOT_SPACE = np.ones(256, dtype=bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
 LETTER_OR_DIGIT = np.zeros(256, dtype=bool)
 LETTER_OR_DIGIT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-
-_power = np.ones(1, dtype=U)
-_inverse = np.ones(1, dtype=U)
+#: The low n bytes of a piece, and the longest word that is hashed piece by piece.
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=U)
+PIECEWISE = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -33,18 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _power, _inverse
-    if len(_power) < n + 1:
-        size = 1 << int(n + 1).bit_length()
-        ones = np.full(size, BASE, dtype=U)
-        ones[0] = 1
-        _power = np.multiply.accumulate(ones)
-        ones[1:] = BASE_INVERSE
-        _inverse = np.multiply.accumulate(ones)
-    return _power, _inverse
-
-
 def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets of the rows in them) for runs of rows of about `limit` bytes; a longer text is a run of its own. Null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
@@ -61,32 +52,52 @@ def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np
         a = b
 
 
-def hash_edges(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, total, inverse, first) of all words: the lower-cased bytes a to b hash to (total[b] - total[a]) * inverse[a], before mixing;
-    first is for each text the index of its first word, with one more entry than texts."""
-    n = len(data)
-    power, inverse = _powers(n)
-    total = np.zeros(n + 1, dtype=U)
-    if not n:
-        none = np.zeros(0, np.int64)
-        return none, none, total, inverse, np.zeros(len(offsets), np.int64)
-    inside = is_word[data]
-    before = np.empty(n, dtype=bool)
-    before[0], before[1:] = False, inside[:-1]
-    before[offsets[:-1][offsets[:-1] < n]] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty(n, dtype=bool)
-    after[-1], after[:-1] = False, inside[1:]
-    after[offsets[(offsets > 0) & (offsets < n)] - 1] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    np.cumsum((LOWER[data].astype(U) + U(1)) * power[:n], out=total[1:])
-    return starts, ends, total, inverse, np.searchsorted(starts, offsets)
+class Words:
+    """The words of some texts: lower-cased bytes (with 8 spare ones at the end), starts and ends of words in them, and for each text the index of
+    its first word (one more entry than texts)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
+        n = len(data)
+        self.lower = np.zeros(n + 8, dtype=np.uint8)
+        self.lower[:n] = LOWER[data]
+        self.pieces = np.ndarray((n + 1,), dtype="<u8", buffer=self.lower, strides=(1,))
+        inside = np.zeros(n + 1, dtype=bool)
+        inside[:n] = is_word[data]
+        border = np.zeros(n + 1, dtype=bool)
+        border[offsets] = True  # a word ends where its text does
+        before = np.zeros(n + 1, dtype=bool)
+        before[1:] = inside[:-1]
+        self.starts = np.flatnonzero(inside & (~before | border))
+        self.ends = np.flatnonzero(before & (~inside | border))
+        self.first = np.searchsorted(self.starts, offsets)
+
+    def bytes(self, word: int) -> bytes:
+        return self.lower[self.starts[word] : self.ends[word]].tobytes()
+
+    def hashes(self) -> np.ndarray:
+        size = self.ends - self.starts
+        out = mix(size.astype(U) * BASE)
+        out = mix(out ^ (self.pieces[self.starts] & LOW_BYTES[np.minimum(size, 8)]))
+        live = np.flatnonzero((size > 8) & (size <= PIECEWISE))
+        for done in range(8, PIECEWISE, 8):
+            live = live[size[live] > done]
+            if not len(live):
+                break
+            out[live] = mix(out[live] ^ (self.pieces[self.starts[live] + done] & LOW_BYTES[np.minimum(size[live] - done, 8)]))
+        for i in np.flatnonzero(size > PIECEWISE):
+            out[i] = int.from_bytes(hashlib.blake2b(self.bytes(i), digest_size=8, key=b"word").digest(), "little")
+        return out
+
+    def prefix_hashes(self, size: int) -> np.ndarray:
+        """Hashes of the first `size` bytes (at most 8) of each word, 0 for shorter words."""
+        h = mix(mix(self.pieces[self.starts] & LOW_BYTES[size]) + U(size))
+        return np.where(self.starts + size <= self.ends, h, U(0))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and for each text the index of its first word (one more entry than texts)."""
-    starts, ends, total, inverse, first = hash_edges(data, offsets, is_word)
-    return mix((total[ends] - total[starts]) * inverse[starts]), first
+    words = Words(data, offsets, is_word)
+    return words.hashes(), words.first
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:

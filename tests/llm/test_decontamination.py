@@ -3,6 +3,7 @@ import random
 from collections import defaultdict
 
 from echograms.llm import decontamination as dc
+from echograms.llm.runtime import Bits
 from tests.llm.helpers import PLAIN, documents, lower, odd_rows, prose
 
 
@@ -25,8 +26,8 @@ def brute(rows, items, size=10):
     return sorted(out)
 
 
-def check(spark, rows, items, **more):
-    got = dc.mark_contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"), **more).collect()
+def check(spark, rows, items):
+    got = dc.mark_contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256) for r in got) == brute(rows, items)
 
 
@@ -44,8 +45,25 @@ def test_marks_equal_brute_force(spark):
     check(spark, *cases())
 
 
-def test_the_way_for_large_benchmarks(spark):
-    check(spark, *cases(), index_rows=0)
+def thue_morse():
+    """Two different words of 1024 letters that every polynomial hash modulo 2^64 takes for the same."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_are_compared(spark):
+    one, other = thue_morse()
+    check(spark, [(1, one), (2, other), (3, f"x {one.upper()} y"), (4, one + one)], [(1, one), (2, f"p {other}")])
+
+
+def test_equal_hashes_are_told_apart(spark, monkeypatch):
+    everything = Bits(1 << 15)
+    everything.table[:] = 255  # all spans pass the tables: only the join decides
+    monkeypatch.setattr(dc, "bit_table", lambda df, column, n: everything)
+    rows, items = cases()
+    check(spark, rows[:8], items)
 
 
 def test_empty_tables(spark):
@@ -59,11 +77,15 @@ def test_empty_tables(spark):
 def test_rows_and_items_without_an_id(spark):
     rows = [(None, "a b c"), (None, "clean"), (None, None), (7, "x a b"), (7, "clean too"), (7, "clean too"), (8, "p q")]
     docs, items = documents(spark, rows), spark.createDataFrame([(1, "a b"), (None, "p q"), (None, "a b")], "item_id long, text string")
-    for more in ({}, {"index_rows": 0}):
-        kept = dc.drop_contaminated(docs, items, **more)
-        assert kept.columns == docs.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
-        got = {(r.doc_id, r.text): r for r in dc.mark_contaminated(docs, items, **more).join(docs, "doc_id").select("doc_id", "text", "n_hit", "n_items", "items_sha256").where("doc_id = 8").collect()}
-        only = got[(8, "p q")]
-        assert (only.n_hit, only.n_items, only.items_sha256) == (2, 0, hashlib.sha256(b"").hexdigest())
-        nobody = spark.createDataFrame([(None, "p q")], "item_id long, text string")
-        assert len(dc.drop_contaminated(docs, nobody, **more).collect()) == len(rows) - 1
+    kept = dc.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
+    [only] = dc.mark_contaminated(docs, items).where("doc_id = 8").collect()
+    assert (only.n_hit, only.n_items, only.items_sha256) == (2, 0, hashlib.sha256(b"").hexdigest())
+    nobody = spark.createDataFrame([(None, "p q")], "item_id long, text string")
+    assert len(dc.drop_contaminated(docs, nobody).collect()) == len(rows) - 1
+
+
+def test_columns_named_like_internal_ones(spark):
+    docs = documents(spark, [(1, "a b c"), (2, "clean")]).withColumnsRenamed({"size": "text_key", "score": "row", "lang": "hits"})
+    kept = dc.drop_contaminated(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string"))
+    assert kept.columns == docs.columns and [(r.doc_id, r.text_key, r.row) for r in kept.collect()] == [(2, "x", "y")]

@@ -5,6 +5,7 @@ import numpy as np
 
 from echograms.llm import near_duplicates as nd
 from echograms.llm.components import components
+from tests.llm.test_decontamination import thue_morse
 from tests.llm.helpers import documents, groups, odd_rows, shingles
 
 
@@ -56,8 +57,26 @@ def test_odd_rows(spark):
 
 def test_empty_table_and_null_ids(spark):
     assert nd.near_duplicate_groups(documents(spark, [])).collect() == []
-    assert [r.doc_id for r in nd.near_duplicate_groups(documents(spark, [(None, "a b"), (1, "a b")])).collect()] == [1]
-    assert sorted(str(r.doc_id) for r in nd.keep_one_each(documents(spark, [(None, "a b"), (2, "a b"), (1, "a b")])).collect()) == ["1", "None"]
+    got = nd.near_duplicate_groups(documents(spark, [(None, "a b"), (1, "A  b"), (None, "c"), (None, None), (None, "c")])).collect()
+    assert sorted(str(tuple(r)) for r in got) == ["(1, 1, 1)", "(None, 0, None)", "(None, 1, 1)", "(None, 1, None)", "(None, 1, None)"]
+    kept = nd.keep_one_each(documents(spark, [(None, "a b"), (2, "a b"), (1, "a b"), (None, "c"), (None, "C"), (None, "")]))
+    assert sorted(str((r.doc_id, r.text.lower())) for r in kept.collect()) == ["(1, 'a b')", "(None, '')", "(None, 'c')"]
+    assert kept.columns == documents(spark, []).columns
+
+
+def test_texts_of_one_id_are_compared_on_their_own(spark):
+    rng = random.Random(7)
+    one, two = (" ".join(f"{c}{rng.randrange(4000)}" for _ in range(120)) for c in "vw")
+    got = nd.near_duplicate_groups(documents(spark, [(1, one), (1, two), (2, one + " x"), (3, two + " y")])).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1)} and len(got) == 4
+    got = nd.near_duplicate_groups(documents(spark, [(5, one), (5, two), (2, one + " x"), (3, two + " y")])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(2, 2), (3, 3), (5, 2), (5, 3)]
+
+
+def test_long_words_are_compared(spark):
+    texts = thue_morse()
+    got, _ = found(spark, [(1, texts[0]), (2, texts[1]), (3, texts[0].upper() + "\n")], 85)
+    assert got == {1: (1, 1), 2: (1, 2), 3: (1, 1)}
 
 
 def test_signature_estimates_similarity():
@@ -82,3 +101,9 @@ def test_rows_are_kept_by_their_own_text(spark):
     kept = nd.keep_one_each(documents(spark, rows)).collect()
     got = sorted(str((r.doc_id, (r.text or "-").lower())) for r in kept)
     assert got == sorted(map(str, [(None, "a b"), (None, "c d"), (None, "-"), (None, "-"), (None, " "), (4, "e f"), (3, "g h")]))
+
+
+def test_columns_named_like_internal_ones(spark):
+    docs = documents(spark, [(1, "a b"), (2, "A b")]).withColumnsRenamed({"size": "node", "score": "row", "lang": "rep"})
+    kept = nd.keep_one_each(docs)
+    assert kept.columns == docs.columns and [(r.doc_id, r.node, r.row) for r in kept.collect()] == [(1, "x", "y")]
