@@ -1,12 +1,15 @@
 """Mixing sources to target weights: exact block quotas per source, dealt to output shards by a splitting tree. DataFrame functions only.
 
-Each source's documents are dealt by a hash of their id into blocks, which are in random order. Of a source with target t and size s every block is
-taken floor(t / s) times; of the rest, blocks are taken in order while they fit, and in the block where the rest ends, documents in hash order
-up to the one whose middle passes it. So the words taken differ from the target by half a document at most, and no row depends on the run.
+Each source's rows are dealt by a hash of all their columns into blocks, which are in random order. Of a source with target t and size s every block is
+taken floor(t / s) times; of the rest, blocks are taken in order while they fit, and in the block where the rest ends, rows in hash order up to the
+one whose middle passes it. So the words taken differ from the target by half a document at most, and no row depends on the run.
 
 The taken blocks are dealt to shards by a tree: a node orders its blocks at random and gives the first half to its left child, so the counts that
-the child gets of each source are a multivariate hypergeometric draw from the node's counts. Leaves are shards; their blocks are disjoint. Only
-sums per source and per block pass through a single task; the number of blocks is bounded by a parameter (and the number of sources)."""
+the child gets of each source are a multivariate hypergeometric draw from the node's counts. Leaves are shards; their blocks are disjoint, and each
+orders its rows at random. Shards hold about SHARD_WORDS words and about BLOCKS_A_SHARD blocks at any size of the input; only a row for each source and
+for each block meets in one task, at the root of the tree and in the running sums of a source.
+
+Rows that are equal in all columns are one group with a number of times: what holds for one holds for any, so no task sees them one by one."""
 
 from __future__ import annotations
 
@@ -15,19 +18,25 @@ from pyspark.sql import functions as F
 
 from echograms.llm.runtime import cut
 
-WEIGHTS, LIMIT, SEED, SHARD_WORDS = (5, 2, 1), 3, 20240607, 10_000_000
+WEIGHTS, LIMIT, SEED, SHARD_WORDS, BLOCKS_A_SHARD, STEP = (5, 2, 1), 3, 20240607, 10_000_000, 16, 10_000
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """16 bytes that stand for a row: a digest of all its columns."""
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    return F.substring(F.unhex(F.sha2(F.to_json(row).cast("binary"), 256)), 1, 16)
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, limit: float = LIMIT) -> DataFrame:
-    """(source, source_size, n_docs, target) from rows (source, size). Sources are weighed in order of code points, null last.
+    """(source, source_size, n_docs, target) from rows (source, size, times). Sources are weighed in order of code points, null last.
 
     Targets share the sum of all sizes by weight. A target stops at limit times its source's size; the rest is shared again by weight among the
     others. In closed form: in order of cap / weight, sources are at their cap as long as the level that the others would get is above it."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.sum("times").alias("n_docs"))
     ranked = per.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     weighed = ranked.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int"))).withColumn("cap", limit * F.col("source_size"))
     before = Window.orderBy(F.col("cap") / F.col("w"), "k").rowsBetween(Window.unboundedPreceding, -1)
@@ -38,80 +47,87 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, limit: float = LIMIT) -> D
     return leveled.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("w") * final)).select("source", "source_size", "n_docs", "target")
 
 
-def _same_source(a: DataFrame, b: DataFrame) -> Column:
-    return a["source"].eqNullSafe(b["source"])
-
-
-def mix_plan(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: int = SEED, shards: int | None = None, max_blocks: int = 16_384, block_docs: int = 64) -> tuple[DataFrame, DataFrame]:
-    """(documents, blocks). documents: doc_id, size, source, source_size, target, block, row, copies, text_key; blocks: source, block, copy, shard, with copy from 1.
+def mix_plan(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: int = SEED, shards: int | None = None, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(groups, blocks). groups: key, doc_id, source, size, times, source_size, target, block, whole, extra, a row for each distinct row of docs, which is
+    there `times` times; each of these is taken `whole` times, and the first `extra` of them once more. blocks: source, block, copy, shard, copy from 1.
 
-    row numbers the documents of a block. size is the number of words of the text (null: 0). Rows that repeat an id are rows of their own. Documents without words have copies 0 or more
-    and add no words. An empty table gives empty results. shards is a power of two; without it there is one for about SHARD_WORDS words, 16 to 4096."""
+    size is the number of words of the text (null: 0). Rows without words are taken 0 times or more and add no words. Null ids and repeated ids make
+    no difference: every row counts. An empty table gives empty results. shards is a power of two; without it there is one for about shard_words
+    words, 16 at least."""
     if shards is not None and (shards < 1 or shards & (shards - 1)):
         raise ValueError("shards must be a power of two")
-    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("draw"), F.xxhash64("text").alias("text_key"))
-    keyed = cut(keyed, "sizes")
-    targets = cut(source_targets(keyed, weights, limit).withColumn("n_blocks", F.greatest(F.lit(1), F.least(F.ceil(F.col("n_docs") / block_docs), F.ceil(F.lit(max_blocks) * F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy()))))), "targets")
+    keyed = docs.select("doc_id", "source", word_count(docs["text"]).alias("size"), row_key(docs).alias("key"))
+    same = lambda c: F.first(c).alias(c)
+    rows = cut(keyed.groupBy("key").agg(same("doc_id"), same("source"), same("size"), F.count("*").alias("times")).withColumn("draw", F.xxhash64(F.lit(seed), "key")), "sizes")
+    targets = cut(source_targets(rows, weights, limit), "targets")
     known = targets.agg(F.count("*").alias("n"), F.sum("source_size").alias("words")).first()
     if shards is None:
-        shards = min(4096, max(16, 1 << ((known.words or 0) // SHARD_WORDS).bit_length()))
-    t = targets.withColumnRenamed("source", "of")
-    placed = keyed.join(F.broadcast(t) if known.n <= 10_000 else t, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("block", F.pmod("draw", "n_blocks"))
-    per_block = placed.groupBy("source", "block").agg(F.sum("size").alias("block_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    order = Window.partitionBy("source").orderBy("block")
+        shards = max(16, 1 << ((known.words or 0) // shard_words).bit_length())
+    n_blocks = F.least("n_docs", F.ceil(F.lit(shards * BLOCKS_A_SHARD) * F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy())))
+    t = targets.withColumn("n_blocks", n_blocks).withColumnRenamed("source", "of")
+    placed = rows.join(F.broadcast(t) if known.n <= 10_000 else t, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("block", F.pmod("draw", "n_blocks"))
+    words = F.col("size") * F.col("times")
+    per_block = placed.groupBy("source", "block").agg(F.sum(words).alias("block_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    order = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    blocks = per_block.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("ends", F.sum("block_size").over(order)).withColumn("room", F.col("rest") - (F.col("ends") - F.col("block_size")))
+    blocks = per_block.withColumn("whole", whole).withColumn("room", F.col("target") - F.col("whole") * F.col("source_size") - F.coalesce(F.sum("block_size").over(order), F.lit(0)))
     blocks = cut(blocks.select("source", "block", "whole", "block_size", "room"), "blocks")
-    inner = Window.partitionBy("source", "block").orderBy("draw", "doc_id", "text_key")
+    inner = Window.partitionBy("source", "block").orderBy("draw", "key").rowsBetween(Window.unboundedPreceding, -1)
     b = blocks.select(F.col("source").alias("of"), F.col("block").alias("at"), "whole", "room", "block_size")
     joined = placed.join(b, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).drop("of", "at")
-    row = F.row_number().over(inner)  # of equal rows it does not matter which is first
-    middle = F.sum("size").over(inner) - F.col("size") / 2
-    extra = F.when(F.col("room") >= F.col("block_size"), 1).when(F.col("room") <= 0, 0).otherwise((middle <= F.col("room")).cast("int"))
-    documents = joined.withColumn("copies", (F.col("whole") + extra).cast("long")).select("doc_id", "size", "source", "source_size", "target", "block", row.alias("row"), "copies", "text_key")
-    taken = blocks.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + 1))).where("copy <= whole or room > 0 or room >= block_size").withColumn("shard", F.lit(0))
+    left = F.col("room") - F.coalesce(F.sum(words).over(inner), F.lit(0))  # what is left for the first of these rows
+    fitting = F.when(F.col("size") > 0, F.floor(left / F.col("size") + 0.5)).otherwise(F.when(left >= 0, F.col("times")).otherwise(0))
+    extra = F.when(F.col("room") <= 0, 0).when(F.col("room") >= F.col("block_size"), F.col("times")).otherwise(F.least("times", F.greatest(F.lit(0), fitting)))
+    groups = joined.select("key", "doc_id", "source", "size", "times", "source_size", "target", "block", "whole", extra.cast("long").alias("extra"))
+    taken = blocks.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("whole") + 1))).where("copy <= whole or room > 0").withColumn("shard", F.lit(0))
     for level in range(shards.bit_length() - 1):
         node = Window.partitionBy("shard")
         rank = F.row_number().over(node.orderBy(F.xxhash64(F.lit(seed), F.lit(level), "source", "block", "copy"), F.col("source").asc_nulls_last(), "block", "copy"))
         taken = taken.withColumn("rank", rank).withColumn("shard", F.col("shard") * 2 + (F.col("rank") > F.floor((F.count("*").over(node) + 1) / 2)).cast("int")).drop("rank")
-    return documents, taken.select("source", "block", "copy", "shard")
+    return groups, taken.select("source", "block", "copy", "shard")
 
 
-def _drawn(documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The rows of documents (source, block, copies and others) once for each copy that is taken, with copy and its shard in the tree."""
-    b = cut(blocks, "dealt").withColumnsRenamed({"source": "of", "block": "at"})
-    return documents.where("copies > 0").join(b, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")) & (F.col("copy") <= F.col("copies"))).drop("of", "at")
-
+def numbered(rows: DataFrame, times: str) -> DataFrame:
+    """rows, each as often as its column `times` says, with nth from 1; in steps, so that no array grows with it."""
+    far = rows.where(F.col(times) > 0).withColumn("far", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / STEP))))
+    near = F.sequence(F.lit(1).cast("long"), F.least(F.lit(STEP), F.col(times) - F.col("far") * STEP))
+    return far.withColumn("near", F.explode(near)).withColumn("nth", F.col("far") * STEP + F.col("near")).drop("far", "near")
 
-def _order(seed: int) -> Column:
-    """What the copies of a shard are in random order by."""
-    return F.xxhash64(F.lit(seed), "shard", "doc_id", "copy")
 
-
-def draws(documents: DataFrame, blocks: DataFrame, seed: int = SEED) -> DataFrame:
-    """(source, block, row, taken, shards, draws) of the documents of a plan that are taken: the words of their drawn copies, the number of shards that
-    these are in, and for each copy its shard and its place in the random order of that shard, from 1."""
-    place = F.row_number().over(Window.partitionBy("shard").orderBy(_order(seed), "doc_id", "copy", F.col("source").asc_nulls_last(), "block", "row"))
-    placed = _drawn(documents.select("doc_id", "size", "source", "block", "row", "copies"), blocks).withColumn("place", place)
-    return placed.groupBy("source", "block", "row").agg(F.sum("size").alias("taken"), F.count_distinct("shard").alias("shards"), F.sort_array(F.collect_list(F.struct("copy", "shard", "place"))).alias("draws"))
+def draws(groups: DataFrame, blocks: DataFrame, seed: int = SEED) -> DataFrame:
+    """(key, nth, size, copy, shard, turn): the rows of a plan once for each copy that is in a drawn block, with the shard that the tree gives the block;
+    nth counts equal rows. turn is what the rows of a shard are in random order by."""
+    b = cut(blocks, "dealt").withColumnsRenamed({"source": "of", "block": "at"})
+    last = F.col("copy") > F.col("whole")
+    met = groups.join(b, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at"))).withColumn("rows", F.when(last, F.col("extra")).otherwise(F.col("times")))
+    each = numbered(met.select("key", "size", "copy", "shard", "rows"), "rows")
+    return each.select("key", "nth", "size", "copy", "shard", F.xxhash64(F.lit(seed), "shard", "key", "nth", "copy").alias("turn"))
 
 
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: int = SEED, shards: int | None = None) -> DataFrame:
-    """The mix itself: rows of docs, each as often as it is taken, with its shard; partitioned by shard and in random order within each."""
-    documents, blocks = mix_plan(docs, weights, limit, seed, shards)
-    d = documents.where("copies > 0").select("doc_id", "text_key", "source", "block", "copies").distinct()
-    drawn = _drawn(d, blocks).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"), "copy", "shard")
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    full = rows.join(drawn, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")) & rows["source"].eqNullSafe(F.col("_source")))
-    shuffled = full.withColumn("_order", _order(seed))
-    return shuffled.repartition("shard").sortWithinPartitions("shard", "_order").select(*docs.columns, "shard")
+    """The mix itself: rows of docs, each as often as it is taken, partitioned by shard and in random order within each; an output column `shard`
+    takes the place of one of docs. Columns of docs may have any name. Rules for nulls, repeated rows and empty tables are those of mix_plan."""
+    groups, blocks = mix_plan(docs, weights, limit, seed, shards)
+    groups = cut(groups, "plan")
+    drawn = draws(groups, blocks, seed).groupBy("key").agg(F.collect_list(F.struct("shard", "turn")).alias("drawn")) if groups.where("times > 1").isEmpty() else draws(groups, blocks, seed)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), row_key(docs).alias("key"))
+    if "drawn" in drawn.columns:  # no row is repeated: a row's few draws come as one array
+        full = rows.join(drawn, "key").withColumn("d", F.explode("drawn")).select("row", "d.shard", "d.turn")
+    else:
+        full = rows.dropDuplicates(["key"]).join(drawn, "key").select("row", "shard", "turn")
+    shuffled = full.repartition("shard").sortWithinPartitions("shard", "turn")
+    return shuffled.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "shard"], "shard")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    documents, blocks = mix_plan(docs.select("doc_id", "source", "text"))
-    plan = cut(documents, "plan")
-    drawn = draws(plan, blocks).withColumnsRenamed({"source": "of", "block": "at", "row": "nth"})
-    full = plan.join(drawn, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")) & (F.col("row") == F.col("nth")), "left")
+    """A row for each row of documents, with what the shards of the tree take of it. Null texts have size 0, null is a source of its own, null and
+    repeated ids and equal rows are rows of their own, and an empty table gives an empty result. copies: how often the plan takes the row; taken: the
+    words of its copies in drawn blocks; draws: copy, shard and place in the shard's random order of each."""
+    groups, blocks = mix_plan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    plan = cut(groups, "plan")
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("turn", "key", "nth", "copy"))
+    per_row = draws(plan, blocks).withColumn("place", place).groupBy("key", "nth").agg(F.sum("size").alias("taken"), F.count_distinct("shard").alias("shards"), F.sort_array(F.collect_list(F.struct("copy", "shard", "place"))).alias("draws"))
+    copies = F.col("whole") + (F.col("nth") <= F.col("extra")).cast("long")
+    full = numbered(plan, "times").withColumn("copies", copies).join(per_row, ["key", "nth"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return full.select("doc_id", "size", "source_size", "target", zero("taken"), "copies", zero("shards"), F.coalesce("draws", F.array()).alias("draws"))

@@ -27,54 +27,85 @@ def corpus():
     return rows + [(1000 + i, t, "en", "odd") for i, (_, t) in enumerate(odd_rows())]
 
 
-def test_targets_and_taken_words(spark):
-    rows = corpus()
-    docs, blocks = mx.mix_plan(documents(spark, rows), block_docs=16)
-    got = docs.collect()
-    sizes = defaultdict(int)
-    for _, t, _, s in rows:
-        sizes[s] += len(WORDS.findall(t or ""))
-    want = targets(sizes)
-    taken = Counter()
+def query(spark, folder, rows):
+    documents(spark, rows).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    return mx.op2_mixing(spark, str(folder)).collect()
+
+
+def check_taken(rows, got):
+    """Targets equal the plain version; each source's words are within half a document of its target; no row is taken more than 3 times."""
+    sizes, longest, by_id = defaultdict(int), defaultdict(int), {}
+    for i, t, _, s in rows:
+        n = len(WORDS.findall(t or ""))
+        sizes[s] += n
+        longest[s] = max(longest[s], n)
+        by_id[i] = s
+    want, taken = targets(sizes), Counter()
+    assert Counter((r.doc_id, r["size"]) for r in got) == Counter((i, len(WORDS.findall(t or ""))) for i, t, _, s in rows)
     for r in got:
-        assert abs(r.target - want[r.source]) < 1e-6 and r.copies <= 3
-        taken[r.source] += r.size * r.copies
-    longest = max(len(WORDS.findall(t or "")) for _, t, _, s in rows if s != "odd")
-    for s in sizes:
-        assert abs(taken[s] - want[s]) <= (longest if s != "odd" else 3000)
-    again = mx.mix_plan(documents(spark, rows).repartition(5), block_docs=16)[0].collect()
-    assert sorted(map(str, got)) == sorted(map(str, again))
-    per = Counter(r.shard for r in blocks.collect())
+        s = by_id[r.doc_id]
+        assert abs(r.target - want[s]) < 1e-6 and r.source_size == sizes[s] and r.copies <= 3 and r.taken == r["size"] * r.copies == r["size"] * len(r.draws)
+        taken[s] += r.taken
+    assert all(abs(taken[s] - want[s]) <= longest[s] / 2 + 1e-6 for s in sizes)
+
+
+def test_targets_and_taken_words(spark, tmp_path):
+    rows = corpus()
+    got = query(spark, tmp_path / "a", rows)
+    check_taken(rows, got)
+    assert sorted(map(str, got)) == sorted(map(str, query(spark, tmp_path / "b", rows[::-1])))
+    per = Counter(r.shard for r in mx.mix_plan(documents(spark, rows))[1].collect())
     assert len(per) == 16 and max(per.values()) - min(per.values()) <= 1
+    more = mx.mix_plan(documents(spark, rows), shard_words=100)[1].agg({"shard": "max"}).first()[0]
+    assert more >= 127  # nothing caps the number of shards
+
+
+def test_equal_rows_are_rows_of_their_own(spark, tmp_path):
+    rows = [(7, "one two three four five six seven eight", "en", "a")] * 40 + [(100 + i, "w " * 5, "en", "b") for i in range(30)] + [(None, "x y z", "en", "c")] * 9
+    check_taken(rows, query(spark, tmp_path, rows))
+    docs = documents(spark, rows)
+    groups = mx.mix_plan(docs)[0].collect()
+    want = {r.doc_id: r.times * r.whole + r.extra for r in groups if r.source != "b"}
+    mixed = Counter(r.doc_id for r in mx.mixed_rows(docs).collect())
+    assert {i: mixed[i] for i in want} == want and max(want.values()) > 9
+
+
+def test_numbered_goes_in_steps(spark):
+    rows = spark.createDataFrame([("a", mx.STEP * 2 + 3), ("b", 0), ("c", 1)], "k string, n long")
+    got = mx.numbered(rows, "n").groupBy("k").agg({"nth": "max", "k": "count"}).collect()
+    assert sorted(map(tuple, got)) == [("a", mx.STEP * 2 + 3, mx.STEP * 2 + 3), ("c", 1, 1)]
 
 
 def test_mixed_rows_repeat_whole_documents(spark):
     rows = [r for r in corpus() if r[0] < 1000]
-    docs = documents(spark, rows)
-    plan = {r.doc_id: r.copies for r in mx.mix_plan(docs)[0].collect()}
-    mixed = mx.mixed_rows(docs).collect()
+    docs = documents(spark, rows).withColumnsRenamed({"size": "copy", "score": "key", "lang": "row"})
+    plan = {r.doc_id: r.whole + r.extra for r in mx.mix_plan(docs)[0].collect()}
+    mixed = mx.mixed_rows(docs)
+    assert mixed.columns == [*docs.columns, "shard"]
+    mixed = mixed.collect()
     assert Counter(r.doc_id for r in mixed) == Counter({k: v for k, v in plan.items() if v})
     texts = dict((r[0], r[1]) for r in rows)
-    assert all(r.text == texts[r.doc_id] for r in mixed)
+    assert all(r.text == texts[r.doc_id] and (r.copy, r.key, r.row) == ("x", "y", "en") for r in mixed)
 
 
 def test_empty_and_wordless(spark):
     assert mx.mix_plan(documents(spark, []))[0].collect() == []
     only = mx.mix_plan(documents(spark, [(1, None, "en", None), (2, "", "en", "a")]))[0].collect()
-    assert {(r.size, r.target) for r in only} == {(0, 0.0)}
+    assert {(r["size"], r.target, r.whole, r.extra) for r in only} == {(0, 0.0, 0, 0)}
 
 
 def test_query_draws_from_the_tree(spark, tmp_path):
     rows = corpus() + [(2000 + i, t, "en", "wordless") for i, t in enumerate([None, "", " \t"])] + [(None, "no id", "en", "a")] * 2
     documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     got = mx.op2_mixing(spark, str(tmp_path)).collect()
-    mixed = mx.mixed_rows(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()
+    mixed = mx.mixed_rows(spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "source", "text")).collect()
     shards = defaultdict(list)
     for r in mixed:
         shards[r.shard].append(r.doc_id)
     drawn = defaultdict(dict)
+    check_taken(rows, got)
     for r in got:
-        assert [x.copy for x in r.draws] == list(range(1, r.copies + 1)) and r.taken == r.size * len(r.draws)
+        assert [x.copy for x in r.draws] == list(range(1, r.copies + 1)) and r.taken == r["size"] * len(r.draws)
         assert r.shards == len({x.shard for x in r.draws})
         for x in r.draws:
             assert x.place not in drawn[x.shard]
