@@ -57,16 +57,15 @@ def safe_columns(df: DataFrame, *names: str) -> DataFrame:
 
 
 def equal_depth_cuts(df: DataFrame, key: str, parts: int) -> list[int]:
-    """At most `parts` values of the long column key that split the rows into ranges of about equal size. The first is the smallest value.
-
-    Each is a value that occurs. The list is bounded by parts, whatever the table's size."""
+    """At most `parts` values of the long column key that split the rows into ranges of about equal size, in order; a value that fills several ranges
+    comes as often. The first is the smallest value. The list is bounded by parts, whatever the table's size."""
     if parts < 1:
         raise ValueError("parts must be positive")
-    shares = [i / parts for i in range(parts)]
-    row = df.agg(F.min(key).alias("lo"), F.percentile_approx(key, F.array(*[F.lit(s) for s in shares]), 20 * parts).alias("q")).first()
+    shares = [i / parts for i in range(1, parts)]
+    row = df.agg(F.min(key).alias("lo"), F.percentile_approx(key, F.array(*[F.lit(s) for s in shares]), 20 * parts).alias("q") if shares else F.array().alias("q")).first()
     if row.lo is None:
         return []
-    return sorted({row.lo, *row.q})
+    return sorted([row.lo, *row.q])
 
 
 def range_index(key: Column, cuts: list[int]) -> Column:
