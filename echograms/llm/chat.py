@@ -5,20 +5,23 @@ perhaps with backslashes after its first character, one more backslash goes ther
 the template puts them, and rendering can be read back. Control strings have ids of their own after the vocabulary's, so no token crosses a turn.
 
 Turns are dealt by conversation and sorted; a task renders and encodes them in order. A conversation longer than PART characters leaves the task in
-several parts, in order, so memory is bounded however long it is."""
+several numbered parts of whole turns, so memory is bounded however long it is; as control strings always end a token, the parts' ids are those of
+the whole."""
 
 from __future__ import annotations
 
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echograms.llm.tokens import VOCABULARY, encoder, read_vocabulary
+from echograms.llm.tokens import PATTERN, VOCABULARY, encoder, read_vocabulary
 
 #: The control strings, in the order of their ids after the vocabulary.
 CONTROLS = ("[INST]", "[/INST]", "[TURN]", "[/TURN]", "</s>")
@@ -36,52 +39,69 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1\2", text)
 
 
-def render(turns: list[tuple[str, str]]) -> tuple[list[str], list[tuple[int, int]]]:
-    """The pieces of the rendered conversation, controls and texts in turn, and the (start, end) byte spans of assistant texts."""
+def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
+    """The rendered conversation, and the (start, end) byte spans of assistant texts in it."""
     pieces: list[str] = []
     spans: list[tuple[int, int]] = []
     at = 0
     for role, text in turns:
+        head, tail = ("[INST]", "[/INST]") if role == "user" else (f"[TURN]{escape(role)}[/TURN]", "</s>")
         safe = escape(text)
-        own = ["[INST]", safe, "[/INST]"] if role == "user" else ["[TURN]", escape(role), "[/TURN]", safe, "</s>"]
-        body = len(own) - 2
-        for i, piece in enumerate(own):
-            size = len(piece.encode())
-            if i == body and role == "assistant":
-                spans.append((at, at + size))
-            at += size
-        pieces += own
-    return pieces, spans
-
-
-def encode_masked(enc, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, mask): the rendered turns as ids, and 1 for each token inside an assistant's text, found by binary search of token starts in turn spans."""
-    pieces, spans = render(turns)
-    control = {c: enc.size + i for i, c in enumerate(CONTROLS)}
-    parts, lengths = [], []
-    for i, piece in enumerate(pieces):
-        fixed = piece in control  # texts and roles are escaped, so no text equals a control string
-        ids = np.array([control[piece]], dtype=np.uint32) if fixed else enc.ids(piece)
-        parts.append(ids)
-        lengths.append(np.array([len(piece)]) if fixed else enc.lengths[ids])
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-    starts = np.concatenate([[0], np.cumsum(np.concatenate(lengths))[:-1]]) if parts else np.zeros(0, np.int64)
-    begins, ends = np.array([s for s, _ in spans], dtype=np.int64), np.array([e for _, e in spans], dtype=np.int64)
-    turn = np.searchsorted(begins, starts, side="right") - 1
-    mask = (turn >= 0) & (starts < ends[np.maximum(turn, 0)]) if len(begins) else np.zeros(len(ids), bool)
-    return ids, mask.astype(np.uint8)
+        start = at + len(head.encode())
+        end = start + len(safe.encode())
+        if role == "assistant":
+            spans.append((start, end))
+        at = end + len(tail)
+        pieces += (head, safe, tail)
+    return "".join(pieces), spans
+
+
+class Chat:
+    """Encodes rendered conversations: the vocabulary's tokens, and the control strings as tokens of their own."""
+
+    def __init__(self, vocabulary: bytes):
+        enc = encoder(vocabulary)
+        self.bytes = enc.bytes + [c.encode() for c in CONTROLS]
+        self.lengths = np.array([len(x) for x in self.bytes], dtype=np.int64)
+        self.encoding = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=enc.ranks, special_tokens={c: enc.size + i for i, c in enumerate(CONTROLS)})
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, byte offset of each token, and of the end): the tokens spell the text byte for byte, so their lengths add up to the offsets."""
+        ids = np.array(self.encoding.encode(text, allowed_special="all"), dtype=np.uint32)
+        return ids, np.concatenate([[0], np.cumsum(self.lengths[ids])])
+
+    def masked(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, mask) of a whole conversation, rendered and encoded once: 1 for each token that lies in an assistant's text. The tokens of each span are
+        found by binary search of its ends among the token offsets."""
+        text, spans = render(turns)
+        ids, offsets = self.encode(text)
+        bounds = np.array(spans, dtype=np.int64).reshape(-1, 2)
+        edges = np.searchsorted(offsets, bounds)
+        step = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.add.at(step, edges[:, 0], 1)
+        np.add.at(step, edges[:, 1], -1)
+        return ids, np.cumsum(step[:-1]).astype(np.uint8)
+
+    def decode(self, ids: np.ndarray) -> str:
+        return b"".join([self.bytes[i] for i in ids]).decode()
+
+
+@lru_cache(maxsize=2)
+def chat_encoder(vocabulary: bytes) -> Chat:
+    """One for each worker process and vocabulary."""
+    return Chat(vocabulary)
 
 
 def _format(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary.value)
+        chat = chat_encoder(vocabulary.value)
         now, part, size, turns = None, 0, 0, []
         out: list[tuple] = []
 
         def close(final: bool) -> None:
             nonlocal part, size, turns
             if turns:
-                ids, mask = encode_masked(enc, turns)
+                ids, mask = chat.masked(turns)
                 out.append((now[0], part, len(turns), ids.tobytes(), mask.tobytes()))
             part, size, turns = (0 if final else part + 1), 0, []
 
@@ -117,7 +137,8 @@ def format_conversations(conversations: DataFrame, vocabulary: str = VOCABULARY)
     """(conv_id, part, n_turns, ids, loss_mask): ids as little-endian 32-bit integers, loss_mask one byte for each id.
 
     Turns are in order of turn, then role and text where turns tie. Null roles and texts count as empty; rows with a null conv_id are one conversation
-    with that id. Repeated rows are turns of their own. An empty table gives an empty result. Parts of a conversation are in one partition, in order."""
+    with that id. Repeated rows are turns of their own. An empty table gives an empty result. Other columns are ignored. A text of any length is kept
+    whole."""
     ranks = conversations.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     rows = conversations.select(*[conversations[f"`{c}`"].alias(c) for c in ("conv_id", "role", "text", "turn")])
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_format(ranks), FORMATTED)
@@ -128,8 +149,7 @@ _TURN = re.compile(r"\[INST\](.*?)\[/INST\]|\[TURN\](.*?)\[/TURN\](.*?)</s>", re
 
 def _digest(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary.value)
-        table = enc.bytes + [c.encode() for c in CONTROLS]
+        chat = chat_encoder(vocabulary.value)
         state, rows = None, []
 
         def close() -> None:
@@ -148,7 +168,7 @@ def _digest(vocabulary):
                 if part == 0:
                     close()
                     state = {"id": conv, "n": 0, "turns": hashlib.sha256(), "loss": 0, "loss_sha": hashlib.sha256(), "all": 0}
-                text = b"".join([table[i] for i in ids]).decode()
+                text = chat.decode(ids)
                 state["all"] += len(text)
                 for m in _TURN.finditer(text):
                     role, said = ("user", m[1]) if m[2] is None else (unescape(m[2]), unescape(m[3]))
@@ -157,7 +177,7 @@ def _digest(vocabulary):
                     state["turns"].update(f"{role}\n{said}\n".encode())
                 edges = np.flatnonzero(np.diff(mask, prepend=0, append=0))
                 for a, b in edges.reshape(-1, 2):
-                    said = unescape(b"".join([table[i] for i in ids[a:b]]).decode())
+                    said = unescape(chat.decode(ids[a:b]))
                     state["loss"] += len(said)
                     state["loss_sha"].update(said.encode())
             if rows:
@@ -170,12 +190,18 @@ def _digest(vocabulary):
 
 
 def read_back(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Digests of each conversation, from its ids and mask alone: turns parsed from the decoded text, and the text under the mask."""
+    """Digests of each conversation, from its ids and mask alone: turns parsed from the decoded text, and the text under the mask.
+
+    The parts of a conversation are brought together and in order here, so formatted may come from a stored table, dealt in any way."""
     ranks = formatted.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    return formatted.mapInArrow(_digest(ranks), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    columns = [formatted[c] for c in ("conv_id", "part", "n_turns", "ids", "loss_mask")]
+    ordered = formatted.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return ordered.mapInArrow(_digest(ranks), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op8_chat(spark, sf_dir: str) -> DataFrame:
+    """Digests of all conversations and of the planted one, read back from their formatted form. Nulls, ties, repeated rows and empty tables: as in
+    format_conversations; the planted conversation is there in any case."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]").alias("text")
     planted = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said)

@@ -1,7 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Training is follow-the-regularised-leader with elastic-net penalties, over a bounded sample of labelled rows (SAMPLE is its size); document
-frequencies are counted over all rows that may be learned from. A part of the sample is held back to fit one temperature for the probabilities."""
+Training is follow-the-regularised-leader with elastic-net penalties, over a bounded sample of labelled rows: about SAMPLE rows in proportion to the
+languages, and LEAST rows of each language at least, so that rare ones are learned too. Document frequencies are counted over all rows that may be
+learned from. A part of the sample is held back to fit one temperature for the probabilities."""
 
 from __future__ import annotations
 
@@ -10,10 +11,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-BUCKETS, ORDERS, SAMPLE, EPOCHS = 1 << 13, (1, 2, 3), 3000, 3
+BUCKETS, ORDERS, SAMPLE, LEAST, EPOCHS = 1 << 13, (1, 2, 3), 3000, 100, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.02, 0.1
 
 
@@ -109,39 +111,45 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts = [gram_counts(t.as_py()) for t in batch.column(2)]
         at = [np.flatnonzero(c) for c in counts]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([np.minimum(c[a], 65535).astype(np.uint16).tobytes() for c, a in zip(counts, at, strict=True)], pa.binary())], ["draw", "lang", "at", "counts"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([a.astype(np.uint16).tobytes() for a in at], pa.binary()), pa.array([c[a].astype(np.uint32).tobytes() for c, a in zip(counts, at, strict=True)], pa.binary()), batch.column(3)], ["draw", "lang", "at", "counts", "quota"])
 
 
-def learn(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from rows (draw, lang, text): draw is a random number that decides who is in the sample. Languages that are null are left out."""
+def learn(rows: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Model:
+    """A model from rows (draw, lang, text): draw is a random number that decides who is in the sample. Languages that are null are left out, and so are
+    texts without letters; repeated rows count each. Rows that tie in draw are in order of their n-grams. Without rows, all is "und"."""
     eligible = rows.where("lang is not null")
     sums = eligible.select("text").mapInArrow(_sums, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas().set_index("bucket").n
     total = int(sums.get(-1, 0))
     idf = np.log((1 + total) / (1 + sums.drop(-1, errors="ignore").reindex(range(BUCKETS), fill_value=0).to_numpy())) + 1.0
     if not total:
         return Model([], idf, np.zeros((0, BUCKETS)), np.zeros(0))
-    share = min(1.0, 1.2 * sample / total)
-    chosen = eligible.where((F.col("draw") >= -(2.0**63)) & (F.col("draw") <= -(2.0**63) + share * 2.0**64)).where(F.col("text").rlike(r"\p{L}"))
-    got = chosen.select("draw", "lang", "text").mapInArrow(_sparse, "draw long, lang string, at binary, counts binary").orderBy("draw", "lang", "at", "counts").limit(sample).collect()  # at most `sample` rows of at most 32 KB
+    lettered = eligible.where(F.col("text").rlike(r"\p{L}"))
+    quota = F.ceil(F.greatest(F.lit(sample / total) * F.col("n"), F.least("n", F.lit(least))))
+    quotas = lettered.groupBy("lang").agg(F.count("*").alias("n")).withColumn("quota", quota)  # a row for each language
+    share = F.least(F.lit(1.0), 1.2 * F.col("quota") / F.col("n") + 10 / F.col("n"))
+    may = lettered.join(F.broadcast(quotas), "lang").where(F.col("draw") <= -(2.0**63) + share * 2.0**64)
+    first = Window.partitionBy("lang").orderBy("draw", F.xxhash64("at", "counts"))
+    chosen = may.select("draw", "lang", "text", "quota").mapInArrow(_sparse, "draw long, lang string, at binary, counts binary, quota long").withColumn("nth", F.row_number().over(first)).where("nth <= quota")
+    got = chosen.orderBy("draw", "lang", F.xxhash64("at", "counts")).select("lang", "at", "counts").collect()  # about sample rows and least for each language, each of 48 KB at most
     languages = sorted({r.lang for r in got})
     model = Model(languages, idf, np.zeros((len(languages), BUCKETS)), np.zeros(len(languages)))
     data = []
     for r in got:
         counts = np.zeros(BUCKETS, np.int64)
-        counts[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["counts"], np.uint16)
+        counts[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["counts"], np.uint32)
         data.append((*model.features(counts), languages.index(r.lang)))
     return train(languages, idf, data) if data else model
 
 
 def _predict(shared):
+    """Rows whose last column is the text, with lang_pred and score in its place."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
-            at = batch.schema.get_field_index("_text")
-            got = [model.predict(t.as_py()) for t in batch.column(at)]
-            kept = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            names = [n for i, n in enumerate(batch.schema.names) if i != at]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([x for x, _ in got], pa.string()), pa.array([p for _, p in got], pa.float64())], [*names, "lang_pred", "score"])
+            n = batch.num_columns - 1
+            got = [model.predict(t.as_py()) for t in batch.column(n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([x for x, _ in got], pa.string()), pa.array([p for _, p in got], pa.float64())], [*batch.schema.names[:n], "lang_pred", "score"])
 
     return run
 
@@ -156,20 +164,24 @@ def trained_on(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns `keep` of each row of docs, with lang_pred and score (probability). Only the text is looked at, all of it."""
-    rows = docs.select(*[docs[f"`{c}`"] for c in keep], docs["text"].alias("_text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes if n != "_text")
+    """The columns `keep` of each row of docs, with lang_pred and score (probability). Only the text is looked at, all of it.
+
+    Null texts and texts without a letter are "und" with score 0. Repeated rows give repeated results, an empty table an empty one."""
+    rows = docs.select(*[docs[f"`{c}`"] for c in keep], docs["text"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(shared), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(_predict(shared), StructType([*rows.schema.fields[:-1], *StructType.fromDDL("lang_pred string, score double")]))
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
-    """docs without the rows whose language cannot be told: no letter, or a probability below `least`."""
-    found = identify(docs.withColumn("_row", F.struct(*docs.columns)), model, "_row")
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("_row.*")
+    """docs without the rows whose language cannot be told: no letter, or a probability below `least`. All columns are kept, whatever their names; each
+    row is judged by its own text, and an empty table gives an empty result."""
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["text"].alias("text"))
+    return identify(rows, model, "row").where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
+    """Languages of all documents, learned from the rows that may_learn admits. Nulls, empty and long texts, ties, repeated rows and empty tables: as in
+    learn and identify; a row without an id is not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, trained_on(docs), "doc_id")
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -127,4 +127,6 @@ def write_packed(packed: DataFrame, folder: str) -> None:
 
 
 def op6_packed_ids(spark, sf_dir: str) -> DataFrame:
+    """packed_ids of all documents, with its rules for nulls, empty and long texts and repeated rows; documents without an id are packed with a null id,
+    other columns are ignored, and an empty table gives an empty result."""
     return packed_ids(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -69,17 +69,18 @@ def personal_data(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] =
     """docs with spans: array<struct<start, rank, end, kind, score>>, in order of start, then kind.
 
     Null and empty texts have no spans. Kinds are searched on their own, so spans of different kinds may overlap. A match that its test rejects is
-    dropped and not tried again. score is the kind's own plus a bonus if one of its words stands within 40 characters before or 20 after."""
-    t = F.coalesce(docs[f"`{text}`"], F.lit(""))
-    out = docs.withColumn("_t", t)
+    dropped and not tried again. score is the kind's own plus a bonus if one of its words stands within 40 characters before or 20 after. Repeated rows
+    give repeated results, an empty table an empty one. Columns of docs may have any name; one named spans is replaced."""
+    kept = [c for c in docs.columns if c != "spans"]
+    out = docs.select(F.struct(*[docs[f"`{c}`"] for c in kept]).alias("row"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("t"))
     empty = F.array().cast("array<string>")
     for k in kinds:
         pattern, test, _, _ = KINDS[k]
-        hit = F.col("_t").rlike(test)
+        hit = F.col("t").rlike(test)
         if k in ("email", "phone"):
-            hit = F.contains(F.col("_t"), F.lit("@" if k == "email" else "+")) & hit
+            hit = F.contains(F.col("t"), F.lit("@" if k == "email" else "+")) & hit
         out = out.withColumn(f"h_{k}", hit)
-    out = out.withColumns({f"m_{k}": F.when(F.col(f"h_{k}"), F.regexp_extract_all("_t", F.lit(KINDS[k][0]), F.lit(0))).otherwise(empty) for k in kinds} | {f"p_{k}": F.when(F.col(f"h_{k}"), F.split("_t", KINDS[k][0], -1)).otherwise(empty) for k in kinds})
+    out = out.withColumns({f"m_{k}": F.when(F.col(f"h_{k}"), F.regexp_extract_all("t", F.lit(KINDS[k][0]), F.lit(0))).otherwise(empty) for k in kinds} | {f"p_{k}": F.when(F.col(f"h_{k}"), F.split("t", KINDS[k][0], -1)).otherwise(empty) for k in kinds})
     out = out.withColumns({f"s_{k}": _places(k) for k in kinds})
 
     def spans(k: str) -> Column:
@@ -90,11 +91,11 @@ def personal_data(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] =
             near = F.right(F.get(p, i), F.lit(BEFORE)).rlike(words) | F.left(F.get(p, i + 1), F.lit(AFTER)).rlike(words)
             return F.struct(F.get(s, i).alias("start"), F.lit(list(KINDS).index(k)).alias("rank"), (F.get(s, i) + F.length(value)).alias("end"), F.lit(k).alias("kind"), (F.lit(score) + F.when(near, BONUS).otherwise(0.0)).alias("score"), _confirmed(k, value).alias("ok"))
 
-        kept = F.filter(F.transform(m, span), lambda x: x["ok"])
-        slim = F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["score"].alias("score")))
+        confirmed = F.filter(F.transform(m, span), lambda x: x["ok"])
+        slim = F.transform(confirmed, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["score"].alias("score")))
         return F.when(F.size(m) == 0, F.array().cast(f"array<{SPAN}>")).otherwise(slim.cast(f"array<{SPAN}>"))
 
-    return out.select(*docs.columns, F.sort_array(F.flatten(F.array(*[spans(k) for k in kinds]))).alias("spans"))
+    return out.select(*[F.col("row")[c].alias(c) for c in kept], F.sort_array(F.flatten(F.array(*[spans(k) for k in kinds]))).alias("spans"))
 
 
 def redacted(found: DataFrame, text: str = "text", least: float = 0.0) -> Column:
@@ -112,6 +113,7 @@ def _listed(spans: Column) -> Column:
 
 
 def op9_personal_data(spark, sf_dir: str) -> DataFrame:
+    """Counts and spans of all documents, with personal_data's rules for nulls, long texts, ties, repeated rows and empty tables."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = personal_data(docs)
     s = F.col("spans")

@@ -51,11 +51,6 @@ def bit_table(df: DataFrame, column: str, n: int) -> Bits:
     return bits
 
 
-def safe_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns, whatever else df carries."""
-    return df.select(*[df[f"`{n}`"].alias(n) for n in names])
-
-
 def equal_depth_cuts(df: DataFrame, key: str, parts: int) -> list[int]:
     """At most `parts` values of the long column key that split the rows into ranges of about equal size, in order; a value that fills several ranges
     comes as often. The first is the smallest value. The list is bounded by parts, whatever the table's size."""

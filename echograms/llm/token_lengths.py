@@ -48,5 +48,30 @@ def context_report(histogram: DataFrame) -> DataFrame:
     return full.select("n_tokens", "n_docs", "docs_longer", "tokens_longer", truncated.alias("truncated_total"), ((F.col("all_docs") - F.col("docs_longer")) / F.col("all_docs")).alias("share_within"))
 
 
+def context_limits(report: DataFrame, limits: list[int]) -> DataFrame:
+    """(context_limit, docs_longer, tokens_longer, truncated_total) for each of some limits, whether such a length occurs or not, from the row of context_report
+    that is next below. No rows in the report, no rows here."""
+    facts = F.struct("n_tokens", "n_docs", "docs_longer", "tokens_longer", "truncated_total")
+    below = [F.max(F.when(F.col("n_tokens") <= at, facts)).alias(f"b{i}") for i, at in enumerate(limits)]
+    row = report.agg(F.min(facts).alias("least"), *below)
+    least = F.col("least")
+    every = least["docs_longer"] + least["n_docs"]
+
+    def answer(at, found):
+        longer, tokens = F.coalesce(found["docs_longer"], every), F.coalesce(found["tokens_longer"], least["tokens_longer"] + least["n_tokens"] * least["n_docs"])
+        total = least["truncated_total"] - least["n_tokens"] * least["docs_longer"] + least["tokens_longer"]  # all tokens
+        return F.struct(F.lit(at).cast("long").alias("context_limit"), longer.alias("docs_longer"), tokens.alias("tokens_longer"), (total - tokens + at * longer).alias("truncated_total"))
+
+    return row.where("least is not null").select(F.inline(F.array(*[answer(at, F.col(f"b{i}")) for i, at in enumerate(limits)])))
+
+
+def length_quantiles(report: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, n_tokens): the least length that at least this share of the documents does not exceed. No rows in the report: null lengths."""
+    found = [F.struct(F.lit(float(q)).alias("share"), F.min(F.when(F.col("share_within") >= q, F.col("n_tokens"))).alias("n_tokens")) for q in shares]
+    return report.agg(F.array(*found).alias("x")).select(F.inline("x"))
+
+
 def op10_token_lengths(spark, sf_dir: str) -> DataFrame:
+    """context_report of all documents: null and empty texts have 0 tokens, repeated rows count each, other columns are ignored, an empty table gives an
+    empty result."""
     return context_report(cut(length_histogram(spark.read.parquet(f"{sf_dir}/documents.parquet")), "lengths"))

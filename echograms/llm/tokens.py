@@ -40,8 +40,8 @@ class Encoder:
 
     def __init__(self, vocabulary: bytes):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
+        self.ranks, self.size = ranks, max(ranks.values()) + 1
         self.plain = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.size = max(ranks.values()) + 1
         self.bytes = [b""] * self.size
         for token, i in ranks.items():
             self.bytes[i] = token

@@ -55,6 +55,14 @@ def test_empty_table(spark):
     assert pii.personal_data(documents(spark, [])).collect() == []
 
 
+def test_columns_named_like_internal_ones(spark):
+    docs = documents(spark, [(1, "a@b.cd"), (None, None)]).withColumnsRenamed({"size": "t", "score": "m_email", "lang": "row", "source": "h_ip", "n_chars": "spans"})
+    found = pii.personal_data(docs)
+    assert sorted(found.columns) == sorted(docs.columns)
+    got = {r.doc_id: r for r in found.collect()}
+    assert (got[1].t, got[1].m_email, got[1].row, got[1].h_ip) == ("x", "y", "en", "s") and [x.kind for x in got[1].spans] == ["email"] and got[None].spans == []
+
+
 def test_native_plan(spark):
     plan = pii.personal_data(documents(spark, [(1, "a")])).select(F.size("spans"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

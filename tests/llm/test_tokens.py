@@ -86,3 +86,20 @@ def test_empty_tables(spark):
     assert packing.packed_ids(documents(spark, [])).collect() == []
     assert token_lengths.context_report(token_lengths.length_histogram(documents(spark, []))).collect() == []
     assert packing.packed_ids(documents(spark, [(1, None), (2, "")])).collect() == []
+
+
+def test_limits_and_quantiles(spark):
+    rng = random.Random(9)
+    lengths = [rng.choice([0, 3, 5, 8, 300, 700]) for _ in range(60)]
+    counts = Counter(lengths)
+    report = token_lengths.context_report(spark.createDataFrame(list(counts.items()), "n_tokens long, n_docs long"))
+    limits = [0, 1, 3, 4, 299, 300, 5000]
+    for r in token_lengths.context_limits(report, limits).collect():
+        at = r.context_limit
+        assert (r.docs_longer, r.tokens_longer, r.truncated_total) == (sum(n > at for n in lengths), sum(n for n in lengths if n > at), sum(min(n, at) for n in lengths))
+    bigger = token_lengths.context_report(spark.createDataFrame([(4, 2), (9, 1)], "n_tokens long, n_docs long"))
+    assert [tuple(r) for r in token_lengths.context_limits(bigger, [2]).collect()] == [(2, 3, 17, 6)]
+    for r in token_lengths.length_quantiles(report, [0.0, 0.25, 0.5, 1.0]).collect():
+        assert r.n_tokens == min(n for n in lengths if sum(x <= n for x in lengths) >= r.share * len(lengths))
+    none = token_lengths.context_report(spark.createDataFrame([], "n_tokens long, n_docs long"))
+    assert token_lengths.context_limits(none, [1]).collect() == [] and token_lengths.length_quantiles(none, [0.5]).first().n_tokens is None
