@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from echograms.functions.suffix_kernels import SuffixOrder, text_runs
+
 
 def symbols(texts: DataFrame) -> DataFrame:
     """(text_id, pos, sym) for every character."""
@@ -40,10 +44,20 @@ def bwt_symbols(suffixes: DataFrame, texts: DataFrame) -> DataFrame:
     return suffixes.select("text_id", "rank", F.when(F.col("left") == "", F.lit("\u0000")).otherwise(F.col("left")).alias("sym")).union(last)
 
 
-def lcp_counts(suffixes: DataFrame) -> DataFrame:
-    """(text_id, lcp, n): the multiset of common prefixes of neighbours (the last rank has none)."""
-    last = Window.partitionBy("text_id")
-    return suffixes.withColumn("top", F.max("rank").over(last)).where("rank < top").groupBy("text_id", "lcp").agg(F.count("*").alias("n"))
+def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, _, texts in text_runs(batch, 1):
+            order = SuffixOrder(texts)
+            text, prefixes = order.text[order.order], order.common_prefixes()
+            inner = np.concatenate([text[1:] == text[:-1], [False]]) if len(text) else np.zeros(0, bool)  # the last rank of a text has no neighbour
+            wide = int(prefixes.max(initial=0)) + 1
+            keys, n = np.unique(text[inner] * wide + prefixes[inner], return_counts=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a).take(pa.array(keys // wide)), pa.array(keys % wide), pa.array(n)], ["text_id", "lcp", "n"])
+
+
+def lcp_counts(texts: DataFrame) -> DataFrame:
+    """(text_id, lcp, n): the multiset of common prefixes of neighbours in each text's suffix order (the last rank has none). One map pass."""
+    return texts.select("text_id", "body").mapInArrow(_prefix_counts, "text_id long, lcp long, n long")
 
 
 def lcp_array(counts: DataFrame) -> DataFrame:

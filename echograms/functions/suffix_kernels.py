@@ -111,6 +111,83 @@ class SuffixOrder:
         before[self.offsets[:-1][np.diff(self.offsets) > 0]] = 0xFFFFFFFF
         return before[self.order]
 
+    def transforms(self) -> list[tuple[str, int]]:
+        """For each text, of sorted rotations: their last characters in order, and the rank of the text itself."""
+        last = self.points[np.where(self.order == self.begins[self.order], self.ends[self.order], self.order) - 1] if len(self.order) else self.points
+        first = np.flatnonzero(self.position == 0)
+        rank = dict(zip(self.text[self.order[first]].tolist(), first.tolist(), strict=True))
+        bounds = zip(self.offsets.tolist(), self.offsets[1:].tolist(), strict=False)
+        return [(last[a:b].tobytes().decode("utf-32-le"), rank.get(i, 0) - a) for i, (a, b) in enumerate(bounds)]
+
+    def longest_starts(self) -> np.ndarray:
+        """For each place the longest string that starts there and at another place of its group."""
+        prefixes = self.common_prefixes()
+        out = np.zeros(len(prefixes), dtype=np.int64)
+        out[self.order] = np.maximum(prefixes, np.concatenate([[0], prefixes[:-1]])) if len(prefixes) else prefixes
+        return out
+
+    def matches(self, others: np.ndarray) -> np.ndarray:
+        """For each place the longest string that starts there and somewhere in the texts of its group that `others` marks (a flag for each text).
+
+        The longest match is with the nearest suffix of such a text above or below, and is the least common prefix on the way there; where none is left
+        in the group, the way crosses the group's edge, whose common prefix is 0."""
+        prefixes, marked = self.common_prefixes(), others[self.text[self.order]]
+        n = len(prefixes)
+        out = np.zeros(n, dtype=np.int64)
+        if n:
+            seen, coming = np.cumsum(marked), np.cumsum(marked[::-1])
+            above = np.where(seen > 0, _least_since(np.concatenate([[0], prefixes[:-1]]), seen), 0)
+            below = np.where(coming > 0, _least_since(prefixes[::-1], coming), 0)[::-1]
+            out[self.order] = np.maximum(above, below)
+        return out
+
+
+def _least_since(values: np.ndarray, run: np.ndarray) -> np.ndarray:
+    """Running minimum of values that starts anew after each place where `run`, a count that only grows, has grown: that place's own value is not part of it."""
+    grown = np.diff(run, prepend=0) > 0
+    wide = int(values.max(initial=0)) + 1
+    return np.minimum.accumulate(np.where(grown, wide, values) - run * (wide + 1)) + run * (wide + 1)
+
+
+def spread(lengths: np.ndarray) -> np.ndarray:
+    """For each place p the largest lengths[q] of any q with q <= p < q + lengths[q]; 0 where none reaches. Ends q + lengths[q] must not go back, as is so for
+    longest matches; then the q that reach p are a run that ends at p, and its maximum comes from two overlapping runs of a power of two."""
+    n = len(lengths)
+    at = np.arange(n)
+    first = np.searchsorted(at + lengths, at, side="right")
+    width = at - first + 1
+    out, best, step = np.zeros(n, dtype=np.int64), lengths.astype(np.int64), 1
+    while step <= width.max(initial=0):  # best[i] is the maximum of lengths[i : i + step]
+        now = np.flatnonzero((width >= step) & (width < 2 * step))
+        out[now] = np.maximum(best[first[now]], best[at[now] - step + 1])
+        best = np.maximum(best[:-step], best[step:])
+        step *= 2
+    return out
+
+
+def peaks(prefixes: np.ndarray, lefts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(length, first rank, rank after the last) of every supermaximal repeat: runs of equal common prefixes above both neighbours, whose suffixes are
+    all preceded by different characters."""
+    n = len(prefixes)
+    none = np.zeros(0, np.int64)
+    if not n:
+        return none, none, none
+    first = np.flatnonzero(np.concatenate([[True], prefixes[1:] != prefixes[:-1]]))
+    stop = np.append(first[1:], n)
+    high = prefixes[first]
+    before, after = np.where(first > 0, prefixes[first - 1], 0), np.where(stop < n, prefixes[np.minimum(stop, n - 1)], 0)
+    keep = (high >= max(1, least)) & (high > before) & (high > after)
+    first, stop, high = first[keep], stop[keep] + 1, high[keep]
+    size = stop - first
+    run = np.repeat(np.arange(len(first)), size)
+    member = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first, size)
+    order = np.lexsort((lefts[member], run))
+    r, x = run[order], lefts[member][order]
+    same = np.flatnonzero((r[1:] == r[:-1]) & (x[1:] == x[:-1]))
+    varied = np.ones(len(first), dtype=bool)
+    varied[r[same]] = False
+    return high[varied], first[varied], stop[varied]
+
 
 def repeat_intervals(prefixes: np.ndarray, lefts: np.ndarray, least: int) -> list[tuple[int, int, int]]:
     """(length, first rank, occurrences) of every maximal repeat of one group: maximal runs of ranks whose neighbours share at least `length`

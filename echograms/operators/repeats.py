@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echograms.functions.suffix_kernels import SuffixOrder, repeat_intervals, text_runs
+from echograms.functions.suffix_kernels import SuffixOrder, peaks, repeat_intervals, spread, text_runs
 
-REPEATS = "text_id long, pattern string, len long, occs long, first_rank long, n_left long, n_right long"
+REPEATS = "text_id long, pattern string, len long, occs long, first_rank long, first_pos long, n_left long, n_right long"
 
 
 def _repeats(least: int, with_pattern: bool, paired: bool):
@@ -34,18 +34,18 @@ def _repeats(least: int, with_pattern: bool, paired: bool):
                         of = both[order.text[start]]
                         at = start - int(order.offsets[order.text[start]])
                         right = int(side[first + n] - side[first])
-                        rows.append((ids[a + i], of[at : at + length] if with_pattern else None, length, n, first, n - right, right))
-                kinds = (pa.int64(), pa.string(), *[pa.int64()] * 5)
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["text_id", "pattern", "len", "occs", "first_rank", "n_left", "n_right"])
+                        rows.append((ids[a + i], of[at : at + length] if with_pattern else None, length, n, first, at, n - right, right))
+                kinds = (pa.int64(), pa.string(), *[pa.int64()] * 6)
+                columns = list(zip(*rows, strict=True)) or [[]] * 8
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["text_id", "pattern", "len", "occs", "first_rank", "first_pos", "n_left", "n_right"])
 
     return run
 
 
 def maximal_repeats(texts: DataFrame, least: int = 1, with_pattern: bool = True) -> DataFrame:
-    """(text_id, pattern, len, occs, first_rank) of every maximal repeat of each text: it occurs at least twice, and its occurrences are not all
+    """(text_id, pattern, len, occs, first_rank, first_pos) of every maximal repeat of each text: it occurs at least twice, and its occurrences are not all
     preceded, nor all followed, by the same character (the ends of a text differ from all characters). Its occurrences are the suffixes with
-    ranks first_rank to first_rank + occs - 1. with_pattern=False leaves the pattern null, as long repeats nested in each other add up."""
+    ranks first_rank to first_rank + occs - 1, and first_pos is the place of the first of these. with_pattern=False leaves the pattern null, as long repeats nested in each other add up."""
     return texts.select("text_id", "body").mapInArrow(_repeats(least, with_pattern, False), REPEATS).drop("n_left", "n_right")
 
 
@@ -67,21 +67,24 @@ def occurrences(repeats: DataFrame, suffixes: DataFrame) -> DataFrame:
     return ranks.join(suffixes.select("text_id", "rank", "pos"), ["text_id", "rank"]).drop("rank")
 
 
-def supermaximal_repeats(suffixes: DataFrame, least: int = 1) -> DataFrame:
+def _supermaximal(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, texts in text_runs(batch, 1):
+                order = SuffixOrder(texts)
+                length, first, stop = peaks(order.common_prefixes(), order.lefts(), least)
+                text = order.text[order.order[first]]
+                pos = np.minimum.reduceat(np.append(order.position, 0), np.stack([first, stop], axis=1).ravel())[::2] if len(first) else first
+                ids = batch.column(0).slice(a).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(length), pa.array(stop - first), pa.array(first - order.offsets[text]), pa.array(pos)], ["text_id", "len", "occs", "first_rank", "first_pos"])
+
+    return run
+
+
+def supermaximal_repeats(texts: DataFrame, least: int = 1) -> DataFrame:
     """(text_id, len, occs, first_rank, first_pos) of every repeat that is not part of another: a run of equal common prefixes that is higher than
-    both its neighbours, whose occurrences are all preceded by different characters."""
-    w = Window.partitionBy("text_id").orderBy("rank")
-    around = suffixes.withColumns({"before": F.lag("lcp", 1, 0).over(w), "after": F.lead("lcp", 1, 0).over(w), "next_left": F.lead("left").over(w), "next_pos": F.lead("pos").over(w)})
-    island = F.col("rank") - F.row_number().over(Window.partitionBy("text_id", "lcp").orderBy("rank"))
-    high = around.where(F.col("lcp") >= least).withColumn("island", island)
-    last = lambda c: F.max_by(c, "rank")
-    runs = high.groupBy("text_id", F.col("lcp").alias("len"), "island").agg(
-        F.min("rank").alias("first_rank"), (F.count("*") + 1).alias("occs"), F.min_by("before", "rank").alias("before"), last("after").alias("after"),
-        F.collect_set("left").alias("lefts"), last("next_left").alias("last_left"), F.least(F.min("pos"), last("next_pos")).alias("first_pos"),
-    )
-    peaks = runs.where((F.col("len") > F.col("before")) & (F.col("len") > F.col("after")))
-    varied = (F.size("lefts") == F.col("occs") - 1) & ~F.array_contains("lefts", F.col("last_left"))
-    return peaks.where(varied).select("text_id", "len", "occs", "first_rank", "first_pos")
+    both its neighbours, whose occurrences are all preceded by different characters. first_pos is its earliest place. One map pass."""
+    return texts.select("text_id", "body").mapInArrow(_supermaximal(least), "text_id long, len long, occs long, first_rank long, first_pos long")
 
 
 def with_pattern(repeats: DataFrame, texts: DataFrame) -> DataFrame:
@@ -98,10 +101,49 @@ def longest_previous(repeats: DataFrame, suffixes: DataFrame) -> DataFrame:
     return suffixes.select("text_id", "pos").join(best, ["text_id", "pos"], "left").select("text_id", "pos", F.coalesce("best.len", F.lit(0)).alias("len"), F.coalesce("best.delta", F.lit(0)).alias("delta"))
 
 
-def longest_starts(suffixes: DataFrame) -> DataFrame:
-    """(text_id, pos, len): the longest repeat that starts at each position."""
-    w = Window.partitionBy("text_id").orderBy("rank")
-    return suffixes.select("text_id", "pos", F.greatest("lcp", F.lag("lcp", 1, 0).over(w)).alias("len"))
+def _starts(ends: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, _, texts in text_runs(batch, 1):
+                order = SuffixOrder([t[::-1] for t in texts] if ends else texts)
+                pos = np.arange(len(order.text)) - order.begins
+                ids = batch.column(0).slice(a).take(pa.array(order.text))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(order.ends - order.begins - 1 - pos if ends else pos), pa.array(order.longest_starts())], ["text_id", "pos", "len"])
+
+    return run
+
+
+def longest_starts(texts: DataFrame) -> DataFrame:
+    """(text_id, pos, len): the longest repeat that starts at each position. One map pass."""
+    return texts.select("text_id", "body").mapInArrow(_starts(False), "text_id long, pos long, len long")
+
+
+def longest_ends(texts: DataFrame) -> DataFrame:
+    """(text_id, pos, len): the longest repeat that ends with each position; the same question on the reversed text."""
+    return texts.select("text_id", "body").mapInArrow(_starts(True), "text_id long, pos long, len long")
+
+
+def _covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, _, texts in text_runs(batch, 1):
+            order = SuffixOrder(texts)
+            cover = spread(order.longest_starts())
+            new = np.flatnonzero(np.concatenate([[True], (cover[1:] != cover[:-1]) | (order.text[1:] != order.text[:-1])])) if len(cover) else np.zeros(0, np.int64)
+            stop = np.append(new[1:], len(cover)) if len(new) else new
+            begins = order.begins[new]
+            ids = batch.column(0).slice(a).take(pa.array(order.text[new]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(new - begins), pa.array(stop - begins), pa.array(cover[new])], ["text_id", "start", "end", "cover"])
+
+
+def covered_runs(texts: DataFrame) -> DataFrame:
+    """(text_id, start, end, cover): every text in runs of positions, cover being the length of the longest repeat over each position of the run. One map
+    pass; a row for each run, not for each character."""
+    return texts.select("text_id", "body").mapInArrow(_covered, "text_id long, start long, end long, cover long")
+
+
+def covered_positions(runs: DataFrame) -> DataFrame:
+    """(text_id, pos, cover): runs spread over their positions."""
+    return runs.select("text_id", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"), "cover")
 
 
 def coverage(starts: DataFrame) -> DataFrame:
@@ -120,11 +162,13 @@ def maximal_intervals(intervals: DataFrame, *keys: str) -> DataFrame:
     return widest.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("end") > F.col("reach"))).drop("reach")
 
 
-def fragments(covered: DataFrame, texts: DataFrame, keep: Column) -> DataFrame:
-    """(text_id, start, len, body): maximal runs of positions where `keep` (a test of cover) holds."""
-    w = Window.partitionBy("text_id").orderBy("pos")
-    runs = covered.where(keep).withColumn("run", F.col("pos") - F.row_number().over(w)).groupBy("text_id", "run").agg(F.min("pos").alias("start"), F.count("*").alias("len"))
-    return runs.join(texts, "text_id").select("text_id", "start", "len", F.substring("body", (F.col("start") + 1).cast("int"), F.col("len").cast("int")).alias("body"))
+def fragments(runs: DataFrame, texts: DataFrame, keep: Column) -> DataFrame:
+    """(text_id, start, len, body): maximal runs of positions where `keep` (a test of cover) holds, from covered_runs."""
+    w = Window.partitionBy("text_id").orderBy("start")
+    held = runs.where(keep).withColumn("before", F.lag("end").over(w))
+    joined = held.withColumn("run", F.sum(F.when(F.col("before") == F.col("start"), 0).otherwise(1)).over(w)).groupBy("text_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    size = F.col("end") - F.col("start")
+    return joined.join(texts, "text_id").select("text_id", "start", size.alias("len"), F.substring("body", (F.col("start") + 1).cast("int"), size.cast("int")).alias("body"))
 
 
 def repeat_histogram(repeats: DataFrame) -> DataFrame:

@@ -30,24 +30,32 @@ def _pair_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def pair_suffixes(texts: DataFrame, relation: DataFrame) -> DataFrame:
     """(base_id, other_id, rank, is_other, pos, lcp, left): the suffixes of both texts of each pair in one order; of equal ones the base's come first."""
+    return _joined(texts, relation).mapInArrow(_pair_suffixes, "base_id long, other_id long, rank long, is_other boolean, pos long, lcp long, left string")
+
+
+def _joined(texts: DataFrame, relation: DataFrame) -> DataFrame:
+    """(base_id, other_id, base, other) for each pair of a relation."""
     t = texts.select("text_id", "body")
-    pairs = relation.join(t.select(F.col("text_id").alias("base_id"), F.col("body").alias("base")), "base_id").join(t.select(F.col("text_id").alias("other_id"), F.col("body").alias("other")), "other_id")
-    return pairs.select("base_id", "other_id", "base", "other").mapInArrow(_pair_suffixes, "base_id long, other_id long, rank long, is_other boolean, pos long, lcp long, left string")
+    return relation.join(t.select(F.col("text_id").alias("base_id"), F.col("body").alias("base")), "base_id").join(t.select(F.col("text_id").alias("other_id"), F.col("body").alias("other")), "other_id").select("base_id", "other_id", "base", "other")
+
+
+def _matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seconds = batch.column(3).to_pylist()
+        for a, _, texts in text_runs(batch, 2):
+            both = [t for i, x in enumerate(texts) for t in (x, seconds[a + i] or "")]
+            order = SuffixOrder(both, [i // 2 for i in range(len(both))])
+            base = np.flatnonzero(order.text % 2 == 0)
+            pair = pa.array(order.text[base] // 2)
+            length = order.matches(np.arange(len(both)) % 2 == 1)[base]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a).take(pair), batch.column(1).slice(a).take(pair), pa.array(base - order.begins[base]), pa.array(length)], ["base_id", "other_id", "pos", "len"])
 
 
 def matching_statistics(texts: DataFrame, relation: DataFrame) -> DataFrame:
     """(base_id, other_id, pos, len) for each position of each base text: how long a prefix of what starts there occurs in the other text.
 
-    The suffixes of both texts are sorted together; the longest match of a suffix is with the nearest suffix of the other text above or below it,
-    and is the least common prefix on the way there."""
-    rows = pair_suffixes(texts, relation)
-    down = Window.partitionBy("base_id", "other_id").orderBy("rank")
-    up = Window.partitionBy("base_id", "other_id").orderBy(F.col("rank").desc())
-    seen = F.col("is_other").cast("int")
-    marked = rows.withColumn("before", F.when(F.col("is_other"), None).otherwise(F.lag("lcp", 1, 0).over(down))).withColumn("after", F.when(F.col("is_other"), None).otherwise(F.col("lcp"))).withColumn("g_down", F.sum(seen).over(down)).withColumn("g_up", F.sum(seen).over(up))
-    least = lambda c, g, o: F.min(c).over(Window.partitionBy("base_id", "other_id", g).orderBy(o))
-    both = marked.withColumn("m_down", F.when(F.col("g_down") > 0, least("before", "g_down", F.col("rank"))).otherwise(0)).withColumn("m_up", F.when(F.col("g_up") > 0, least("after", "g_up", F.col("rank").desc())).otherwise(0))
-    return both.where("not is_other").select("base_id", "other_id", "pos", F.greatest("m_down", "m_up").alias("len"))
+    The suffixes of both texts are sorted together where the pair is; nothing but the texts is shuffled."""
+    return _joined(texts, relation).mapInArrow(_matches, "base_id long, other_id long, pos long, len long")
 
 
 def fold(statistics: DataFrame, how: str) -> DataFrame:
@@ -61,11 +69,10 @@ def running_fold(statistics: DataFrame, order: DataFrame) -> DataFrame:
     return statistics.join(order, ["base_id", "other_id"]).select("base_id", "pos", "step", F.min("len").over(w).alias("held_by_all"), F.max("len").over(w).alias("held_by_any"))
 
 
-def exclusive(repeats: DataFrame, suffixes: DataFrame, others: DataFrame) -> DataFrame:
-    """Repeats (with first_rank) of a base text that occur in none of its others; others is fold(..., "any")."""
-    start = suffixes.select("text_id", F.col("rank").alias("first_rank"), "pos")
-    found = repeats.join(start, ["text_id", "first_rank"]).join(others.select(F.col("base_id").alias("text_id"), "pos", F.col("len").alias("held")), ["text_id", "pos"], "left")
-    return found.where(F.coalesce("held", F.lit(0)) < F.col("len")).drop("held", "pos")
+def exclusive(repeats: DataFrame, others: DataFrame) -> DataFrame:
+    """Repeats (with first_pos) of a base text that occur in none of its others; others is fold(..., "any")."""
+    held = others.select(F.col("base_id").alias("text_id"), F.col("pos").alias("first_pos"), F.col("len").alias("held"))
+    return repeats.join(held, ["text_id", "first_pos"], "left").where(F.coalesce("held", F.lit(0)) < F.col("len")).drop("held")
 
 
 def common_substrings(texts: DataFrame, everywhere: DataFrame, least: int = 1) -> DataFrame:

@@ -54,11 +54,17 @@ def capped_lcp(suffixes: DataFrame, cap: int = 255) -> DataFrame:
     return suffixes.withColumn("lcp", F.least("lcp", F.lit(cap).cast("long")))
 
 
+def _transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, texts in text_runs(batch, 1):
+            done = SuffixOrder(texts, rotations=True).transforms()
+            full = pa.array([i for i, t in enumerate(texts) if t], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([x for x, _ in done], pa.string()), pa.array([r for _, r in done], pa.int64())], ["text_id", "bwt", "prim"]).take(full)
+
+
 def burrows_wheeler(texts: DataFrame) -> DataFrame:
-    """(text_id, bwt, prim): characters before the sorted rotations, and the rank of the text itself."""
-    rows = suffix_array(texts, rotations=True).join(texts.select("text_id", F.right("body", F.lit(1)).alias("last")), "text_id")
-    pair = F.struct("rank", F.when(F.col("pos") == 0, F.col("last")).otherwise(F.col("left")).alias("sym"))
-    return rows.groupBy("text_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda x: x["sym"]), "").alias("bwt"), F.max(F.when(F.col("pos") == 0, F.col("rank"))).alias("prim"))
+    """(text_id, bwt, prim): characters before the sorted rotations, and the rank of the text itself; empty texts have no row. One map pass."""
+    return texts.select("text_id", "body").mapInArrow(_transform, "text_id long, bwt string, prim long")
 
 
 def _unwind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,7 +139,7 @@ def long_maximal_repeats(spark, d):
 
 @query()
 def document_maximal_repeats(spark, d):
-    return repeats.maximal_repeats(_docs(spark, d), 8, with_pattern=False).drop("pattern")
+    return repeats.maximal_repeats(_docs(spark, d), with_pattern=False).drop("pattern")
 
 
 SUPER = "sup as (select m.* from mrs m where not exists (select 1 from mrs o where o.text_id = m.text_id and o.len > m.len and contains(o.w, m.w)))"
@@ -148,13 +148,13 @@ SUPER = "sup as (select m.* from mrs m where not exists (select 1 from mrs o whe
 @query(f"with {SUBS}, {SUPER} select text_id, w pattern, len, occs from sup")
 def supermaximal_repeats(spark, d):
     items = _items(spark, d)
-    found = repeats.supermaximal_repeats(suffixes.suffix_array(items))
+    found = repeats.supermaximal_repeats(items)
     return repeats.with_pattern(found, items).select("text_id", "pattern", "len", "occs")
 
 
 @query()
 def document_supermaximal_repeats(spark, d):
-    return repeats.supermaximal_repeats(suffixes.suffix_array(_docs(spark, d)), 8)
+    return repeats.supermaximal_repeats(_docs(spark, d))
 
 
 @query(f"with {SUBS} select len, occs, count(*) patterns from mrs group by len, occs")
@@ -221,21 +221,20 @@ COVER = f"{CORE}, {LONGEST}, cov as (select a.text_id, a.pos, coalesce(max(b.len
 
 @query(f"with {COVER} select text_id, pos, cover from cov")
 def repeat_coverage(spark, d):
-    return repeats.coverage(repeats.longest_starts(suffixes.suffix_array(_items(spark, d))))
+    return repeats.covered_positions(repeats.covered_runs(_items(spark, d)))
 
 
 @query()
 def document_repeat_coverage(spark, d):
     """Per document: how many characters repeats of at least 8, 32 and 128 characters cover."""
-    cover = repeats.coverage(repeats.longest_starts(suffixes.suffix_array(_docs(spark, d))))
-    return cover.groupBy("text_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("cover") >= k).alias(f"covered_{k}") for k in (8, 32, 128)])
+    size = F.col("end") - F.col("start")
+    return repeats.covered_runs(_docs(spark, d)).groupBy("text_id").agg(F.sum(size).alias("n"), *[F.sum(F.when(F.col("cover") >= k, size).otherwise(0)).alias(f"covered_{k}") for k in (8, 32, 128)])
 
 
 @query(f"with {COVER}, runs as (select text_id, pos, pos - row_number() over (partition by text_id order by pos) g from cov where cover < 5), f as (select text_id, min(pos) start, count(*) len from runs group by text_id, g) select f.text_id, f.start, f.len, substr(t.body, f.start + 1, f.len) body from f join t using (text_id)")
 def uncovered_fragments(spark, d):
     items = _items(spark, d)
-    cover = repeats.coverage(repeats.longest_starts(suffixes.suffix_array(items)))
-    return repeats.fragments(cover, items, F.col("cover") < 5)
+    return repeats.fragments(repeats.covered_runs(items), items, F.col("cover") < 5)
 
 
 @query(f"""with {T}, {_pairs_sql('pr', 1)}, m as (select base_id, body, unnest(range(0, length(body))) pos, other from pr),
@@ -297,16 +296,15 @@ RIVAL = f"{SUBS}, {_pairs_sql('pr', 1, 2)}"
 def exclusive_repeats(spark, d):
     items = _items(spark, d)
     others = sets.fold(sets.matching_statistics(items, _following(items, 1, 2)), "any")
-    return sets.exclusive(repeats.maximal_repeats(items), suffixes.suffix_array(items), others).select("text_id", "pattern", "len", "occs")
+    return sets.exclusive(repeats.maximal_repeats(items), others).select("text_id", "pattern", "len", "occs")
 
 
 @query(f"with {RIVAL}, {SUPER} select text_id, w pattern, len, occs from sup where not exists (select 1 from pr where pr.base_id = sup.text_id and contains(pr.other, sup.w))")
 def exclusive_supermaximal_repeats(spark, d):
     items = _items(spark, d)
-    order = suffixes.suffix_array(items)
     others = sets.fold(sets.matching_statistics(items, _following(items, 1, 2)), "any")
-    found = repeats.with_pattern(repeats.supermaximal_repeats(order), items)
-    return sets.exclusive(found, order, others).select("text_id", "pattern", "len", "occs")
+    found = repeats.with_pattern(repeats.supermaximal_repeats(items), items)
+    return sets.exclusive(found, others).select("text_id", "pattern", "len", "occs")
 
 
 HELD = "c as (select distinct s.text_id, s.w from sub s where exists (select 1 from pr where pr.base_id = s.text_id) and not exists (select 1 from pr where pr.base_id = s.text_id and not contains(pr.other, s.w)))"
@@ -440,12 +438,12 @@ ARR = f"{CORE}, ar as (select text_id, row_number() over (partition by text_id o
 
 
 def _array(spark, d) -> DataFrame:
-    return cx.lcp_array(cx.lcp_counts(suffixes.suffix_array(_items(spark, d))))
+    return cx.lcp_array(cx.lcp_counts(_items(spark, d)))
 
 
 @query(f"with {COUNTS} select text_id, lcp, n from lc")
 def lcp_histogram(spark, d):
-    return cx.lcp_counts(suffixes.suffix_array(_items(spark, d)))
+    return cx.lcp_counts(_items(spark, d))
 
 
 @query(f"with {ARR} select text_id, i, lcp from ar")
@@ -456,14 +454,14 @@ def sorted_lcp_array(spark, d):
 @query(f"with {COUNTS} select text_id, round(1 + sum(n / (lcp + 1)), 9) k from lc group by text_id")
 def k_complexity(spark, d):
     items = _items(spark, d)
-    k = cx.complexity(cx.lcp_counts(suffixes.suffix_array(items)), items)
+    k = cx.complexity(cx.lcp_counts(items), items)
     return k.select("text_id", F.round("k", 9).alias("k"))
 
 
 @query()
 def document_complexity(spark, d):
     docs = _docs(spark, d)
-    k = cx.complexity(cx.lcp_counts(suffixes.suffix_array(docs)), docs)
+    k = cx.complexity(cx.lcp_counts(docs), docs)
     return k.select("text_id", F.round("k", 9).alias("k"))
 
 
@@ -487,20 +485,20 @@ def k_by_function(spark, d):
 
 @query(f"with {CORE}, {LONGEST} select text_id, round(sum(ln((len + 2) / (len + 1))) / ln(4), 9) k_log from ls group by text_id")
 def log_complexity(spark, d):
-    k = cx.log_complexity(repeats.longest_starts(suffixes.suffix_array(_items(spark, d))))
+    k = cx.log_complexity(repeats.longest_starts(_items(spark, d)))
     return k.select("text_id", F.round("k_log", 9).alias("k_log"))
 
 
 @query(f"with {CORE}, {LONGEST} select text_id, pos, round(sum(ln((len + 2) / (len + 1))) over (partition by text_id order by pos) / ln(4), 9) curve from ls")
 def log_curve(spark, d):
-    c = cx.log_curve(repeats.longest_starts(suffixes.suffix_array(_items(spark, d))))
+    c = cx.log_curve(repeats.longest_starts(_items(spark, d)))
     return c.select("text_id", "pos", F.round("curve", 9).alias("curve"))
 
 
 @query(f"""with {CORE}, {LONGEST}, z as (select text_id, pos + 1 n, max(len) over (partition by text_id order by pos) k from ls), f as (select *, case when n > 1 then n / ln(n) end bound, case when n > 2 then (n - 1) / ln(n - 1) end before from z)
 select text_id, n, k, round(bound, 9) bound, round((2 * before + 1 / ((k + 1) * ln(4))) / bound, 9) ratio from f""")
 def prefix_ratios(spark, d):
-    starts = repeats.longest_starts(suffixes.suffix_array(_items(spark, d)))
+    starts = repeats.longest_starts(_items(spark, d))
     r = cx.prefix_ratios(starts.select("text_id", (F.col("pos") + 1).alias("n"), F.col("len").alias("z")), 4)
     return r.select("text_id", "n", "k", F.round("bound", 9).alias("bound"), F.round("ratio", 9).alias("ratio"))
 
@@ -596,10 +594,9 @@ def mtf_codes(spark, d):
 def run_statistics(spark, d):
     """A row for each item: sizes and estimates of every measure of the compression pipeline."""
     items = _items(spark, d)
-    order = suffixes.suffix_array(items)
     bwt = suffixes.burrows_wheeler(items).select("text_id", F.col("bwt").alias("body"), "prim")
     front = codecs.front_statistics(bwt).withColumnsRenamed({"zeros": "zero_mtf", "falls": "nzz_est", "est_bytes": "mtf_entropy"})
-    k = cx.complexity(cx.lcp_counts(order), items)
+    k = cx.complexity(cx.lcp_counts(items), items)
     lzw = codecs.encode_texts(bwt, "lzw").select("text_id", F.size("value").cast("long").alias("lzw_codes"), F.posexplode("value").alias("i", "sym"))
     huffman = codecs.huffman_bits(lzw.groupBy("text_id", "sym").agg(F.count("*").alias("n"))).select("text_id", F.ceil(F.col("bits") / 8).alias("huf_len"))
     sizes = lzw.select("text_id", "lzw_codes").distinct()

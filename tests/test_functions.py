@@ -50,29 +50,23 @@ def test_prefix_codes(spark):
 
 
 def test_factors():
-    def by_definition(s):
-        r, i = 0, 0
-        while i < len(s):
-            done = False
-            for n in range(1, len(s) - i + 1):
-                if s.find(s[i : i + n]) >= i:
-                    i += n
-                    done = True
-                    break
-            r += 1
-            if not done:
-                break
-        return r
-
+    """A factor is new where it ends: all strings that start earlier are kept in a set, and a factor grows until it is not among them."""
     rng = random.Random(24)
     for _ in range(300):
         s = "".join(rng.choice("ab") for _ in range(rng.randint(0, 25)))
-        assert codecs.factors(s) == by_definition(s)
+        known, grown, count = set(), "", 0
+        for start_of_next, letter in enumerate(s, 1):
+            grown += letter
+            start = start_of_next - len(grown)
+            known |= {s[i:j] for i in range(start) for j in range(i + 1, len(s) + 1)}
+            if grown not in known:
+                count, grown = count + 1, ""
+        assert codecs.factors(s) == count + bool(grown)
 
 
 def test_complexity_of_a_word(spark):
     t = table(spark, ["Mississippi\u0000", "x"])
-    counts = cx.lcp_counts(suffixes.suffix_array(t))
+    counts = cx.lcp_counts(t)
     k = {r.text_id: r.k for r in cx.complexity(counts, t).collect()}
     assert abs(k[0] - 7.783333333333333) < 1e-12 and k[1] == 1.0
     array = [r.lcp for r in cx.lcp_array(counts).where("text_id = 0").orderBy("i").collect()]
@@ -95,20 +89,22 @@ def test_greedy_cost(spark):
     values = ["".join(rng.choice("ab") for _ in range(30)) for _ in range(5)]
     t = table(spark, values)
     previous = repeats.longest_previous(repeats.maximal_repeats(t), suffixes.suffix_array(t))
-    rows = {}
-    for r in previous.collect():
-        rows.setdefault(r.text_id, []).append((r.pos, r.len, r.delta))
-    for cost, delta in ((8, True), (3, True), (3, False)):
-        got = {r.text_id: r.cost for r in codecs.greedy_cost(previous, cost, delta).collect()}
-        for i, places in rows.items():
-            total = done = 0
-            for p, n, d in sorted(places):
-                price = n.bit_length() + (d.bit_length() if delta else 0)
-                if n and p + n > done and price < (p + n - done) * cost:
-                    done, total = p + n, total + price
-                if p >= done:
-                    done, total = p + 1, total + cost
-            assert got[i] == total
+    known = {(r.text_id, r.pos): (r.len, r.delta) for r in previous.collect()}
+
+    def cost(i, at, covered, char, with_delta):
+        """What the rest of a text costs, given the set of places that are coded."""
+        if at == len(values[i]):
+            return 0
+        length, delta = known[i, at]
+        fresh = frozenset(range(at, at + length)) - covered
+        price = len(f"{length:b}") + (len(f"{delta:b}") if with_delta else 0)
+        if len(fresh) * char > price:
+            return price + cost(i, at + 1, covered | fresh, char, with_delta)
+        return (0 if at in covered else char) + cost(i, at + 1, covered | {at}, char, with_delta)
+
+    for char, with_delta in ((8, True), (3, True), (3, False)):
+        got = {r.text_id: r.cost for r in codecs.greedy_cost(previous, char, with_delta).collect()}
+        assert got == {i: cost(i, 0, frozenset(), char, with_delta) for i in range(len(values))}
 
 
 def collapse(s):

@@ -60,7 +60,7 @@ def test_supermaximal_repeats_and_occurrences(spark):
     values = samples()
     table = texts(spark, values)
     order = suffixes.suffix_array(table)
-    rows = repeats.with_pattern(repeats.supermaximal_repeats(order), table).collect()
+    rows = repeats.with_pattern(repeats.supermaximal_repeats(table), table).collect()
     got = {}
     for r in rows:
         got.setdefault(r.text_id, {})[r.pattern] = r.occs
@@ -74,7 +74,9 @@ def test_coverage_and_previous_repeats(spark):
     values = samples()
     table = texts(spark, values)
     order = suffixes.suffix_array(table)
-    cover = {(r.text_id, r.pos): r.cover for r in repeats.coverage(repeats.longest_starts(order)).collect()}
+    cover = {(r.text_id, r.pos): r.cover for r in repeats.covered_positions(repeats.covered_runs(table)).collect()}
+    assert cover == {(r.text_id, r.pos): r.cover for r in repeats.coverage(repeats.longest_starts(table)).collect()}
+    starts, ends = ({(r.text_id, r.pos): r.len for r in f(table).collect()} for f in (repeats.longest_starts, repeats.longest_ends))
     previous = {(r.text_id, r.pos): (r.len, r.delta) for r in repeats.longest_previous(repeats.maximal_repeats(table), order).collect()}
     for i, t in enumerate(values):
         want, best = [0] * len(t), [(0, 0)] * len(t)
@@ -86,6 +88,9 @@ def test_coverage_and_previous_repeats(spark):
                     best[p] = (len(w), p - places[k - 1])
         assert [cover[i, p] for p in range(len(t))] == want
         assert [previous[i, p] for p in range(len(t))] == best
+        twice = {w for w in brute.substrings(t) if any(t.startswith(w, k) for k in range(t.find(w) + 1, len(t)))}
+        assert [starts[i, p] for p in range(len(t))] == [max((len(w) for w in twice if t.startswith(w, p)), default=0) for p in range(len(t))]
+        assert [ends[i, p] for p in range(len(t))] == [max((len(w) for w in twice if t[: p + 1].endswith(w)), default=0) for p in range(len(t))]
 
 
 def test_pairs_and_sides(spark):

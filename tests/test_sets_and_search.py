@@ -36,7 +36,7 @@ def test_tags_common_and_exclusive(spark):
         assert minimal == {w for w in wanted if not any(o != w and o in w for o in wanted)}
         common = {r.pattern for r in sets.common_substrings(t, everywhere).collect()}
         assert common == {w for w in held if not any(o != w and w in o for o in held)}
-        own = sets.exclusive(repeats.maximal_repeats(t), suffixes.suffix_array(t), nowhere).where("text_id = 0")
+        own = sets.exclusive(repeats.maximal_repeats(t), nowhere).where("text_id = 0")
         assert {r.pattern for r in own.collect()} == {w for w in brute.repeats(values[0]) if w not in values[3] and w not in values[4]}
 
 
