@@ -348,12 +348,12 @@ def shortest_tag(spark, d):
 
 
 def _patterns(spark, d) -> DataFrame:
-    """Every sentence of the benchmark of at least 12 characters."""
-    parts = suffixes.split_texts(_items(spark, d), ".").select(F.trim("body").alias("pattern")).where(F.length("pattern") >= 12).distinct()
+    """Every sentence of the benchmark."""
+    parts = suffixes.split_texts(_items(spark, d), ".").select(F.trim("body").alias("pattern")).where("pattern <> ''").distinct()
     return parts.select(F.md5(F.encode("pattern", "UTF-8")).alias("pattern_id"), "pattern")
 
 
-PAT = "pat as (select distinct trim(unnest(string_split(text, '.')), ' ') pattern from benchmark where text is not null), pt as (select md5(pattern) pattern_id, pattern from pat where length(pattern) >= 12)"
+PAT = "pat as (select distinct trim(unnest(string_split(text, '.')), ' ') pattern from benchmark where text is not null), pt as (select md5(pattern) pattern_id, pattern from pat where pattern <> '')"
 OCC = f"{D}, {PAT}, near as (select t.text_id, t.body, pt.pattern_id, pt.pattern from t join pt on contains(t.body, pt.pattern)), oc as (select text_id, pattern_id, i - 1 pos from (select *, unnest(range(1, length(body) - length(pattern) + 2)) i from near) where substr(body, i, length(pattern)) = pattern)"
 
 
@@ -392,10 +392,10 @@ def pattern_rank_ranges(spark, d):
     return search.rank_ranges(items, suffixes.suffix_array(items), _words(items))
 
 
-@query(f'with {RANGE} select text_id, pattern_id, "from", "to" from rg where length(pattern_id) <= 6')
+@query(f'with {RANGE} select text_id, pattern_id, "from", "to" from rg')
 def backward_search(spark, d):
     items = _items(spark, d)
-    return search.backward_search(suffixes.suffix_array(items), items, _words(items).where(F.length("pattern") <= 6), 6)
+    return search.backward_search(items, _words(items))
 
 
 @query(f'with {RANGE} select rg.text_id, rg.pattern_id, h.pos from rg join h on h.text_id = rg.text_id and h.rank >= rg."from" and h.rank < rg."to"')

@@ -58,21 +58,25 @@ def found(text, pattern):
     return [i for i in range(len(text) - len(pattern) + 1) if text[i : i + len(pattern)] == pattern] if pattern else []
 
 
-def test_three_ways_to_search_agree(spark):
+def test_three_ways_to_search_agree(spark, monkeypatch):
     rng = random.Random(23)
     values = {i: "".join(rng.choice("abé漢"[: 2 + i % 3]) for _ in range(rng.choice([0, 5, 60, 300]))) for i in range(12)}
-    words = sorted({v[a : a + rng.randint(2, 7)] for v in values.values() for a in range(0, len(v), 9) if len(v) > a + 7} | {"zz", ""})
+    words = sorted({"a", "漢", "é" * 3} | {v[a : a + rng.randint(2, 70)] for v in values.values() for a in range(0, len(v), 9) if len(v) > a + 7} | {"zz", ""})
     t, patterns = table(spark, values), spark.createDataFrame([(w, w) for w in words], "pattern_id string, pattern string")
     want = {(i, w, p) for i, v in values.items() for w in words for p in found(v, w)}
     whole = search.pattern_occurrences(t, patterns)
     assert {tuple(r) for r in whole.collect()} == want
     assert {tuple(r) for r in search.chunked_search(t, patterns, 16).collect()} == want
+    monkeypatch.setattr(search, "BROADCAST_PATTERNS", 0)
+    monkeypatch.setattr(search, "RUN_BYTES", 50)
+    monkeypatch.setattr(search, "PATTERNS_A_TASK", 5)
+    assert {tuple(r) for r in search.pattern_occurrences(t, patterns).collect()} == want
     per = {r.pattern_id: (r.occs, r.texts) for r in search.pattern_counts(t, patterns).collect()}
     assert per == {w: (sum(x[1] == w for x in want), len({x[0] for x in want if x[1] == w})) for w in words}
     order = suffixes.suffix_array(t)
     own = t.select("text_id").crossJoin(patterns.where("pattern <> ''"))
     ranged = {tuple(r) for r in search.rank_ranges(t, order, own).collect()}
-    assert ranged == {tuple(r) for r in search.backward_search(order, t, own, 7).collect()}
+    assert ranged == {tuple(r) for r in search.backward_search(t, own).collect()}
     back = search.positions_of_ranges(order, spark.createDataFrame(sorted(ranged), "text_id long, pattern_id string, from long, to long"))
     assert {tuple(r) for r in back.collect()} == want
 
