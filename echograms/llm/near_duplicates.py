@@ -28,7 +28,7 @@ from echograms.llm.components import components
 from echograms.llm.runtime import cut
 from echograms.llm.wordhash import BASE, NOT_SPACE, U, mix, slices, text_shingles, word_hashes
 
-BANDS, ROWS, PIVOTS, PAIRS_A_TASK, BLOCK, BROADCAST_IDS, CELLS, WORDS = 20, 4, 4, 500, 256, 2_000_000, 64, 5
+BANDS, ROWS, PIVOTS, PAIRS_A_TASK, BLOCK, BROADCAST_IDS, BROADCAST_CLASSES, CELLS, WORDS = 20, 4, 4, 500, 1024, 2_000_000, 200_000, 64, 5
 EMPTY, MASK = np.iinfo(np.uint64).max, (1 << 64) - 1
 
 
@@ -138,11 +138,13 @@ def _class_words(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, words) for wanted classes (rep, class_key, node); only the rows of their nodes are read out. A hash of up to BROADCAST_IDS nodes goes to
     the texts, beyond that both sides are dealt by it; what it lets through too much, the class key turns away."""
     wanted = cut(wanted.withColumn("place", F.xxhash64("node")), "wanted")
-    places = wanted.select("place").distinct()
-    if wanted.count() <= BROADCAST_IDS:
+    n, places, keys = wanted.count(), wanted.select("place").distinct(), wanted.select("class_key", "rep")
+    if n <= BROADCAST_IDS:
         places = F.broadcast(places)
+    if n <= BROADCAST_CLASSES:
+        keys = F.broadcast(keys)
     found = texts.withColumn("place", F.xxhash64("node")).join(places, "place", "left_semi").select("text").mapInArrow(_spell, "class_key binary, words string")
-    return cut(found.join(wanted.select("class_key", "rep"), "class_key").groupBy("rep").agg(F.first("words").alias("words")), "words")
+    return cut(found.join(keys, "class_key").groupBy("rep").agg(F.first("words").alias("words")), "words")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,31 +166,64 @@ def _open(named: DataFrame) -> DataFrame:
     return named.join(mixed, "bucket")
 
 
+def _bounded(percent: int):
+    """(a, b) for rows (bucket, block, guest, rep, label, n, o, cells) in order: pairs of a row of a block and a guest of the same block, with b < a, in
+    different groups, whose similarity may reach the percentage."""
+
+    def close(x: list[np.ndarray], y: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for k in range(0, len(y[0]), CELLS):
+            rep, label, n, o, cells = (c[k : k + CELLS] for c in y)
+            most = np.minimum(x[3][:, None], o)
+            i, j = np.nonzero((x[0][:, None] > rep) & (x[1][:, None] != label) & (100 * most >= percent * (x[2][:, None] + n - most)))
+            both = np.minimum(x[4][i], cells[j]).sum(axis=1)
+            ok = 100 * both >= percent * (x[2][i] + n[j] - both)
+            yield x[0][i[ok]], rep[j[ok]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, block, guest, *plain = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            columns = [*plain, batch.column(7).flatten().to_numpy().reshape(-1, CELLS)]
+            edges = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]) | (guest[1:] != guest[:-1])) + 1
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+            for s, e in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                part = [c[s:e] for c in columns]
+                if not guest[s]:
+                    same = now == (bucket[s], block[s])
+                    own = [np.concatenate(c) for c in zip(own, part, strict=True)] if same else part
+                    now = (bucket[s], block[s])
+                elif now == (bucket[s], block[s]):
+                    found += close(own, part)
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
 def _rest(named: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one bucket that are in different groups and may be similar enough.
 
     An element that occurs in one group only cannot be shared with another group. The other elements of a set are counted in CELLS cells by hash;
     the intersection of a pair is at most the sum over cells of the smaller count, which bounds the similarity; pairs below the bound are proven
-    unlinked. Each pair leaves from its first common bucket only. Members of a bucket meet in blocks of BLOCK rows against the bucket, each block a key of
-    its own, so no task squares a bucket."""
-    reps = named.groupBy("rep").agg(F.first("label").alias("label"), F.sort_array(F.collect_list("bucket")).alias("buckets"))
-    elements = cut(sets.join(reps.select("rep", "label"), "rep").select("rep", "words", "label").mapInArrow(_elements, "rep long, element long, label long"), "elements")
+    unlinked. Members of a bucket meet in blocks of about BLOCK rows with the bucket, each block dealt on its own, so no task squares a bucket; only pairs
+    that pass leave it."""
+    reps = named.groupBy("rep").agg(F.first("label").alias("label"))
+    elements = cut(sets.join(reps, "rep").select("rep", "words", "label").mapInArrow(_elements, "rep long, element long, label long"), "elements")
     shared = elements.groupBy("element").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("element")
     counts = elements.join(shared, "element").groupBy("rep", F.pmod("element", F.lit(CELLS)).cast("int").alias("cell")).agg(F.count("*").cast("int").alias("n"))
     whole = counts.groupBy("rep").agg(F.sum("n").alias("o"), F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("by"))
     known = whole.select("rep", "o", F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.coalesce(F.try_element_at(F.col("by"), c), F.lit(0))).alias("cells"))
-    facts = reps.join(known, "rep").join(classes.select("rep", "n_shingles"), "rep").where(100 * F.col("o") >= percent * F.col("n_shingles"))
-    rows = cut(facts.select("rep", "label", "buckets", F.col("n_shingles").alias("n"), "o", "cells").withColumn("bucket", F.explode("buckets")), "rest")
-    blocks = rows.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(blocks, "bucket")
-    x = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).alias("x")
-    y = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
-    o = F.least("x.o", "y.o")
-    may = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.block") == F.col("y.block")) & (F.col("y.rep") < F.col("x.rep")) & (F.col("x.label") != F.col("y.label")) & (100 * o >= percent * (F.col("x.n") + F.col("y.n") - o))
-    first = F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")
-    most = F.aggregate(F.zip_with("x.cells", "y.cells", lambda a, b: F.least(a, b)), F.lit(0), lambda total, c: total + c)
-    close = 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
-    return x.join(y, may & first & close).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    facts = cut(known.join(classes.select("rep", F.col("n_shingles").alias("n")), "rep").where(100 * F.col("o") >= percent * F.col("n")), "facts")
+    members = named.join(facts.select("rep"), "rep", "left_semi")
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("all")).where("all > 1")
+    dealt = members.join(blocks, "bucket").join(facts, "rep")
+    columns = ["bucket", "block", "guest", "rep", "label", "n", "o", "cells"]
+    own = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("guest", F.lit(False)).select(columns)
+    guests = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("guest", F.lit(True)).select(columns)
+    rows = own.union(guests).repartition("bucket", "block").sortWithinPartitions("bucket", "block", "guest")
+    return rows.mapInArrow(_bounded(percent), "a long, b long").distinct()
 
 
 def _classes_of(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -222,12 +257,9 @@ def _classes_of(texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         fresh = cut(_verify(cut(_rest(named, classes, sets, percent), "pairs"), sets, percent), "linked")
         if not fresh.isEmpty():
             labels = cut(components(found.union(fresh)), "labels")
-    linked = classes.select("class_key", "least_id", "rep").join(labels, F.col("rep") == labels.node)
-    least = linked.groupBy("component").agg(F.min("least_id").alias("least"))
-    grouped = linked.join(least, "component").select("class_key", F.col("component"), "least")
-    full = classes.select("class_key", "least_id", "rep").join(grouped, "class_key", "left")
-    known = F.col("component").isNotNull()
-    return signed.drop("bands"), full.select("class_key", F.coalesce("component", "rep").alias("component"), F.when(known, F.col("least")).otherwise(F.col("least_id")).alias("least_id"))
+    linked = classes.select("class_key", "least_id", "rep").join(labels, F.col("rep") == labels.node, "left").withColumn("component", F.coalesce("component", "rep")).drop("node", "rep")
+    least = linked.groupBy("component").agg(F.min("least_id").alias("least_id"), F.count("*").alias("n")).where("n > 1").drop("n")  # classes alone know theirs
+    return signed.drop("bands"), linked.withColumnRenamed("least_id", "own").join(least, "component", "left").select("class_key", "component", F.coalesce("least_id", "own").alias("least_id"))
 
 
 def _node(key, text) -> F.Column:
