@@ -2,53 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echograms.functions.bits import Bits, bit_table
+from echograms.sources.shared import cut, shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Where that is unset, a temporary one, but only if driver and tasks are one local process."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def cut(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps start from files that any executor can read."""
-    path = f"{shared_folder(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Bits:
-    """A set of 64-bit values as one bit for each value's low part; it may let others pass."""
-
-    def __init__(self, size: int):
-        self.size, self.table = size, np.zeros(size // 8, dtype=np.uint8)
-
-    def test(self, values: np.ndarray) -> np.ndarray:
-        place = values.astype(np.uint64) & np.uint64(self.size - 1)
-        return (self.table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
-
-
-def bit_table(df: DataFrame, column: str, n: int) -> Bits:
-    """The values of a long column, about n distinct ones, as Bits: 32 to 64 bits for each value, and at most 2^27 bits (16 MB) whatever n is.
-
-    The bits are gathered in pieces of 4 KB by aggregation; at most 4096 of them reach the driver."""
-    bits = Bits(1 << min(27, max(15, (32 * max(1, n)).bit_length())))
-    place = F.col(column).bitwiseAND(bits.size - 1)
-    pieces = df.groupBy(F.shiftright(place, 15).alias("piece")).agg(F.bitmap_construct_agg(place.bitwiseAND((1 << 15) - 1)).alias("map"))
-    for r in pieces.collect():
-        bits.table[r.piece * 4096 : (r.piece + 1) * 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
-    return bits
+__all__ = ["Bits", "bit_table", "cut", "equal_depth_cuts", "range_index", "shared_folder"]
 
 
 def equal_depth_cuts(df: DataFrame, key: str, parts: int) -> list[int]:
