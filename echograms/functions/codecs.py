@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from echograms.functions.suffix_kernels import SuffixOrder
+
 #: Shortest run that is shortened, longest count in one byte, and the size of the code dictionary.
 RUN, COUNT, DICTIONARY = 4, 255, 1 << 14
 
@@ -163,13 +165,11 @@ def prefix_codes(bits: dict[int, int]) -> dict[int, str]:
 
 def factors(text: str) -> int:
     """Number of factors when each is the shortest string that does not start earlier; the last may be one that does."""
-    n, at = 0, 0
+    longest = SuffixOrder([text]).longest_earlier().tolist()
+    n = at = 0
     while at < len(text):
-        size = 1
-        while at + size <= len(text) and text.find(text[at : at + size], 0, at + size - 1) >= 0:
-            size += 1
+        at += longest[at] + 1
         n += 1
-        at += size
     return n
 
 
@@ -256,6 +256,36 @@ def huffman_codes(frequency: DataFrame) -> DataFrame:
     return per.mapInArrow(codes, "text_id long, sym string, code string")
 
 
+def huffman_table_bits(frequency: DataFrame, alphabet: int) -> DataFrame:
+    """(text_id, table_bits): size of the description of the prefix codes, from counts (text_id, sym, n) of whole numbers below `alphabet`.
+
+    The format: the longest length m takes 2 d(m) + 1 bits, d being binary digits. Then the number of codes of each length below m takes d(free) bits,
+    where free counts the codes that are still open: 1 at length 1, and 2 (free - codes) + 1 one length further; if m is 1, one bit says it all. Then the
+    symbols of each length, 0 for those without a code, are listed by the distances between them from -1 on, in base 3, two bits for each digit
+    and two that end a number; the list of the length that most symbols have (of several the shortest) is left out."""
+    per = frequency.groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("sym", "n"))).alias("x"))
+    powers = 3 ** np.arange(1, 20)
+
+    def size(rows) -> int:
+        lengths = np.zeros(alphabet, dtype=np.int64)
+        for sym, bits in code_lengths({r["sym"]: r["n"] for r in rows}).items():
+            lengths[sym] = bits
+        codes = np.bincount(lengths)
+        longest = len(codes) - 1
+        free = [1]
+        for i in range(1, longest - 1):
+            free.append(2 * (free[-1] - int(codes[i])) + 1)
+        head = 2 * longest.bit_length() + 1 + (1 if longest == 1 else sum(f.bit_length() for f in free[: longest - 1]))
+        listed = (np.diff(np.flatnonzero(lengths == k), prepend=-1) for k in range(longest + 1) if k != int(codes.argmax()))
+        return head + sum(int((np.searchsorted(powers, gaps, side="right") + 2).sum()) * 2 for gaps in listed)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([size(x) for x in batch.column(1).to_pylist()], pa.int64())], ["text_id", "table_bits"])
+
+    return per.mapInArrow(run, "text_id long, table_bits long")
+
+
 def greedy_cost(previous: DataFrame, char_cost: int, count_delta: bool) -> DataFrame:
     """(text_id, cost): bits of a greedy code over (text_id, pos, len, delta): in order of position, a copy is taken if it reaches beyond what is
     coded and costs less than its new characters would; a character that is not reached costs char_cost."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echograms.functions.suffix_kernels import SuffixOrder, text_runs
+from echograms.functions.suffix_kernels import SuffixOrder, text_runs, widths
 
 
 def symbols(texts: DataFrame) -> DataFrame:
@@ -60,6 +60,34 @@ def lcp_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text_id", "body").mapInArrow(_prefix_counts, "text_id long, lcp long, n long")
 
 
+def _rectangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, _, texts in text_runs(batch, 1):
+            order = SuffixOrder(texts)
+            prefixes = order.common_prefixes()
+            text, rank, base = [], [], []
+            for i, (lo, hi) in enumerate(zip(order.offsets.tolist(), order.offsets[1:].tolist(), strict=False)):
+                own = widths(prefixes[lo : hi - 1].tolist()) if hi > lo else []
+                base += own
+                text += [i] * len(own)
+                rank += range(len(own))
+            at = np.array(rank, dtype=np.int64) + order.offsets[:-1][np.array(text, dtype=np.int64)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a).take(pa.array(text, pa.int64())), pa.array(rank, pa.int64()), pa.array(prefixes[at]), pa.array(base, pa.int64())], ["text_id", "rank", "lcp", "base"])
+
+
+def rectangles(texts: DataFrame) -> DataFrame:
+    """(text_id, rank, lcp, base) for each rank but the last: base is how many suffixes in a row, this and the next among them, share lcp characters. lcp
+    times base is the score of low complexity. One map pass."""
+    return texts.select("text_id", "body").mapInArrow(_rectangles, "text_id long, rank long, lcp long, base long")
+
+
+def in_lcp_class(lcp: Column, n: Column, kind: str) -> Column:
+    """Whether a common prefix is in a class, given the length n of its text and k, the least whole number with 4^k >= n: "long" (at least k), "below"
+    (k - 1), "half" (k / 2, rounded down) or "ten" (10)."""
+    k = F.ceil(F.round(F.log2(n.cast("double")) / 2, 9))
+    return {"long": lcp >= k, "below": lcp == k - 1, "half": lcp == F.floor(k / 2), "ten": lcp == 10}[kind]
+
+
 def lcp_array(counts: DataFrame) -> DataFrame:
     """(text_id, i, lcp): the multiset spread out in ascending order, i from 0."""
     w = Window.partitionBy("text_id").orderBy("lcp")

@@ -42,9 +42,15 @@ def piece_at(text: Column, pos: int, size: int) -> Column:
     return F.substring(bare, F.lit(pos + 1), F.lit(size))
 
 
-def joined(texts: DataFrame, separator: str = "~") -> DataFrame:
-    """One row: all texts in order of id, with a separator between them. For export only; a search keeps texts apart."""
-    return texts.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("text_id", "body"))), lambda x: x["body"]), separator).alias("body"))
+def joined(texts: DataFrame, separator: str = "~", parts: int | None = None) -> DataFrame:
+    """(part, text_id, piece) in order: the pieces that make up all texts in order of id with a separator between them, each in a partition of its own range
+    of ids, so that writing the pieces one after the other writes the joined text. The first text of all has no separator before it. For export only; a
+    search keeps texts apart."""
+    first = texts.agg(F.min("text_id").alias("least"))
+    piece = F.when(F.col("text_id") == F.col("least"), F.col("body")).otherwise(F.concat(F.lit(separator), F.coalesce("body", F.lit(""))))
+    ordered = texts.join(F.broadcast(first), F.col("text_id") >= F.col("least"))  # one row
+    ranged = ordered.repartitionByRange(parts, "text_id") if parts else ordered.repartitionByRange("text_id")
+    return ranged.sortWithinPartitions("text_id").select(F.spark_partition_id().alias("part"), "text_id", piece.alias("piece"))
 
 
 def headers(texts: DataFrame) -> DataFrame:
@@ -56,7 +62,7 @@ def headers(texts: DataFrame) -> DataFrame:
 
 
 def masked_headers(text: Column) -> Column:
-    """Every header line, with its line end, as N of the same length."""
+    """Every header line as N of the same length; its line end stays."""
     parts = F.regexp_extract_all(F.concat(F.lit("\n"), text), F.lit(r"(\n>[^\n]*|\n?[^\n]+|\n)"), F.lit(0))
     marked = F.transform(parts, lambda x: F.when(x.startswith("\n>"), F.concat(F.lit("\n"), F.repeat(F.lit("N"), F.length(x) - 1))).otherwise(x))
     return F.substring(F.array_join(marked, ""), F.lit(2), F.length(text))

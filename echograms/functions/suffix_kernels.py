@@ -126,6 +126,25 @@ class SuffixOrder:
         out[self.order] = np.maximum(prefixes, np.concatenate([[0], prefixes[:-1]])) if len(prefixes) else prefixes
         return out
 
+    def longest_earlier(self) -> np.ndarray:
+        """For each place the longest string that starts there and at an earlier place of its group. Places leave the order from the last to the first, so
+        the neighbours of a place that is still there are all earlier ones; a neighbour's common prefix is the least on the way to it."""
+        n = len(self.order)
+        rank = np.empty(n, dtype=np.int64)
+        rank[self.order] = np.arange(n)
+        shared = [0, *self.common_prefixes().tolist()]  # with the next rank before
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        out = [0] * n
+        for place, r in zip(range(n - 1, -1, -1), rank[::-1].tolist(), strict=True):
+            a, b, up, down = before[r], after[r], shared[r], shared[after[r]]
+            out[place] = max(up, down)
+            shared[b] = min(up, down)
+            if a >= 0:
+                after[a] = b
+            if b < n:
+                before[b] = a
+        return np.array(out, dtype=np.int64)
+
     def matches(self, others: np.ndarray) -> np.ndarray:
         """For each place the longest string that starts there and somewhere in the texts of its group that `others` marks (a flag for each text).
 
@@ -165,6 +184,20 @@ def spread(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def widths(prefixes: list[int]) -> list[int]:
+    """For each neighbour pair of one text, how many suffixes in a row share as much as that pair does."""
+    n = len(prefixes)
+    lower, upper, opened = [0] * n, [n] * n, []
+    for i, value in enumerate([*prefixes, -1]):
+        while opened and prefixes[opened[-1]] > value:
+            upper[opened.pop()] = i
+        if i < n:
+            same = bool(opened) and prefixes[opened[-1]] == value
+            lower[i] = lower[opened[-1]] if same else (opened[-1] + 1 if opened else 0)
+            opened.append(i)
+    return [u - a + 1 for a, u in zip(lower, upper, strict=True)]
+
+
 def peaks(prefixes: np.ndarray, lefts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(length, first rank, rank after the last) of every supermaximal repeat: runs of equal common prefixes above both neighbours, whose suffixes are
     all preceded by different characters."""

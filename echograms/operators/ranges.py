@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 256
+BLOCK, STEP = 256, 16
 
 
 def _block(c: str | Column) -> Column:
@@ -17,17 +17,29 @@ def _block(c: str | Column) -> Column:
 
 def range_extremes(array: DataFrame, queries: DataFrame) -> DataFrame:
     """(array_id, query_id, low, high): least and largest value at positions start <= pos < end of queries (array_id, query_id, start, end); null for
-    an empty range. A range is cut into whole blocks, which are looked up in a table of block extremes, and at most two part blocks."""
-    blocks = array.groupBy("array_id", _block("pos").alias("block")).agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    q = queries.withColumn("first", F.ceil(F.col("start") / BLOCK)).withColumn("last", F.floor(F.col("end") / BLOCK))
-    whole = q.where("first < last").select("array_id", "query_id", F.explode(F.sequence("first", F.col("last") - 1)).alias("block")).join(blocks, ["array_id", "block"]).select("array_id", "query_id", "low", "high")
-    edges = F.when(F.col("first") >= F.col("last"), F.array(F.struct(F.col("start").alias("a"), F.col("end").alias("b")))).otherwise(F.array(F.struct(F.col("start").alias("a"), (F.col("first") * BLOCK).alias("b")), F.struct((F.col("last") * BLOCK).alias("a"), F.col("end").alias("b"))))
-    parts = q.select("array_id", "query_id", F.explode(edges).alias("e")).where("e.a < e.b").select("array_id", "query_id", F.explode(F.sequence("e.a", F.col("e.b") - 1)).alias("pos"))
-    single = parts.join(array, ["array_id", "pos"]).select("array_id", "query_id", F.col("value").alias("low"), F.col("value").alias("high"))
-    found = whole.union(single).groupBy("array_id", "query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    an empty range. A range is cut into whole blocks, which are the same question one level up, and less than a block on either side."""
+    longest = array.agg(F.max("pos")).first()[0] or 0
+    rows = array.select("array_id", "pos", F.col("value").alias("low"), F.col("value").alias("high"))
+    met = _pieces(rows, queries.select("array_id", "query_id", "start", "end").where("start < end"), longest)
+    found = met.groupBy("array_id", "query_id").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     return queries.select("array_id", "query_id").join(found, ["array_id", "query_id"], "left")
 
 
+def _pieces(rows: DataFrame, queries: DataFrame, longest: int) -> DataFrame:
+    """(array_id, query_id, low, high) of the places and blocks that make up each range."""
+    single = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+    start, end = F.col("start"), F.col("end")
+    first, last = F.ceil(start / STEP).cast("long"), F.floor(end / STEP).cast("long")
+    whole = (first < last) & F.lit(longest >= STEP)
+    places = F.when(whole, F.concat(single(start, first * STEP), single(last * STEP, end))).otherwise(single(start, end))
+    met = queries.select("array_id", "query_id", F.explode(places).alias("pos")).join(rows, ["array_id", "pos"]).select("array_id", "query_id", "low", "high")
+    if longest < STEP:
+        return met
+    upper = rows.groupBy("array_id", F.floor(F.col("pos") / STEP).cast("long").alias("pos")).agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    blocks = queries.where(first < last).select("array_id", "query_id", first.alias("start"), last.alias("end"))
+    return met.union(_pieces(upper, blocks, longest // STEP))
+
+
 def updated(array: DataFrame, changes: DataFrame) -> DataFrame:
     """array with the values of changes (array_id, pos, value) in place of its own."""
     new = changes.select("array_id", "pos", F.col("value").alias("new"))

@@ -11,21 +11,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from echograms.functions.suffix_kernels import SuffixOrder, as_text, code_points, text_runs
 
-SUFFIXES = "text_id long, rank long, pos long, lcp long, left string"
+SUFFIXES = "rank long, pos long, lcp long, left string"
 
 
 def _suffixes(rotations: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, _, texts in text_runs(batch, 1):
                 order = SuffixOrder(texts, rotations=rotations)
                 text = order.text[order.order]
                 rank = np.arange(len(text)) - order.offsets[:-1][text] if len(text) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:][text], pa.int64()), pa.array(rank), pa.array(order.position), pa.array(order.common_prefixes()), pa.array(as_text(order.lefts()), pa.string())], ["text_id", "rank", "pos", "lcp", "left"])
+                ids = batch.column(0).slice(a).take(pa.array(text))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(rank), pa.array(order.position), pa.array(order.common_prefixes()), pa.array(as_text(order.lefts()), pa.string())], ["text_id", "rank", "pos", "lcp", "left"])
 
     return run
 
@@ -40,8 +41,8 @@ def suffix_array(texts: DataFrame, rotations: bool = False) -> DataFrame:
 
     Ranks are in code point order, a proper prefix first, as with a terminator below all characters that has no row of its own. lcp is the
     common prefix with the next rank, 0 for the last. left is the character before, empty at the start. With rotations=True, rotations are
-    sorted instead, equal ones by position (lcp is then without meaning)."""
-    return texts.select("text_id", "body").mapInArrow(_suffixes(rotations), SUFFIXES)
+    sorted instead, equal ones by position (lcp is then without meaning). text_id may be of any type."""
+    return texts.select("text_id", "body").mapInArrow(_suffixes(rotations), StructType([texts.schema["text_id"], *StructType.fromDDL(SUFFIXES)]))
 
 
 def inverse_suffix_array(suffixes: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ definition in SQL is quadratic in the length of a text (tests hold those against
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from echograms.functions import codecs, complexity as cx, sequences as sq
 from echograms.operators import ranges, repeats, search, sets, suffixes
-from echograms.sources import sinks, texts as src
+from echograms.sources import shared, sinks, texts as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -101,9 +102,8 @@ s2 as (select text_id, part, body, i - 1 pos, row_number() over (partition by te
 n2 as (select *, lead(pos) over (partition by text_id, part order by rank) nxt from s2)
 select text_id, part, rank, pos, coalesce(list_max(list_filter(range(0, length(body) - greatest(pos, nxt) + 1), lambda l: substr(body, pos + 1, l) = substr(body, nxt + 1, l))), 0) lcp from n2""")
 def separated_lcp_array(spark, d):
-    parts = suffixes.split_texts(_items(spark, d), ".").withColumn("id", F.col("text_id") * 1_000_000 + F.col("part"))
-    order = suffixes.suffix_array(parts.select(F.col("id").alias("text_id"), "body"))
-    return order.select(F.floor(F.col("text_id") / 1_000_000).alias("text_id"), (F.col("text_id") % 1_000_000).alias("part"), "rank", "pos", "lcp")
+    parts = suffixes.split_texts(_items(spark, d), ".").select(F.struct("text_id", "part").alias("text_id"), "body")
+    return suffixes.suffix_array(parts).select("text_id.text_id", "text_id.part", "rank", "pos", "lcp")
 
 
 @query(f"""with {T}, {P}, rot as (select text_id, body, i, row_number() over (partition by text_id order by substr(body || body, i, length(body)), i) - 1 rank from p)
@@ -197,6 +197,11 @@ def repeats_left_only(spark, d):
     return repeats.one_sided(_pair_repeats(spark, d), "left")
 
 
+@query(f"with {PAIR_MRS} select base_id text_id, w pattern, len, occs, n_left, n_right from pm where n_left = 0")
+def repeats_right_only(spark, d):
+    return repeats.one_sided(_pair_repeats(spark, d), "right")
+
+
 @query(f"with {PAIR_MRS} select len, occs, count(*) patterns, sum(n_left)::bigint n_left, sum(n_right)::bigint n_right from pm group by len, occs")
 def pair_repeat_statistics(spark, d):
     return _pair_repeats(spark, d).groupBy("len", "occs").agg(F.count("*").alias("patterns"), F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
@@ -216,6 +221,19 @@ def longest_previous_repeat(spark, d):
     return _previous(spark, d)
 
 
+BACK = CORE.replace("text body from benchmark", "reverse(text) body from benchmark")
+
+
+@query(f"with {CORE}, {LONGEST} select text_id, pos, len from ls")
+def longest_repeat_starts(spark, d):
+    return repeats.longest_starts(_items(spark, d))
+
+
+@query(f"with {BACK}, {LONGEST} select ls.text_id, length(t.body) - 1 - pos pos, len from ls join t using (text_id)")
+def longest_repeat_ends(spark, d):
+    return repeats.longest_ends(_items(spark, d))
+
+
 COVER = f"{CORE}, {LONGEST}, cov as (select a.text_id, a.pos, coalesce(max(b.len), 0) cover from ls a left join ls b on b.text_id = a.text_id and b.pos <= a.pos and a.pos < b.pos + b.len group by a.text_id, a.pos)"
 
 
@@ -344,6 +362,32 @@ def shortest_tag(spark, d):
     return _tags(spark, d, "shortest")
 
 
+@query()
+def document_matches(spark, d):
+    """Per document and each of the two that follow it: sum and maximum of the matching statistics, and how many places match at least 32 characters."""
+    docs = _docs(spark, d)
+    rows = sets.matching_statistics(docs, _following(docs, 1, 2)).groupBy("base_id", "other_id")
+    return rows.agg(F.sum("len").alias("total"), F.max("len").alias("longest"), F.count_if(F.col("len") >= 32).alias("long_places"))
+
+
+@query()
+def document_pair_repeats(spark, d):
+    """Per document and its follower: how many repeats they have, on the left only, on the right only and on both sides, and the longest on both."""
+    docs = _docs(spark, d)
+    other = docs.select((F.col("text_id") - 1).alias("text_id"), F.col("body").alias("other"))
+    both = (F.col("n_left") > 0) & (F.col("n_right") > 0)
+    rows = repeats.pair_repeats(docs.join(other, "text_id"), with_pattern=False).groupBy("text_id")
+    return rows.agg(F.count("*").alias("patterns"), F.count_if(F.col("n_right") == 0).alias("left"), F.count_if(F.col("n_left") == 0).alias("right"), F.count_if(both).alias("both"), F.max(F.when(both, F.col("len"))).alias("longest"))
+
+
+@query()
+def document_exclusive_repeats(spark, d):
+    """Supermaximal repeats of each document that neither of the two that follow it holds."""
+    docs = _docs(spark, d)
+    others = sets.fold(sets.matching_statistics(docs, _following(docs, 1, 2)), "any")
+    return sets.exclusive(repeats.supermaximal_repeats(docs), others)
+
+
 # --- search ---------------------------------------------------------------------------------------------------------------
 
 
@@ -405,6 +449,15 @@ def positions_of_ranges(spark, d):
     return search.positions_of_ranges(order, search.rank_ranges(items, order, _words(items)))
 
 
+@query(f'with {RANGE} select rg.text_id, rg.pattern_id, h.pos from rg join h on h.text_id = rg.text_id and h.rank >= rg."from" and h.rank < rg."to"')
+def stored_positions(spark, d):
+    """The same from a suffix table that is written once and opened again."""
+    items = _items(spark, d)
+    folder = f"{shared.shared_folder(spark)}/suffixes-{uuid.uuid4().hex}"
+    search.store_suffixes(suffixes.suffix_array(items), folder)
+    return search.positions_of_ranges(search.open_suffixes(spark, folder), search.backward_search(items, _words(items)))
+
+
 # --- complexity -----------------------------------------------------------------------------------------------------------
 
 SYM = f"{D}, s as (select text_id, unnest(string_split(body, '')) sym, generate_subscripts(string_split(body, ''), 1) - 1 pos from t where length(body) > 0)"
@@ -446,6 +499,25 @@ def lcp_histogram(spark, d):
     return cx.lcp_counts(_items(spark, d))
 
 
+@query(f"""with {CORE}, e as (select text_id, length(body) n, rank, lcp, max(rank) over (partition by text_id) mx from h), x as (select * from e where rank < mx),
+y as (select x.text_id, x.n, x.rank, x.lcp, coalesce(min(o.rank) filter (o.rank > x.rank and o.lcp < x.lcp), max(x.mx)) - coalesce(max(o.rank) filter (o.rank < x.rank and o.lcp < x.lcp), -1) base from x join x o on o.text_id = x.text_id group by x.text_id, x.n, x.rank, x.lcp),
+z as (select *, ceil(round(log2(n) / 2, 9))::bigint k from y) select text_id, rank, lcp, base, lcp * base area, lcp >= k is_long, lcp = k - 1 is_below, lcp = k // 2 is_half from z""")
+def lcp_rectangles(spark, d):
+    """Rectangles under the array of common prefixes, with their score and the classes of their length."""
+    items = _items(spark, d)
+    rows = cx.rectangles(items).join(items.select("text_id", F.length("body").alias("chars")), "text_id")
+    classes = [cx.in_lcp_class(F.col("lcp"), F.col("chars"), kind).alias(f"is_{kind}") for kind in ("long", "below", "half")]
+    return rows.select("text_id", "rank", "lcp", "base", (F.col("lcp") * F.col("base")).alias("area"), *classes)
+
+
+@query()
+def document_rectangles(spark, d):
+    """Per document: the largest score, and its length and width."""
+    rows = cx.rectangles(_docs(spark, d)).withColumn("area", F.col("lcp") * F.col("base"))
+    best = F.max(F.struct("area", "lcp", "base"))
+    return rows.groupBy("text_id").agg(best.alias("best")).select("text_id", "best.*")
+
+
 @query(f"with {ARR} select text_id, i, lcp from ar")
 def sorted_lcp_array(spark, d):
     return _array(spark, d)
@@ -529,6 +601,57 @@ def text_distances(spark, d):
     return j.select("base_id", "other_id", F.round(cx.distance(c("k"), c("ak"), c("bk")), 9).alias("k_distance"), F.round(cx.distance(c("n") - c("zeros"), c("an") - c("azeros"), c("bn") - c("bzeros")), 9).alias("zero_distance"), cx.zero_gain(c("zeros"), c("azeros"), c("bzeros")).alias("zdif"), F.round(cx.zero_norm(c("zeros"), c("azeros"), c("bzeros"), c("an") + c("bn")), 9).alias("znorm"))
 
 
+def measures(texts: DataFrame) -> DataFrame:
+    """(text_id, n, zeros, est_bytes, cost8, cost3, cost3_free, k) of each text: the sizes that distances by compression compare."""
+    bwt = suffixes.burrows_wheeler(texts).select("text_id", F.col("bwt").alias("body"))
+    previous = repeats.longest_previous(repeats.maximal_repeats(texts, with_pattern=False), suffixes.suffix_array(texts))
+    costs = [codecs.greedy_cost(previous, char, delta).withColumnRenamed("cost", name) for name, char, delta in (("cost8", 8, True), ("cost3", 3, True), ("cost3_free", 3, False))]
+    out = codecs.front_statistics(bwt).select("text_id", "n", "zeros", "est_bytes")
+    for part in (*costs, cx.complexity(cx.lcp_counts(texts), texts)):
+        out = out.join(part, "text_id")
+    return out
+
+
+@query()
+def measure_distances(spark, d):
+    """Distances by six measures between every item whose id is divisible by 100 and every other item. A pair is one text, with a character between its
+    parts that neither holds; (size together - smaller size) / larger size."""
+    items = _items(spark, d).where("body <> ''")
+    t = items.select(F.col("text_id").alias("other_id"), F.col("body").alias("other"))
+    asked = items.where("text_id % 100 = 0").select(F.col("text_id").alias("base_id"), F.col("body").alias("base"))
+    pairs = asked.join(t, (F.col("other_id") != F.col("base_id")) & ((F.col("other_id") > F.col("base_id")) | (F.col("other_id") % 100 != 0)))
+    numbered = shared.cut(pairs.select("base_id", "other_id", F.concat_ws("\ue000", "base", "other").alias("body"), F.monotonically_increasing_id().alias("text_id")), "pairs")
+    single = measures(items)
+    names = ["coded", "est_bytes", "cost8", "cost3", "cost3_free", "k"]
+    sized = lambda rows, end: rows.withColumn("coded", F.col("n") - F.col("zeros")).select(F.col("text_id").alias(f"{end}_id"), *[F.col(c).alias(f"{end}_{c}") for c in names])
+    both = numbered.select("base_id", "other_id", F.col("text_id").alias("ab_id")).join(sized(measures(numbered.select("text_id", "body")), "ab"), "ab_id")
+    full = both.join(sized(single, "base"), "base_id").join(sized(single, "other"), "other_id")
+    return full.select("base_id", "other_id", *[F.round(cx.distance(F.col(f"ab_{c}"), F.col(f"base_{c}"), F.col(f"other_{c}")), 9).alias(f"d_{c}") for c in names])
+
+
+@query()
+def sequence_statistics(spark, d):
+    """A row of statistics for each item as a sequence: what it holds, how long it is before and after its gaps are collapsed, and the sizes that each way of
+    coding comes to."""
+    source = _items(spark, d).select("text_id", sq.as_dna(F.col("body")).alias("body")).where("body <> ''")
+    texts = source.select("text_id", src.collapse_runs(F.col("body")).alias("body"))
+    bwt = suffixes.burrows_wheeler(texts)
+    codes = codecs.encode_texts(bwt.select("text_id", F.col("bwt").alias("body")), "lzw").select("text_id", F.explode("value").alias("sym"))
+    counts = shared.cut(codes.groupBy("text_id", "sym").agg(F.count("*").alias("n")), "codes")
+    n = lambda x: F.length("body") - F.length(F.replace(F.col("body"), F.lit(x), F.lit("")))
+    held = source.select("text_id", F.length("body").cast("long").alias("long_source"), *[n(x).cast("long").alias(f"cnt_{x}") for x in "ACGTN"])
+    blocks = src.n_runs(source).where("len >= 5").groupBy("text_id").agg(F.count("*").alias("n_blocks"))
+    estimate = cx.entropy(counts).select("text_id", F.col("n").alias("lzw_codes"), F.col("est_bytes").alias("est_size"))
+    coded = codecs.huffman_bits(counts).join(codecs.huffman_table_bits(counts, codecs.DICTIONARY), "text_id")
+    huffman = coded.select("text_id", F.col("table_bits").alias("huf_tbl_bit"), F.ceil((F.col("bits") + F.col("table_bits")) / 8).alias("huf_len"))
+    sizes = measures(texts).withColumnsRenamed({"n": "long_input", "zeros": "zero_mtf", "est_bytes": "mtf_entropy", "cost8": "lpat_size", "cost3": "lpat3_size", "cost3_free": "lpat3dl0_size"}).withColumn("kinv_lcp", F.round("k", 9)).drop("k")
+    falls = codecs.front_statistics(bwt.select("text_id", F.col("bwt").alias("body"))).select("text_id", F.col("falls").alias("nzz_est"))
+    out = held.join(blocks, "text_id", "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(0)))
+    for part in (sizes, falls, estimate, huffman, bwt.select("text_id", "prim")):
+        out = out.join(part, "text_id")
+    return out.withColumn("long_output", F.col("huf_len") + 8)
+
+
 # --- encodings ------------------------------------------------------------------------------------------------------------
 
 BYTES = f"{D}, hx as (select text_id, hex(encode(body)) hx from t), by8 as (select text_id, unnest(range(0, length(hx) // 2)) pos, hx from hx), b as (select text_id, pos, substr(hx, 2 * pos + 1, 2) v from by8)"
@@ -565,21 +688,33 @@ def lzw_code_counts(spark, d):
     return codecs.encode_texts(_docs(spark, d), "lzw").select("text_id", F.size("value").cast("long").alias("codes"), F.array_max("value").cast("long").alias("largest"))
 
 
-@query()
+HEAP = f"""with recursive {FREQ}, ix as (select text_id, sym, n, row_number() over (partition by text_id order by sym) - 1 s from fr),
+h(text_id, l, m) as (select text_id, list_sort(list(struct_pack(n := n, s := s, m := [s]))), []::bigint[] from ix group by text_id
+union all select text_id, list_sort(list_append(l[3:], struct_pack(n := l[1].n + l[2].n, s := least(l[1].s, l[2].s), m := list_concat(l[1].m, l[2].m)))), list_concat(l[1].m, l[2].m) from h where len(l) > 1),
+b as (select text_id, s, count(*) bits from (select text_id, unnest(m) s from h) group by text_id, s), x as (select ix.text_id, ix.sym, ix.n, ix.s, coalesce(b.bits, 1) bits from ix left join b using (text_id, s))"""
+
+
+@query(f"{HEAP} select text_id, sum(n * bits)::bigint bits from x group by text_id")
 def huffman_bits(spark, d):
     return codecs.huffman_bits(cx.symbol_frequency(_docs(spark, d)))
 
 
-@query()
+@query(f"{HEAP}, c as (select *, coalesce(sum(pow(2, -bits)) over (partition by text_id order by bits, s rows between unbounded preceding and 1 preceding), 0) * pow(2, bits) code from x) select text_id, sym, lpad(bin(code::bigint), bits::int, '0') code from c")
 def huffman_codes(spark, d):
     return codecs.huffman_codes(cx.symbol_frequency(_docs(spark, d)))
 
 
-@query()
+@query(f"""with recursive {T}, f(text_id, body, place, n) as (select text_id, body, 1::bigint, 0::bigint from t
+union all select text_id, body, place + coalesce(list_min(list_filter(range(1, length(body) - place + 2), lambda l: instr(body, substr(body, place, l)) = place)), length(body) - place + 1), n + 1 from f where place <= length(body)) select text_id, max(n) "value" from f group by text_id""")
 def lz_factors(spark, d):
     return codecs.factor_counts(_items(spark, d))
 
 
+@query()
+def document_lz_factors(spark, d):
+    return codecs.factor_counts(_docs(spark, d))
+
+
 @query()
 def front_statistics(spark, d):
     return codecs.front_statistics(suffixes.burrows_wheeler(_docs(spark, d)).select("text_id", F.col("bwt").alias("body")))
@@ -620,7 +755,19 @@ def readable_repeats(spark, d):
     return rows.select("text_id", "pattern", "len", F.array_join(F.transform("places", lambda p: p.cast("string")), " ").alias("places"))
 
 
-@query()
+def _step_sql(done: str, cost: str, char: int, price: str) -> tuple[str, str, str]:
+    """One step of a greedy code in SQL: what is coded after a possible copy, then the place reached, then the cost."""
+    after = f"case when len > 0 and q.pos + len > {done} and {price} < (q.pos + len - {done}) * {char} then q.pos + len else {done} end"
+    return after, f"greatest({after}, q.pos + 1)", f"{cost} + case when {after} > {done} then {price} else 0 end + case when q.pos >= {after} then {char} else 0 end"
+
+
+_CODES = [_step_sql("a", "ca", 8, "(pl + pd)"), _step_sql("b", "cb", 3, "(pl + pd)"), _step_sql("c", "cc", 3, "pl")]
+
+
+@query(f"""with recursive {SUBS}, {PREV}, pq as materialized (select text_id, pos, len, case when len > 0 then length(bin(len)) else 0 end pl, case when delta > 0 then length(bin(delta)) else 0 end pd from prev),
+g(text_id, pos, a, ca, b, cb, c, cc) as (select text_id, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint from t where length(body) > 0
+union all select q.text_id, q.pos + 1, {', '.join(x for _, done, cost in _CODES for x in (done, cost))} from g join pq q on q.text_id = g.text_id and q.pos = g.pos)
+select t.text_id, ca cost8, cb cost3, cc cost3_free from g join t on t.text_id = g.text_id and g.pos = length(t.body)""")
 def greedy_code_cost(spark, d):
     p = _previous(spark, d)
     a, b, c = codecs.greedy_cost(p, 8, True), codecs.greedy_cost(p, 3, True), codecs.greedy_cost(p, 3, False)
@@ -766,6 +913,35 @@ def kept_intervals(spark, d):
     return sq.kept_intervals(items, spans.where("x.start < n").select("text_id", "x.start", F.least("x.end", F.col("n") - 1).alias("end")))
 
 
+def _fasta(spark, d) -> DataFrame:
+    head = F.concat(F.lit(">"), F.col("text_id").cast("string"))
+    return _items(spark, d).select("text_id", F.concat(head, F.lit(" first\n"), "body", F.lit("\n"), head, F.lit(" second\n"), F.left("body", F.lit(40))).alias("body"))
+
+
+FASTA = f"{T}, fa as (select text_id, '>' || text_id || ' first' || chr(10) one, body || chr(10) middle, '>' || text_id || ' second' two, chr(10) || substr(body, 1, 40) rest from t)"
+
+
+@query(f"with {FASTA} select text_id, 0::bigint \"offset\", rtrim(one, chr(10)) header from fa union all select text_id, length(one || middle), two from fa")
+def header_lines(spark, d):
+    return sq.headers(_fasta(spark, d))
+
+
+@query(f"with {FASTA} select text_id, repeat('N', length(one) - 1) || chr(10) || middle || repeat('N', length(two)) || rest body from fa")
+def masked_header_lines(spark, d):
+    return _fasta(spark, d).select("text_id", sq.masked_headers(F.col("body")).alias("body"))
+
+
+@query(f"with {FASTA} select text_id, one || middle || two || rest body from fa")
+def header_roundtrip(spark, d):
+    fasta = _fasta(spark, d)
+    return sq.with_headers(fasta.select("text_id", sq.masked_headers(F.col("body")).alias("body")), sq.headers(fasta))
+
+
+@query(f"with {D} select text_id, case when text_id = (select min(text_id) from t) then body else '~' || body end piece from t")
+def joined_pieces(spark, d):
+    return sq.joined(_docs(spark, d)).select("text_id", "piece")
+
+
 # --- arrays and bits ------------------------------------------------------------------------------------------------------
 
 ARRAY = "a as (select *, pos query_id from (select l_suppkey array_id, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) - 1 pos, l_quantity::bigint \"value\", (l_returnflag = 'R')::bigint bit from lineitem))"
@@ -822,3 +998,10 @@ def bit_select_zero(spark, d):
 def set_neighbours(spark, d):
     rows = _rows(spark, d)
     return ranges.set_neighbours(rows.where("bit = 1").select("array_id", "value"), rows.select("array_id", "query_id", "value"))
+
+
+@query(f'with {ARRAY} select p.array_id, p.pos, i.query_id interval_id from a p join a i on i.array_id = p.array_id and i.bit = 1 and i.pos <= p.pos and p.pos < i.pos + i."value"')
+def overlapping_intervals(spark, d):
+    rows = _rows(spark, d)
+    intervals = rows.where("bit = 1").select("array_id", F.col("query_id").alias("interval_id"), F.col("pos").alias("start"), (F.col("pos") + F.col("value")).alias("end"))
+    return ranges.overlapping(rows.select("array_id", "pos"), intervals)

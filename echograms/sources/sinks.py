@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echograms.operators.repeats import occurrences
+from echograms.operators.repeats import occurrences, one_sided
 from echograms.sources.texts import to_real
 
 
@@ -53,10 +53,21 @@ def side_statistics(pair_repeats: DataFrame) -> DataFrame:
     return pair_repeats.groupBy("len", "occs").agg(F.count("*").alias("patterns"), F.sum("n_left").alias("n_left"), F.sum("n_right").alias("n_right"))
 
 
-def matrix(distances: DataFrame, measure: str) -> DataFrame:
-    """A row for each text and a column for each other, from (base_id, other_id, measure) with base_id < other_id; for export of small sets."""
+COLUMNS = 2000
+
+
+def matrix(distances: DataFrame, measure: str, ids: list[int]) -> DataFrame:
+    """A row for each text and a column for each of ids, at most COLUMNS of them, from (base_id, other_id, measure) with every pair once, in either order."""
+    if len(ids) > COLUMNS:
+        raise ValueError(f"a table has at most {COLUMNS} columns; write the pairs themselves")
     both = distances.select("base_id", "other_id", measure).union(distances.select("other_id", "base_id", measure))
-    return both.groupBy("base_id").pivot("other_id").agg(F.first(measure)).orderBy("base_id")
+    return both.groupBy("base_id").pivot("other_id", ids).agg(F.first(measure))
+
+
+def write_sides(pair_repeats: DataFrame, folder: str, side: str = "all", least: int = 1) -> None:
+    """Lines of length, occurrences on the left, occurrences on the right and pattern: repeats of at least that length on one side, both or all."""
+    rows = one_sided(pair_repeats, side).where(F.col("len") >= least)
+    rows.select(F.concat_ws("\t", "len", "n_left", "n_right", "pattern").alias("value")).write.text(folder)
 
 
 def nothing(df: DataFrame) -> None:

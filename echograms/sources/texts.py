@@ -2,26 +2,34 @@
 
 from __future__ import annotations
 
+import bz2
 import re
+import zlib
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, body) of each file, as UTF-8; files that end in .gz are decompressed on the executors."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def inflate(batches):
-        import zlib
-
-        import pyarrow as pa
-
+    """(path, body) of each file, as UTF-8; files that end in .gz or .bz2 are decompressed on the executors. If there is nothing at path, path.gz is read."""
+    try:
+        files = spark.read.format("binaryFile").load(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        files = spark.read.format("binaryFile").load(f"{path}.gz")
+
+    def unpacked(name: str, content: bytes) -> bytes:
+        return zlib.decompress(content, 47) if name.endswith(".gz") else bz2.decompress(content) if name.endswith(".bz2") else content
+
+    def read(batches):
         for batch in batches:
-            raw = [zlib.decompress(c, 47) if p.endswith(".gz") else c for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            raw = [unpacked(p, c) for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.decode("utf-8", "replace") for r in raw])], ["path", "body"])
 
-    return files.mapInArrow(inflate, "path string, body string")
+    return files.select("path", "content").mapInArrow(read, "path string, body string")
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:

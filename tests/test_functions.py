@@ -1,6 +1,7 @@
 import math
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -64,6 +65,30 @@ def test_factors():
         assert codecs.factors(s) == count + bool(grown)
 
 
+def test_size_of_the_code_description(spark):
+    """Lengths 1, 2, 3, 3: 5 bits for the longest, 1 + 1 for how many codes have length 1 and 2, and lists of one symbol for these two, 4 bits each. One
+    symbol of four: 3 + 1 bits, and a distance of two base-3 digits. No symbol: 1 bit."""
+    rows = [(1, 0, 5), (1, 1, 2), (1, 2, 1), (1, 3, 1), (2, 2, 7)]
+    got = codecs.huffman_table_bits(spark.createDataFrame(rows, "text_id long, sym int, n long"), 4).collect()
+    assert {r.text_id: r.table_bits for r in got} == {1: 5 + 2 + 8, 2: 4 + 6}
+
+
+def test_rectangles_of_common_prefixes(spark):
+    rng = random.Random(27)
+    values = ["", "x", "Mississippi", "a" * 9] + ["".join(rng.choice("ab") for _ in range(30)) for _ in range(6)]
+    got = {(r.text_id, r.rank): (r.lcp, r.base) for r in cx.rectangles(table(spark, values)).collect()}
+    want = {}
+    for i, t in enumerate(values):
+        order = brute.suffix_order(t)
+        heights = [brute.common(t[a:], t[b:]) for a, b in zip(order, order[1:])]
+        for k, h in enumerate(heights):
+            spans = [(x, y) for x in range(k + 1) for y in range(k + 1, len(heights) + 1) if min(heights[x:y]) >= h]
+            want[i, k] = (h, 1 + max(y - x for x, y in spans))
+    assert got == want
+    tests = spark.range(1).select(*[cx.in_lcp_class(F.lit(v), F.lit(n), kind).alias(f"{kind}{v}_{n}") for kind, v, n in (("long", 3, 64), ("long", 3, 65), ("below", 3, 65), ("half", 2, 65), ("ten", 10, 5))]).first()
+    assert list(tests) == [True, False, True, True, True]
+
+
 def test_complexity_of_a_word(spark):
     t = table(spark, ["Mississippi\u0000", "x"])
     counts = cx.lcp_counts(t)
@@ -145,7 +170,8 @@ def test_sequences(spark):
     assert sq.kept_intervals(table(spark, ["0123456789"]), spans).first().body == "1234N89"
     changes = {r.letter: (r.total, r.lost, r.gained) for r in sq.letter_changes(spark.createDataFrame([(0, "AACG", "ATCC")], "text_id long, body string, other string")).collect()}
     assert changes == {"A": (2, 1, 0), "C": (1, 0, 1), "G": (1, 1, 0), "T": (0, 0, 1)}
-    assert sq.joined(table(spark, ["a", "b"])).first().body == "a~b"
+    pieces = sq.joined(table(spark, ["a", "", "b"]).repartition(3), parts=2).orderBy("part", "text_id").collect()
+    assert "".join(r.piece for r in pieces) == "a~~b" and sq.joined(table(spark, [])).collect() == []
     assert spark.range(1).select(sq.piece_at(F.lit(">h\nab c\nd"), 1, 2).alias("p")).first().p == "bc"
 
 
@@ -161,6 +187,13 @@ def test_sources(spark, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("plain é")
     (tmp_path / "in" / "b.txt.gz").write_bytes(gzip.compress("packed".encode()))
     assert sorted(r.body for r in src.whole_files(spark, str(tmp_path / "in")).collect()) == ["packed", "plain é"]
+    import bz2
+
+    (tmp_path / "in" / "c.txt.bz2").write_bytes(bz2.compress("harder".encode()))
+    assert src.whole_files(spark, str(tmp_path / "in" / "c.txt.bz2")).first().body == "harder"
+    assert src.whole_files(spark, str(tmp_path / "in" / "b.txt")).first().body == "packed"  # from b.txt.gz
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        src.whole_files(spark, str(tmp_path / "in" / "none.txt")).collect()
     src.write_section(t, str(tmp_path / "store"), "texts")
     assert src.read_section(spark, str(tmp_path / "store"), "texts").count() == 3
     src.write_fasta(table(spark, ["A" * 100]), str(tmp_path / "fa"))
@@ -208,7 +241,12 @@ def test_sinks(spark, tmp_path):
     collapsed = t.select("text_id", src.collapse_runs(F.col("body")).alias("body"))
     rows = sinks.tracked(repeats.maximal_repeats(collapsed, 4), suffixes.suffix_array(collapsed), src.gap_trace(src.n_runs(t), t)).where("text_id = 1").collect()
     assert sorted(r.real for r in rows) == [0, 1, 8, 12]  # NNNN at 0 and 1, ACGT at 8 and 12
-    wide = sinks.matrix(spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25), (2, 3, 0.75)], "base_id long, other_id long, x double"), "x").collect()
+    wide = sinks.matrix(spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.25), (2, 3, 0.75)], "base_id long, other_id long, x double"), "x", [1, 2, 3]).orderBy("base_id").collect()
+    with pytest.raises(ValueError):
+        sinks.matrix(found, "len", list(range(sinks.COLUMNS + 1)))
+    pairs = repeats.pair_repeats(spark.createDataFrame([(1, "abcabx", "zzabcq")], "text_id long, body string, other string"))
+    sinks.write_sides(pairs, str(tmp_path / "s"), "both", 3)
+    assert [r.value for r in spark.read.text(str(tmp_path / "s")).collect()] == ["3\t1\t1\tabc"]
     assert wide[0]["2"] == 0.5 and wide[2]["1"] == 0.25
     sinks.nothing(found)
     assert sinks.patterns_only(found).columns == ["value"]
