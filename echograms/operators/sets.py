@@ -75,18 +75,62 @@ def exclusive(repeats: DataFrame, others: DataFrame) -> DataFrame:
     return repeats.join(held, ["text_id", "first_pos"], "left").where(F.coalesce("held", F.lit(0)) < F.col("len")).drop("held")
 
 
+def _outermost(order: SuffixOrder, held: np.ndarray, least: int) -> list[int]:
+    """Places whose longest held string, of length held[place], is part of no longer held string, one place for each such string.
+
+    Strings are taken from the longest to the shortest. Ranks that share as many characters are merged on the way, so a group of ranks is the set of a
+    string's occurrences, and knows the most that is held at any of them or at the place before."""
+    n = len(held)
+    prefixes = order.common_prefixes()
+    rank = np.empty(n, dtype=np.int64)
+    rank[order.order] = np.arange(n)
+    before = np.concatenate([[0], held[:-1]])
+    most = np.maximum(held, before)[order.order].tolist()
+    group = list(range(n))
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    edges = iter(np.argsort(-prefixes, kind="stable").tolist())
+    edge = next(edges, None)
+    found, seen = [], set()
+    starts = np.flatnonzero((held >= max(1, least)) & (before <= held))
+    for place in starts[np.argsort(-held[starts], kind="stable")].tolist():
+        length = int(held[place])
+        while edge is not None and prefixes[edge] >= length:
+            a, b = root(edge), root(edge + 1)
+            group[b] = a
+            most[a] = max(most[a], most[b])
+            edge = next(edges, None)
+        own = (root(int(rank[place])), length)
+        if most[own[0]] <= length and own not in seen:
+            seen.add(own)
+            found.append(place)
+    return found
+
+
+def _common(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for text_id, text, held in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                length = np.array(held, dtype=np.int64)
+                rows += [(text_id, text[p : p + int(length[p])], int(length[p])) for p in _outermost(SuffixOrder([text]), length, least)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["text_id", "pattern", "len"])
+
+    return run
+
+
 def common_substrings(texts: DataFrame, everywhere: DataFrame, least: int = 1) -> DataFrame:
     """(text_id, pattern, len): substrings of a base text that all its others hold and that no longer one of them contains.
 
-    everywhere is fold(..., "all"). At each position only the longest counts, and only where the position before does not reach as far; of
-    those, strings that are part of another at the same base are dropped: s is part of another if s occurs at a place where more is held."""
-    w = Window.partitionBy("base_id").orderBy("pos")
-    ends = everywhere.withColumn("before", F.lag("len", 1, 0).over(w)).where((F.col("len") >= least) & (F.col("before") <= F.col("len")))
-    named = ends.join(texts.select(F.col("text_id").alias("base_id"), "body"), "base_id")
-    candidates = named.select("base_id", F.substring("body", (F.col("pos") + 1).cast("int"), F.col("len").cast("int")).alias("pattern"), "len").distinct()
-    longer = candidates.select("base_id", F.col("pattern").alias("whole"), F.col("len").alias("whole_len"))
-    inside = (candidates["base_id"] == longer["base_id"]) & (F.col("whole_len") > F.col("len")) & F.contains(F.col("whole"), F.col("pattern"))
-    return candidates.join(longer, inside, "left_anti").select(F.col("base_id").alias("text_id"), "pattern", "len")
+    everywhere is fold(..., "all"). A text and what is held at its places meet in one task; a held string is part of a longer one exactly where more is
+    held at one of its occurrences, or at the place before one."""
+    held = everywhere.groupBy("base_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "len"))), lambda x: x["len"]).alias("held"))
+    joined = texts.select(F.col("text_id").alias("base_id"), "body").join(held, "base_id").where(F.size("held") > 0)
+    return joined.select("base_id", "body", "held").mapInArrow(_common(least), "text_id long, pattern string, len long")
 
 
 def tags(texts: DataFrame, everywhere: DataFrame, nowhere: DataFrame, mode: str = "minimal") -> DataFrame:
