@@ -1,7 +1,8 @@
 """All queries of the pattern-mining operators, each over a whole table, and SQL that states its result independently.
 
 Queries on `benchmark` have definitions by all substrings as their SQL; queries on `documents` have linear definitions, or none where every
-definition in SQL is quadratic in the length of a text (tests hold those against brute force)."""
+definition in SQL is quadratic in the length of a text: tests/test_documents.py holds those against plain definitions on a small table. Every operator
+on sets, repeats, complexity and codes has a query over whole documents beside the one over items."""
 
 from __future__ import annotations
 
