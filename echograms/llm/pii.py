@@ -18,7 +18,7 @@ KINDS = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{8}", r"(?i)iban|bank|konto|compte|cuenta", 0.8),
 }
 BASE = ("email", "ip", "card", "phone")
-BEFORE, AFTER, BONUS = 40, 20, 0.15
+BEFORE, AFTER, BONUS, BLOCK = 40, 20, 0.15, 256
 SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string,score:double>"
 
 
@@ -53,16 +53,25 @@ def _confirmed(kind: str, value: Column) -> Column:
 
 
 def _places(kind: str) -> Column:
-    """Start of each match."""
+    """Start of each match: running sums over blocks of BLOCK matches, then inside each block, so that long lists of matches take no quadratic time."""
     m, p = F.col(f"m_{kind}"), F.col(f"p_{kind}")
     none = F.array().cast("array<bigint>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("out"))
-
-    def step(acc, i):
-        here = acc["at"] + F.length(F.get(p, i))
-        return F.struct((here + F.length(F.get(m, i))).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
-
-    return F.when(F.size(m) == 0, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(m) - 1), start, step, lambda acc: acc["out"]))
+    sizes = F.transform(m, lambda x, i: F.struct(F.length(F.get(p, i)).cast("bigint").alias("gap"), F.length(x).cast("bigint").alias("size")))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / BLOCK).cast("int")), lambda k: F.slice(sizes, k * BLOCK + 1, F.lit(BLOCK)))
+    start = lambda at: F.struct(at.alias("at"), none.alias("out"))
+    zero = F.lit(0).cast("bigint")
+
+    def block(acc, x):
+        total = F.aggregate(x, zero, lambda n, y: n + y["gap"] + y["size"])
+        return F.struct((acc["at"] + total).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+
+    def match(acc, x):
+        here = acc["at"] + x["gap"]
+        return F.struct((here + x["size"]).alias("at"), F.concat(acc["out"], F.array(here)).alias("out"))
+
+    bases = F.aggregate(blocks, start(zero), block, lambda acc: acc["out"])
+    starts = F.flatten(F.zip_with(blocks, bases, lambda x, base: F.aggregate(x, start(base), match, lambda acc: acc["out"])))
+    return F.when(F.size(m) == 0, none).otherwise(starts)
 
 
 def personal_data(docs: DataFrame, text: str = "text", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
