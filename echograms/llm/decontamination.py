@@ -57,7 +57,8 @@ def _item_windows(size: int):
 def item_windows(items: DataFrame, size: int = SIZE) -> DataFrame:
     """(item_id string, gram, size, window, words): every distinct window of every item, its words joined by spaces and their hashes. Null texts have none."""
     named = items.select(items["item_id"].cast("string").alias("item_id"), items["text"].alias("text"))
-    return named.mapInArrow(_item_windows(size), "item_id string, gram long, size int, window string, words array<long>")
+    dealt = named.repartition(named.sparkSession.sparkContext.defaultParallelism)  # a benchmark is often one file
+    return dealt.mapInArrow(_item_windows(size), "item_id string, gram long, size int, window string, words array<long>")
 
 
 def _count_words(known):

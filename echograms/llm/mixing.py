@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from echograms.llm.runtime import cut
 
-WEIGHTS, LIMIT, SEED, SHARD_WORDS, BLOCKS_A_SHARD, STEP = (5, 2, 1), 3, 20240607, 10_000_000, 16, 10_000
+WEIGHTS, LIMIT, SEED, SHARD_WORDS, BLOCKS_A_SHARD, SHARDS_A_TASK, STEP = (5, 2, 1), 3, 20240607, 10_000_000, 16, 4, 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -47,6 +47,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, limit: float = LIMIT) -> D
     return leveled.withColumn("target", F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("w") * final)).select("source", "source_size", "n_docs", "target")
 
 
+def shards_for(words: int, shard_words: int = SHARD_WORDS) -> int:
+    """A power of two, so that shards hold about shard_words words; 16 at least."""
+    return max(16, 1 << (words // shard_words).bit_length())
+
+
 def mix_plan(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: int = SEED, shards: int | None = None, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, DataFrame]:
     """(groups, blocks). groups: key, doc_id, source, size, times, source_size, target, block, whole, extra, a row for each distinct row of docs, which is
     there `times` times; each of these is taken `whole` times, and the first `extra` of them once more. blocks: source, block, copy, shard, copy from 1.
@@ -62,7 +67,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: int =
     targets = cut(source_targets(rows, weights, limit), "targets")
     known = targets.agg(F.count("*").alias("n"), F.sum("source_size").alias("words")).first()
     if shards is None:
-        shards = max(16, 1 << ((known.words or 0) // shard_words).bit_length())
+        shards = shards_for(known.words or 0, shard_words)
     n_blocks = F.least("n_docs", F.ceil(F.lit(shards * BLOCKS_A_SHARD) * F.col("n_docs") / F.sum("n_docs").over(Window.partitionBy())))
     t = targets.withColumn("n_blocks", n_blocks).withColumnRenamed("source", "of")
     placed = rows.join(F.broadcast(t) if known.n <= 10_000 else t, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("block", F.pmod("draw", "n_blocks"))
@@ -115,7 +120,10 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: int
         full = rows.join(drawn, "key").withColumn("d", F.explode("drawn")).select("row", "d.shard", "d.turn")
     else:
         full = rows.dropDuplicates(["key"]).join(drawn, "key").select("row", "shard", "turn")
-    shuffled = full.repartition("shard").sortWithinPartitions("shard", "turn")
+    if shards is None:
+        shards = shards_for(groups.agg(F.sum(F.col("size") * F.col("times"))).first()[0] or 0)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // SHARDS_A_TASK)
+    shuffled = full.repartition(tasks, "shard").sortWithinPartitions("shard", "turn")
     return shuffled.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "shard"], "shard")
 
 
