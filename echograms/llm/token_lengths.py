@@ -19,7 +19,7 @@ def _lengths(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, counts = encoder(vocabulary.value), Counter()
         for batch in batches:
-            counts.update(len(enc.packed(t)) // 4 if t else 0 for t in batch.column(0).to_pylist())
+            counts.update(enc.count(t) if t else 0 for t in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["n_tokens", "n_docs"])
 
     return run

@@ -1,9 +1,8 @@
-"""Byte-level BPE with a cache of pieces. The vocabulary file is read on the driver and sent to the tasks; its path is a parameter."""
+"""Byte-level BPE. The vocabulary file is read on the driver and sent to the tasks; its path is a parameter."""
 
 from __future__ import annotations
 
 import base64
-import re
 from functools import lru_cache
 from pathlib import Path
 
@@ -13,30 +12,10 @@ import tiktoken
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-tokenisation pattern that this vocabulary was made with.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_RUN = re.compile(r"\s (?=\s|\Z)")
-_CACHED = 150_000
-
-
-class _Pieces(dict):
-    """Packed ids of ' ' + piece."""
-
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= _CACHED:
-            self.clear()
-        packed = np.array(self.encode(f" {piece}"), dtype=np.uint32).tobytes()
-        if len(piece) <= 64:
-            self[piece] = packed
-        return packed
 
 
 class Encoder:
-    """Texts to ids and back. Every text is ordinary text: no string in it becomes a special token.
-
-    The pattern always ends a match before a single space that stands between other characters, so a text can be cut there and its pieces
-    looked up. Texts with white space on both sides of a space, or a space at the end after white space, are encoded whole."""
+    """Texts to ids and back. Every text is ordinary text: no string in it becomes a special token."""
 
     def __init__(self, vocabulary: bytes):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
@@ -46,18 +25,12 @@ class Encoder:
         for token, i in ranks.items():
             self.bytes[i] = token
         self.lengths = np.array([len(x) for x in self.bytes], dtype=np.int64)
-        self.pieces = _Pieces(self.plain.encode_ordinary)
-
-    def packed(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        first, *rest = text.split(" ")
-        if not rest or _RUN.search(text):
-            return np.array(self.plain.encode_ordinary(text), dtype=np.uint32).tobytes()
-        head = np.array(self.plain.encode_ordinary(first), dtype=np.uint32).tobytes() if first else b""
-        return head + b"".join(map(self.pieces.__getitem__, rest))
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(self.packed(text), dtype=np.uint32)
+        return np.array(self.plain.encode_ordinary(text), dtype=np.uint32)
+
+    def count(self, text: str) -> int:
+        return len(self.plain.encode_ordinary(text))
 
     def decode(self, ids) -> bytes:
         return b"".join([self.bytes[i] for i in ids])
