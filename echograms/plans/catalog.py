@@ -823,39 +823,36 @@ def gap_trace(spark, d):
     return src.gap_trace(src.n_runs(dna), dna)
 
 
-def _probes(dna: DataFrame, step: int) -> DataFrame:
+def _positions(dna: DataFrame) -> DataFrame:
     n = F.length("body")
-    rows = dna.where(n > 0).select("text_id", F.explode(F.sequence(F.lit(0), n - 1, F.lit(step))).alias("pos"))
+    rows = dna.where(n > 0).select("text_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("pos"))
     return rows.withColumn("pos", F.col("pos").cast("long"))
 
 
-@query(f"with {TRACE}, pb as (select text_id, unnest(range(0, length(body), 50)) pos from t) select pb.text_id, pb.pos, pb.pos + arg_max(tr.shift, tr.virt_start) \"real\" from pb join tr on tr.text_id = pb.text_id and tr.virt_start <= pb.pos group by pb.text_id, pb.pos")
+@query(f"with {TRACE}, pb as (select text_id, unnest(range(0, length(body))) pos from t) select pb.text_id, pb.pos, pb.pos + arg_max(tr.shift, tr.virt_start) \"real\" from pb join tr on tr.text_id = pb.text_id and tr.virt_start <= pb.pos group by pb.text_id, pb.pos")
 def virtual_to_real(spark, d):
     dna = _dna(spark, d)
-    return src.to_real(_probes(dna, 50), src.gap_trace(src.n_runs(dna), dna))
+    return src.real_places(dna, src.gap_trace(src.n_runs(dna), dna))
 
 
-@query(f"with {TRACE}, ev as (select *, virt_start + coalesce(lag(shift) over (partition by text_id order by virt_start), 0) gap from tr), pb as (select text_id, unnest(range(0, length(body), 50)) pos from t), fd as (select pb.text_id, pb.pos, arg_max(ev.shift, ev.gap) shift, arg_max(ev.virt_start + ev.shift, ev.gap) ends from pb join ev on ev.text_id = pb.text_id and ev.gap <= pb.pos group by pb.text_id, pb.pos) select text_id, pos, case when pos >= ends then pos - shift end virtual from fd")
+@query(f"with {TRACE}, ev as (select *, virt_start + coalesce(lag(shift) over (partition by text_id order by virt_start), 0) gap from tr), pb as (select text_id, unnest(range(0, length(body))) pos from t), fd as (select pb.text_id, pb.pos, arg_max(ev.shift, ev.gap) shift, arg_max(ev.virt_start + ev.shift, ev.gap) ends from pb join ev on ev.text_id = pb.text_id and ev.gap <= pb.pos group by pb.text_id, pb.pos) select text_id, pos, case when pos >= ends then pos - shift end virtual from fd")
 def real_to_virtual(spark, d):
     dna = _dna(spark, d)
-    return src.to_virtual(_probes(dna, 50), src.gap_trace(src.n_runs(dna), dna))
+    return src.virtual_places(dna, src.gap_trace(src.n_runs(dna), dna))
 
 
-EVERY = ("range(0, length(body), 50)", "range(0, length(body))")
-
-
-@query(ORACLE_SQL["virtual_to_real"].replace(*EVERY))
+@query(ORACLE_SQL["virtual_to_real"])
 def virtual_to_real_everywhere(spark, d):
-    """Every position of every sequence; virtual_to_real takes each 50th."""
+    """The same for given points, here all positions, each looked up in the trace."""
     dna = _dna(spark, d)
-    return src.to_real(_probes(dna, 1), src.gap_trace(src.n_runs(dna), dna))
+    return src.to_real(_positions(dna), src.gap_trace(src.n_runs(dna), dna))
 
 
-@query(ORACLE_SQL["real_to_virtual"].replace(*EVERY))
+@query(ORACLE_SQL["real_to_virtual"])
 def real_to_virtual_everywhere(spark, d):
-    """Every position of every sequence; real_to_virtual takes each 50th."""
+    """The same for given points, here all positions, each looked up in the trace."""
     dna = _dna(spark, d)
-    return src.to_virtual(_probes(dna, 1), src.gap_trace(src.n_runs(dna), dna))
+    return src.to_virtual(_positions(dna), src.gap_trace(src.n_runs(dna), dna))
 
 
 @query(f"with {DNA} select text_id, reverse(translate(body, 'ACGT', 'TGCA')) body from t")

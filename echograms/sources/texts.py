@@ -122,14 +122,36 @@ def to_real(points: DataFrame, trace: DataFrame) -> DataFrame:
     return found.select("text_id", "pos", (F.col("pos") + F.col("shift")).alias("real"))
 
 
+def _traced(trace: DataFrame) -> DataFrame:
+    """Trace rows with gap_start, where in the original text the run begins to lose places, and lag, where it has lost them."""
+    w = Window.partitionBy("text_id").orderBy("virt_start")
+    return trace.withColumn("gap_start", F.col("virt_start") + F.lag("shift", 1, 0).over(w)).withColumn("lag", F.col("virt_start") + F.col("shift"))
+
+
 def to_virtual(points: DataFrame, trace: DataFrame) -> DataFrame:
     """(text_id, pos, virtual): the place in the collapsed text of positions of the original; null inside what a traced run lost."""
-    w = Window.partitionBy("text_id").orderBy("virt_start")
-    events = trace.withColumn("before", F.lag("shift", 1, 0).over(w)).withColumn("gap_start", F.col("virt_start") + F.col("before")).withColumn("lag", F.col("virt_start") + F.col("shift"))
-    found = _as_of(points, events.select("text_id", "gap_start", "shift", "lag"), "pos", "gap_start")
+    found = _as_of(points, _traced(trace).select("text_id", "gap_start", "shift", "lag"), "pos", "gap_start")
     return found.select("text_id", "pos", F.when(F.col("pos") >= F.col("lag"), F.col("pos") - F.col("shift")).alias("virtual"))
 
 
+def _stretches(trace: DataFrame, texts: DataFrame, start: str) -> DataFrame:
+    """Trace rows with every pos from their start up to the next row's start, or to the end of the text."""
+    w = Window.partitionBy("text_id").orderBy(start)
+    ended = trace.withColumn("stop", F.lead(start).over(w)).join(texts.select("text_id", F.length("body").cast("long").alias("n")), "text_id")
+    stop = F.least(F.coalesce("stop", "n"), F.col("n"))
+    return ended.where(F.col(start) < stop).withColumn("pos", F.explode(F.sequence(F.col(start), stop - 1)))
+
+
+def real_places(texts: DataFrame, trace: DataFrame) -> DataFrame:
+    """to_real of every position below each text's length: a row of the trace holds for all positions up to the next, so nothing is looked up."""
+    return _stretches(trace, texts, "virt_start").select("text_id", "pos", (F.col("pos") + F.col("shift")).alias("real"))
+
+
+def virtual_places(texts: DataFrame, trace: DataFrame) -> DataFrame:
+    """to_virtual of every position of each text, in the same way."""
+    return _stretches(_traced(trace), texts, "gap_start").select("text_id", "pos", F.when(F.col("pos") >= F.col("lag"), F.col("pos") - F.col("shift")).alias("virtual"))
+
+
 def write_section(df: DataFrame, root: str, section: str, *partitions: str) -> None:
     """Store an intermediate result as a table of its own under root; a section that exists is replaced."""
     writer = df.write.mode("overwrite")
