@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from echograms.functions import codecs
+from echograms.operators import search
 from echograms.plans.catalog import QUERIES
 from tests import brute
 
@@ -91,11 +92,13 @@ def test_codes(spark, folder):
 
 def test_reads(spark, folder):
     docs = folder[1]
-    for r in rows(spark, folder, "read_classes"):
-        text_id, _ = r.pattern_id.split(":")
-        found = sum(t.startswith(w, p) for w in [docs[int(text_id)]] for t in docs.values() for p in range(len(t))) if len(docs[int(text_id)]) == 24 else None
-        assert r.occs >= r.texts >= 1 and (found is None or found == r.occs)
-        assert r["class"] == sum(r.occs >= b for b in (1, 2, 10, 100))
+    table = spark.createDataFrame(list(docs.items()), "text_id long, body string")
+    reads = {r.pattern_id: r.pattern for r in search.sampled_reads(table, 24, 2).collect()}
+    got = {r.pattern_id: (r.occs, r.texts, r["class"]) for r in rows(spark, folder, "read_classes")}
+    assert got.keys() == reads.keys() and len(reads) == 2 * sum(len(t) >= 24 for t in docs.values())
+    for i, w in reads.items():
+        per = [sum(t.startswith(w, p) for p in range(len(t))) for t in docs.values()]
+        assert w in docs[int(i.split(":")[0])] and got[i] == (sum(per), sum(n > 0 for n in per), sum(sum(per) >= b for b in (1, 2, 10, 100)))
 
 
 def sizes(text):
