@@ -14,6 +14,7 @@ from echograms.llm.mixing import op2_mixing
 from echograms.llm.near_duplicates import op7_near_duplicates
 from echograms.llm.packing import op6_packed_ids
 from echograms.llm.pii import op9_personal_data
+from echograms.llm.substrings import op12_substring_dedup
 from echograms.llm.token_lengths import op10_token_lengths
 from echograms.llm.toxicity import op3_toxicity
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_personal_data": op9_personal_data,
     "op10_token_lengths": op10_token_lengths,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/?INST\]|/?TURN\]|/?s>)', '\1\\\2\3', 'g')"
@@ -60,4 +62,13 @@ with r as (select conv_id, turn, coalesce(role, '') "role", coalesce(text, '') t
 g as (select conv_id, count(*) n_turns, string_agg("role" || chr(10) || text || chr(10), '' order by turn, "role", text) turns, coalesce(string_agg(text, '' order by turn, "role", text) filter ("role" = 'assistant'), '') loss,
 sum(case when "role" = 'user' then 13 + length({ESCAPED.format('text')}) else 17 + length({ESCAPED.format('"role"')}) + length({ESCAPED.format('text')}) end)::bigint formatted_chars from r group by conv_id)
 select conv_id, n_turns, sha256(turns) turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256, formatted_chars from g""",
+    "op12_substring_dedup": r"""
+with w as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+win as (select r, i, array_to_string(ws[i:i + 34], ' ') g from (select r, ws, unnest(range(1, len(ws) - 33)) i from w where len(ws) >= 35)),
+twice as (select g from win group by g having count(*) > 1),
+hit as (select distinct r, unnest(range(i, i + 35)) p from win join twice using (g)),
+word as (select r, unnest(ws) x, unnest(range(1, len(ws) + 1)) p from w),
+kept as (select r, string_agg(x, ' ' order by p) t from word anti join hit using (r, p) group by r),
+gone as (select r, count(*) n from hit group by r)
+select doc_id, len(ws)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from w left join kept using (r) left join gone using (r)""",
 }

@@ -53,13 +53,13 @@ def slices(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np
 
 
 class Words:
-    """The words of some texts: lower-cased bytes (with 8 spare ones at the end), starts and ends of words in them, and for each text the index of
-    its first word (one more entry than texts)."""
+    """The words of some texts: lower-cased bytes (with 8 spare ones at the end; unchanged ones if not fold), starts and ends of words in them, and for each
+    text the index of its first word (one more entry than texts)."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, fold: bool = True):
         n = len(data)
         self.lower = np.zeros(n + 8, dtype=np.uint8)
-        self.lower[:n] = LOWER[data]
+        self.lower[:n] = LOWER[data] if fold else data
         self.pieces = np.ndarray((n + 1,), dtype="<u8", buffer=self.lower, strides=(1,))
         inside = np.zeros(n + 1, dtype=bool)
         inside[:n] = is_word[data]
