@@ -13,6 +13,7 @@ from echograms.llm.language_id import op4_language_id
 from echograms.llm.mixing import op2_mixing
 from echograms.llm.near_duplicates import op7_near_duplicates
 from echograms.llm.packing import op6_packed_ids
+from echograms.llm.periodic import op13_periodic_runs
 from echograms.llm.pii import op9_personal_data
 from echograms.llm.substrings import op12_substring_dedup
 from echograms.llm.token_lengths import op10_token_lengths
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_personal_data": op9_personal_data,
     "op10_token_lengths": op10_token_lengths,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/?INST\]|/?TURN\]|/?s>)', '\1\\\2\3', 'g')"
@@ -71,4 +73,22 @@ word as (select r, unnest(ws) x, unnest(range(1, len(ws) + 1)) p from w),
 kept as (select r, string_agg(x, ' ' order by p) t from word anti join hit using (r, p) group by r),
 gone as (select r, count(*) n from hit group by r)
 select doc_id, len(ws)::bigint n_words, coalesce(n, 0)::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from w left join kept using (r) left join gone using (r)""",
+    # CRC-32 by its definition, bit by bit; runs from places of equal four-word grams, as at least five words in a row agree with those a period further on
+    "op13_periodic_runs": r"""
+with w as (select row_number() over () r, doc_id, doc_id::varchar d, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+c as (select *, len(ws) n, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(d) + 1), lambda i: ascii(d[i])::bigint)),
+lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) h from w),
+a as (select *, (h // 10) % greatest(n, 1) a from c),
+p as (select *, 1 + (n - a) // (3 + (h // 10) % 8) p from a),
+t as (select r, doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: ws[1 + case when i < a then i else a + (i - a) % p end]) else ws end ws from p),
+g as (select r, n, i, array_to_string(ws[i + 1:i + 4], ' ') g from (select *, unnest(range(n - 3)) i from t where n > 5)),
+e as (select x.r, x.i, y.i - x.i q from g x join g y on x.r = y.r and x.g = y.g and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+f as (select r, q, min(i) s, count(*) + 3 + q l from (select *, i - row_number() over (partition by r, q order by i) part from e) group by r, q, part),
+run as (select r, s, l, min(q) q from f where l >= 6 and l >= 4 * q group by r, s, l),
+per as (select r, count(*) n_runs, arg_max({'s': s, 'l': l, 'q': q}, {'l': l, 's': -s, 'q': -q}) b, string_agg(s || ',' || l || ',' || q || chr(10), '' order by s, q) t from run group by r),
+gone as (select distinct r, unnest(range(s + q, s + l)) i from run),
+word as (select r, unnest(ws) x, unnest(range(n)) i from t),
+kept as (select r, string_agg(x, ' ' order by i) t from word anti join gone using (r, i) group by r)
+select doc_id, coalesce(n_runs, 0) n_runs, b.s "start", b.l length, b.q period, 1000 * b.l // b.q exponent_milli, sha256(coalesce(per.t, '')) runs_sha256, sha256(coalesce(kept.t, '')) collapsed_sha256
+from t left join per using (r) left join kept using (r)""",
 }
