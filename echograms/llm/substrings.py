@@ -233,9 +233,9 @@ SPANS = "k1 long, k2 long, start long, end long"
 
 
 def _spans(k: np.ndarray, at: np.ndarray, window: int) -> pa.RecordBatch:
-    """Spans [start, end) of words under windows at (text, start), in any order: windows of which each follows the last one become one span."""
+    """Spans [start, end) of words under windows at (text, start), in any order: windows that overlap or touch the one before become one span with it."""
     if len(at):
-        new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1) | (at[1:] != at[:-1] + 1)]))
+        new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]).any(axis=1) | (at[1:] < at[:-1]) | (at[1:] > at[:-1] + window)]))
         last = np.append(new[1:], len(at)) - 1
         k, at, end = k[new], at[new], at[last] + window
     else:
