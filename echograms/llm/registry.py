@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from echograms.llm.chat import op8_chat
 from echograms.llm.decontamination import op1_decontamination
+from echograms.llm.filter_audit import op11_filter_audit
 from echograms.llm.fingerprints import op5_fingerprints
 from echograms.llm.language_id import op4_language_id
 from echograms.llm.mixing import op2_mixing
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_personal_data": op9_personal_data,
     "op10_token_lengths": op10_token_lengths,
+    "op11_filter_audit": op11_filter_audit,
     "op12_substring_dedup": op12_substring_dedup,
     "op13_periodic_runs": op13_periodic_runs,
 }
@@ -64,6 +66,20 @@ with r as (select conv_id, turn, coalesce(role, '') "role", coalesce(text, '') t
 g as (select conv_id, count(*) n_turns, string_agg("role" || chr(10) || text || chr(10), '' order by turn, "role", text) turns, coalesce(string_agg(text, '' order by turn, "role", text) filter ("role" = 'assistant'), '') loss,
 sum(case when "role" = 'user' then 13 + length({ESCAPED.format('text')}) else 17 + length({ESCAPED.format('"role"')}) + length({ESCAPED.format('text')}) end)::bigint formatted_chars from r group by conv_id)
 select conv_id, n_turns, sha256(turns) turns_sha256, length(loss) loss_chars, sha256(loss) loss_sha256, formatted_chars from g""",
+    "op11_filter_audit": r"""
+with l as (select doc_id, coalesce(max((quality = 1)::int), 0) good, coalesce(max((toxic = 1)::int), 0) toxic from labels where doc_id is not null group by doc_id),
+w as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
+f as (select doc_id, part, (len(ws) < 200)::int + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::int + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t))::int
++ 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * coalesce((doc_id > min(doc_id) over (partition by t))::int, 0) m from w),
+c as (select part, m, count(*) n, sum(coalesce(good, 0)) good, sum(coalesce(toxic, 0)) toxic from f left join l using (doc_id) group by part, m),
+x as (select unnest(['A', 'B', 'C', 'D', 'E']) x),
+o as (select a.x || b.x || c.x || d.x || e.x o from x a join x b on b.x <> a.x join x c on c.x not in (a.x, b.x) join x d on d.x not in (a.x, b.x, c.x) join x e on e.x not in (a.x, b.x, c.x, d.x)),
+s as (select o, step, 1 << (ascii(o[step]) - 65) own, list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(o[i]) - 65))) b from (select o, unnest(range(1, 6)) step from o)),
+t as (select o, step, own, coalesce(b, 0)::int b from s)
+select part, o filter_order, step::int step, coalesce(sum(n) filter (m & (b | own) = 0), 0)::bigint kept, coalesce(sum(n) filter (m & b = 0 and m & own <> 0), 0)::bigint removed,
+coalesce(sum(n) filter (m & b <> 0 and m & own <> 0), 0)::bigint redundant, coalesce(sum(n) filter (m = own), 0)::bigint unique_fails,
+coalesce(sum(good) filter (m & b = 0 and m & own <> 0), 0)::bigint good_lost, coalesce(sum(toxic) filter (m & b = 0 and m & own <> 0), 0)::bigint toxic_lost,
+coalesce(sum(n * 120 // greatest(bit_count(m), 1)) filter (m & own <> 0), 0)::bigint shapley from c, t group by part, o, step""",
     "op12_substring_dedup": r"""
 with w as (select row_number() over () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws from documents),
 win as (select r, i, array_to_string(ws[i:i + 34], ' ') g from (select r, ws, unnest(range(1, len(ws) - 33)) i from w where len(ws) >= 35)),
