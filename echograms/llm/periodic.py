@@ -51,8 +51,9 @@ def smallest_period(words: list) -> int:
 
 
 def octaves(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(Q, c, q) for each octave: the multiples c of Q and periods q from Q to 2Q - 1 where 2Q words (4 at least) seem to agree with those q further on. ids
-    may be those of several documents, if no two documents share an id; longest is the length of the longest."""
+    """(Q, c, q) for each octave: the multiples c of Q and periods q from Q to 2Q - 1 such that a run may have started less than Q words before c: 2Q words
+    (4 at least) from c on, and those at the middle and the end of what such a run has left, seem to agree with those q further on. ids may be those of several
+    documents, if no two documents share an id; longest is the length of the longest."""
     h, width, size = ids.astype(U), 1, 1
     while EXPONENT * size <= longest:
         while width < max(4, 2 * size):
@@ -61,8 +62,13 @@ def octaves(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np
             h, width = mix(h[:-width] * BASE + h[width:]), 2 * width
         if len(h) > size:
             y = np.flatnonzero(h[size:] == np.repeat(h[:-size:size], size)[: len(h) - size])
-            if len(y):
-                yield size, y // size * size, y % size + size
+            c, q = y // size * size, y % size + size
+            rest = np.maximum(LEAST, EXPONENT * q) - q - size + 1 - width  # where the last window starts that must agree
+            live = np.flatnonzero(c + q + rest < len(h))
+            c, q, rest = c[live], q[live], rest[live]
+            live = np.flatnonzero((h[c + rest] == h[c + q + rest]) & (h[c + rest // 2] == h[c + q + rest // 2]))
+            if len(live):
+                yield size, c[live], q[live]
         size *= 2
 
 
@@ -213,11 +219,11 @@ def periodic_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
     without runs); digests of the list of runs and of the words that are left when each run is cut to its first period. with_text=True adds
     collapsed, those words joined by one space, for rows that may hold runs (null: all words are left).
 
-    exponent, how often a period must be repeated, is 4 or more; least is the length of the shortest run. Null and empty texts have no words and no runs.
+    exponent, how often a period must be repeated, is 4 or more; least, the length of the shortest run, is 6 or more. Null and empty texts have no words and no runs.
     Repeated rows are judged each, null and repeated ids make no difference, other columns are ignored, whatever their names, and an empty table
     gives an empty result. Any length of text will do: tiles of a long one are dealt to many tasks."""
-    if exponent < EXPONENT:
-        raise ValueError(f"runs of less than {EXPONENT} periods are not found")
+    if exponent < EXPONENT or least < LEAST:
+        raise ValueError(f"runs of less than {EXPONENT} periods or {LEAST} words are not found")
     judged = cut(docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].alias("text")).mapInArrow(_judge, JUDGED), "judged")
     runs = cut(sequence_runs(judged, least, exponent).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "length", "period")).alias("runs")), "runs")
     full = judged.where("text is not null").join(runs, ["k1", "k2"], "left")

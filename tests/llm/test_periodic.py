@@ -104,6 +104,7 @@ def test_planted_tail():
 
 def test_bounds(spark):
     docs = documents(spark, [(1, "a")])
-    with pytest.raises(ValueError):
-        periodic_runs(docs, exponent=3)
+    for parameters in ({"exponent": 3}, {"least": 5}):
+        with pytest.raises(ValueError):
+            periodic_runs(docs, **parameters)
     assert periodic_runs(docs.limit(0)).collect() == []
