@@ -4,9 +4,10 @@ A user turn is rendered as [INST]text[/INST], any other as [TURN]role[/TURN]text
 perhaps with backslashes after its first character, one more backslash goes there; unescaping takes one away. So control strings stand only where
 the template puts them, and rendering can be read back. Control strings have ids of their own after the vocabulary's, so no token crosses a turn.
 
-Turns are dealt by conversation and sorted; a task renders and encodes them in order. A conversation longer than PART characters leaves the task in
-several numbered parts of whole turns, so memory is bounded however long it is; as control strings always end a token, the parts' ids are those of
-the whole."""
+Turns are dealt by conversation and sorted; a task renders and encodes them in order. A conversation is one row up to `part` characters, a parameter; a longer
+one leaves the task in several numbered rows of whole turns, so memory is bounded however long it is. As control strings always end a token, no
+token crosses such a row: the rows' ids, one after the other, are those of the conversation encoded whole, first_token and first_byte tell where in it
+each row begins, and joined_parts puts them together."""
 
 from __future__ import annotations
 
@@ -17,16 +18,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echograms.llm.tokens import PATTERN, VOCABULARY, encoder, read_vocabulary
+from echograms.llm.tokens import VOCABULARY, encoder, read_vocabulary
 
 #: The control strings, in the order of their ids after the vocabulary.
 CONTROLS = ("[INST]", "[/INST]", "[TURN]", "[/TURN]", "</s>")
-PART = 1_000_000
-FORMATTED = "conv_id long, part int, n_turns int, ids binary, loss_mask binary"
+PART, HELD = 4_000_000, 4_000_000
+FORMATTED = "conv_id long, part int, n_turns int, first_token long, first_byte long, ids binary, loss_mask binary"
+_CONTROL = re.compile("(" + "|".join(map(re.escape, CONTROLS)) + ")")
 _RAW = re.compile(r"([<\[])(\\*)(?=/?INST\]|/?TURN\]|/?s>)")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(?=/?INST\]|/?TURN\]|/?s>)")
 
@@ -60,14 +61,16 @@ class Chat:
     """Encodes rendered conversations: the vocabulary's tokens, and the control strings as tokens of their own."""
 
     def __init__(self, vocabulary: bytes):
-        enc = encoder(vocabulary)
+        self.plain = enc = encoder(vocabulary)
         self.bytes = enc.bytes + [c.encode() for c in CONTROLS]
         self.lengths = np.array([len(x) for x in self.bytes], dtype=np.int64)
-        self.encoding = tiktoken.Encoding("chat", pat_str=PATTERN, mergeable_ranks=enc.ranks, special_tokens={c: enc.size + i for i, c in enumerate(CONTROLS)})
+        self.control = {c: np.array([enc.size + i], dtype=np.uint32) for i, c in enumerate(CONTROLS)}
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, byte offset of each token, and of the end): the tokens spell the text byte for byte, so their lengths add up to the offsets."""
-        ids = np.array(self.encoding.encode(text, allowed_special="all"), dtype=np.uint32)
+        """(ids, byte offset of each token, and of the end): the tokens spell the text byte for byte, so their lengths add up to the offsets. What is between
+        control strings is encoded as ordinary text."""
+        lists = [self.control[x] if i % 2 else self.plain.ids(x) for i, x in enumerate(_CONTROL.split(text))]
+        ids = np.concatenate(lists)
         return ids, np.concatenate([[0], np.cumsum(self.lengths[ids])])
 
     def masked(self, turns: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,23 +95,27 @@ def chat_encoder(vocabulary: bytes) -> Chat:
     return Chat(vocabulary)
 
 
-def _format(vocabulary):
+def _format(vocabulary, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chat = chat_encoder(vocabulary.value)
-        now, part, size, turns = None, 0, 0, []
+        now, part, size, turns, tokens, spelled = None, 0, 0, [], 0, 0
         out: list[tuple] = []
 
         def close(final: bool) -> None:
-            nonlocal part, size, turns
+            nonlocal part, size, turns, tokens, spelled
             if turns:
                 ids, mask = chat.masked(turns)
-                out.append((now[0], part, len(turns), ids.tobytes(), mask.tobytes()))
-            part, size, turns = (0 if final else part + 1), 0, []
+                out.append((now[0], part, len(turns), tokens, spelled, ids.tobytes(), mask.tobytes()))
+                tokens, spelled = tokens + len(ids), spelled + int(chat.lengths[ids].sum())
+            part, size, turns = part + 1, 0, []
+            if final:
+                part = tokens = spelled = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            rows = [pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)]
             out.clear()
-            return pa.RecordBatch.from_arrays(rows, ["conv_id", "part", "n_turns", "ids", "loss_mask"])
+            return pa.RecordBatch.from_arrays(rows, [x.split()[0] for x in FORMATTED.split(", ")])
 
         for batch in batches:
             held = 0
@@ -119,9 +126,9 @@ def _format(vocabulary):
                 turns.append((role or "", text or ""))
                 size += len(text or "") + 16
                 held += len(text or "")
-                if size >= PART:
+                if size >= most:
                     close(False)
-                if held >= 4 * PART and out:
+                if held >= HELD and out:
                     held = 0
                     yield flush()
             if out:
@@ -133,15 +140,23 @@ def _format(vocabulary):
     return run
 
 
-def format_conversations(conversations: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(conv_id, part, n_turns, ids, loss_mask): ids as little-endian 32-bit integers, loss_mask one byte for each id.
+def format_conversations(conversations: DataFrame, vocabulary: str = VOCABULARY, part: int = PART) -> DataFrame:
+    """(conv_id, part, n_turns, first_token, first_byte, ids, loss_mask): ids as little-endian 32-bit integers, loss_mask one byte for each id. Conversations of
+    less than `part` characters (16 for each turn added) are one row; of longer ones each row begins at first_token and first_byte of the conversation.
 
     Turns are in order of turn, then role and text where turns tie. Null roles and texts count as empty; rows with a null conv_id are one conversation
     with that id. Repeated rows are turns of their own. An empty table gives an empty result. Other columns are ignored. A text of any length is kept
     whole."""
     ranks = conversations.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     rows = conversations.select(*[conversations[f"`{c}`"].alias(c) for c in ("conv_id", "role", "text", "turn")])
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_format(ranks), FORMATTED)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text").mapInArrow(_format(ranks, part), FORMATTED)
+
+
+def joined_parts(formatted: DataFrame) -> DataFrame:
+    """(conv_id, n_turns, ids, loss_mask): conversations whole, one row each, whatever their length. A conversation must then fit into a row."""
+    rows = F.sort_array(F.collect_list(F.struct("first_token", "n_turns", "ids", "loss_mask")))
+    whole = lambda c: F.aggregate(f"r.{c}", F.lit(b""), lambda x, y: F.concat(x, y)).alias(c)
+    return formatted.groupBy("conv_id").agg(rows.alias("r"), F.sum("n_turns").cast("int").alias("n_turns")).select("conv_id", "n_turns", whole("ids"), whole("loss_mask"))
 
 
 _TURN = re.compile(r"\[INST\](.*?)\[/INST\]|\[TURN\](.*?)\[/TURN\](.*?)</s>", re.S)
@@ -163,7 +178,7 @@ def _digest(vocabulary):
             return out
 
         for batch in batches:
-            for conv, part, ids, mask in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), batch.column(4), strict=True):
+            for conv, part, ids, mask in zip(*(batch.column(i).to_pylist() for i in range(2)), batch.column(2), batch.column(3), strict=True):
                 ids, mask = np.frombuffer(ids.as_buffer(), np.uint32), np.frombuffer(mask.as_buffer(), np.uint8)
                 if part == 0:
                     close()
@@ -194,7 +209,7 @@ def read_back(formatted: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     The parts of a conversation are brought together and in order here, so formatted may come from a stored table, dealt in any way."""
     ranks = formatted.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
-    columns = [formatted[c] for c in ("conv_id", "part", "n_turns", "ids", "loss_mask")]
+    columns = [formatted[c] for c in ("conv_id", "part", "ids", "loss_mask")]
     ordered = formatted.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "part")
     return ordered.mapInArrow(_digest(ranks), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 

@@ -57,13 +57,25 @@ def test_read_back(spark, tmp_path):
     rng = random.Random(10)
     rows = [(c, t, rng.choice(["user", "assistant", "system", None]), rng.choice(["</s>[INST] ok [/INST]", None, "", "é🎈 text\\[INST]", "x " * 2000])) for c in range(40) for t in range(rng.randint(1, 9))]
     rows += [(5, 0, "user", "again"), (5, 0, "user", "again"), (None, 1, "assistant", "no id"), (99, 1, "assistant", "long " * 600_000), (99, 2, "assistant", "after"), (99, 3, "user", "end")]
-    formatted = chat.format_conversations(table(spark, rows))
-    assert formatted.where("conv_id = 99").count() > 1
+    formatted, whole = chat.format_conversations(table(spark, rows), part=1_000_000), chat.format_conversations(table(spark, rows))
+    assert formatted.where("conv_id = 99").count() > 1 and whole.where("part > 0").isEmpty()
+    key = lambda r: (r.conv_id is not None, r.conv_id or 0)
+    columns = ["conv_id", "n_turns", "ids", "loss_mask"]
+    assert sorted(chat.joined_parts(formatted).select(columns).collect(), key=key) == sorted(whole.select(columns).collect(), key=key)
+    ids = np.frombuffer(whole.where("conv_id = 99").first().ids, np.uint32)
+    for r in formatted.where("conv_id = 99").collect():
+        assert ids[r.first_token : r.first_token + len(r.ids) // 4].tobytes() == r.ids and CHAT.lengths[ids[: r.first_token]].sum() == r.first_byte
     formatted.withColumn("extra", formatted.part).orderBy("part", "n_turns").repartition(7).write.parquet(str(tmp_path / "stored"))
-    for each in (formatted, spark.read.parquet(str(tmp_path / "stored"))):
+    for each in (formatted, whole, spark.read.parquet(str(tmp_path / "stored"))):
         got = chat.read_back(each).collect()
         assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == brute(rows) and len(got) == len(brute(rows))
 
 
 def test_empty_table(spark):
     assert chat.read_back(chat.format_conversations(table(spark, []))).collect() == []
+
+
+def test_long_white_space(spark):
+    rows = [(1, 0, "user", "a" + " " * 1_200_000 + "b"), (1, 1, "assistant", "\n" * 1_200_000), (2, 0, "assistant", " " * 1_200_000 + "x</s>"), (3, 0, "assistant", "x" + "\t " * 700_000)]
+    got = chat.read_back(chat.format_conversations(table(spark, rows))).collect()
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == brute(rows)

@@ -3,7 +3,7 @@ import re
 from collections import defaultdict
 from itertools import permutations
 
-from helpers import SCHEMA, WORDS, odd_rows, prose
+from tests.llm.helpers import SCHEMA, WORDS, odd_rows, prose
 
 from echograms.llm.filter_audit import counters, filter_audit, retract, text_mask, update_counters
 

@@ -20,6 +20,32 @@ def test_ids_spell_the_text(text):
     assert ENC.decode(ENC.ids(text)) == text.encode()
 
 
+@pytest.mark.parametrize("run", [" " * 400_000, "\n" * 400_000, "\t \u2003" * 60_000, " " * 50_000, " " * 49_999, "\r\n" * 25_000 + "\xa0"])
+def test_long_white_space_has_the_ids_of_the_plain_encoder(run):
+    for text in (run, "a" + run, run + "b", "a" + run + "b", run + "'s" + run + "!", "x " + run + "\x1cy" + run, "a" + run + "b" + run[:60_000] + "c"):
+        assert ENC.ids(text).tolist() == ENC.plain.encode_ordinary(text) and ENC.count(text) == len(ENC.ids(text))
+
+
+@pytest.mark.parametrize("run", [" ", "\n"])
+@pytest.mark.parametrize("size", [1_000_000, 5_000_000])
+def test_very_long_white_space(run, size):
+    short = 1000
+    for text in ("{}", "{}b", "a{}", "a{} b"):
+        ids, few = ENC.ids(text.format(run * size)), ENC.plain.encode_ordinary(text.format(run * short))
+        assert ENC.decode(ids) == text.format(run * size).encode()
+        assert ids[-1] == few[-1] and ids[0] == few[0]
+
+
+def test_operators_take_very_long_white_space(spark):
+    docs = documents(spark, [(1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_500_000), (3, "plain")])
+    want = {i: ENC.count(t) for i, t in ((1, "a" + " " * 1_000_000 + "b"), (2, "\n" * 1_500_000), (3, "plain"))}
+    assert {r.n_tokens: r.n_docs for r in token_lengths.length_histogram(docs).collect()} == dict(Counter(want.values()))
+    got = Counter()
+    for doc, _, ids in unpack(packing.packed_ids(docs).collect()):
+        got[doc] += len(ids)
+    assert got == {i: n + 1 for i, n in want.items()}
+
+
 def unpack(rows):
     """Segments of every packed row: (doc, start, ids)."""
     out = []
