@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from echograms.llm.runtime import cut
 
@@ -25,9 +26,24 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
 
 
+def exact(value: Column, kind: T.DataType) -> Column:
+    """value as something that to_json writes without loss: dates and timestamps as whole numbers of days and microseconds, maps as lists of entries."""
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value)
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[exact(value.getField(f.name), f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: exact(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform(F.map_entries(value), lambda e: F.struct(exact(e["key"], kind.keyType).alias("k"), exact(e["value"], kind.valueType).alias("v")))
+    return value if isinstance(kind, (T.NumericType, T.StringType, T.BinaryType, T.BooleanType, T.NullType)) else value.cast("string")
+
+
 def row_key(docs: DataFrame) -> Column:
-    """16 bytes that stand for a row: a digest of all its columns."""
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    """16 bytes that stand for a row: a digest of all its columns, spelled so that rows which differ in any of them are spelled differently."""
+    row = F.struct(*[exact(docs[f"`{f.name}`"], f.dataType).alias(f"f{i}") for i, f in enumerate(docs.schema.fields)])
     return F.substring(F.unhex(F.sha2(F.to_json(row).cast("binary"), 256)), 1, 16)
 
 
@@ -114,12 +130,8 @@ def mixed_rows(docs: DataFrame, weights=WEIGHTS, limit: float = LIMIT, seed: int
     takes the place of one of docs. Columns of docs may have any name. Rules for nulls, repeated rows and empty tables are those of mix_plan."""
     groups, blocks = mix_plan(docs, weights, limit, seed, shards)
     groups = cut(groups, "plan")
-    drawn = draws(groups, blocks, seed).groupBy("key").agg(F.collect_list(F.struct("shard", "turn")).alias("drawn")) if groups.where("times > 1").isEmpty() else draws(groups, blocks, seed)
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), row_key(docs).alias("key"))
-    if "drawn" in drawn.columns:  # no row is repeated: a row's few draws come as one array
-        full = rows.join(drawn, "key").withColumn("d", F.explode("drawn")).select("row", "d.shard", "d.turn")
-    else:
-        full = rows.dropDuplicates(["key"]).join(drawn, "key").select("row", "shard", "turn")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), row_key(docs).alias("key")).dropDuplicates(["key"])  # tasks meet with one of equal rows each
+    full = rows.join(draws(groups, blocks, seed), "key").select("row", "shard", "turn")
     if shards is None:
         shards = shards_for(groups.agg(F.sum(F.col("size") * F.col("times"))).first()[0] or 0)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // SHARDS_A_TASK)

@@ -112,3 +112,20 @@ def test_query_draws_from_the_tree(spark, tmp_path):
             drawn[x.shard][x.place] = r.doc_id
     assert len(got) == len(rows) and len(shards) > 1 and any(r.shards > 1 for r in got) and any(not r.copies for r in got)
     assert {s: [p[i + 1] for i in range(len(p))] for s, p in drawn.items()} == dict(shards)
+
+
+def test_rows_that_differ_anywhere_are_different_rows(spark):
+    docs = spark.sql("""
+        select 1L doc_id, 's' source, 'one two' text, timestamp'2024-01-01 00:00:00.000100' t, timestamp_ntz'2024-01-01 00:00:00.000100' z, 1.10BD d, x'00' b, named_struct('x', null, 'y', array(1, null)) n, map('a', date'2024-01-01') m
+        union all select 1L, 's', 'one two', timestamp'2024-01-01 00:00:00.000400', timestamp_ntz'2024-01-01 00:00:00.000100', 1.10BD, x'00', named_struct('x', null, 'y', array(1, null)), map('a', date'2024-01-01')
+        union all select 1L, 's', 'one two', timestamp'2024-01-01 00:00:00.000100', timestamp_ntz'2024-01-01 00:00:00.000400', 1.10BD, x'00', named_struct('x', null, 'y', array(1, null)), map('a', date'2024-01-01')
+        union all select 1L, 's', 'one two', timestamp'2024-01-01 00:00:00.000100', timestamp_ntz'2024-01-01 00:00:00.000100', 1.11BD, x'00', named_struct('x', null, 'y', array(1, null)), map('a', date'2024-01-01')
+        union all select 1L, 's', 'one two', timestamp'2024-01-01 00:00:00.000100', timestamp_ntz'2024-01-01 00:00:00.000100', 1.10BD, x'0000', named_struct('x', null, 'y', array(1, null)), map('a', date'2024-01-01')
+        union all select 1L, 's', 'one two', timestamp'2024-01-01 00:00:00.000100', timestamp_ntz'2024-01-01 00:00:00.000100', 1.10BD, x'00', null, map('a', date'2024-01-01')
+        union all select 1L, 's', 'one two', timestamp'2024-01-01 00:00:00.000100', timestamp_ntz'2024-01-01 00:00:00.000100', 1.10BD, x'00', named_struct('x', null, 'y', array(1)), map('a', date'2024-01-01')
+        union all select 1L, 's', 'one two', timestamp'2024-01-01 00:00:00.000100', timestamp_ntz'2024-01-01 00:00:00.000100', 1.10BD, x'00', named_struct('x', null, 'y', array(1, null)), map('a', null)
+        union all select 1L, 's', 'one two', timestamp'2024-01-01 00:00:00.000100', timestamp_ntz'2024-01-01 00:00:00.000100', 1.10BD, null, named_struct('x', null, 'y', array(1, null)), map('a', date'2024-01-01')
+        """)
+    assert {r.times for r in mx.mix_plan(docs)[0].collect()} == {1} and mx.mix_plan(docs)[0].count() == 9
+    spell = lambda rows: Counter(str(r) for r in rows)
+    assert spell(mx.mixed_rows(docs).drop("shard").collect()) == spell(docs.collect())
