@@ -7,8 +7,9 @@ by their mask, the set of filters that they fail, and from these counts follow a
    128-bit digest of its text, labels come by a join of such thin rows, and rows of one text, part, mask and label that a task has are one row with a
    number and a least id before anything is shuffled: a text that a third of all rows share is a few rows for each task.
 2. The state remembers for each text its least id and what the rows of that id were counted as. A smaller id in a later batch makes the earlier rows fail E:
-   they are taken back from the counters and counted anew. State keys are groups of texts that share low bits of the digest, a handful of texts each, as
-   a call of Python for each text would cost more than the text. The state is in RocksDB, with its changes in the checkpoint folder.
+   they are taken back from the counters and counted anew. State keys are groups of texts that share low bits of the digest, some dozens of texts each, as
+   a call of Python for each text would cost more than the text. The state is about 100 bytes a text, kept by the state store that the cluster is set up
+   with (spark.sql.streaming.stateStore.providerClass: Spark's default keeps it in the heap, RocksDB on disk), with its changes in the checkpoint folder.
 3. Each batch writes its changes of the counters to a folder of its own, by its number, so a batch that is run again after a failure replaces itself. The
    counters are the sums of all changes."""
 
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from echograms.llm.runtime import cut, shared_folder
 
-LETTERS, DUPLICATE, BATCHES, TEXTS_A_KEY, COMBINE = "ABCDE", 16, 4, 16, 100_000
+LETTERS, DUPLICATE, BATCHES, TEXTS_A_KEY, COMBINE = "ABCDE", 16, 4, 64, 100_000
 UPPER, SIGNS, CONTINUED = bytes(range(65, 91)), b"#$%&*|", bytes(range(0x80, 0xC0))
 FACTS = "doc_id long, part string, digest string, mask int"
 COMBINED = "bucket long, digest string, part string, mask int, good boolean, toxic boolean, n long, has_id boolean, least long, n_least long"
@@ -110,10 +111,11 @@ def _update(key, frames, state):
     texts = json.loads(state.get[0]) if state.exists else {}
     changes: Counter = Counter()
     for frame in frames:
-        changes.update(retract(texts, frame[[c.split()[0] for c in COMBINED.split(", ")[1:]]].astype(object).itertuples(index=False, name=None)))
+        changes.update(retract(texts, zip(*[frame[c.split()[0]].tolist() for c in COMBINED.split(", ")[1:]], strict=True)))
     state.update((json.dumps(texts, ensure_ascii=False, separators=(",", ":")),))
     flat = [(*k, n) for k, n in changes.items() if n]
-    yield pd.DataFrame(flat, columns=[c.split()[0] for c in CHANGES.split(", ")])
+    if flat:
+        yield pd.DataFrame(flat, columns=[c.split()[0] for c in CHANGES.split(", ")])
 
 
 def _as_pattern(path: str) -> str:
@@ -129,9 +131,6 @@ def update_counters(spark: SparkSession, documents: str, flags: DataFrame, folde
     schema = spark.read.parquet(documents).schema
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
-    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
-    session.conf.set("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage", "true")
     files = session.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("maxFileAge", "36500d").parquet(_as_pattern(documents))
     thin = files.select(files[f"`{key}`"].cast("long").alias("doc_id"), F.coalesce(files[f"`{part}`"], F.lit("")).alias("part"), files[f"`{text}`"].alias("text")).mapInArrow(_facts, FACTS)
     known = session.read.schema(flags.schema).parquet(*flags.inputFiles()) if flags.inputFiles() else session.createDataFrame([], flags.schema)
