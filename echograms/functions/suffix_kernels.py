@@ -238,6 +238,110 @@ def repeat_intervals(prefixes: np.ndarray, lefts: np.ndarray, least: int) -> lis
     return found
 
 
+class RepeatTree:
+    """The maximal repeats of one group of texts as a tree of rank intervals: one repeat is the parent of another if its interval is the least that contains
+    the other's. A repeat that starts with a repeated string is one of its ancestors, so those of a place are a path to the root."""
+
+    def __init__(self, order: SuffixOrder, least: int = 1):
+        found = repeat_intervals(order.common_prefixes(), order.lefts(), least)  # children before parents
+        self.length, self.first, size = (np.array(x, dtype=np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        self.stop, self.places = self.first + size, order.order
+        n, m = len(order.order), len(found)
+        parent, open_ = [-1] * m, []
+        for i, first in enumerate(self.first.tolist()):
+            while open_ and open_[-1][1] >= first:
+                parent[open_.pop()[0]] = i
+            open_.append((i, first))
+        self.parent = np.array(parent, dtype=np.int64)
+        self.home = np.full(n, -1, dtype=np.int64)  # the innermost repeat of each rank
+        down = np.lexsort((-self.stop, self.first)).tolist()  # parents before children, from left to right
+        first, stop = self.first[down].tolist(), self.stop[down].tolist()
+        inside: list[int] = []
+        at, i = 0, 0
+        while i < m or inside:  # from edge to edge; a whole stretch of ranks has one home
+            until = min(first[i] if i < m else n, stop[inside[-1]] if inside else n)
+            if inside and until > at:
+                self.home[at:until] = down[inside[-1]]
+            at = until
+            while inside and stop[inside[-1]] <= at:
+                inside.pop()
+            while i < m and first[i] == at:
+                inside.append(i)
+                i += 1
+
+    def previous(self) -> tuple[np.ndarray, np.ndarray]:
+        """(length, distance) for each place: the longest repeat that starts there and at an earlier place too, and how far back its nearest earlier place is; 0, 0
+        where there is none.
+
+        All places of a repeat but the least have an earlier one. So a place's repeat is its innermost one or, where it is the least place of that, the
+        nearest ancestor with a smaller least place."""
+        n, m = len(self.places), len(self.first)
+        length, distance = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        if not m:
+            return length, distance
+        least = np.full(m, n, dtype=np.int64)
+        held = np.flatnonzero(self.home >= 0)
+        np.minimum.at(least, self.home[held], self.places[held])
+        low, parents = least.tolist(), self.parent.tolist()
+        for i, up in enumerate(parents):
+            if up >= 0 and low[i] < low[up]:
+                low[up] = low[i]
+        smaller = [-1] * m
+        for i in range(m - 1, -1, -1):
+            up = parents[i]
+            smaller[i] = up if up < 0 or low[up] != low[i] else smaller[up]
+        home = self.home[held]
+        answer = np.where(np.array(low)[home] != self.places[held], home, np.array(smaller)[home])
+        at = self.places[held][answer >= 0]
+        answer = answer[answer >= 0]
+        length[at] = self.length[answer]
+        distance[at] = at - RangeOrder(self.places).before(self.first[answer], self.stop[answer], at)
+        return length, distance
+
+
+class RangeOrder:
+    """Questions on the order of values in ranges of a permutation, all at once: the permutation is sorted by its bits from the highest to the lowest, each
+    level keeping its order within equal higher bits, with counts of zero bits before each place."""
+
+    def __init__(self, values: np.ndarray):
+        self.bits = max(1, int(len(values) - 1).bit_length()) if len(values) else 1
+        self.zeros: list[np.ndarray] = []
+        for b in range(self.bits - 1, -1, -1):
+            zero = (values >> b) & 1 == 0
+            self.zeros.append(np.concatenate([[0], np.cumsum(zero)]).astype(np.int64))
+            values = np.concatenate([values[zero], values[~zero]])
+
+    def before(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """The largest entry below value in places low to high - 1; there must be one."""
+        a, b, below = low, high, np.zeros(len(value), dtype=np.int64)
+        for zero, bit in zip(self.zeros, range(self.bits - 1, -1, -1), strict=True):
+            za, zb, one = zero[a], zero[b], (value >> bit) & 1 == 1
+            below += np.where(one, zb - za, 0)
+            a, b = np.where(one, zero[-1] + a - za, za), np.where(one, zero[-1] + b - zb, zb)
+        a, b, nth, out = low, high, below - 1, np.zeros(len(value), dtype=np.int64)
+        for zero, bit in zip(self.zeros, range(self.bits - 1, -1, -1), strict=True):
+            za, zb = zero[a], zero[b]
+            one = nth >= zb - za
+            out |= one.astype(np.int64) << bit
+            nth = np.where(one, nth - (zb - za), nth)
+            a, b = np.where(one, zero[-1] + a - za, za), np.where(one, zero[-1] + b - zb, zb)
+        return out
+
+
+def greedy_bits(length: list[int], distance: list[int], char_bits: int, count_distance: bool) -> int:
+    """Bits of a greedy code of one text: in order of place, a copy is taken if it reaches beyond what is coded and costs less than its new characters would;
+    a character that is not reached costs char_bits."""
+    cost = done = 0
+    for at, (size, back) in enumerate(zip(length, distance, strict=True)):
+        if size and at + size > done:
+            price = size.bit_length() + (back.bit_length() if count_distance else 0)
+            if price < (at + size - done) * char_bits:
+                cost, done = cost + price, at + size
+        if at >= done:
+            cost, done = cost + char_bits, at + 1
+    return cost
+
+
 def as_text(points: np.ndarray) -> list[str]:
     """One-character strings; the start of a text is the empty string."""
     distinct, at = np.unique(points, return_inverse=True)

@@ -213,8 +213,7 @@ prev as (select p.text_id, p.i - 1 pos, coalesce(max(o.len), 0) len, coalesce(ma
 
 
 def _previous(spark, d) -> DataFrame:
-    items = _items(spark, d)
-    return repeats.longest_previous(repeats.maximal_repeats(items, with_pattern=False), suffixes.suffix_array(items))
+    return repeats.longest_previous(repeats.previous_runs(_items(spark, d)))
 
 
 @query(f"with {SUBS}, {PREV} select text_id, pos, len, delta from prev")
@@ -222,6 +221,16 @@ def longest_previous_repeat(spark, d):
     return _previous(spark, d)
 
 
+@query()
+def document_longest_previous(spark, d):
+    """Per document: at how many places a repeat starts that occurred before, and sums and largest values of lengths and distances there."""
+    r = repeats.previous_runs(_docs(spark, d)).where("len > 0")
+    total = F.sum(F.col("places") * F.col("len") - F.col("places") * (F.col("places") - 1) / 2).cast("long")
+    found = r.groupBy("text_id").agg(F.sum("places").alias("places"), total.alias("total"), F.max("len").alias("longest"), F.sum(F.col("places") * F.col("delta")).alias("distances"), F.max("delta").alias("farthest"))
+    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("places", "total", "longest", "distances", "farthest")]
+    return _docs(spark, d).select("text_id").join(found, "text_id", "left").select("text_id", *zero)
+
+
 BACK = CORE.replace("text body from benchmark", "reverse(text) body from benchmark")
 
 
@@ -605,14 +614,18 @@ def text_distances(spark, d):
 def measures(texts: DataFrame) -> DataFrame:
     """(text_id, n, zeros, est_bytes, cost8, cost3, cost3_free, k) of each text: the sizes that distances by compression compare."""
     bwt = suffixes.burrows_wheeler(texts).select("text_id", F.col("bwt").alias("body"))
-    previous = repeats.longest_previous(repeats.maximal_repeats(texts, with_pattern=False), suffixes.suffix_array(texts))
-    costs = [codecs.greedy_cost(previous, char, delta).withColumnRenamed("cost", name) for name, char, delta in (("cost8", 8, True), ("cost3", 3, True), ("cost3_free", 3, False))]
     out = codecs.front_statistics(bwt).select("text_id", "n", "zeros", "est_bytes")
-    for part in (*costs, cx.complexity(cx.lcp_counts(texts), texts)):
+    for part in (repeats.code_costs(texts, cost8=(8, True), cost3=(3, True), cost3_free=(3, False)), cx.complexity(cx.lcp_counts(texts), texts)):
         out = out.join(part, "text_id")
     return out
 
 
+@query()
+def document_measures(spark, d):
+    """The sizes of every document that distances by compression compare."""
+    return measures(_docs(spark, d).where("body <> ''")).withColumn("k", F.round("k", 9))
+
+
 @query()
 def measure_distances(spark, d):
     """Distances by six measures between every item whose id is divisible by 100 and every other item. A pair is one text, with a character between its
@@ -634,7 +647,17 @@ def measure_distances(spark, d):
 def sequence_statistics(spark, d):
     """A row of statistics for each item as a sequence: what it holds, how long it is before and after its gaps are collapsed, and the sizes that each way of
     coding comes to."""
-    source = _items(spark, d).select("text_id", sq.as_dna(F.col("body")).alias("body")).where("body <> ''")
+    return _sequence_statistics(_items(spark, d))
+
+
+@query()
+def document_sequence_statistics(spark, d):
+    """The same for each document."""
+    return _sequence_statistics(_docs(spark, d))
+
+
+def _sequence_statistics(given: DataFrame) -> DataFrame:
+    source = given.select("text_id", sq.as_dna(F.col("body")).alias("body")).where("body <> ''")
     texts = source.select("text_id", src.collapse_runs(F.col("body")).alias("body"))
     bwt = suffixes.burrows_wheeler(texts)
     codes = codecs.encode_texts(bwt.select("text_id", F.col("bwt").alias("body")), "lzw").select("text_id", F.explode("value").alias("sym"))

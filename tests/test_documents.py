@@ -51,6 +51,19 @@ def test_repeats(spark, folder):
     assert places == {(i, p[0], len(w)): len(p) for i, t in folder[1].items() for w, p in brute.supermaximal(t).items()}
 
 
+def test_previous_repeats_and_measures(spark, folder):
+    got = {r.text_id: tuple(r)[1:] for r in rows(spark, folder, "document_longest_previous")}
+    for i, t in folder[1].items():
+        want = [x for x in brute.previous(t) if x[0]]
+        lengths, distances = [x for x, _ in want], [x for _, x in want]
+        assert got[i] == (len(want), sum(lengths), max(lengths, default=0), sum(distances), max(distances, default=0))
+    got = {r.text_id: r for r in rows(spark, folder, "document_measures")}
+    assert set(got) == {i for i, t in folder[1].items() if t}
+    for i, r in got.items():
+        want = sizes(folder[1][i])
+        assert (r.n - r.zeros, r.est_bytes, r.cost8, r.cost3, r.cost3_free) == tuple(want[m] for m in ("coded", "est_bytes", "cost8", "cost3", "cost3_free")) and abs(r.k - want["k"]) < 1e-8
+
+
 def test_sets_of_documents(spark, folder):
     docs = folder[1]
     held = lambda w, t: w in t

@@ -113,7 +113,7 @@ def test_greedy_cost(spark):
     rng = random.Random(25)
     values = ["".join(rng.choice("ab") for _ in range(30)) for _ in range(5)]
     t = table(spark, values)
-    previous = repeats.longest_previous(repeats.maximal_repeats(t), suffixes.suffix_array(t))
+    previous = repeats.longest_previous(repeats.previous_runs(t))
     known = {(r.text_id, r.pos): (r.len, r.delta) for r in previous.collect()}
 
     def cost(i, at, covered, char, with_delta):

@@ -1,13 +1,26 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from echograms.functions.suffix_kernels import RangeOrder, RepeatTree, SuffixOrder, greedy_bits
 from echograms.operators import repeats, suffixes
 from tests import brute
 
-#: Short strings with many kinds of repetition.
-FIXED = ["x", "xx", "xy", "yx", "mississipi", "abcdabcdabcdabcd", "abcdabcdabcdabcdefgh", "a" * 15, "a" * 12 + "b", "b" + "a" * 8, "ab" * 6, "aaaaab" * 4, "abcdefghijklmnopqrstuvwxyz" * 2, "aba", "aab", "baa", "abc", "abaaba", "aabaab", "baabaa", "abcabc", "abaabaaba", "rrrllleee", "rrrrlllleeee", "a" * 49 + "bbbbccccde", "abc" * 31, "", "ñañ漢ña🎈🎈"]
+def grown(rules, size):
+    """A word that maps each of its letters to the rules' words, from its first letter on, cut to a size."""
+    word = "a"
+    while len(word) < size:
+        word = "".join(rules[c] for c in word)
+    return word[:size]
+
+
+#: Periodic, nearly periodic, square-free (three letters), Fibonacci, Thue-Morse and period-doubling words, letters outside ASCII, and the shortest ones.
+WORDS = [
+    "", "q", "qq", "qr", "rq", "q" * 23, "r" + "q" * 11, "q" * 11 + "r", "pqr" * 9, "pqr" * 5 + "pq", "pqrs" * 4 + "t" + "pqrs" * 3, ("pq" * 4 + "r") * 3,
+    grown({"a": "abc", "b": "ac", "c": "b"}, 45), grown({"a": "ab", "b": "a"}, 55), grown({"a": "ab", "b": "ba"}, 48), grown({"a": "ab", "b": "aa"}, 40), "é漢é漢é🎈🎈é", "🎈" * 6 + "漢",
+]
 
 
 def texts(spark, values):
@@ -16,7 +29,7 @@ def texts(spark, values):
 
 def samples():
     rng = random.Random(20)
-    return FIXED + ["".join(rng.choice("abcdefghij"[:k]) for _ in range(rng.choice([3, 17, 40]))) for k in (1, 2, 3, 5, 10) for _ in range(6)]
+    return WORDS + ["".join(rng.choice("abcdefghij"[:k]) for _ in range(rng.choice([3, 17, 40]))) for k in (1, 2, 3, 5, 10) for _ in range(6)]
 
 
 def test_suffix_order_and_common_prefixes(spark):
@@ -77,7 +90,7 @@ def test_coverage_and_previous_repeats(spark):
     cover = {(r.text_id, r.pos): r.cover for r in repeats.covered_positions(repeats.covered_runs(table)).collect()}
     assert cover == {(r.text_id, r.pos): r.cover for r in repeats.coverage(repeats.longest_starts(table)).collect()}
     starts, ends = ({(r.text_id, r.pos): r.len for r in f(table).collect()} for f in (repeats.longest_starts, repeats.longest_ends))
-    previous = {(r.text_id, r.pos): (r.len, r.delta) for r in repeats.longest_previous(repeats.maximal_repeats(table), order).collect()}
+    previous = {(r.text_id, r.pos): (r.len, r.delta) for r in repeats.longest_previous(repeats.previous_runs(table)).collect()}
     for i, t in enumerate(values):
         want, best = [0] * len(t), [(0, 0)] * len(t)
         for w, places in brute.repeats(t).items():
@@ -112,3 +125,37 @@ def test_no_pattern_crosses_a_separator(spark, separator):
     text = separator.join(["ab", "", "ab"])
     rows = suffixes.split_texts(texts(spark, [text]), separator).orderBy("part").collect()
     assert [(r.start, r.body) for r in rows] == [(0, "ab"), (2 + len(separator), ""), (2 + 2 * len(separator), "ab")]
+
+
+def test_previous_repeats_of_many_texts_at_once():
+    rng = random.Random(22)
+    for _ in range(150):
+        values = ["".join(rng.choice("abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(30))) for _ in range(3)]
+        order = SuffixOrder(values)
+        length, distance = (x.tolist() for x in RepeatTree(order).previous())
+        for i, t in enumerate(values):
+            a, b = order.offsets[i], order.offsets[i + 1]
+            assert list(zip(length[a:b], distance[a:b], strict=True)) == brute.previous(t)
+            assert all(greedy_bits(length[a:b], distance[a:b], c, d) == brute.code_cost(t, c, d) for c, d in ((8, True), (3, True), (3, False)))
+
+
+def test_previous_repeats_of_a_long_periodic_text(spark):
+    n = 200_000
+    runs = repeats.previous_runs(texts(spark, ["q" * n, "pqrstuv" * (n // 7)])).orderBy("text_id", "start").collect()
+    assert [tuple(r)[1:] for r in runs if r.text_id == 0] == [(0, 1, 0, 0), (1, n - 1, n - 1, 1)]
+    size = n // 7 * 7  # only strings that start with p are preceded by different characters, or by none
+    assert [tuple(r)[1:] for r in runs if r.text_id == 1] == [(0, 7, 0, 0)] + [x for i in range(7, size, 7) for x in ((i, 1, size - i, 7), (i + 1, 6, 0, 0))]
+
+
+def test_nearest_smaller_entry_of_a_range():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 3, 17, 100):
+        values = rng.permutation(n)
+        order = RangeOrder(values)
+        for _ in range(50):
+            low = int(rng.integers(0, n))
+            high = int(rng.integers(low + 1, n + 1))
+            value = int(rng.integers(0, n + 1)) if n > 1 else 1
+            below = [x for x in values[low:high].tolist() if x < value]
+            if below and value < n:
+                assert order.before(np.array([low]), np.array([high]), np.array([value])).tolist() == [max(below)]
