@@ -3,8 +3,8 @@
 The filters are looks at one text (A to D) and one at the whole table: E fails a row whose text a row of a smaller id has, too. The rows of a part are counted
 by their mask, the set of filters that they fail, and from these counts follow all orders and steps.
 
-1. The files of a table are a stream; each trigger takes some of them, until none is left (available now). A task turns a row into its mask of A to D and a
-   128-bit digest of its text, labels come by a join of such thin rows, and rows of one text, part, mask and label that a task has are one row with a
+1. The files of a table are a stream; each trigger takes some of them, until none is left (available now). A row becomes its mask of A to D and a
+   128-bit digest of its text by column functions, labels come by a join of such thin rows, and rows of one text, part, mask and label that a task has are one row with a
    number and a least id before anything is shuffled: a text that a third of all rows share is a few rows for each task.
 2. The state remembers for each text its least id and what the rows of that id were counted as. A smaller id in a later batch makes the earlier rows fail E:
    they are taken back from the counters and counted anew. State keys are groups of texts that share low bits of the digest, some dozens of texts each, as
@@ -15,42 +15,32 @@ by their mask, the set of filters that they fail, and from these counts follow a
 
 from __future__ import annotations
 
-import hashlib
 import json
 import uuid
 from collections import Counter
 from collections.abc import Iterator
 from itertools import permutations
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echograms.llm.runtime import cut, shared_folder
 
 LETTERS, DUPLICATE, BATCHES, TEXTS_A_KEY, COMBINE = "ABCDE", 16, 4, 64, 100_000
-UPPER, SIGNS, CONTINUED = bytes(range(65, 91)), b"#$%&*|", bytes(range(0x80, 0xC0))
-FACTS = "doc_id long, part string, digest string, mask int"
 COMBINED = "bucket long, digest string, part string, mask int, good boolean, toxic boolean, n long, has_id boolean, least long, n_least long"
 CHANGES = "part string, mask int, good boolean, toxic boolean, n long"
 
 
-def text_mask(raw: bytes) -> int:
+def text_mask(text: Column) -> Column:
     """Which of A to D a text fails, as bits 1, 2, 4, 8. A: under 200 words; B: less than half of the words distinct; C: more than 3 % capitals A-Z; D: holds
-    any of #$%&*|. Words are runs of anything but space and \\x09-\\x0D, as bytes.split cuts them."""
-    words = raw.split()
-    points = len(raw.translate(None, CONTINUED))
-    capitals = len(raw) - len(raw.translate(None, UPPER))
-    signs = len(raw) - len(raw.translate(None, SIGNS))
-    return (len(words) < 200) | (100 * len(set(words)) < 50 * len(words)) << 1 | (100 * capitals > 3 * points) << 2 | (signs > 0) << 3
-
-
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raws = [x.as_buffer().to_pybytes() if x.is_valid else b"" for x in batch.column(2)]
-        digests = pa.array([hashlib.sha256(r).hexdigest()[:32] for r in raws], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), digests, pa.array([text_mask(r) for r in raws], pa.int32())], ["doc_id", "part", "digest", "mask"])
+    any of #$%&*|. Words are runs of anything but space and \\x09-\\x0D."""
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    fails = (F.size(words) < 200, 100 * F.size(F.array_distinct(words)) < 50 * F.size(words), 100 * F.regexp_count(text, F.lit("[A-Z]")) > 3 * F.length(text), F.regexp_like(text, F.lit("[#$%&*|]")))
+    mask = F.lit(0)
+    for i, fail in enumerate(fails):
+        mask = mask + F.when(fail, 1 << i).otherwise(0)
+    return mask
 
 
 def _combined(keys: int):
@@ -108,6 +98,8 @@ def retract(texts: dict, rows) -> Counter:
 
 
 def _update(key, frames, state):
+    import pandas as pd  # workers of the other steps do without
+
     texts = json.loads(state.get[0]) if state.exists else {}
     changes: Counter = Counter()
     for frame in frames:
@@ -132,7 +124,9 @@ def update_counters(spark: SparkSession, documents: str, flags: DataFrame, folde
     session = spark.newSession()
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     files = session.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).option("maxFileAge", "36500d").parquet(_as_pattern(documents))
-    thin = files.select(files[f"`{key}`"].cast("long").alias("doc_id"), F.coalesce(files[f"`{part}`"], F.lit("")).alias("part"), files[f"`{text}`"].alias("text")).mapInArrow(_facts, FACTS)
+    body = F.coalesce(files[f"`{text}`"], F.lit(""))
+    digest = F.substring(F.sha2(body.cast("binary"), 256), 1, 32)
+    thin = files.select(files[f"`{key}`"].cast("long").alias("doc_id"), F.coalesce(files[f"`{part}`"], F.lit("")).alias("part"), digest.alias("digest"), text_mask(body).alias("mask"))
     known = session.read.schema(flags.schema).parquet(*flags.inputFiles()) if flags.inputFiles() else session.createDataFrame([], flags.schema)
     no = F.lit(False)
     labelled = thin.join(known, thin["doc_id"] == known["id"], "left").select("doc_id", "part", "digest", "mask", F.coalesce("good", no).alias("good"), F.coalesce("toxic", no).alias("toxic"))

@@ -3,6 +3,8 @@ import re
 from collections import defaultdict
 from itertools import permutations
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import SCHEMA, WORDS, odd_rows, prose
 
 from echograms.llm.filter_audit import counters, filter_audit, retract, text_mask, update_counters
@@ -99,9 +101,10 @@ def test_any_order_of_rows_gives_the_same_counters():
     assert len(results) == 1
 
 
-def test_masks():
-    for text in ("", "a", "A", "é" * 33 + "Z", "é" * 32 + "Z", "a b " * 100, "a b " * 99, "x|y", "  \x1c\x85", "a\x0bb"):
-        assert text_mask(text.encode()) == mask_of(text), text
+def test_masks(spark):
+    texts = ["", "a", "A", "é" * 33 + "Z", "é" * 32 + "Z", "a b " * 100, "a b " * 99, "x|y", "  \x1c\x85", "a\x0bb", "🎈" * 32 + "Z", "🎈" * 33 + "Z", prose(random.Random(1), 200), "A\nB " * 200]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text_mask(F.col("t")).alias("m")).collect()
+    assert {r.t: r.m for r in got} == {t: mask_of(t) for t in texts}
 
 
 def test_empty_table_and_single_file(spark, tmp_path):
