@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echograms.functions import codecs, complexity as cx, sequences as sq
-from echograms.operators import ranges, repeats, search, sets, suffixes
+from echograms.operators import long_suffixes, ranges, repeats, search, sets, suffixes
 from echograms.sources import shared, sinks, texts as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,6 +82,18 @@ def suffix_array(spark, d):
     return suffixes.suffix_array(_items(spark, d)).select("text_id", "rank", "pos")
 
 
+@query(f"with {CORE} select text_id, rank, pos, lc \"left\" from h")
+def pieced_suffix_array(spark, d):
+    """The same from texts in pieces of 16 characters, none of which is ever put together."""
+    return long_suffixes.pieced_suffix_array(long_suffixes.text_pieces(_items(spark, d), 16)).drop("rest")
+
+
+@query(f"with {T}, {P} select text_id, i - 1 pos, rank() over (order by substr(body, i)) - 1 rank from p")
+def suffix_order_of_all(spark, d):
+    """One order of the suffixes of all texts; equal ones share a rank."""
+    return long_suffixes.pieced_suffix_array(long_suffixes.text_pieces(_items(spark, d), 64), one_order=True).select("text_id", "pos", "rank")
+
+
 @query(f"with {CORE} select text_id, pos, rank from h")
 def inverse_suffix_array(spark, d):
     return suffixes.inverse_suffix_array(suffixes.suffix_array(_items(spark, d)))
