@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from echograms.functions import codecs, complexity as cx, sequences as sq
-from echograms.operators import long_suffixes, ranges, repeats, search, sets, suffixes
+from echograms.operators import long_suffixes, ranges, repeats, search, sets, stored_index, suffixes
 from echograms.sources import shared, sinks, texts as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -480,6 +480,55 @@ def stored_positions(spark, d):
     return search.positions_of_ranges(search.open_suffixes(spark, folder), search.backward_search(items, _words(items)))
 
 
+def _index_folder(spark, what: str) -> str:
+    return f"{shared.shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+@query(f"with {OCC} select text_id, pattern_id, pos from oc")
+def indexed_occurrences(spark, d):
+    """Every sentence of the benchmark in all documents, from a prefix index that is written once: the search reads no text."""
+    folder = _index_folder(spark, "prefixes")
+    stored_index.store_prefix_index(_docs(spark, d), folder)
+    return stored_index.look_up(spark, folder, _patterns(spark, d)).drop("rank")
+
+
+@query(f'with {RANGE} select text_id, pattern_id, "from", "to" from rg')
+def indexed_rank_ranges(spark, d):
+    """The range of ranks of each word of each item in its own text, from a prefix index of all items."""
+    items, folder = _items(spark, d), _index_folder(spark, "prefixes")
+    stored_index.store_prefix_index(items, folder, width=4)
+    words = _words(items)
+    found = stored_index.look_up(spark, folder, words.select("pattern_id", "pattern").distinct())
+    return stored_index.looked_up_ranges(found.join(words.select("text_id", "pattern_id"), ["text_id", "pattern_id"]))
+
+
+@query(f'with {RANGE} select rg.text_id, rg.pattern_id, h.pos from rg join h on h.text_id = rg.text_id and h.rank >= rg."from" and h.rank < rg."to"')
+def indexed_positions(spark, d):
+    """Places of each word of each item in its text: backward search and steps back to a sampled place in a transform index."""
+    items, folder = _items(spark, d), _index_folder(spark, "transforms")
+    stored_index.store_transform_index(items, folder)
+    found = stored_index.search_index(spark.read.parquet(folder), _words(items))
+    return found.select("text_id", "pattern_id", F.explode("places").alias("pos"))
+
+
+@query(f"with {D} select text_id, length(body) n, md5(body) digest from t where body <> ''")
+def document_index_roundtrip(spark, d):
+    """All documents as read out of their transform index."""
+    folder = _index_folder(spark, "transforms")
+    stored_index.store_transform_index(_docs(spark, d), folder)
+    back = stored_index.stored_texts(spark.read.parquet(folder))
+    return back.select("text_id", F.length("body").cast("long").alias("n"), F.md5(F.encode("body", "UTF-8")).alias("digest"))
+
+
+@query(f"""with {T}, {_pairs_sql("pr", 1, 2)}, q as (select base_id, other_id, false is_other, unnest(range(1, length(body) + 1)) i, body from pr where length(other) > 0 union all select base_id, other_id, true, unnest(range(1, length(other) + 1)), other from pr where length(body) > 0)
+select base_id, other_id, row_number() over (partition by base_id, other_id order by substr(body, i), is_other) - 1 rank, is_other, i - 1 pos from q""")
+def merged_suffix_orders(spark, d):
+    """The suffixes of each item and of the next two in one order, merged from their stored transforms."""
+    items, folder = _items(spark, d), _index_folder(spark, "transforms")
+    stored_index.store_transform_index(items, folder)
+    return stored_index.merged_suffixes(spark.read.parquet(folder), _following(items, 1, 2))
+
+
 # --- complexity -----------------------------------------------------------------------------------------------------------
 
 SYM = f"{D}, s as (select text_id, unnest(string_split(body, '')) sym, generate_subscripts(string_split(body, ''), 1) - 1 pos from t where length(body) > 0)"
