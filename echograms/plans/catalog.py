@@ -94,6 +94,19 @@ def suffix_order_of_all(spark, d):
     return long_suffixes.pieced_suffix_array(long_suffixes.text_pieces(_items(spark, d), 64), one_order=True).select("text_id", "pos", "rank")
 
 
+@query(f"""with {T}, {P} select text_id, i - 1 pos, coalesce((select max(l) from unnest(range(1, length(p.body) - i + 2)) u(l) where exists (select 1 from t o where o.text_id <> p.text_id and contains(o.body, substr(p.body, i, l)))), 0) len from p""")
+def matched_anywhere(spark, d):
+    """For each place of each item the longest string that any other item holds."""
+    return long_suffixes.matches_anywhere(long_suffixes.text_pieces(_items(spark, d), 256))
+
+
+@query()
+def document_matched_anywhere(spark, d):
+    """Documents whose id is divisible by 100 against all documents: sum and largest of the longest matches, and at how many places one has 32 characters."""
+    found = long_suffixes.matches_anywhere(long_suffixes.text_pieces(_docs(spark, d), 1 << 20), F.col("text_id") % 100 == 0)
+    return found.groupBy("text_id").agg(F.sum("len").alias("total"), F.max("len").alias("longest"), F.count_if(F.col("len") >= 32).alias("long_places"))
+
+
 @query(f"with {CORE} select text_id, pos, rank from h")
 def inverse_suffix_array(spark, d):
     return suffixes.inverse_suffix_array(suffixes.suffix_array(_items(spark, d)))

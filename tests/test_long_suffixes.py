@@ -48,3 +48,15 @@ def test_nothing(spark):
     none = spark.createDataFrame([(1, 0, ""), (2, 0, None), (None, 0, "a")], "text_id long, piece long, body string")
     assert long_suffixes.pieced_suffix_array(none).collect() == []
     assert long_suffixes.text_pieces(table(spark, ["", None]), 3).agg(F.count("*")).first()[0] == 0
+
+
+def test_longest_matches_in_any_other_text(spark):
+    texts = values()
+    pieces = long_suffixes.text_pieces(table(spark, texts), 20)
+    longest = lambda i, p: max((n for n in range(len(texts[i]) - p + 1) if any(texts[i][p : p + n] in t for j, t in enumerate(texts) if j != i)), default=0)
+    got = {(r.text_id, r.pos): r.len for r in long_suffixes.matches_anywhere(pieces, partitions=7).collect()}
+    assert got == {(i, p): longest(i, p) for i, t in enumerate(texts) for p in range(len(t))}
+    some = {(r.text_id, r.pos): r.len for r in long_suffixes.matches_anywhere(pieces, F.col("text_id") % 5 == 0, 3).collect()}
+    assert some == {k: v for k, v in got.items() if k[0] % 5 == 0}
+    alone = long_suffixes.text_pieces(table(spark, ["abcab"]), 2)
+    assert {r.len for r in long_suffixes.matches_anywhere(alone, partitions=3).collect()} == {0}
