@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -42,12 +42,16 @@ class Encoder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
         self.ranks, self.size = ranks, max(ranks.values()) + 1
         self.plain = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.runs = tiktoken.Encoding("runs", pat_str=r"\s+", mergeable_ranks=ranks, special_tokens={})
         self.bytes = [b""] * self.size
         for token, i in ranks.items():
             self.bytes[i] = token
         self.lengths = np.array([len(x) for x in self.bytes], dtype=np.int64)
 
+    @cached_property
+    def runs(self) -> tiktoken.Encoding:
+        """Takes a run of white space as one piece; made only where a long run is met."""
+        return tiktoken.Encoding("runs", pat_str=r"\s+", mergeable_ranks=self.ranks, special_tokens={})
+
     def _lists(self, text: str) -> Iterator[list[int]]:
         for is_run, part in pieces(text):
             yield (self.runs if is_run else self.plain).encode_ordinary(part)
