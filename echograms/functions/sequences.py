@@ -44,10 +44,11 @@ def piece_at(text: Column, pos: int, size: int) -> Column:
 
 def joined(texts: DataFrame, separator: str = "~", parts: int | None = None) -> DataFrame:
     """(part, text_id, piece) in order: the pieces that make up all texts in order of id with a separator between them, each in a partition of its own range
-    of ids, so that writing the pieces one after the other writes the joined text. The first text of all has no separator before it. For export only; a
+    of ids, so that writing the pieces one after the other writes the joined text. The first text of all has no separator before it. Null texts are empty. For export only; a
     search keeps texts apart."""
     first = texts.agg(F.min("text_id").alias("least"))
-    piece = F.when(F.col("text_id") == F.col("least"), F.col("body")).otherwise(F.concat(F.lit(separator), F.coalesce("body", F.lit(""))))
+    body = F.coalesce("body", F.lit(""))
+    piece = F.when(F.col("text_id") == F.col("least"), body).otherwise(F.concat(F.lit(separator), body))
     ordered = texts.join(F.broadcast(first), F.col("text_id") >= F.col("least"))  # one row
     ranged = ordered.repartitionByRange(parts, "text_id") if parts else ordered.repartitionByRange("text_id")
     return ranged.sortWithinPartitions("text_id").select(F.spark_partition_id().alias("part"), "text_id", piece.alias("piece"))
@@ -55,10 +56,10 @@ def joined(texts: DataFrame, separator: str = "~", parts: int | None = None) ->
 
 def headers(texts: DataFrame) -> DataFrame:
     """(text_id, offset, header): the header lines of multi-FASTA texts with their place in the text."""
-    line = texts.select("text_id", F.posexplode(F.split("body", "\n", -1)).alias("line", "value"))
+    sizes = F.transform(F.split("body", "\n", -1), lambda x: F.struct((F.length(x) + 1).cast("long").alias("n"), F.when(x.startswith(">"), x).alias("header")))
+    line = texts.select("text_id", F.posexplode(sizes).alias("line", "part")).select("text_id", "line", "part.*")  # of the texts only headers go into the window
     w = Window.partitionBy("text_id").orderBy("line")
-    placed = line.withColumn("offset", F.sum(F.length("value") + 1).over(w) - F.length("value") - 1)
-    return placed.where(F.col("value").startswith(">")).select("text_id", F.col("offset").cast("long").alias("offset"), F.col("value").alias("header"))
+    return line.withColumn("offset", F.sum("n").over(w) - F.col("n")).where("header is not null").select("text_id", "offset", "header")
 
 
 def masked_headers(text: Column) -> Column:

@@ -108,9 +108,16 @@ def pattern_occurrences(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
 def chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
     """(text_id, chunk, start, body): pieces of `size` characters that reach `overlap` characters into the next."""
-    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length("body") - 1, F.lit(0)), F.lit(size))).alias("start")
-    cut = texts.where(F.length("body") > 0).select("text_id", "body", starts)
-    return cut.select("text_id", (F.col("start") / size).cast("long").alias("chunk"), F.col("start").cast("long").alias("start"), F.substring(F.col("body"), F.col("start") + 1, F.lit(size + overlap)).alias("body"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                starts = np.arange(0, len(body or ""), size)
+                if len(starts):
+                    ids = batch.column(0).take(pa.array([i] * len(starts)))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(starts // size), pa.array(starts), pa.array([body[s : s + size + overlap] for s in starts.tolist()], pa.string())], ["text_id", "chunk", "start", "body"])
+
+    return texts.select("text_id", "body").mapInArrow(run, StructType([texts.schema["text_id"], *StructType.fromDDL("chunk long, start long, body string")]))
 
 
 def chunked_search(texts: DataFrame, patterns: DataFrame, size: int = 4096, overlap: int | None = None) -> DataFrame:

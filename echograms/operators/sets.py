@@ -55,7 +55,12 @@ def matching_statistics(texts: DataFrame, relation: DataFrame) -> DataFrame:
     """(base_id, other_id, pos, len) for each position of each base text: how long a prefix of what starts there occurs in the other text.
 
     The suffixes of both texts are sorted together where the pair is; nothing but the texts is shuffled."""
-    return _joined(texts, relation).mapInArrow(_matches, "base_id long, other_id long, pos long, len long")
+    return pair_statistics(_joined(texts, relation))
+
+
+def pair_statistics(pairs: DataFrame) -> DataFrame:
+    """matching_statistics of pairs (base_id, other_id, base, other) that hold their texts."""
+    return pairs.select("base_id", "other_id", "base", "other").mapInArrow(_matches, "base_id long, other_id long, pos long, len long")
 
 
 def fold(statistics: DataFrame, how: str) -> DataFrame:

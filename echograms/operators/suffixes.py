@@ -93,12 +93,16 @@ def inverse_burrows_wheeler(transformed: DataFrame) -> DataFrame:
 
 
 def split_texts(texts: DataFrame, separator: str) -> DataFrame:
-    """(text_id, part, start, body): pieces of each text between separators, as texts of their own, so that no pattern crosses one."""
-    pieces = texts.withColumn("p", F.split("body", _quoted(separator), -1))
-    rows = pieces.select("text_id", F.posexplode("p").alias("part", "piece"), "p")
-    before = F.aggregate(F.slice("p", F.lit(1), F.col("part")), F.lit(0), lambda n, x: n + F.length(x) + len(separator))
-    return rows.select("text_id", F.col("part").cast("long").alias("part"), before.cast("long").alias("start"), F.col("piece").alias("body"))
+    """(text_id, part, start, body): pieces of each text between separators, as texts of their own, so that no pattern crosses one. Null texts have none."""
 
-
-def _quoted(separator: str) -> str:
-    return "\\Q" + separator.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, body in enumerate(batch.column(1).to_pylist()):
+                if body is None:
+                    continue
+                parts = body.split(separator)
+                sizes = np.array([len(p) + len(separator) for p in parts])
+                ids = batch.column(0).take(pa.array([i] * len(parts)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(parts))), pa.array(np.cumsum(sizes) - sizes), pa.array(parts, pa.string())], ["text_id", "part", "start", "body"])
+
+    return texts.select("text_id", "body").mapInArrow(run, StructType([texts.schema["text_id"], *StructType.fromDDL("part long, start long, body string")]))

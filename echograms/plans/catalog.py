@@ -100,13 +100,6 @@ def matched_anywhere(spark, d):
     return long_suffixes.matches_anywhere(long_suffixes.text_pieces(_items(spark, d), 256))
 
 
-@query()
-def document_matched_anywhere(spark, d):
-    """Documents whose id is divisible by 100 against all documents: sum and largest of the longest matches, and at how many places one has 32 characters."""
-    found = long_suffixes.matches_anywhere(long_suffixes.text_pieces(_docs(spark, d), 1 << 20), F.col("text_id") % 100 == 0)
-    return found.groupBy("text_id").agg(F.sum("len").alias("total"), F.max("len").alias("longest"), F.count_if(F.col("len") >= 32).alias("long_places"))
-
-
 @query(f"with {CORE} select text_id, pos, rank from h")
 def inverse_suffix_array(spark, d):
     return suffixes.inverse_suffix_array(suffixes.suffix_array(_items(spark, d)))

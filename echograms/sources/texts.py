@@ -79,11 +79,12 @@ def sliced(text: Column, start: int | None, stop: int | None) -> Column:
 def n_runs(texts: DataFrame) -> DataFrame:
     """(text_id, start, len, kept): the runs of N of each text, and how many of them stay when gaps are collapsed: all of one or two, else 2 plus
     the number of binary digits of the rest."""
-    with_parts = texts.select("text_id", F.filter(F.regexp_extract_all("body", F.lit("N+|[^N]+"), F.lit(0)), lambda x: x != "").alias("p"))
-    rows = with_parts.select("text_id", F.posexplode("p").alias("i", "part"))
+    parts = F.filter(F.regexp_extract_all("body", F.lit("N+|[^N]+"), F.lit(0)), lambda x: x != "")
+    sizes = F.transform(parts, lambda x: F.struct(x.startswith("N").alias("gap"), F.length(x).cast("long").alias("n")))  # no text goes into the window
+    rows = texts.select("text_id", F.posexplode(sizes).alias("i", "part")).select("text_id", "i", "part.*")
     w = Window.partitionBy("text_id").orderBy("i")
-    placed = rows.withColumn("start", F.sum(F.length("part")).over(w) - F.length("part")).where(F.col("part").startswith("N"))
-    return placed.select("text_id", F.col("start").cast("long").alias("start"), F.length("part").cast("long").alias("len"), kept_of_run(F.length("part")).cast("long").alias("kept"))
+    placed = rows.withColumn("start", F.sum("n").over(w) - F.col("n")).where("gap")
+    return placed.select("text_id", "start", F.col("n").alias("len"), kept_of_run(F.col("n")).cast("long").alias("kept"))
 
 
 def kept_of_run(n: Column) -> Column:
@@ -152,9 +153,12 @@ def virtual_places(texts: DataFrame, trace: DataFrame) -> DataFrame:
     return _stretches(_traced(trace), texts, "gap_start").select("text_id", "pos", F.when(F.col("pos") >= F.col("lag"), F.col("pos") - F.col("shift")).alias("virtual"))
 
 
-def write_section(df: DataFrame, root: str, section: str, *partitions: str) -> None:
-    """Store an intermediate result as a table of its own under root; a section that exists is replaced."""
-    writer = df.write.mode("overwrite")
+def write_section(df: DataFrame, root: str, section: str, *partitions: str, only_given: bool = False) -> None:
+    """Store an intermediate result as a table of its own under root. A section that exists is replaced; with only_given=True, and partitions, only those of its
+    partitions that df has rows for are, and the files of all others stay as they are."""
+    if only_given and not partitions:
+        raise ValueError("only a partitioned section can be replaced in part")
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic" if only_given else "static")
     (writer.partitionBy(*partitions) if partitions else writer).parquet(f"{root}/{section}")
 
 
