@@ -1088,7 +1088,8 @@ def set_neighbours(spark, d):
     return ranges.set_neighbours(rows.where("bit = 1").select("array_id", "value"), rows.select("array_id", "query_id", "value"))
 
 
-@query(f'with {ARRAY} select p.array_id, p.pos, i.query_id interval_id from a p join a i on i.array_id = p.array_id and i.bit = 1 and i.pos <= p.pos and p.pos < i.pos + i."value"')
+@query(f"""with {ARRAY}, iv as (select array_id, query_id interval_id, pos s, pos + "value" e from a where bit = 1 and "value" > 0), bl as (select *, unnest(range(s // 64, (e - 1) // 64 + 1)) k from iv)
+select p.array_id, p.pos, bl.interval_id from a p join bl on bl.array_id = p.array_id and bl.k = p.pos // 64 where bl.s <= p.pos and p.pos < bl.e""")
 def overlapping_intervals(spark, d):
     rows = _rows(spark, d)
     intervals = rows.where("bit = 1").select("array_id", F.col("query_id").alias("interval_id"), F.col("pos").alias("start"), (F.col("pos") + F.col("value")).alias("end"))

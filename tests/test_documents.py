@@ -103,6 +103,27 @@ def test_codes(spark, folder):
         assert r.codes == len(codes) and codecs.from_phrases(codes) == docs[r.text_id].encode()
 
 
+def test_run_statistics(spark, folder):
+    items = {i: t for i, t in folder[2].items() if t}
+    got = {r.text_id: r for r in rows(spark, folder, "run_statistics")}
+    assert set(got) == set(items)
+    for i, t in items.items():
+        bwt = brute.transform(t)
+        codes, r = brute.front(bwt.encode()), got[i]
+        assert sorted(t[k:] + t[:k] for k in range(len(t)))[r.prim] == t
+        assert (r.n, r.zero_mtf, r.nzz_est, r.mtf_entropy) == (len(codes), codes.count(0), sum(bool(a) and not b for a, b in zip(codes, codes[1:])), brute.coded_bytes(codes))
+        found = brute.repeats(t)
+        assert (r.mrs or 0, r.longest or 0) == (len(found), max(map(len, found), default=0)) and abs(r.kinv_lcp - brute.complexity(t)) < 1e-8
+        phrases = codecs.phrases(bwt.encode())
+        assert codecs.from_phrases(phrases) == bwt.encode() and r.lzw_codes == len(phrases)
+        heap = sorted(Counter(phrases).values())
+        bits = heap[0] if len(heap) == 1 else 0
+        while len(heap) > 1:  # the two rarest become one; the weights of all that are made add up to the bits
+            bits += heap[0] + heap[1]
+            heap = sorted([*heap[2:], heap[0] + heap[1]])
+        assert r.huf_len == -(-bits // 8)
+
+
 def test_reads(spark, folder):
     docs = folder[1]
     table = spark.createDataFrame(list(docs.items()), "text_id long, body string")
