@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from echograms.functions import codecs, complexity as cx, sequences as sq
 from echograms.operators import long_suffixes, ranges, repeats, search, sets, stored_index, suffixes
-from echograms.sources import shared, sinks, texts as src
+from echograms.sources import ranged, shared, sinks, texts as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -890,6 +890,47 @@ def fasta_body(spark, d):
     return _docs(spark, d).select("text_id", src.fasta_body(fasta).alias("body"))
 
 
+def _text_files(rows: DataFrame, *partitions: str) -> str:
+    """A new folder below the shared one with the column value of rows as lines, and a file or more for each value of the partition columns."""
+    path = f"{shared.shared_folder(rows.sparkSession)}/lines-{uuid.uuid4().hex}"
+    (rows.write.partitionBy(*partitions) if partitions else rows.write).text(path)
+    return path
+
+
+@query(f"with {D} select replace(body, chr(10), ' ') body from t")
+def ranged_fastq_reads(spark, d):
+    """All documents written as FASTQ files, and their reads from ranges of 1 MB, whatever lines the ranges cut."""
+    body = F.replace("body", F.lit("\n"), F.lit(" "))
+    path = _text_files(_docs(spark, d).select(F.concat(F.lit("@"), F.col("text_id").cast("string"), F.lit("\n"), body, F.lit("\n+\n!")).alias("value")))
+    return ranged.fastq_records(spark, path, 1 << 20).select("body")
+
+
+def _fasta_files(spark, d) -> tuple[str, DataFrame]:
+    """A FASTA file for each item, and (text_id, item_id) of the files."""
+    fasta = F.concat(F.lit(">"), F.col("text_id").cast("string"), F.lit(" x\n"), src.wrapped(F.translate("body", SMALL, SMALL.upper())))
+    path = _text_files(_items(spark, d).select(F.col("text_id").alias("item_id"), fasta.alias("value")), "item_id")
+    return path, ranged.files(spark, path).select("text_id", F.regexp_extract("path", "item_id=(-?[0-9]+)", 1).cast("long").alias("item_id"))
+
+
+SMALL = "acgtn"  # letters alone: upper() turns one character into two here and there
+KEPT = "k as (select text_id, regexp_replace(translate(body, 'acgtn', 'ACGTN'), '[^ACGTN]', '', 'g') body, length(replace(body, chr(10), '')) n from t)"
+
+
+@query(f"with {T}, {KEPT} select text_id item_id, substr(body, 21, 40) body from k where length(body) > 20")
+def ranged_fasta_slices(spark, d):
+    """[20:60] of what each item's FASTA file keeps, from ranges of 64 bytes, of which only those that hold the slice are read."""
+    path, names = _fasta_files(spark, d)
+    pieces = ranged.fasta_pieces(spark, f"{path}[20:60]", size=64).groupBy("text_id").agg(F.sort_array(F.collect_list(F.struct("piece", "body"))).alias("pieces"))
+    return pieces.join(names, "text_id").select("item_id", F.array_join(F.col("pieces.body"), "").alias("body"))
+
+
+@query(f"with {T}, {KEPT} select text_id item_id, length(body) kept, n - length(body) dropped from k")
+def ranged_fasta_lengths(spark, d):
+    """Characters of each item's FASTA file that are kept and that are dropped."""
+    path, names = _fasta_files(spark, d)
+    return ranged.fasta_lengths(spark, path, size=64).join(names, "text_id").select("item_id", "kept", "dropped")
+
+
 NRUN = f"{DNA}, ch as (select text_id, unnest(range(0, length(body))) pos, body from t), nn as (select text_id, pos, pos - row_number() over (partition by text_id order by pos) g from ch where substr(body, pos + 1, 1) = 'N'), nr as (select text_id, min(pos) \"start\", count(*) len from nn group by text_id, g), nk as (select *, case when len <= 2 then len else 2 + length(bin(len - 2)) end kept from nr)"
 
 
