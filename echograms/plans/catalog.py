@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from echograms.functions import codecs, complexity as cx, sequences as sq
+from echograms.functions import codecs, complexity as cx, rewrites, sequences as sq
 from echograms.operators import long_suffixes, ranges, repeats, search, sets, stored_index, suffixes
 from echograms.sources import ranged, shared, sinks, texts as src
 
@@ -595,6 +595,22 @@ def document_rectangles(spark, d):
     return rows.groupBy("text_id").agg(best.alias("best")).select("text_id", "best.*")
 
 
+def _rewritten(rows: DataFrame) -> DataFrame:
+    return rows.select("text_id", "body", "changed", "rounds", F.round("k_before", 9).alias("k_before"), F.round("k_after", 9).alias("k_after"))
+
+
+@query()
+def document_lowered_right(spark, d):
+    """Each document, as a sequence, after a round that extends its repeats to the right."""
+    return _rewritten(rewrites.lowered_right(_dna(spark, d)))
+
+
+@query()
+def document_lowered_left(spark, d):
+    """The same to the left, by area, with the most common letter, until complexity falls no more, four rounds at most."""
+    return _rewritten(rewrites.lowered_left(_dna(spark, d), letter="common", rounds=4))
+
+
 @query(f"with {ARR} select text_id, i, lcp from ar")
 def sorted_lcp_array(spark, d):
     return _array(spark, d)
