@@ -1,7 +1,7 @@
 """Texts of lower complexity: places next to repeats are overwritten so that the repeats grow. One map pass; each text is rewritten where it is.
 
 Both rewrites work from the suffix order of the text as it stands at the start of a round; the repeat at a place is what its suffix shares with the one that sorts
-next. A round is kept only if it lowers the complexity 1 + sum of 1 / (lcp + 1), so complexity never rises and every rewrite ends."""
+next. Unless every round is asked for, one is kept only if it lowers the complexity 1 + sum of 1 / (lcp + 1), so complexity never rises and every rewrite ends."""
 
 from __future__ import annotations
 
@@ -104,7 +104,7 @@ def extended_left(score: str, kind: str, letter: str, claim: str, seed: int) ->
     return run
 
 
-def _rewritten(text: str, rewrite: Callable, rounds: int | None) -> tuple[str, int, float, float]:
+def _rewritten(text: str, rewrite: Callable, rounds: int | None, falling: bool = True) -> tuple[str, int, float, float]:
     def ordered(text: str) -> tuple[list[int], list[int], float]:
         order = SuffixOrder([text])
         prefixes = order.common_prefixes()
@@ -119,17 +119,20 @@ def _rewritten(text: str, rewrite: Callable, rounds: int | None) -> tuple[str, i
         if new == text:
             break
         places, prefixes, lower = ordered(new)
-        if lower >= k:
+        if falling and lower >= k:
             break
         text, k, done = new, lower, done + 1
     return text, done, first, k
 
 
-def _rewrite(texts: DataFrame, rewrite: Callable, rounds: int | None) -> DataFrame:
+def _rewrite(texts: DataFrame, rewrite: Callable, rounds: int | None, falling: bool) -> DataFrame:
+    if rounds is None and not falling:
+        raise ValueError("rounds that need not lower complexity must have a number")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, body in enumerate(batch.column(1).to_pylist()):  # a row leaves before the next text is begun
-                found = (None, 0, None, None) if body is None else _rewritten(body, rewrite, rounds)
+                found = (None, 0, None, None) if body is None else _rewritten(body, rewrite, rounds, falling)
                 changed = sum(a != b for a, b in zip(body or "", found[0] or "", strict=True))
                 values = [pa.array([v], t) for v, t in zip((found[0], changed, *found[1:]), (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *values], ["text_id", "body", "changed", "rounds", "k_before", "k_after"])
@@ -137,15 +140,16 @@ def _rewrite(texts: DataFrame, rewrite: Callable, rounds: int | None) -> DataFra
     return texts.select("text_id", "body").mapInArrow(run, "text_id long, body string, changed long, rounds long, k_before double, k_after double")
 
 
-def lowered_right(texts: DataFrame, rounds: int | None = 1) -> DataFrame:
+def lowered_right(texts: DataFrame, rounds: int | None = 1, falling: bool = True) -> DataFrame:
     """(text_id, body, changed, rounds, k_before, k_after): texts whose repeats are extended to the right (extended_right), how many characters differ, how many
-    rounds were kept, and the complexity before and after. rounds: at most so many; None: until one does not lower it. Null stays null."""
-    return _rewrite(texts, extended_right, rounds)
+    rounds were kept, and the complexity before and after. rounds: at most so many; None: until one does not lower it. falling=False keeps every one
+    of a given number. Null stays null."""
+    return _rewrite(texts, extended_right, rounds, falling)
 
 
-def lowered_left(texts: DataFrame, score: str = "area", kind: str = "long", letter: str = "any", claim: str = "log", rounds: int | None = 1, seed: int = 0) -> DataFrame:
+def lowered_left(texts: DataFrame, score: str = "area", kind: str = "long", letter: str = "any", claim: str = "log", rounds: int | None = 1, seed: int = 0, falling: bool = True) -> DataFrame:
     """The same for repeats extended to the left, best scores first (extended_left)."""
     for value, known in ((score, SCORES), (kind, CLASSES), (letter, LETTERS), (claim, CLAIMS)):
         if value not in known:
             raise ValueError(f"{value}: one of {', '.join(known)}")
-    return _rewrite(texts, extended_left(score, kind, letter, claim, seed), rounds)
+    return _rewrite(texts, extended_left(score, kind, letter, claim, seed), rounds, falling)

@@ -125,3 +125,13 @@ def test_long_periodic_texts_and_unknown_names(spark):
     assert [rewrites.least_power(n) for n in (0, 1, 2, 4, 5, 16, 17, 64, 65, 4**20, 4**20 + 1)] == [0, 0, 1, 1, 2, 2, 3, 3, 4, 20, 21]
     with pytest.raises(ValueError, match="area, length, height"):
         rewrites.lowered_left(table(spark), "depth")
+
+
+def test_rounds_that_need_not_lower_complexity(spark):
+    got = rewrites.lowered_left(table(spark), letter="opposite", kind="half", rounds=2, falling=False)
+    step = lambda t: left(t, "area", "half", "opposite", "log", 0)
+    want = [step(step(t)) for t in texts()]
+    assert [r.body for r in got.where("text_id >= 0").orderBy("text_id").collect()] == want and want != texts()
+    assert [r.body for r in rewrites.lowered_right(table(spark), 1, False).where("text_id >= 0").orderBy("text_id").collect()] == [right(t) for t in texts()]
+    with pytest.raises(ValueError, match="must have a number"):
+        rewrites.lowered_right(table(spark), None, False)
