@@ -5,11 +5,16 @@ from __future__ import annotations
 import bz2
 import re
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+GAP_BYTES, BLOCK_BITS, STRETCH = 4 << 20, 6, 1 << 16
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
@@ -76,15 +81,40 @@ def sliced(text: Column, start: int | None, stop: int | None) -> Column:
     return F.substring(text, F.lit(start + 1), F.lit(stop - start) if stop is not None else F.length(text))
 
 
+def _gaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of N of some texts at once, from their UTF-8 bytes; a character counts where its first byte is."""
+    for batch in batches:
+        column = batch.column(1).cast(pa.large_string())
+        edges = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        row = 0
+        while row < len(column):
+            after = max(row + 1, int(np.searchsorted(edges, edges[row] + GAP_BYTES, side="right")) - 1)
+            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[edges[row] : edges[after]]
+            bounds = edges[row : after + 1] - edges[row]
+            mark = np.zeros(len(data) + 1, dtype=bool)  # where a run may begin or end: beside a change, and between texts
+            hole = data == ord("N")
+            mark[1:-1] = hole[1:] != hole[:-1]
+            mark[bounds] = True
+            cuts = np.flatnonzero(mark)
+            start, stop = cuts[:-1], cuts[1:]
+            gap = hole[start]
+            start, stop = start[gap], stop[gap]
+            owner = np.searchsorted(bounds, start, side="right") - 1
+            if len(data) and data.max() >= 0x80:
+                before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            else:
+                before = np.arange(len(data) + 1)
+            size = stop - start
+            kept = np.where(size <= 2, size, 2 + np.frexp((size - 2).astype(np.float64))[1])  # the exponent is the number of binary digits
+            ids = batch.column(0).slice(row).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(before[start] - before[bounds[owner]], pa.int64()), pa.array(size, pa.int64()), pa.array(kept, pa.int64())], ["text_id", "start", "len", "kept"])
+            row = after
+
+
 def n_runs(texts: DataFrame) -> DataFrame:
     """(text_id, start, len, kept): the runs of N of each text, and how many of them stay when gaps are collapsed: all of one or two, else 2 plus
-    the number of binary digits of the rest."""
-    parts = F.filter(F.regexp_extract_all("body", F.lit("N+|[^N]+"), F.lit(0)), lambda x: x != "")
-    sizes = F.transform(parts, lambda x: F.struct(x.startswith("N").alias("gap"), F.length(x).cast("long").alias("n")))  # no text goes into the window
-    rows = texts.select("text_id", F.posexplode(sizes).alias("i", "part")).select("text_id", "i", "part.*")
-    w = Window.partitionBy("text_id").orderBy("i")
-    placed = rows.withColumn("start", F.sum("n").over(w) - F.col("n")).where("gap")
-    return placed.select("text_id", "start", F.col("n").alias("len"), kept_of_run(F.col("n")).cast("long").alias("kept"))
+    the number of binary digits of the rest. One map pass."""
+    return texts.select("text_id", "body").mapInArrow(_gaps, StructType([texts.schema["text_id"], *StructType.fromDDL("start long, len long, kept long")]))
 
 
 def kept_of_run(n: Column) -> Column:
@@ -102,6 +132,7 @@ def gap_trace(runs: DataFrame, texts: DataFrame) -> DataFrame:
     least five N are traced; each text has the entry (0, 0)."""
     w = Window.partitionBy("text_id").orderBy("start")
     lost = F.col("len") - F.col("kept")
+    runs = runs.where("len >= 5 or len <> kept")  # a run that keeps all its places moves nothing
     moved = runs.withColumn("lost", F.sum(lost).over(w)).withColumn("virt_start", F.col("start") - (F.col("lost") - lost) + 2)
     traced = moved.withColumn("shift", F.sum(F.when(F.col("len") >= 5, lost).otherwise(0)).over(w)).where("len >= 5")
     first = texts.select("text_id", F.lit(0).cast("long").alias("virt_start"), F.lit(0).cast("long").alias("shift"))
@@ -109,12 +140,22 @@ def gap_trace(runs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _as_of(points: DataFrame, events: DataFrame, at: str, when: str) -> DataFrame:
-    """points with shift and next_* of the last event that is not after them: both are laid in one order and the last seen event is carried on."""
-    w = Window.partitionBy("text_id").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    e = events.withColumnsRenamed({when: "_at"}).select("text_id", "_at", F.lit(0).alias("_kind"), F.lit(None).cast("long").alias(at), "shift", "lag")
-    p = points.select("text_id", F.col(at).alias("_at"), F.lit(1).alias("_kind"), at, F.lit(None).cast("long").alias("shift"), F.lit(None).cast("long").alias("lag"))
-    both = e.union(p).withColumn("shift", F.last("shift", True).over(w)).withColumn("lag", F.last("lag", True).over(w))
-    return both.where("_kind = 1").select("text_id", at, "shift", "lag")
+    """points with shift and lag of the last event that is not after them, null where there is none.
+
+    The events of a text are one row, in lists by blocks of 2^BLOCK_BITS places, each led by the last event before its block. A point meets its text's row and looks at
+    one list, so points are neither sorted nor laid in windows; where they are dealt by text_id already, they are not shuffled."""
+    w = Window.partitionBy("text_id").orderBy("when", "shift")
+    block = lambda c: F.shiftright(c, BLOCK_BITS)
+    e = events.select("text_id", F.col(when).alias("when"), "shift", "lag").withColumn("next", F.lead("when").over(w))
+    last = F.coalesce(block(F.col("next") - 1), block(F.col("when")))
+    reached = F.sequence(block(F.col("when")), F.greatest(last, block(F.col("when"))))
+    lists = e.select("text_id", F.struct("when", "shift", "lag").alias("event"), F.explode(reached).alias("block")).groupBy("text_id", "block").agg(F.sort_array(F.collect_list("event")).alias("events"))
+    rows = lists.groupBy("text_id").agg(F.min("block").alias("first"), F.transform(F.sort_array(F.collect_list(F.struct("block", "events"))), lambda x: x["events"]).alias("lists"))
+    here = F.get("lists", F.least(block(F.col(at)) - F.col("first"), F.size("lists") - 1).cast("int"))
+    passed = F.try_element_at(F.filter(here, lambda x: x["when"] <= F.col(at)), F.lit(-1))
+    alone = (F.size(here) == 1) & (F.get(here, F.lit(0))["when"] <= F.col(at))  # most lists hold one event
+    seen = points.select("text_id", at).join(rows.hint("shuffle_hash"), "text_id", "left").withColumn("event", F.when(alone, F.get(here, F.lit(0))).otherwise(passed))
+    return seen.select("text_id", at, "event.shift", "event.lag")
 
 
 def to_real(points: DataFrame, trace: DataFrame) -> DataFrame:
@@ -140,7 +181,9 @@ def _stretches(trace: DataFrame, texts: DataFrame, start: str) -> DataFrame:
     w = Window.partitionBy("text_id").orderBy(start)
     ended = trace.withColumn("stop", F.lead(start).over(w)).join(texts.select("text_id", F.length("body").cast("long").alias("n")), "text_id")
     stop = F.least(F.coalesce("stop", "n"), F.col("n"))
-    return ended.where(F.col(start) < stop).withColumn("pos", F.explode(F.sequence(F.col(start), stop - 1)))
+    pieces = ended.withColumn("stop", stop).where(F.col(start) < F.col("stop")).withColumn("piece", F.explode(F.sequence(F.col(start), F.col("stop") - 1, F.lit(STRETCH).cast("long"))))
+    dealt = pieces.repartition(int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions")), "text_id", "piece")  # before the places are spelled out
+    return dealt.withColumn("pos", F.explode(F.sequence("piece", F.least(F.col("piece") + STRETCH, F.col("stop")) - 1)))
 
 
 def real_places(texts: DataFrame, trace: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import math
 import random
+import re
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from echograms.functions import codecs, complexity as cx, sequences as sq
 from echograms.operators import ranges, repeats, suffixes
+from echograms.plans import catalog
 from echograms.sources import texts as src
 from tests import brute
 
@@ -158,6 +161,26 @@ def test_gaps_and_positions(spark):
     assert virtual[1, 0] == 0 and virtual[1, 3] is None and virtual[1, 7] == collapse(values[1]).index("A")
 
 
+def test_points_in_the_trace_of_long_texts(spark):
+    rng = random.Random(7)
+    values = ["".join(rng.choice(["N" * rng.randrange(1, 40), "ACGT" * rng.randrange(30), "é"]) for _ in range(60)) for _ in range(6)] + ["NNNNNN", "A", ""]
+    t = table(spark, values)
+    assert {(r.text_id, r.start, r.len) for r in src.n_runs(t).collect()} == {(i, m.start(), len(m[0])) for i, v in enumerate(values) for m in re.finditer("N+", v)}
+    trace = src.gap_trace(src.n_runs(t), t)
+    points = spark.createDataFrame([(i, p) for i, v in enumerate(values) for p in [*range(len(v) + 300), 3, 3]] + [(99, 1)], "text_id long, pos long")
+    events = sorted((r.text_id, r.virt_start, r.shift) for r in trace.collect())
+    last = lambda i, p: max((e for e in events if e[0] == i and e[1] <= p), default=(i, 0, None))[2]
+    real = Counter((r.text_id, r.pos, r.real) for r in src.to_real(points, trace).collect())
+    assert real == Counter((i, p, None if last(i, p) is None else p + last(i, p)) for i, p in ((r.text_id, r.pos) for r in points.collect()))
+
+
+def test_points_dealt_by_text_are_not_shuffled(spark):
+    t = table(spark, ["ANNNNNC" + "N" * 9 + "GNNN"] * 3)
+    found = src.to_virtual(catalog._positions(t), src.gap_trace(src.n_runs(t), t))
+    lines = found._jdf.queryExecution().sparkPlan().toString().splitlines()  # before exchanges are added: the operators that the query asks for
+    assert not any("Window" in x for x in lines[: next(i for i, x in enumerate(lines) if "Generate explode(sequence(0" in x)])
+
+
 def test_sequences(spark):
     row = spark.createDataFrame([("ACCGTN",)], "s string").select(sq.reverse_complement(F.col("s")).alias("r"), sq.with_reverse_complement(F.col("s")).alias("w"), sq.four_letter_codes(F.col("s")).alias("c"), sq.from_four_letter_codes(sq.four_letter_codes(F.col("s"))).alias("b")).first()
     assert row.r == "NACGGT" and row.w == "ACCGTNNNACGGT" and row.b == "ACCGTN" and len(row.c) == 6
