@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echograms.functions.suffix_kernels import SuffixOrder, as_text, text_runs
+from echograms.functions.suffix_kernels import SuffixOrder, as_text, peaks, text_runs
 
 
 def _pair_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,6 +80,38 @@ def exclusive(repeats: DataFrame, others: DataFrame) -> DataFrame:
     return repeats.join(held, ["text_id", "first_pos"], "left").where(F.coalesce("held", F.lit(0)) < F.col("len")).drop("held")
 
 
+def _exclusive(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            others = batch.column(2).to_pylist()
+            for a, _, texts in text_runs(batch, 1, 2):
+                groups = [[x, *(o or "" for o in others[a + i])] for i, x in enumerate(texts)]
+                first = np.cumsum([0, *map(len, groups)])[:-1]
+                order = SuffixOrder([t for g in groups for t in g], [i for i, g in enumerate(groups) for _ in g])
+                base = np.zeros(sum(map(len, groups)), dtype=bool)
+                base[first] = True
+                held, own = order.matches(~base), order.of_texts(base)
+                length, at, stop = peaks(own.common_prefixes(), own.lefts(), least)
+                text = own.text[own.order[at]]
+                # The place that a repeat is looked up at is its earliest.
+                place = np.minimum.reduceat(np.append(own.position, 0), np.stack([at, stop], axis=1).ravel())[::2] if len(at) else at
+                free = held[order.offsets[first[text]] + place] < length
+                ids = batch.column(0).slice(a).take(pa.array(text[free]))
+                columns = (length, stop - at, at - own.offsets[text], place)
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c[free], pa.int64()) for c in columns)], ["text_id", "len", "occs", "first_rank", "first_pos"])
+
+    return run
+
+
+def exclusive_supermaximal(texts: DataFrame, relation: DataFrame, least: int = 1) -> DataFrame:
+    """supermaximal_repeats of each text that none of its others holds; a text without others has all of its own. A text and its others meet in one task, are
+    sorted once together, and only repeats leave it."""
+    t = texts.select("text_id", "body")
+    near = relation.join(t.select(F.col("text_id").alias("other_id"), F.col("body").alias("other")), "other_id").groupBy(F.col("base_id").alias("text_id")).agg(F.collect_list("other").alias("others"))
+    rows = t.join(near, "text_id", "left").select("text_id", "body", F.coalesce("others", F.array().cast("array<string>")).alias("others"))
+    return rows.mapInArrow(_exclusive(least), "text_id long, len long, occs long, first_rank long, first_pos long")
+
+
 def _outermost(order: SuffixOrder, held: np.ndarray, least: int) -> list[int]:
     """Places whose longest held string, of length held[place], is part of no longer held string, one place for each such string.
 

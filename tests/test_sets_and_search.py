@@ -109,3 +109,13 @@ def test_stream_of_texts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("hits").collect()} == {(0, "p", 2), (0, "p", 4), (1, "p", 0), (1, "p", 2)}
+
+
+def test_exclusive_supermaximal_is_the_fold_without_a_row_for_each_place(spark):
+    rng = random.Random(5)
+    texts = ["", "aaaa", "abababab", "é漢é漢é", "x"] + ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 90))) for _ in range(30)]
+    t = spark.createDataFrame(list(enumerate(texts)), "text_id long, body string")
+    pairs = spark.createDataFrame([(i, (i * 7 + k) % len(texts)) for i in range(len(texts)) for k in range(i % 4)], "base_id long, other_id long")
+    whole = sets.exclusive(repeats.supermaximal_repeats(t), sets.fold(sets.matching_statistics(t, pairs), "any"))
+    found = sets.exclusive_supermaximal(t, pairs)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.select(*found.columns).collect()))
