@@ -20,7 +20,7 @@ from pyspark.sql.types import StructField, StructType
 
 from echograms.functions.suffix_kernels import SuffixOrder, text_runs
 
-WIDTH, BLOCK, SAMPLE = 12, 1024, 32
+WIDTH, BLOCK, SAMPLE, ROWS = 12, 1024, 32, 256
 START = 0xFFFFFFFF  # stands before the first character of a text
 
 
@@ -115,7 +115,7 @@ def _blocks(block: int, sample: int):
             ids = batch.column(0).to_pylist()
             for a, _, texts in text_runs(batch, 1):
                 order = SuffixOrder(texts)
-                lefts = order.lefts()
+                lefts, rows = order.lefts(), []
                 for i, text in enumerate(texts):
                     low, high = int(order.offsets[i]), int(order.offsets[i + 1])
                     if low == high:
@@ -123,13 +123,13 @@ def _blocks(block: int, sample: int):
                     symbols = np.concatenate([order.points[high - 1 : high], lefts[low:high]]).astype("<u4")
                     places = np.concatenate([[high - low], order.position[low:high]]).astype("<i8")
                     alphabet, which = np.unique(symbols, return_inverse=True)
-                    counts, rows = np.zeros(len(alphabet), dtype="<i8"), []
+                    counts = np.zeros(len(alphabet), dtype="<i8")
                     for s in range(0, len(symbols), block):
                         here = np.flatnonzero(places[s : s + block] % sample == 0)
                         rows.append((ids[a + i], s // block, len(symbols), alphabet.tobytes(), counts.tobytes(), symbols[s : s + block].tobytes(), here.astype("<u4").tobytes(), places[s + here].tobytes()))
                         counts = counts + np.bincount(which[s : s + block], minlength=len(alphabet))
-                    kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5)
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in BLOCKS.split(", ")])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 5)
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in BLOCKS.split(", ")])
 
     return run
 
@@ -242,8 +242,10 @@ def _by_text():
 
 def _recovered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bodies = [np.array(Transform(b).walk()[1][::-1], dtype="<u4").tobytes().decode("utf-32-le") for b in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string())], ["text_id", "body"])
+        for start in range(0, batch.num_rows, ROWS):  # the blocks of a few texts are spelled out at a time
+            part = batch.slice(start, ROWS)
+            bodies = pa.array((np.array(Transform(b.as_py()).walk()[1][::-1], dtype="<u4").tobytes().decode("utf-32-le") for b in part.column(1)), pa.string())
+            yield pa.RecordBatch.from_arrays([part.column(0), bodies], ["text_id", "body"])
 
 
 def stored_texts(index: DataFrame) -> DataFrame:
