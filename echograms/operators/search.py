@@ -14,7 +14,7 @@ from echograms.functions.bits import Bits, bit_table
 from echograms.functions.suffix_kernels import SuffixOrder, code_points
 
 U = np.uint64
-BROADCAST_PATTERNS, PATTERNS_A_TASK, RUN_BYTES = 200_000, 10_000, 1 << 20
+BROADCAST_PATTERNS, PATTERNS_A_TASK, RUN_BYTES, OFFER_BYTES = 200_000, 10_000, 1 << 22, 160  # an offer is three Python objects beside its bytes
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ def _offers(known, sizes: list[int], own: bool):
             def packed() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(place, pa.int64()), pa.array(anchors, pa.int64()), pa.array(found, pa.binary())], ["text_id", "pos", "anchor", "found"])
 
-            owners = batch.column(1).to_pylist()
+            owners = batch.column(1).to_pylist() if own else None
             for i, text in enumerate(batch.column(2)):
                 raw = (text.as_py() or "").encode()
                 data = np.frombuffer(raw, np.uint8)
@@ -75,7 +75,7 @@ def _offers(known, sizes: list[int], own: bool):
                         place += before[at].tolist()
                         anchors += anchor[at].astype(np.int64).tolist()
                         found += [raw[x : x + 2 * size] for x in at.tolist()]
-                        held += 2 * size * len(at)
+                        held += (2 * size + OFFER_BYTES) * len(at)
                 if held > RUN_BYTES:
                     yield packed()
                     rows, place, anchors, found, held = [], [], [], [], 0
@@ -111,11 +111,23 @@ def chunks(texts: DataFrame, size: int, overlap: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, body in enumerate(batch.column(1).to_pylist()):
-                starts = np.arange(0, len(body or ""), size)
-                if len(starts):
-                    ids = batch.column(0).take(pa.array([i] * len(starts)))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(starts // size), pa.array(starts), pa.array([body[s : s + size + overlap] for s in starts.tolist()], pa.string())], ["text_id", "chunk", "start", "body"])
+            rows, starts, parts, held = [], [], [], 0
+
+            def packed() -> pa.RecordBatch:
+                start = np.array(starts, dtype=np.int64)
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(start // size), pa.array(start), pa.array(parts, pa.string())], ["text_id", "chunk", "start", "body"])
+
+            for i, body in enumerate(batch.column(1)):
+                text = body.as_py() or ""
+                for s in range(0, len(text), size):
+                    rows.append(i)
+                    starts.append(s)
+                    parts.append(text[s : s + size + overlap])
+                    held += size + overlap
+                    if held > RUN_BYTES:
+                        yield packed()
+                        rows, starts, parts, held = [], [], [], 0
+            yield packed()
 
     return texts.select("text_id", "body").mapInArrow(run, StructType([texts.schema["text_id"], *StructType.fromDDL("chunk long, start long, body string")]))
 
