@@ -65,14 +65,10 @@ def _rectangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, _, texts in text_runs(batch, 1):
             order = SuffixOrder(texts)
             prefixes = order.common_prefixes()
-            text, rank, base = [], [], []
-            for i, (lo, hi) in enumerate(zip(order.offsets.tolist(), order.offsets[1:].tolist(), strict=False)):
-                own = widths(prefixes[lo : hi - 1].tolist()) if hi > lo else []
-                base += own
-                text += [i] * len(own)
-                rank += range(len(own))
-            at = np.array(rank, dtype=np.int64) + order.offsets[:-1][np.array(text, dtype=np.int64)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a).take(pa.array(text, pa.int64())), pa.array(rank, pa.int64()), pa.array(prefixes[at]), pa.array(base, pa.int64())], ["text_id", "rank", "lcp", "base"])
+            text = order.text[order.order]
+            base = widths(prefixes, np.diff(order.offsets))
+            at = np.flatnonzero(np.concatenate([text[1:] == text[:-1], [False]])) if len(text) else text  # the last rank of a text has no neighbour
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a).take(pa.array(text[at])), pa.array(at - order.offsets[text[at]]), pa.array(prefixes[at]), pa.array(base[at])], ["text_id", "rank", "lcp", "base"])
 
 
 def rectangles(texts: DataFrame) -> DataFrame:

@@ -17,27 +17,20 @@ REPEATS = "text_id long, pattern string, len long, occs long, first_rank long, f
 def _repeats(least: int, with_pattern: bool, paired: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_pylist()
             other = batch.column(2).to_pylist() if paired else None
-            for a, b, texts in text_runs(batch, 1):
+            for a, _, texts in text_runs(batch, 1):
                 both = [t for i, x in enumerate(texts) for t in ((x, other[a + i] or "") if paired else (x,))]
                 per = 2 if paired else 1
                 order = SuffixOrder(both, [i // per for i in range(len(both))])
-                prefixes, lefts = order.common_prefixes(), order.lefts()
-                rows: list[tuple] = []
-                bounds = order.offsets[::per]
-                for i in range(b - a):
-                    lo, hi = bounds[i], bounds[i + 1]
-                    side = np.concatenate([[0], np.cumsum(order.text[order.order[lo:hi]] % per)])
-                    for length, first, n in repeat_intervals(prefixes[lo:hi], lefts[lo:hi], least):
-                        start = int(order.order[lo + first])
-                        of = both[order.text[start]]
-                        at = start - int(order.offsets[order.text[start]])
-                        right = int(side[first + n] - side[first])
-                        rows.append((ids[a + i], of[at : at + length] if with_pattern else None, length, n, first, at, n - right, right))
-                kinds = (pa.int64(), pa.string(), *[pa.int64()] * 6)
-                columns = list(zip(*rows, strict=True)) or [[]] * 8
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["text_id", "pattern", "len", "occs", "first_rank", "first_pos", "n_left", "n_right"])
+                length, first, n = repeat_intervals(order.common_prefixes(), order.lefts(), least)
+                start, at = order.order[first], order.position[first]
+                row = order.group[start]
+                side = np.concatenate([[0], np.cumsum(order.text[order.order] % per)])
+                right = side[first + n] - side[first]
+                patterns = [both[t][p : p + k] for t, p, k in zip(order.text[start].tolist(), at.tolist(), length.tolist(), strict=True)] if with_pattern else pa.nulls(len(length), pa.string())
+                ids = batch.column(0).slice(a).take(pa.array(row, pa.int64()))
+                numbers = [pa.array(x, pa.int64()) for x in (length, n, first - order.offsets[::per][row], at, n - right, right)]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(patterns, pa.string()), *numbers], ["text_id", "pattern", "len", "occs", "first_rank", "first_pos", "n_left", "n_right"])
 
     return run
 

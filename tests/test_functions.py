@@ -3,12 +3,13 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from echograms.functions import codecs, complexity as cx, sequences as sq
+from echograms.functions import codecs, complexity as cx, sequences as sq, suffix_kernels
 from echograms.operators import ranges, repeats, suffixes
 from echograms.plans import catalog
 from echograms.sources import texts as src
@@ -286,3 +287,23 @@ def test_front_statistics(spark):
     for r in codecs.front_statistics(table(spark, values)).collect():
         c = codecs.move_to_front(values[r.text_id].encode())
         assert (r.n, r.zeros, r.falls) == (len(c), c.count(0), sum(bool(a) and not b for a, b in zip(c, c[1:])))
+
+
+def test_codecs_answer_before_a_batch_is_through(monkeypatch):
+    monkeypatch.setattr(codecs, "RUN_BYTES", 10)
+    seen = []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["abcd", "", None, "é" * 30, "efgh", "ij"])], ["text_id", "body"]).slice(1)
+    out = list(codecs._map(lambda x: seen.append(x) or len((x or "").encode()), pa.int64())([batch]))
+    assert len(out) > 1 and [v for b in out for v in b.column(1).to_pylist()] == [0, 0, 60, 4, 2] and [v for b in out for v in b.column(0).to_pylist()] == [1, 2, 3, 4, 5]
+
+
+def test_intervals_of_many_groups_at_once(monkeypatch):
+    rng = random.Random(3)
+    for jumps in (64, 1):  # a slow end one by one gives the same
+        monkeypatch.setattr(suffix_kernels, "JUMPS", jumps)
+        for _ in range(60):
+            texts = ["".join(rng.choice("ab") for _ in range(rng.randrange(25))) for _ in range(4)] + ["a" * 20]
+            order = suffix_kernels.SuffixOrder(texts)
+            length, first, occs = suffix_kernels.repeat_intervals(order.common_prefixes(), order.lefts(), 1)
+            found = Counter(zip(order.text[order.order[first]].tolist(), length.tolist(), occs.tolist()))
+            assert found == Counter((i, len(w), len(p)) for i, t in enumerate(texts) for w, p in brute.repeats(t).items())
