@@ -1,7 +1,7 @@
 """Indexes that are written once and searched later, without the texts.
 
-Prefix index: a row for each suffix with its first characters (the head), range-partitioned by head into numbered parts; bounds of the parts are a small table
-of their own. A pattern is cut into pieces of at most a head's width; a piece is looked up in the parts that can hold it, which are folders, so the others
+Prefix index: the first characters of each suffix (the head) with its text and place, packed by runs of texts, in numbered parts by ranges of heads; bounds of
+the parts are a small table of their own. A pattern is cut into pieces of at most a head's width; a piece is looked up in the parts that can hold it, which are folders, so the others
 are never opened. Pieces of one pattern meet by text and place.
 
 Transform index: the characters before the sorted suffixes of each text, in blocks, with the counts of each character before a block and the places of
@@ -18,55 +18,190 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from echograms.functions.bits import bit_table
 from echograms.functions.suffix_kernels import SuffixOrder, text_runs
+from echograms.operators.search import _mix
 
 WIDTH, BLOCK, SAMPLE, ROWS = 12, 1024, 32, 256
+RUN_POINTS, HEADS_A_PART, BROADCAST_GRAMS = 1 << 20, 200, 200_000
 START = 0xFFFFFFFF  # stands before the first character of a text
 
 
 # --- prefix index -----------------------------------------------------------------------------------------------------------
 
+PACKED = "part int, low string, high string, width int, owners binary, counts binary, firsts binary, texts binary, places binary, prefixes binary, sizes binary, tails string"
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers below 2^32, first all their low bytes, then all the next, so that what is 0 in all packs to nothing."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+def _heads(order: SuffixOrder, width: int) -> np.ndarray:
+    """(suffixes x width) code points and 1 of the heads of all suffixes in order, 0 beyond a text's end."""
+    out = np.zeros((len(order.order), width), np.uint32)
+    points, room = np.append(order.points + np.uint32(1), np.zeros(width, np.uint32)), order.ends[order.order] - order.order
+    for k in range(width):
+        out[:, k] = np.where(k < room, points[order.order + k], 0)
+    return out
+
+
+def _by_head(heads: np.ndarray) -> np.ndarray:
+    """Rows in the order of their heads, equal ones as they come. Characters are numbered and packed into as few keys as hold them."""
+    known = np.zeros(int(heads.max(initial=0)) + 1, dtype=bool)
+    known[heads] = True
+    name = (np.cumsum(known) - 1).astype(np.uint64)[heads]
+    bits = max(1, int(known.sum()).bit_length())
+    keys, room = [], 64 // bits
+    for a in range(0, heads.shape[1], room):
+        key = name[:, a]
+        for k in range(a + 1, min(a + room, heads.shape[1])):
+            key = key << np.uint64(bits) | name[:, k]
+        keys.append(key)
+    return np.lexsort(keys[::-1])
+
+
+def _spelled(points: np.ndarray) -> str:
+    return (points[points > 0] - 1).astype("<u4").tobytes().decode("utf-32-le")
+
+
+def _packed(width: int, edges: list[str]):
+    """The suffixes of a run of texts by part, those of a part in one row: in the order of their heads, with what each head shares with the one before and the
+    rest of it, and the number in the row of each suffix's text. Ranks are not stored: those of a text that are in a part follow each other, the first is."""
+
+    def rows(ids: list, texts: np.ndarray, places: np.ndarray, ranks: np.ndarray, heads: np.ndarray) -> list[tuple]:
+        by = _by_head(heads)
+        texts, places, ranks, heads = texts[by], places[by], ranks[by], heads[by]
+        equal = np.cumprod(heads[1:] == heads[:-1], axis=1).sum(axis=1) if len(by) else np.zeros(0, np.int64)
+        shared = np.concatenate([[0], equal])[: len(by)]
+        bounds = [0, *(bisect_left(range(len(by)), e, key=lambda i: _spelled(heads[i])) for e in edges), len(by)]
+        out = []
+        for part, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if a < b:
+                prefix, head = np.concatenate([[0], shared[a + 1 : b]]), heads[a:b]
+                held, first, number, count = np.unique(texts[a:b], return_index=True, return_inverse=True, return_counts=True)
+                tails = _spelled(head[np.arange(width) >= prefix[:, None]])
+                owners = np.array([ids[t] for t in held.tolist()], "<i8").tobytes()
+                packed = (owners, _planes(count), _planes(ranks[a:b][first]), _planes(number), _planes(places[a:b]), prefix.astype("<u2").tobytes(), (head > 0).sum(axis=1).astype("<u2").tobytes())
+                out.append((part, _spelled(head[0]), _spelled(head[-1]), width, *packed, tails))
+        return out
 
-def _headed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in PACKED.split(", ")]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 7, pa.string()]
+
+        def made(ids: list, found: list[tuple]) -> pa.RecordBatch:
+            got = rows(ids, *(np.concatenate([f[k] for f in found]) for k in range(4)))
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], kind) for k, kind in enumerate(kinds)], names)
+
         for batch in batches:
+            ids, found, size = batch.column(0).to_pylist(), [], 0
             for a, _, texts in text_runs(batch, 1):
                 order = SuffixOrder(texts)
+                if not len(order.order):
+                    continue
                 text = order.text[order.order]
-                at = order.position.tolist()
-                heads = [texts[t][p : p + width] for t, p in zip(text.tolist(), at, strict=True)]
-                rank = np.arange(len(text)) - order.offsets[:-1][text] if len(text) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a).take(pa.array(text)), pa.array(rank), pa.array(order.position), pa.array(heads, pa.string())], ["text_id", "rank", "pos", "head"])
+                found.append((a + text, order.position, np.arange(len(text)) - order.offsets[:-1][text], _heads(order, width)))
+                size += len(text)
+                if size >= RUN_POINTS:
+                    yield made(ids, found)
+                    found, size = [], 0
+            if found:
+                yield made(ids, found)
 
     return run
 
 
+def _edges(texts: DataFrame, width: int, parts: int) -> list[str]:
+    """Heads at which parts begin, from about HEADS_A_PART hashed places for each: they only say how evenly the parts are filled."""
+    total = texts.agg(F.sum(F.length("body"))).first()[0] or 0
+    if not total or parts < 2:
+        return []
+    draws = (F.length("body") * (parts * HEADS_A_PART / total) + F.pmod(F.xxhash64("text_id"), F.lit(1 << 20)) / (1 << 20)).cast("int")
+    drawn = texts.where("body <> ''").select("body", "text_id", draws.alias("draws")).where("draws > 0").select("body", F.explode(F.transform(F.sequence(F.lit(1), "draws"), lambda k: F.pmod(F.xxhash64("text_id", k), F.length("body")))).alias("at"))
+    heads = sorted(r.head for r in drawn.select(F.substring(F.col("body"), (F.col("at") + 1).cast("int"), F.lit(width)).alias("head")).collect())
+    return sorted({heads[i * len(heads) // parts] for i in range(1, parts)} - {""}) if heads else []
+
+
 def store_prefix_index(texts: DataFrame, folder: str, width: int = WIDTH, parts: int | None = None) -> None:
-    """Write the prefix index of texts (text_id, body). parts: how many; the session's number of shuffle partitions if not given. Suffixes with one head may
-    fill several parts, so a frequent one makes none larger. Null and empty texts have no suffixes."""
+    """Write the prefix index of texts (text_id, body), text_id a long. parts: how many at most; the session's number of shuffle partitions if not given.
+    Nothing is shuffled: each task writes what it has for a part, so a frequent head makes a part larger, but no file or row. Null and empty texts have no
+    suffixes."""
     spark = texts.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.select("text_id", "body").mapInArrow(_headed(width), StructType([texts.schema["text_id"], *StructType.fromDDL("rank long, pos long, head string")]))
-    ranged = rows.repartitionByRange(parts, "head", "text_id", "rank").withColumn("part", F.spark_partition_id())
-    ranged.sortWithinPartitions("part", "head", "text_id", "rank").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/suffixes")
-    stored = spark.read.parquet(f"{folder}/suffixes") if not rows.isEmpty() else ranged
-    stored.groupBy("part").agg(F.min("head").alias("low"), F.max("head").alias("high"), F.lit(width).alias("width")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/bounds")
+    rows = texts.select(F.col("text_id").cast("long"), "body").mapInArrow(_packed(width, _edges(texts, width, parts)), PACKED)
+    rows.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{folder}/suffixes")
+    kept = spark.read.schema(PACKED).parquet(f"{folder}/suffixes")
+    kept.groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("width").alias("width")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/bounds")
+
+
+def _hashes(heads: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, hashes of the first `size` characters) for rows of code points and 1."""
+    h = np.zeros(len(heads), np.uint64)
+    for k in range(sizes[-1] if sizes else 0):
+        h = _mix(h * np.uint64(3) + heads[:, k].astype(np.uint64))
+        if k + 1 in sizes:
+            yield k + 1, h
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (gram) with the gram's size and hash."""
+    for batch in batches:
+        grams = batch.column(0).to_pylist()
+        points = [np.frombuffer(g.encode("utf-32-le"), "<u4").astype(np.uint32)[None] + np.uint32(1) for g in grams]
+        found = [int(next(h for _, h in _hashes(p, [p.shape[1]]))[0].astype(np.int64)) for p in points]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.shape[1] for p in points], pa.int32()), pa.array(found, pa.int64())], ["gram", "size", "hash"])
+
+
+def _unpacked(row: dict, width: int) -> tuple[np.ndarray, ...]:
+    """(text number, place, rank, heads) of the suffixes of a row of the index."""
+    prefixes, sizes = (np.frombuffer(row[k], "<u2").astype(np.int64) for k in ("prefixes", "sizes"))
+    tails = np.frombuffer(row["tails"].encode("utf-32-le"), "<u4")
+    n, column = len(sizes), np.arange(width)
+    heads, fresh = np.zeros((n, width), np.uint32), (column >= prefixes[:, None]) & (column < sizes[:, None])
+    heads[fresh] = tails + 1
+    # What a head shares with the one before stands in the last row that spells that column out, or ends before it.
+    said = np.maximum.accumulate(np.where(column >= prefixes[:, None], np.arange(n)[:, None], 0), axis=0)
+    heads = heads[said, column]
+    number, places, counts, firsts = (_from_planes(row[k]) for k in ("texts", "places", "counts", "firsts"))
+    by = np.argsort(number, kind="stable")
+    ranks = np.empty(n, np.int64)
+    ranks[by] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(firsts, counts)
+    return number, places, ranks, heads
+
+
+def _offered(known, sizes: list[int]):
+    """Rows (text_id, pos, rank, gram) of the suffixes in rows of the index whose first characters the bit table lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
+                number, places, ranks, heads = _unpacked(row, row["width"])
+                owners, size = np.frombuffer(row["owners"], "<i8"), (heads > 0).sum(axis=1)
+                for k, h in _hashes(heads, [s for s in sizes if s <= row["width"]]):
+                    at = np.flatnonzero((size >= k) & known.value.test(h))
+                    grams = heads[at, :k] - np.uint32(1)
+                    spelled = grams.astype("<u4").tobytes().decode("utf-32-le")
+                    texts = pa.array([spelled[j : j + k] for j in range(0, len(spelled), k)], pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(owners[number[at]], pa.int64()), pa.array(places[at]), pa.array(ranks[at]), texts], ["text_id", "pos", "rank", "gram"])
+
+    return run
 
 
 def _parts(bounds: list[tuple[int, str, str]]):
-    """Rows (pattern_id, pieces, shift, gram) with each part that may hold heads which begin with the gram. Bounds are in order; Python compares strings by
-    code point, as Spark does by UTF-8 byte."""
+    """Rows (gram) with each part that may hold heads which begin with the gram. Bounds are in order; Python compares strings by code point, as Spark does by
+    UTF-8 byte."""
     numbers, lows, highs = ([b[i] for b in bounds] for i in range(3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, part = [], []
-            for i, gram in enumerate(batch.column(3).to_pylist()):
-                for p in range(bisect_left(highs, gram), bisect_right(lows, gram + "\U0010ffff")):
-                    row.append(i)
-                    part.append(numbers[p])
-            at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in batch.columns), pa.array(part, pa.int32())], [*batch.schema.names, "part"])
+            found = {numbers[p] for gram in batch.column(0).to_pylist() for p in range(bisect_left(highs, gram), bisect_right(lows, gram + "\U0010ffff"))}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["part"])
 
     return run
 
@@ -74,23 +209,26 @@ def _parts(bounds: list[tuple[int, str, str]]):
 def look_up(spark: SparkSession, folder: str, patterns: DataFrame) -> DataFrame:
     """(text_id, pattern_id, pos, rank) of every occurrence of patterns (pattern_id, pattern) in the texts of a prefix index; rank is that of the suffix there.
 
-    Only parts whose heads a piece of some pattern may begin are opened; their numbers, at most one for each part, reach the driver. A pattern longer than a
-    head is the pieces of a head's width that cover it, and occurs where all of them do. Empty and null patterns occur nowhere."""
+    Only parts whose heads a piece of some pattern may begin are opened; their numbers, at most one for each part, reach the driver. Of these, only suffixes whose
+    first characters a bit table of the pieces lets through leave the task that reads them. A pattern longer than a head is the pieces of a head's width that
+    cover it, and occurs where all of them do. Empty and null patterns occur nowhere."""
     bounds = sorted(tuple(r) for r in spark.read.parquet(f"{folder}/bounds").collect())
-    kind = patterns.schema["pattern_id"].dataType
     width = bounds[0][3] if bounds else WIDTH
     size = F.length("pattern")
     last = size - width
     shifts = F.when(last <= 0, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(width)), F.array(last))))
     pieces = patterns.where(size > 0).select("pattern_id", "pattern", shifts.alias("shifts")).select("pattern_id", F.size("shifts").alias("pieces"), F.explode("shifts").alias("shift"), "pattern")
     grams = pieces.select("pattern_id", "pieces", "shift", F.substring(F.col("pattern"), F.col("shift") + 1, F.lit(width)).alias("gram"))
-    placed = grams.mapInArrow(_parts([b[:3] for b in bounds]), StructType([StructField("pattern_id", kind), *StructType.fromDDL("pieces int, shift int, gram string, part int")])).withColumn("size", F.length("gram"))
-    needed = placed.agg(F.collect_set("part").alias("parts"), F.collect_set("size").alias("sizes")).first()
-    stored = spark.read.parquet(f"{folder}/suffixes") if bounds else spark.createDataFrame([], "text_id long, rank long, pos long, head string, part int")
-    opened = stored.where(F.col("part").isin(sorted(needed["parts"])))
-    each = opened.withColumn("size", F.explode(F.array(*[F.lit(s) for s in sorted(needed["sizes"])]).cast("array<int>"))).where(F.length("head") >= F.col("size"))
-    prefixes = each.select("text_id", "rank", "pos", "part", F.substring(F.col("head"), F.lit(1), F.col("size")).alias("gram"))
-    hits = prefixes.join(placed.drop("size"), ["part", "gram"]).select("text_id", "pattern_id", (F.col("pos") - F.col("shift")).alias("pos"), "rank", "pieces", "shift")
+    distinct = grams.select("gram").distinct()
+    needed = sorted(r.part for r in distinct.mapInArrow(_parts([b[:3] for b in bounds]), "part int").distinct().collect())
+    hashed = distinct.mapInArrow(_hashed, "gram string, size int, hash long")
+    counts = hashed.groupBy("size").agg(F.count("*").alias("n")).collect()  # at most one row for each size up to a head's
+    n = sum(r.n for r in counts)
+    known = spark.sparkContext.broadcast(bit_table(hashed, "hash", n))
+    opened = spark.read.schema(PACKED).parquet(f"{folder}/suffixes").where(F.col("part").isin(needed)) if bounds else spark.createDataFrame([], PACKED)
+    offers = opened.drop("part", "low", "high").mapInArrow(_offered(known, sorted(r["size"] for r in counts)), "text_id long, pos long, rank long, gram string")
+    met = offers.join(F.broadcast(grams) if n <= BROADCAST_GRAMS else grams, "gram")
+    hits = met.select("text_id", "pattern_id", (F.col("pos") - F.col("shift")).alias("pos"), "rank", "pieces", "shift")
     first = F.max(F.when(F.col("shift") == 0, F.col("rank"))).alias("rank")
     many = hits.where("pieces > 1 and pos >= 0").groupBy("text_id", "pattern_id", "pos").agg(F.count("*").alias("n"), F.first("pieces").alias("pieces"), first).where("n = pieces")
     return hits.where("pieces = 1").select("text_id", "pattern_id", "pos", "rank").unionByName(many.select("text_id", "pattern_id", "pos", "rank"))

@@ -98,3 +98,28 @@ def test_transform_steps_back():
         blocks = [r for b in si._blocks(4, 3)([batch]) for r in b.to_pylist()]
         index = si.Transform(blocks)
         assert index.places(np.arange(index.n)).tolist() == [len(t), *brute.suffix_order(t)]
+
+
+def test_prefix_index_has_a_few_bytes_for_each_suffix_and_shuffles_none(spark, tmp_path):
+    rng = random.Random(45)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(60)]
+    si.store_prefix_index(spark.createDataFrame(list(enumerate(texts)), "text_id long, body string").coalesce(2), str(tmp_path / "index"), parts=4)
+    size = sum(f.stat().st_size for f in (tmp_path / "index" / "suffixes").rglob("*.parquet"))
+    assert size < 8 * sum(map(len, texts))
+    found = si.look_up(spark, str(tmp_path / "index"), spark.createDataFrame([(1, texts[7][100:150])], "pattern_id long, pattern string"))
+    assert (7, 100) in {(r.text_id, r.pos) for r in found.collect()}
+
+
+def test_packed_rows_are_read_back(monkeypatch):
+    monkeypatch.setattr(si, "RUN_POINTS", 40)
+    texts = [t or "" for t in values()]
+    for width in (1, 3, 12):
+        batch = pa.RecordBatch.from_pydict({"text_id": list(range(len(texts))), "body": texts})
+        got = []
+        for out in si._packed(width, ["b", "q"])([batch]):
+            for row in out.to_pylist():
+                number, places, ranks, heads = si._unpacked(row, width)
+                owners = np.frombuffer(row["owners"], "<i8")
+                got += [(int(owners[t]), int(r), int(p), si._spelled(h)) for t, p, r, h in zip(number, places, ranks, heads)]
+        assert sorted(got) == [(i, r, p, t[p : p + width]) for i, t in enumerate(texts) for r, p in enumerate(brute.suffix_order(t))]
