@@ -251,6 +251,29 @@ def test_ranges(spark):
     assert brute.common("ab", "ac") == 1
 
 
+def test_ranges_of_long_and_gappy_arrays(spark, monkeypatch):
+    """Three levels of chunks, places and values that are missing, questions beyond both ends, and a bound that is null."""
+    monkeypatch.setattr(ranges, "CHUNK", 4)
+    rng = random.Random(27)
+    arrays = {a: {i: rng.choice([None, *range(9)]) for i in range(n) if a != 2 or rng.random() < 0.2} for a, n in ((0, 90), (1, 3), (2, 150), (3, 8))}
+    rows = spark.createDataFrame([(a, i, v) for a, x in arrays.items() for i, v in x.items()], "array_id long, pos long, value long")
+    known = {a: {i: v for i, v in x.items() if v is not None} for a, x in arrays.items()}
+    asked = [(a, q, s, s + rng.choice([-1, 0, 1, 5, 17, 70, 400])) for q, (a, s) in enumerate((rng.choice([0, 1, 2, 3, 7]), rng.randrange(0, 160)) for _ in range(200))]
+    got = {r.query_id: (r.low, r.high) for r in ranges.range_extremes(rows, spark.createDataFrame(asked, "array_id long, query_id long, start long, end long")).collect()}
+    for a, q, s, e in asked:
+        part = [v for i, v in known.get(a, {}).items() if s <= i < e]
+        assert got[q] == ((min(part), max(part)) if part else (None, None)), (a, q, s, e)
+    assert len(got) == len(asked)
+    bounds = [(a, q, rng.randrange(0, 160), rng.choice([None, -1, 0, 1, 7, 8, 9])) for q, a in enumerate(rng.choice([0, 1, 2, 3, 7]) for _ in range(200))]
+    table = spark.createDataFrame(bounds, "array_id long, query_id long, pos long, bound long")
+    for of, passes in ((ranges.next_at_most, lambda v, b: v <= b), (ranges.next_at_least, lambda v, b: v >= b)):
+        near = {r.query_id: (r.next, r.previous) for r in of(rows, table).collect()}
+        assert len(near) == len(bounds)
+        for a, q, p, b in bounds:
+            fit = [i for i, v in known.get(a, {}).items() if b is not None and passes(v, b)]
+            assert near[q] == (min((i for i in fit if i >= p), default=None), max((i for i in fit if i <= p), default=None)), (of, a, q, p, b)
+
+
 def test_sinks(spark, tmp_path):
     from echograms.sources import sinks
 
