@@ -274,6 +274,39 @@ def test_ranges_of_long_and_gappy_arrays(spark, monkeypatch):
             assert near[q] == (min((i for i in fit if i >= p), default=None), max((i for i in fit if i <= p), default=None)), (of, a, q, p, b)
 
 
+def test_phrases_give_up_the_least_recently_used_and_start_afresh(monkeypatch):
+    """Against the plain rule, with texts that use up all codes, and after other texts in the same process; a table is not seeded for each text."""
+    seeds = codecs._Phrases().seeds
+
+    def plain(raw):
+        text, out, at, last = dict(enumerate(seeds)), [], 0, b""
+        code, used = {v: k for k, v in text.items()}, list(range(256, len(seeds)))
+        while at < len(raw):
+            n = next(n for n in range(min(40, len(raw) - at), 0, -1) if raw[at : at + n] in code)
+            phrase = raw[at : at + n]
+            out.append(code[phrase])
+            if out[-1] in used:
+                used.remove(out[-1])
+                used.append(out[-1])
+            if last and last + phrase not in code and len(last + phrase) <= 40:
+                old = used.pop(0)
+                del code[text[old]]
+                text[old], code[last + phrase] = last + phrase, old
+                used.append(old)
+            last, at = phrase, at + n
+        return out
+
+    rng = random.Random(31)
+    texts = [bytes(rng.choices(range(256), k=20_000)), b"abcabcabcabc" * 2, b"", bytes(rng.choices(range(40, 60), k=900)), bytes(rng.choices(range(7), k=3000)), b"\0\0"]
+    made, seeded = [], codecs._Phrases.__init__
+    monkeypatch.setattr(codecs, "_book", None)
+    monkeypatch.setattr(codecs._Phrases, "__init__", lambda self: made.append(self) or seeded(self))
+    for raw in texts + texts[::-1]:
+        codes = codecs.phrases(raw)
+        assert codes == plain(raw) and codecs.from_phrases(codes) == raw
+    assert len(made) == 1
+
+
 def test_sinks(spark, tmp_path):
     from echograms.sources import sinks
 
