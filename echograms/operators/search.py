@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from echograms.functions.bits import Bits, bit_table
 from echograms.functions.suffix_kernels import SuffixOrder, code_points
 
 U = np.uint64
-BROADCAST_PATTERNS, PATTERNS_A_TASK, RUN_BYTES, OFFER_BYTES = 200_000, 10_000, 1 << 22, 160  # an offer is three Python objects beside its bytes
+BROADCAST_PATTERNS, PATTERNS_A_TASK, RUN_BYTES, OFFER_BYTES, LENGTHS, COUNTED = 200_000, 10_000, 1 << 22, 160, 8, 200_000  # an offer is three Python objects beside its bytes
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -141,11 +142,64 @@ def chunked_search(texts: DataFrame, patterns: DataFrame, size: int = 4096, over
     return hits.select(F.col("text_id.text_id").alias("text_id"), "pattern_id", (F.col("text_id.start") + F.col("pos")).alias("pos"))
 
 
+def _whole(data: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, hashes of that many code points at each place): made of those of two grams that cover them."""
+    for size, grams in _grams(data, lengths[-1] if lengths else 0):
+        for length in lengths:
+            n = len(data) - length + 1
+            if size <= length < 2 * size and n > 0:
+                yield length, _mix(grams[:n] * U(3) + grams[length - size : length - size + n] + U(length))
+
+
+def _whole_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [int(next(_whole(code_points([x])[0], [len(x)]))[1][0].astype(np.int64)) for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["hash"])
+
+
+def _counted(known, lengths: list[int]):
+    """(found, occs, texts) for the strings of these lengths that the bit table lets through: how often they are in the texts of a task, and in how many of
+    them. Strings leave when COUNTED different ones are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        occs: Counter = Counter()
+        texts: Counter = Counter()
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(occs), pa.string()), pa.array(list(occs.values()), pa.int64()), pa.array([texts[k] for k in occs], pa.int64())], ["found", "occs", "texts"])
+
+        for batch in batches:
+            for text in batch.column(0):
+                body = text.as_py() or ""
+                here: list[str] = []
+                for length, hashes in _whole(code_points([body])[0], lengths):
+                    here += [body[x : x + length] for x in np.flatnonzero(known.value.test(hashes)).tolist()]
+                occs.update(here)
+                texts.update(set(here))
+                if len(occs) > COUNTED:
+                    yield packed()
+                    occs.clear()
+                    texts.clear()
+        yield packed()
+
+    return run
+
+
 def pattern_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern_id, occs, texts) for every pattern, 0 where it does not occur."""
-    found = pattern_occurrences(texts, patterns).groupBy("pattern_id").agg(F.count("*").alias("occs"), F.countDistinct("text_id").alias("texts"))
+    """(pattern_id, occs, texts) for every pattern (their ids are unique), 0 where it does not occur.
+
+    Patterns of a few lengths are counted by string where the texts are, so equal patterns are counted once and no row for each occurrence leaves a task.
+    Patterns of more than LENGTHS lengths, or texts that share ids, are counted by their occurrences."""
+    sized = patterns.where(F.length("pattern") > 0).select("pattern")
+    lengths = sorted(r.n for r in sized.select(F.length("pattern").alias("n")).distinct().limit(LENGTHS + 1).collect())
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return patterns.select("pattern_id").join(found, "pattern_id", "left").select("pattern_id", zero("occs"), zero("texts"))
+    if len(lengths) > LENGTHS or not texts.groupBy("text_id").agg(F.count("*").alias("n")).where("text_id is null or n > 1").isEmpty():
+        found = pattern_occurrences(texts, patterns).groupBy("pattern_id").agg(F.count("*").alias("occs"), F.countDistinct("text_id").alias("texts"))
+        return patterns.select("pattern_id").join(found, "pattern_id", "left").select("pattern_id", zero("occs"), zero("texts"))
+    hashes = sized.distinct().mapInArrow(_whole_hashes, "hash long")
+    known = texts.sparkSession.sparkContext.broadcast(bit_table(hashes, "hash", hashes.count()))
+    counted = texts.select("body").mapInArrow(_counted(known, lengths), "found string, occs long, texts long").groupBy("found").agg(F.sum("occs").alias("occs"), F.sum("texts").alias("texts"))
+    return patterns.select("pattern_id", F.col("pattern").alias("found")).join(counted, "found", "left").select("pattern_id", zero("occs"), zero("texts"))
 
 
 def classified(counts: DataFrame, bounds: list[int]) -> DataFrame:

@@ -81,6 +81,26 @@ def test_three_ways_to_search_agree(spark, monkeypatch):
     assert {tuple(r) for r in back.collect()} == want
 
 
+def test_counts_need_no_row_for_each_occurrence(spark, monkeypatch):
+    """By string, with equal and overlapping patterns and strings that leave early; by occurrences where texts share an id or lengths are many."""
+    values = {0: "abababab" * 30, 1: "é漢é漢é", 2: "", 3: "xab", 4: None, 5: "abab"}
+    words = ["ab", "ab", "ba", "é漢é", "b", "abababa", "zz", "", None]
+    patterns = spark.createDataFrame(list(enumerate(words)), "pattern_id long, pattern string")
+    want = {k: (sum(n), sum(x > 0 for x in n)) for k, w in enumerate(words) for n in [[len(found(v or "", w)) for v in values.values()]]}
+    t, occurrences = table(spark, values), search.pattern_occurrences
+    read = lambda rows: {r.pattern_id: (r.occs, r.texts) for r in rows.collect()}
+    monkeypatch.setattr(search, "COUNTED", 2)
+    monkeypatch.setattr(search, "pattern_occurrences", None)
+    reads = spark.createDataFrame([(i, "a" * (11 - i) + "é" * (i + 1)) for i in range(11)], "pattern_id long, pattern string")  # one length in characters, eleven in bytes
+    assert read(search.pattern_counts(t, reads)) == dict.fromkeys(range(11), (0, 0))
+    assert read(search.pattern_counts(t, patterns)) == want
+    monkeypatch.setattr(search, "pattern_occurrences", occurrences)
+    twice = read(search.pattern_counts(t.union(t), patterns))
+    assert twice == {k: (2 * a, b) for k, (a, b) in want.items()}
+    monkeypatch.setattr(search, "LENGTHS", 1)
+    assert read(search.pattern_counts(t, patterns)) == want
+
+
 def test_known_ranges(spark):
     t = table(spark, {0: "Mississippi\u0000"})
     p = spark.createDataFrame([(0, "ssi", "ssi"), (0, "i", "i")], "text_id long, pattern_id string, pattern string")
