@@ -112,6 +112,27 @@ def longest_previous(runs: DataFrame) -> DataFrame:
     return runs.select("text_id", "start", "len", "delta", step).select("text_id", (F.col("start") + F.col("step")).alias("pos"), F.greatest(F.col("len") - F.col("step"), F.lit(0)).alias("len"), "delta")
 
 
+def _previous_statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b, texts in text_runs(batch, 1):
+            order = SuffixOrder(texts)
+            length, distance = RepeatTree(order).previous()
+            full = np.flatnonzero(np.diff(order.offsets))
+            sums = []
+            for fold, values in ((np.add, (length > 0).astype(np.int64)), (np.add, length), (np.maximum, length), (np.add, distance), (np.maximum, distance)):
+                out = np.zeros(len(texts), np.int64)
+                if len(full):
+                    out[full] = fold.reduceat(values, order.offsets[full])
+                sums.append(pa.array(out))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *sums], ["text_id", "places", "total", "longest", "distances", "farthest"])
+
+
+def previous_statistics(texts: DataFrame) -> DataFrame:
+    """(text_id, places, total, longest, distances, farthest) for each text: at how many places a repeat starts that occurred before, and sums and largest values of
+    its lengths and of the distances to its nearest earlier occurrence, as previous_runs gives them. One map pass, a row for each text."""
+    return texts.select("text_id", "body").mapInArrow(_previous_statistics, "text_id long, places long, total long, longest long, distances long, farthest long")
+
+
 def _code_costs(codes: list[tuple[int, bool]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -159,3 +159,13 @@ def test_nearest_smaller_entry_of_a_range():
             below = [x for x in values[low:high].tolist() if x < value]
             if below and value < n:
                 assert order.before(np.array([low]), np.array([high]), np.array([value])).tolist() == [max(below)]
+
+
+def test_sums_of_previous_repeats_leave_the_task(spark):
+    rng = random.Random(23)
+    values = ["", None, "x", "ab" * 40 + "c" + "ab" * 30, "q" * 90, "".join(rng.choice("abc") for _ in range(200)), "".join(rng.choice("ab") for _ in range(150)) * 2]
+    got = {r.text_id: tuple(r)[1:] for r in repeats.previous_statistics(texts(spark, values)).collect()}
+    for i, t in enumerate(values):
+        want = brute.previous(t or "")
+        lengths, distances = [x for x, _ in want], [x for _, x in want]
+        assert got[i] == (sum(x > 0 for x in lengths), sum(lengths), max(lengths, default=0), sum(distances), max(distances, default=0))
