@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echograms.functions.suffix_kernels import RepeatTree, SuffixOrder, greedy_bits, peaks, repeat_intervals, spread, text_runs
+from echograms.functions.suffix_kernels import RepeatTree, SuffixOrder, greedy_costs, peaks, repeat_intervals, spread, text_runs
 
 REPEATS = "text_id long, pattern string, len long, occs long, first_rank long, first_pos long, n_left long, n_right long"
 
@@ -138,9 +138,8 @@ def _code_costs(codes: list[tuple[int, bool]]):
         for batch in batches:
             for a, b, texts in text_runs(batch, 1):
                 order = SuffixOrder(texts)
-                length, distance = (x.tolist() for x in RepeatTree(order).previous())
-                bounds = list(zip(order.offsets[:-1].tolist(), order.offsets[1:].tolist(), strict=True))
-                costs = [pa.array([greedy_bits(length[s:e], distance[s:e], char, far) for s, e in bounds], pa.int64()) for char, far in codes]
+                length, distance = RepeatTree(order).previous()
+                costs = [pa.array(greedy_costs(length, distance, order.offsets, char, far), pa.int64()) for char, far in codes]
                 full = pa.array([i for i, t in enumerate(texts) if t], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *costs], ["text_id", *[f"cost_{i}" for i in range(len(codes))]]).take(full)
 

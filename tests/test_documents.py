@@ -174,3 +174,9 @@ def test_statistics(spark, folder):
         bits = sum(codecs.code_lengths(Counter(codes))[c] for c in codes)
         assert (r.lzw_codes, r.est_size) == (len(codes), brute.coded_bytes(codes)) and r.huf_len == -(-(bits + r.huf_tbl_bit) // 8) and r.long_output == r.huf_len + 8
         assert abs(r.kinv_lcp - want["k"]) < 1e-8
+
+
+def test_rows_that_share_an_id_have_sizes_of_their_own(spark, tmp_path):
+    spark.createDataFrame([(1, "acgt acgg acgt nnnnnn a"), (1, "tttttttt"), (2, "ggca")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((r.text_id, r.long_source) for r in QUERIES["document_sequence_statistics"](spark, str(tmp_path)).collect()) == [(1, 8), (1, 19), (2, 4)]
+    assert sorted((r.text_id, r.n) for r in QUERIES["document_measures"](spark, str(tmp_path)).collect()) == [(1, 8), (1, 23), (2, 4)]

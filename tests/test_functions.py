@@ -363,3 +363,19 @@ def test_intervals_of_many_groups_at_once(monkeypatch):
             length, first, occs = suffix_kernels.repeat_intervals(order.common_prefixes(), order.lefts(), 1)
             found = Counter(zip(order.text[order.order[first]].tolist(), length.tolist(), occs.tolist()))
             assert found == Counter((i, len(w), len(p)) for i, t in enumerate(texts) for w, p in brute.repeats(t).items())
+
+
+def test_move_to_front_codes_of_many_texts_at_once():
+    rng = random.Random(51)
+    raws = [bytes(rng.choice((0, 1, 5, 97, 98, 255)[: rng.randrange(1, 7)]) for _ in range(rng.randrange(40))) for _ in range(60)] + [rng.randbytes(700)]
+    codes, offsets = codecs.front_codes(raws)
+    assert [codes[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [brute.front(r) for r in raws]
+
+
+def test_greedy_costs_of_many_texts_at_once():
+    rng = random.Random(52)
+    values = ["".join(rng.choice("abc"[: rng.randrange(1, 4)]) for _ in range(rng.randrange(40))) for _ in range(60)]
+    order = suffix_kernels.SuffixOrder(values)
+    found = suffix_kernels.RepeatTree(order).previous()
+    for char, far in ((8, True), (3, True), (3, False)):
+        assert suffix_kernels.greedy_costs(*found, order.offsets, char, far) == [brute.code_cost(t, char, far) for t in values]
