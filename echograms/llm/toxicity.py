@@ -22,6 +22,7 @@ from echograms.llm.wordhash import LETTER_OR_DIGIT, U, Words, slices
 
 TABLE, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 18, 8, 8, (1, 2, 3), (3, 4, 5, 6, 7, 8)
 SAMPLE, SAMPLE_WORDS, EPOCHS, BATCH, RATE = 3000, 4_000_000, 4, 64, 0.01
+BLOCKS = 256
 
 
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,11 +77,16 @@ class Network:
 
 def fresh(samples: list[tuple[np.ndarray, int]], seed: int = 11) -> Network:
     """A network whose table starts from the log odds of each feature."""
-    rng = np.random.default_rng(seed)
     seen = np.zeros((2, TABLE))
     for features, label in samples:
         seen[label][np.unique(features)] += 1
-    n = np.maximum(1, np.array([sum(1 for _, y in samples if y == label) for label in (0, 1)]))
+    return started(seen, np.array([sum(1 for _, y in samples if y == label) for label in (0, 1)]), seed)
+
+
+def started(seen: np.ndarray, texts: np.ndarray, seed: int = 11) -> Network:
+    """The same from how many texts of each class hold each feature, and how many texts there are."""
+    rng = np.random.default_rng(seed)
+    n = np.maximum(1, texts)
     odds = np.log((seen[1] + 0.5) / (n[1] + 1)) - np.log((seen[0] + 0.5) / (n[0] + 1))
     odds *= seen.sum(0) / (seen.sum(0) + 8)
     table = rng.normal(0, 0.01, (TABLE, DIM)).astype(np.float32)
@@ -250,6 +256,144 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int =
     return train([(np.frombuffer(r.features, np.int32).reshape(-1, 1 + len(PREFIXES)), r.lang, r.toxic) for r in got])
 
 
+def _samples(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[tuple[np.ndarray, int]]]:
+    """(word features, label) of rows (toxic, text), in runs of about `most` words; a longer text is a run of its own."""
+    run, size = [], 0
+    for batch in batches:
+        labels = batch.column(0).to_pylist()
+        for a, b, data, offsets in slices(batch.column(1), 1 << 18):
+            features, first = word_features(data, offsets)
+            for s, e, y in zip(first.tolist(), first[1:].tolist(), labels[a:b], strict=False):
+                if size and size + e - s > most:
+                    yield run
+                    run, size = [], 0
+                run.append((features[s:e].copy(), y))
+                size += e - s
+    if run:
+        yield run
+
+
+def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(feature, clean, toxic): how many texts of each class hold a feature; feature -1 counts the texts."""
+    seen = np.zeros((2, TABLE + 1), np.int64)
+    for run in _samples(batches, 1 << 16):
+        for features, y in run:
+            if len(features):
+                seen[y][np.unique(features)] += 1
+                seen[y][-1] += 1
+    held = np.flatnonzero(seen.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(np.where(held == TABLE, -1, held)), pa.array(seen[0][held]), pa.array(seen[1][held])], ["feature", "clean", "toxic"])
+
+
+def _weights(net: Network) -> np.ndarray:
+    return np.concatenate([x.ravel() for x in (net.table, *net.filters, *net.biases, net.out, np.array([net.bias]))]).astype(np.float32)
+
+
+def _with_weights(net: Network, flat: np.ndarray) -> Network:
+    parts = (net.table, *net.filters, *net.biases, net.out)
+    cuts = np.cumsum([x.size for x in parts])
+    table, *rest = (x.reshape(p.shape) for x, p in zip(np.split(flat, cuts)[:-1], parts, strict=True))
+    k = len(WIDTHS)
+    return Network(table, rest[:k], rest[k : 2 * k], rest[2 * k], float(flat[-1]))
+
+
+def _trained(shared, most: int):
+    """(block, rows, weights): the weights of a network that was trained on all of a task's rows, in runs of at most `most` words, cut into BLOCKS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        start: Network = shared.value
+        net, n = _with_weights(start, _weights(start)), 0
+        for samples in _samples(batches, most):
+            if ready := [x for x in samples if len(x[0])]:
+                fit(net, ready)
+                n += len(ready)
+        if n:
+            parts = np.array_split(_weights(net), BLOCKS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS)), pa.array([n] * BLOCKS), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "rows", "weights"])
+
+    return run
+
+
+def _averaged(table: pa.Table) -> pa.Table:
+    n = np.array(table.column("rows").to_pylist(), np.float64)
+    mean = sum(np.frombuffer(w, np.float32) * k for w, k in zip(table.column("weights").to_pylist(), n / n.sum(), strict=True))
+    return pa.table({"block": table.column("block").slice(0, 1), "weights": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+
+def _logits(shared):
+    """(logit, toxic, lang) of rows (toxic, text, lang)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net: Network = shared.value
+        for batch in batches:
+            found = []
+            for _, _, data, offsets in slices(batch.column(1), 1 << 18):
+                features, first = word_features(data, offsets)
+                found += [net.logit(features[s:e]) for s, e in zip(first, first[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column(0), batch.column(2)], ["logit", "toxic", "lang"])
+
+    return run
+
+
+def thresholds(logits: DataFrame) -> list:
+    """(lang, low, high, toxic, clean) for all rows (logit, toxic, lang), lang null, and for each lang: between low and high lies the threshold of best_threshold.
+
+    Rows with equal logits count as one; sums run over buckets of logits first, of which there are at most 2^16 for each lang, then inside each bucket."""
+    both = logits.select("logit", "toxic", F.explode(F.array(F.struct(F.lit(True).alias("whole"), F.lit(None).cast("string").alias("lang")), F.struct(F.lit(False).alias("whole"), "lang"))).alias("of"))
+    bucket = F.greatest(F.lit(-32768), F.least(F.lit(32767), F.floor(F.col("logit") * 64))).cast("int")
+    points = both.where("of.whole or of.lang is not null").groupBy("of", "logit").agg(F.count("*").alias("n"), F.sum("toxic").alias("hits")).withColumn("bucket", bucket)
+    before = Window.partitionBy("of").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = points.groupBy("of", "bucket").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    whole = Window.partitionBy("of")
+    sums = sums.select("of", "bucket", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "hits")], F.sum("n").over(whole).alias("all"), F.sum("hits").over(whole).alias("positive"))
+    inside = Window.partitionBy("of", "bucket").orderBy(F.desc("logit")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = sums.select(F.col("of").alias("key"), F.col("bucket").alias("at"), "n_before", "hits_before", "all", "positive")
+    ranked = points.join(sums, F.col("of").eqNullSafe(F.col("key")) & (F.col("bucket") == F.col("at")))
+    f1 = 2 * (F.sum("hits").over(inside) + F.col("hits_before")) / (F.sum("n").over(inside) + F.col("n_before") + F.col("positive"))
+    scored = ranked.withColumn("f1", f1)
+    best = scored.groupBy("of").agg(F.max(F.struct("f1", (-F.col("logit")).alias("minus"))).alias("best"), F.max("positive").alias("positive"), F.max("all").alias("all"))
+    best = best.select(F.col("of").alias("which"), (-F.col("best.minus")).alias("high"), "positive", (F.col("all") - F.col("positive")).alias("clean"))
+    below = points.join(F.broadcast(best), F.col("of").eqNullSafe(F.col("which"))).groupBy("which", "high", "positive", "clean")
+    return below.agg(F.max(F.when(F.col("logit") < F.col("high"), F.col("logit"))).alias("low")).select("which.whole", "which.lang", "low", "high", "positive", "clean").collect()
+
+
+def learn_all(docs: DataFrame, labels: DataFrame, words: int = SAMPLE_WORDS) -> Network:
+    """A network from all labelled documents that may be learned from, whatever their number; labels, ids and ties as in learn.
+
+    A fifth of the documents, by a hash of the id, is left for calibration. The log odds that the table starts from count all others; these are trained on
+    in parts of about `words` words or more, from the same start, a task holding a quarter of `words` at a time, and the networks are averaged by their rows, a block of
+    weights in each group. The offset and thresholds come from the logits of the whole calibration fold. The driver sees one network and a row for each
+    feature and language."""
+    rows = labels.where(may_learn(labels["doc_id"]) & labels["toxic"].isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
+    fold = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(5))
+    texts = docs.select("doc_id", docs["text"].alias("text"), lang.alias("lang")).join(rows, "doc_id")
+    ready = cut(texts.select("toxic", "text", "lang", (fold == 0).alias("held")), "labelled")
+    taught = ready.where("not held").select("toxic", "text")
+    counts = taught.mapInArrow(_feature_counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
+    feature = counts.column("feature").to_numpy()
+    seen = np.zeros((2, TABLE + 1))
+    for y, name in enumerate(("clean", "toxic")):
+        seen[y][feature] = counts.column(name).to_numpy()  # -1, the texts, is the last
+    net = started(seen[:, :-1], seen[:, -1])
+    context = docs.sparkSession.sparkContext
+    if seen[:, -1].any():
+        size = taught.agg(F.sum(F.octet_length("text")).alias("n")).first().n
+        parts = taught.coalesce(max(1, size // (6 * words)))
+        nets = parts.mapInArrow(_trained(context.broadcast(net), words // 4), "block long, rows long, weights binary")
+        mean = nets.groupBy("block").applyInArrow(_averaged, "block long, weights binary").collect()
+        net = _with_weights(net, np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(mean, key=lambda r: r.block)]))
+    logits = cut(ready.where("held").select("toxic", "text", "lang").mapInArrow(_logits(context.broadcast(net)), "logit double, toxic int, lang string"), "logits")
+    found = {(r.whole, r.lang): r for r in thresholds(logits)}
+    middle = lambda r: (r.high + (r.high - 2 if r.low is None else r.low)) / 2
+    if (r := found.get((True, None))) and r.positive and r.clean:
+        net.shift = middle(r)
+    for (whole, name), r in sorted(found.items(), key=str):
+        if not whole and r.positive >= 5 and r.clean >= 5:
+            net.thresholds[name] = float(1 / (1 + np.exp(-np.clip(middle(r) - net.shift, -30, 30))))
+    return net
+
+
 def toxicity(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
     """The columns `keep` of each row with score (0 to 1) and flagged (score reaches the threshold of the row's lang, 0.5 where there is none).
 
@@ -263,9 +407,9 @@ def toxicity(docs: DataFrame, net: Network, *keep: str) -> DataFrame:
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
-    """Scores of all documents, learned from the rows that may_learn admits. Nulls, empty and long texts, repeated rows and empty tables: as in learn
+    """Scores of all documents, learned from all rows that may_learn admits. Nulls, empty and long texts, repeated rows and empty tables: as in learn_all
     and toxicity; a row without an id is not held out."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    scored = toxicity(docs, learn(docs, labels), "doc_id")
+    scored = toxicity(docs, learn_all(docs, labels), "doc_id")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "flagged")

@@ -224,3 +224,30 @@ def test_rows_with_columns_named_like_internal_ones(spark):
     model = li.Model(["en"], np.ones(li.BUCKETS), np.zeros((1, li.BUCKETS)), np.zeros(1))
     kept = li.keep_identified(docs, model)
     assert kept.columns == docs.columns and [(r.doc_id, r.row, r.lang_pred, r["_text"]) for r in kept.collect()] == [(1, "x", "y", "s")]
+
+
+def test_all_labelled_rows_are_learned_from(spark, monkeypatch):
+    rows, labels = toxic_rows(random.Random(18), 300)
+    docs, marks = documents(spark, rows + [(3, "idiot " * 3000), (9000, None)]), spark.createDataFrame([*labels, (9000, 1)], "doc_id long, toxic int")
+    seen, started = [], tx.started
+    monkeypatch.setattr(tx, "started", lambda *a: seen.append(a) or started(*a))
+    net = tx.learn_all(docs, marks, words=2000)  # no bound: only the size of a part
+    fold = {r.doc_id for r in docs.selectExpr("doc_id").where("pmod(xxhash64('toxic', doc_id), 5) = 0").collect()}
+    taught = [(t, y) for (i, t, _), (_, y) in zip(rows, labels) if zlib.crc32(str(i).encode()) % 5 and i not in fold]
+    taught += [("idiot " * 3000, labels[3][1])] if zlib.crc32(b"3") % 5 and 3 not in fold else []
+    counts, texts = seen[0]
+    assert texts.tolist() == [sum(y == k for _, y in taught) for k in (0, 1)]
+    for word in ("idiot", "scum"):
+        at = featurise(word)[0, 0]
+        assert counts[:, at].tolist() == [sum(y == k and at in featurise(t) for t, y in taught) for k in (0, 1)]
+    scores = {r.doc_id: r.score for r in tx.toxicity(docs, net, "doc_id").collect()}
+    assert sum((scores[i] >= 0.5) == y for i, y in labels if i != 3) >= 0.9 * len(labels)
+
+
+def test_thresholds_of_all_rows_are_those_of_a_sort(spark):
+    rng = random.Random(19)
+    rows = [(x, int(rng.random() < 1 / (1 + np.exp(-x))), "a" if i % 3 else None) for i, x in enumerate(rng.gauss(0, 2) for _ in range(300))]
+    found = {(r.whole, r.lang): (r.high + r.low) / 2 for r in tx.thresholds(spark.createDataFrame(rows, "logit double, toxic int, lang string"))}
+    of = lambda own: tx.best_threshold(np.array([x for x, _, _ in own]), np.array([y for _, y, _ in own]))
+    assert found.keys() == {(True, None), (False, "a")}
+    assert abs(found[True, None] - of(rows)) < 1e-9 and abs(found[False, "a"] - of([r for r in rows if r[2]])) < 1e-9
