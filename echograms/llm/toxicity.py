@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from echograms.llm.runtime import cut
+from echograms.llm.runtime import bit_table, cut
 from echograms.llm.wordhash import LETTER_OR_DIGIT, U, Words, slices
 
 TABLE, DIM, FILTERS, WIDTHS, PREFIXES = 1 << 18, 8, 8, (1, 2, 3), (3, 4, 5, 6, 7, 8)
@@ -298,17 +298,19 @@ def _with_weights(net: Network, flat: np.ndarray) -> Network:
 
 
 def _trained(shared, most: int):
-    """(block, rows, weights): the weights of a network that was trained on all of a task's rows, in runs of at most `most` words, cut into BLOCKS."""
+    """(block, rows, weights): by how much the weights of a network that was trained on all of a task's rows, in runs of at most `most` words, differ from those at
+    the start, cut into BLOCKS. Features that a task does not meet stay at 0, which packs well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start: Network = shared.value
-        net, n = _with_weights(start, _weights(start)), 0
+        first = _weights(start)
+        net, n = _with_weights(start, first.copy()), 0
         for samples in _samples(batches, most):
             if ready := [x for x in samples if len(x[0])]:
                 fit(net, ready)
                 n += len(ready)
         if n:
-            parts = np.array_split(_weights(net), BLOCKS)
+            parts = np.array_split(_weights(net) - first, BLOCKS)
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS)), pa.array([n] * BLOCKS), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "rows", "weights"])
 
     return run
@@ -357,6 +359,21 @@ def thresholds(logits: DataFrame) -> list:
     return below.agg(F.max(F.when(F.col("logit") < F.col("high"), F.col("logit"))).alias("low")).select("which.whole", "which.lang", "low", "high", "positive", "clean").collect()
 
 
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(toxic, text, lang, held) of all documents that may be learned from; held is their calibration fold.
+
+    Documents are shuffled to the labels whatever the size of either, so what is shuffled grows with the input. A bit table of the labelled ids keeps back nearly all
+    others; which rows stay is decided by the join."""
+    marks = labels.where(may_learn(labels["doc_id"]) & labels["toxic"].isin(0, 1))
+    rows = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    known = docs.sparkSession.sparkContext.broadcast(bit_table(marks.select(F.xxhash64("doc_id").alias("key")), "key", marks.count()))
+    may_have = F.arrow_udf(lambda keys: pa.array(known.value.test(keys.to_numpy())), "boolean")
+    lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select("doc_id", docs["text"].alias("text"), lang.alias("lang")).where(F.col("doc_id").isNotNull()).where(may_have(F.xxhash64("doc_id")))
+    fold = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(5))
+    return texts.join(rows.hint("shuffle_hash"), "doc_id").select("toxic", "text", "lang", (fold == 0).alias("held"))
+
+
 def learn_all(docs: DataFrame, labels: DataFrame, words: int = SAMPLE_WORDS) -> Network:
     """A network from all labelled documents that may be learned from, whatever their number; labels, ids and ties as in learn.
 
@@ -364,12 +381,10 @@ def learn_all(docs: DataFrame, labels: DataFrame, words: int = SAMPLE_WORDS) ->
     in parts of about `words` words or more, from the same start, a task holding a quarter of `words` at a time, and the networks are averaged by their rows, a block of
     weights in each group. The offset and thresholds come from the logits of the whole calibration fold. The driver sees one network and a row for each
     feature and language."""
-    rows = labels.where(may_learn(labels["doc_id"]) & labels["toxic"].isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
-    fold = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(5))
-    texts = docs.select("doc_id", docs["text"].alias("text"), lang.alias("lang")).join(rows, "doc_id")
-    ready = cut(texts.select("toxic", "text", "lang", (fold == 0).alias("held")), "labelled")
+    ready = cut(_labelled(docs, labels), "labelled")
     taught = ready.where("not held").select("toxic", "text")
+    size = taught.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    taught = taught.coalesce(max(1, size // (6 * words)))  # a task sends up to a row for each feature, then a network
     counts = taught.mapInArrow(_feature_counts, "feature long, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()
     feature = counts.column("feature").to_numpy()
     seen = np.zeros((2, TABLE + 1))
@@ -378,11 +393,9 @@ def learn_all(docs: DataFrame, labels: DataFrame, words: int = SAMPLE_WORDS) ->
     net = started(seen[:, :-1], seen[:, -1])
     context = docs.sparkSession.sparkContext
     if seen[:, -1].any():
-        size = taught.agg(F.sum(F.octet_length("text")).alias("n")).first().n
-        parts = taught.coalesce(max(1, size // (6 * words)))
-        nets = parts.mapInArrow(_trained(context.broadcast(net), words // 4), "block long, rows long, weights binary")
+        nets = taught.mapInArrow(_trained(context.broadcast(net), words // 4), "block long, rows long, weights binary")
         mean = nets.groupBy("block").applyInArrow(_averaged, "block long, weights binary").collect()
-        net = _with_weights(net, np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(mean, key=lambda r: r.block)]))
+        net = _with_weights(net, _weights(net) + np.concatenate([np.frombuffer(r.weights, np.float32) for r in sorted(mean, key=lambda r: r.block)]))
     logits = cut(ready.where("held").select("toxic", "text", "lang").mapInArrow(_logits(context.broadcast(net)), "logit double, toxic int, lang string"), "logits")
     found = {(r.whole, r.lang): r for r in thresholds(logits)}
     middle = lambda r: (r.high + (r.high - 2 if r.low is None else r.low)) / 2

@@ -251,3 +251,16 @@ def test_thresholds_of_all_rows_are_those_of_a_sort(spark):
     of = lambda own: tx.best_threshold(np.array([x for x, _, _ in own]), np.array([y for _, y, _ in own]))
     assert found.keys() == {(True, None), (False, "a")}
     assert abs(found[True, None] - of(rows)) < 1e-9 and abs(found[False, "a"] - of([r for r in rows if r[2]])) < 1e-9
+
+
+def test_few_labels_are_joined_as_many_are(spark):
+    """What is shuffled follows the input at any size: no plan for few labels, and unlabelled texts stay where they are."""
+    rows, labels = toxic_rows(random.Random(20), 300)
+    docs, marks = documents(spark, rows), spark.createDataFrame([*labels[:60], (None, 1)], "doc_id long, toxic int")
+    found = tx._labelled(docs, marks)
+    eligible = {i for i, _ in labels[:60] if zlib.crc32(str(i).encode()) % 5}
+    assert sorted(r.text for r in found.collect()) == sorted(t for i, t, _ in rows if i in eligible)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "ShuffledHashJoin" in plan
+    scan = plan[plan.index("ShuffledHashJoin") :]
+    assert scan.index("ArrowEvalPython") > scan.index("Exchange hashpartitioning")  # the bit table is asked below the shuffle
