@@ -5,6 +5,7 @@ its members, so members can be added later: min over a set that must all hold a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from echograms.functions.suffix_kernels import SuffixOrder, as_text, peaks, text_runs
+from echograms.functions.suffix_kernels import PairMatches, SuffixOrder, as_text, peaks, text_runs
 
 
 def _pair_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,6 +64,62 @@ def pair_statistics(pairs: DataFrame) -> DataFrame:
     return pairs.select("base_id", "other_id", "base", "other").mapInArrow(_matches, "base_id long, other_id long, pos long, len long")
 
 
+BLOCK_BITS, RUN_POINTS, PAIR_POINTS = 6, 60_000, 60_000
+
+
+def _follower_runs(ids: list[int], sizes: list[int], steps: int) -> Iterator[tuple[int, int, int]]:
+    """(first row, row after the last, row after the last that follows one of them) for runs of rows in order of id, of about RUN_POINTS characters."""
+    start = size = 0
+    for i in range(len(ids) + 1):
+        if i > start and (i == len(ids) or size + sizes[i] > RUN_POINTS):
+            stop = i
+            while stop < len(ids) and ids[stop] <= ids[i - 1] + steps:
+                stop += 1
+            yield start, i, stop
+            start, size = i, 0
+        size += sizes[i] if i < len(ids) else 0
+
+
+def _follower_matches(steps: int, least: int):
+    def run(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("text_id").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        ids, own, texts = table.column("text_id").to_pylist(), table.column("own").to_pylist(), [x or "" for x in table.column("body").to_pylist()]
+        many = Counter(ids)
+        found: dict[tuple[int, int], list[int]] = {}
+        stop_own = own.index(False) if False in own else len(own)  # rows of the next block come last
+        for a, b, c in _follower_runs(ids, list(map(len, texts)), steps):
+            a, b = min(a, stop_own), min(b, stop_own)
+            pairs = [(i, j) for i in range(a, b) if texts[i] for j in range(i + 1, c) if ids[i] < ids[j] <= ids[i] + steps]
+            if not pairs:
+                continue
+            matches = PairMatches(texts[a:c])
+            for i, j, length in matches.of([(i - a, j - a) for i, j in pairs], PAIR_POINTS):
+                key = ids[a + i], ids[a + j]
+                weight = many[key[0]] * many[key[1]]  # a pair of ids is asked for as often as there are rows of both
+                total, longest, places = found.get(key, (0, 0, 0))
+                found[key] = total + weight * int(length.sum()), max(longest, int(length.max())), places + weight * int(np.count_nonzero(length >= least))
+        rows = [(*k, *v) for k, v in found.items()]
+        return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], ["base_id", "other_id", "total", "longest", "long_places"])
+
+    return run
+
+
+def follower_matches(texts: DataFrame, steps: int, least: int) -> DataFrame:
+    """(base_id, other_id, total, longest, long_places) for each text that is not empty and each of those whose ids are larger by 1 to `steps`: sum and maximum of
+    the matching statistics, and how many places match at least `least` characters. The same as those of matching_statistics by pair.
+
+    A text is sorted once for all its pairs: texts meet in blocks of 2^BLOCK_BITS ids, each with the first `steps` of the next block, in runs that are sorted
+    together; only a row for each pair leaves the task. Where ids repeat, every row meets every row."""
+    if not 0 < steps < 1 << BLOCK_BITS:
+        raise ValueError(f"steps must be from 1 to {(1 << BLOCK_BITS) - 1}")
+    block = F.shiftright("text_id", BLOCK_BITS)
+    before = F.when(F.col("text_id").bitwiseAND((1 << BLOCK_BITS) - 1) < steps, F.array(block, block - 1)).otherwise(F.array(block))
+    dealt = texts.select("text_id", "body", F.explode(before).alias("block"))
+    dealt = dealt.select("block", "text_id", "body", (F.col("block") == F.shiftright("text_id", BLOCK_BITS)).alias("own"))
+    return dealt.groupBy("block").applyInArrow(_follower_matches(steps, least), "base_id long, other_id long, total long, longest long, long_places long")
+
+
 def fold(statistics: DataFrame, how: str) -> DataFrame:
     """(base_id, pos, len): the least ("all", held by all others) or largest ("any", held by some other) match of each position."""
     return statistics.groupBy("base_id", "pos").agg((F.min if how == "all" else F.max)("len").alias("len"))

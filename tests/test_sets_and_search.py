@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from echograms.operators import repeats, search, sets, suffixes
@@ -139,3 +140,23 @@ def test_exclusive_supermaximal_is_the_fold_without_a_row_for_each_place(spark):
     whole = sets.exclusive(repeats.supermaximal_repeats(t), sets.fold(sets.matching_statistics(t, pairs), "any"))
     found = sets.exclusive_supermaximal(t, pairs)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.select(*found.columns).collect()))
+
+
+def test_followers_are_matched_by_one_sort(spark, monkeypatch):
+    """The same as pair by pair, over gaps, edges of blocks and runs, ids that repeat, empty texts and nulls; and a text is sorted once for all its pairs."""
+    rng = random.Random(31)
+    ids = [*range(-70, 5), 9, 10, *range(62, 67), 64, 65, 65, 200, 2**62, 2**62 + 1, 2**63 - 1]
+    rows = [(i, "".join(rng.choice("ab\U0001f600") for _ in range(rng.randrange(9)))) for i in ids] + [(3, None), (6, None), (7, "b" * 40), (8, "b" * 50), (11, None)]
+    table = spark.createDataFrame(rows, "text_id long, body string")
+    small = table.where("text_id < 9e18")  # the plain way adds to ids
+    steps = small.select(F.col("text_id").alias("base_id"), F.explode(F.expr("array(text_id + 1, text_id + 2)")).alias("other_id"))
+    pairs = steps.join(small.select(F.col("text_id").alias("other_id")), "other_id").select("base_id", "other_id")
+    plain = sets.matching_statistics(small, pairs).groupBy("base_id", "other_id").agg(F.sum("len").alias("total"), F.max("len").alias("longest"), F.count_if(F.col("len") >= 5).alias("long_places"))
+    assert sorted(map(tuple, sets.follower_matches(table, 2, 5).collect())) == sorted(map(tuple, plain.collect()))
+
+    sorted_points, kernel = [], sets.PairMatches
+    monkeypatch.setattr(sets, "PairMatches", lambda texts: sorted_points.append(sum(map(len, texts))) or kernel(texts))
+    monkeypatch.setattr(sets, "RUN_POINTS", 1000)
+    bodies = ["".join(rng.choice("abc") for _ in range(50)) for _ in range(66)]
+    got = sets._follower_matches(2, 5)(pa.table({"block": [0] * 66, "text_id": list(range(66)), "body": bodies, "own": [i < 64 for i in range(66)]}))
+    assert got.num_rows == 128 and sum(sorted_points) < 1.2 * sum(map(len, bodies))
