@@ -135,3 +135,11 @@ def test_rounds_that_need_not_lower_complexity(spark):
     assert [r.body for r in rewrites.lowered_right(table(spark), 1, False).where("text_id >= 0").orderBy("text_id").collect()] == [right(t) for t in texts()]
     with pytest.raises(ValueError, match="must have a number"):
         rewrites.lowered_right(table(spark), None, False)
+
+
+def test_texts_of_a_run_are_sorted_together(monkeypatch):
+    calls, kernel = [], rewrites.SuffixOrder
+    monkeypatch.setattr(rewrites, "SuffixOrder", lambda texts: calls.append(len(texts)) or kernel(texts))
+    bodies = ["".join("ACGT"[crc32(f"{i} {k % 17}".encode()) % 4] for k in range(60)) for i in range(30)] + [""]
+    got = rewrites._rewritten(bodies, rewrites.extended_right, 1, False)
+    assert [g[0] for g in got] == [right(t) for t in bodies] and calls[0] == 31 and len(calls) == 2
