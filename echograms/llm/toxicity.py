@@ -363,7 +363,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(toxic, text, lang, held) of all documents that may be learned from; held is their calibration fold.
 
     Documents are shuffled to the labels whatever the size of either, so what is shuffled grows with the input. A bit table of the labelled ids keeps back nearly all
-    others; which rows stay is decided by the join."""
+    others; which rows stay is decided by the join. Rows of a partition are in order of id and text, since training follows their order and shuffles have none."""
     marks = labels.where(may_learn(labels["doc_id"]) & labels["toxic"].isin(0, 1))
     rows = marks.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = docs.sparkSession.sparkContext.broadcast(bit_table(marks.select(F.xxhash64("doc_id").alias("key")), "key", marks.count()))
@@ -371,7 +371,7 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lang = docs["lang"] if "lang" in docs.columns else F.lit(None).cast("string")
     texts = docs.select("doc_id", docs["text"].alias("text"), lang.alias("lang")).where(F.col("doc_id").isNotNull()).where(may_have(F.xxhash64("doc_id")))
     fold = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(5))
-    return texts.join(rows.hint("shuffle_hash"), "doc_id").select("toxic", "text", "lang", (fold == 0).alias("held"))
+    return texts.join(rows.hint("shuffle_hash"), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).select("toxic", "text", "lang", (fold == 0).alias("held"))
 
 
 def learn_all(docs: DataFrame, labels: DataFrame, words: int = SAMPLE_WORDS) -> Network:

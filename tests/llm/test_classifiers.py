@@ -262,5 +262,6 @@ def test_few_labels_are_joined_as_many_are(spark):
     assert sorted(r.text for r in found.collect()) == sorted(t for i, t, _ in rows if i in eligible)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "ShuffledHashJoin" in plan
+    assert "Sort [doc_id" in plan[: plan.index("ShuffledHashJoin")]  # training follows the order of rows
     scan = plan[plan.index("ShuffledHashJoin") :]
     assert scan.index("ArrowEvalPython") > scan.index("Exchange hashpartitioning")  # the bit table is asked below the shuffle
