@@ -38,6 +38,14 @@ def repeated_symbols(rows: DataFrame, order: str = "pos") -> DataFrame:
     return same.groupBy("text_id").agg(F.count_if(F.col("sym") == F.col("before")).alias("zeros"))
 
 
+def repeated_symbols_of(texts: DataFrame) -> DataFrame:
+    """repeated_symbols(symbols(texts)) without a row for each character: a text loses the characters that the next one equals, and is that much shorter. Only a
+    count for each text is shuffled; texts that share an id are summed."""
+    kept = F.regexp_replace("body", r"(?s)(.)(?=\1)", "")
+    zeros = F.length("body") - F.length(kept) + F.startswith("body", F.lit("\u0000")).cast("int")
+    return texts.where(F.length("body") > 0).select("text_id", zeros.alias("zeros")).groupBy("text_id").agg(F.sum("zeros").alias("zeros"))
+
+
 def bwt_symbols(suffixes: DataFrame, texts: DataFrame) -> DataFrame:
     """(text_id, rank, sym): the transform that belongs to a suffix order, with the row of the low terminator as rank -1; the terminator itself is code 0."""
     last = texts.where(F.length("body") > 0).select("text_id", F.lit(-1).cast("long").alias("rank"), F.right("body", F.lit(1)).alias("sym"))

@@ -113,6 +113,16 @@ def test_entropy_and_zeros(spark):
     assert z == {i: sum(x == 0 for x in codecs.move_to_front(v.encode())) for i, v in enumerate(["aabb", "aaaa", "\u0000a"])}
 
 
+def test_zeros_of_texts_make_no_row_for_each_character(spark, tmp_path):
+    rng = random.Random(46)
+    values = ["", None, "x", "aab\n\n\r\r\u2028\u2028", "\u0000\u0000a", "🎈🎈🎉🎉🎈", "é漢漢é", "e\u0301\u0301e", "$$\\\\1", "z" * 300_000, *["".join(rng.choice("ab🎈") for _ in range(200)) for _ in range(5)]]
+    table(spark, values).select(F.col("text_id").alias("doc_id"), F.col("body").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    found = catalog.QUERIES["repeated_symbols"](spark, str(tmp_path))
+    assert {r.text_id: r.zeros for r in found.collect()} == {i: (v[0] == "\u0000") + sum(a == b for a, b in zip(v, v[1:])) for i, v in enumerate(values) if v}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
+
+
 def test_greedy_cost(spark):
     rng = random.Random(25)
     values = ["".join(rng.choice("ab") for _ in range(30)) for _ in range(5)]
