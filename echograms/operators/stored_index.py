@@ -2,7 +2,8 @@
 
 Prefix index: the first characters of each suffix (the head) with its text and place, packed by runs of texts, in numbered parts by ranges of heads; bounds of
 the parts are a small table of their own. A pattern is cut into pieces of at most a head's width; a piece is looked up in the parts that can hold it, which are folders, so the others
-are never opened. Pieces of one pattern meet by text and place.
+are never opened. Pieces of one pattern meet by text and place. With a step above 1, only suffixes at each step-th place are written, each with the step - 1
+characters before it: wherever a piece begins, such a place follows within a step, so every occurrence is still found, and once.
 
 Transform index: the characters before the sorted suffixes of each text, in blocks, with the counts of each character before a block and the places of
 some suffixes. Backward search, places of what it finds, the texts themselves and the merged order of two texts follow from it."""
@@ -14,40 +15,49 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from echograms.functions.bits import bit_table
-from echograms.functions.suffix_kernels import SuffixOrder, text_runs
+from echograms.functions.suffix_kernels import SuffixOrder, code_points, text_runs
 from echograms.operators.search import _mix
 
 WIDTH, BLOCK, SAMPLE, ROWS = 12, 1024, 32, 256
-RUN_POINTS, HEADS_A_PART, BROADCAST_GRAMS = 1 << 20, 200, 200_000
+RUN_POINTS, HEADS_A_PART, BROADCAST_GRAMS, HITS = 1 << 20, 200, 200_000, 1 << 20
 START = 0xFFFFFFFF  # stands before the first character of a text
 
 
 # --- prefix index -----------------------------------------------------------------------------------------------------------
 
-PACKED = "part int, low string, high string, width int, owners binary, counts binary, firsts binary, texts binary, places binary, prefixes binary, sizes binary, tails string"
+PACKED = "part int, low string, high string, width int, step int, owners binary, serials binary, counts binary, firsts binary, texts binary, places binary, prefixes binary, sizes binary, tails binary, befores binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers below 2^32, first all their low bytes, then all the next, so that what is 0 in all packs to nothing."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Whole numbers below 2^32, first all their low bytes, then all the next, so that what is 0 in all packs to nothing. Packed here, since rows wait for their part
+    in the memory of the task that writes them."""
+    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _from_planes(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
-def _heads(order: SuffixOrder, width: int) -> np.ndarray:
-    """(suffixes x width) code points and 1 of the heads of all suffixes in order, 0 beyond a text's end."""
-    out = np.zeros((len(order.order), width), np.uint32)
-    points, room = np.append(order.points + np.uint32(1), np.zeros(width, np.uint32)), order.ends[order.order] - order.order
-    for k in range(width):
-        out[:, k] = np.where(k < room, points[order.order + k], 0)
-    return out
+def _windows(texts: list[str], width: int, step: int) -> tuple[np.ndarray, ...]:
+    """(text, place, window) for each step-th place of texts, the last of which is that of the last character or past it. A window is the code points and 1 from
+    step - 1 before the place to the end of its head, 0 beyond either end of the text."""
+    points, offsets = code_points(texts)
+    sizes, room = np.diff(offsets), width + 2 * step
+    starts = offsets[:-1] + room * np.arange(1, len(texts) + 1)
+    spaced = np.zeros(len(points) + room * (len(texts) + 1), np.uint32)
+    spaced[np.arange(len(points)) + np.repeat(starts - offsets[:-1], sizes)] = points + np.uint32(1)
+    counts = np.where(sizes > 0, (sizes + 2 * step - 2) // step, 0)
+    text = np.repeat(np.arange(len(texts)), counts)
+    place = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
+    return text, place, spaced[(starts[text] + place - step + 1)[:, None] + np.arange(step - 1 + width)]
 
 
 def _by_head(heads: np.ndarray) -> np.ndarray:
@@ -69,49 +79,62 @@ def _spelled(points: np.ndarray) -> str:
     return (points[points > 0] - 1).astype("<u4").tobytes().decode("utf-32-le")
 
 
-def _packed(width: int, edges: list[str]):
+def _packed(width: int, edges: list[str], step: int = 1):
     """The suffixes of a run of texts by part, those of a part in one row: in the order of their heads, with what each head shares with the one before and the
-    rest of it, and the number in the row of each suffix's text. Ranks are not stored: those of a text that are in a part follow each other, the first is."""
-
-    def rows(ids: list, texts: np.ndarray, places: np.ndarray, ranks: np.ndarray, heads: np.ndarray) -> list[tuple]:
-        by = _by_head(heads)
-        texts, places, ranks, heads = texts[by], places[by], ranks[by], heads[by]
-        equal = np.cumprod(heads[1:] == heads[:-1], axis=1).sum(axis=1) if len(by) else np.zeros(0, np.int64)
-        shared = np.concatenate([[0], equal])[: len(by)]
+    rest of it, and the number in the row of each suffix's text. Texts have serial numbers, as ids may be shared. Ranks are not stored: those of a text that are in
+    a part follow each other, the first is. With a step above 1 there are none, and no order of whole suffixes is made."""
+
+    def rows(ids: list, serials: np.ndarray, texts: np.ndarray, places: np.ndarray, ranks: np.ndarray, windows: np.ndarray) -> list[tuple]:
+        by = _by_head(windows[:, step - 1 :])
+        texts, places, ranks, windows = texts[by], places[by], ranks[by], windows[by]
+        befores, heads = windows[:, : step - 1], windows[:, step - 1 :]
+        shared = np.zeros(len(by), np.int64)
+        equal = np.ones(max(0, len(by) - 1), bool)
+        for k in range(width):
+            equal &= heads[1:, k] == heads[:-1, k]
+            shared[1:] += equal
         bounds = [0, *(bisect_left(range(len(by)), e, key=lambda i: _spelled(heads[i])) for e in edges), len(by)]
         out = []
         for part, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if a < b:
                 prefix, head = np.concatenate([[0], shared[a + 1 : b]]), heads[a:b]
                 held, first, number, count = np.unique(texts[a:b], return_index=True, return_inverse=True, return_counts=True)
-                tails = _spelled(head[np.arange(width) >= prefix[:, None]])
                 owners = np.array([ids[t] for t in held.tolist()], "<i8").tobytes()
-                packed = (owners, _planes(count), _planes(ranks[a:b][first]), _planes(number), _planes(places[a:b]), prefix.astype("<u2").tobytes(), (head > 0).sum(axis=1).astype("<u2").tobytes())
-                out.append((part, _spelled(head[0]), _spelled(head[-1]), width, *packed, tails))
+                order = (_planes(count), _planes(ranks[a:b][first])) if step == 1 else (b"", b"")
+                tails = head[np.arange(width) >= prefix[:, None]]
+                packed = (number, places[a:b], prefix, (head > 0).sum(axis=1), tails[tails > 0] - np.uint32(1), befores[a:b].T.ravel())
+                out.append((part, _spelled(head[0]), _spelled(head[-1]), width, step, owners, serials[held].astype("<i8").tobytes(), *order, *map(_planes, packed)))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in PACKED.split(", ")]
-        kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), *[pa.binary()] * 7, pa.string()]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), *[pa.binary()] * 10]
+        task = TaskContext.get()
+        serial = (task.partitionId() if task else 0) << 40
 
         def made(ids: list, found: list[tuple]) -> pa.RecordBatch:
-            got = rows(ids, *(np.concatenate([f[k] for f in found]) for k in range(4)))
+            got = rows(ids, serial + np.arange(len(ids)), *(np.concatenate([f[k] for f in found]) for k in range(4)))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], kind) for k, kind in enumerate(kinds)], names)
 
         for batch in batches:
             ids, found, size = batch.column(0).to_pylist(), [], 0
             for a, _, texts in text_runs(batch, 1):
-                order = SuffixOrder(texts)
-                if not len(order.order):
+                text, place, windows = _windows(texts, width, step)
+                if not len(text):
                     continue
-                text = order.text[order.order]
-                found.append((a + text, order.position, np.arange(len(text)) - order.offsets[:-1][text], _heads(order, width)))
+                ranks = place
+                if step == 1:
+                    order = SuffixOrder(texts)
+                    text, place, windows = text[order.order], order.position, windows[order.order]
+                    ranks = np.arange(len(text)) - order.offsets[:-1][text]
+                found.append((a + text, place, ranks, windows))
                 size += len(text)
                 if size >= RUN_POINTS:
                     yield made(ids, found)
                     found, size = [], 0
             if found:
                 yield made(ids, found)
+            serial += len(ids)
 
     return run
 
@@ -127,16 +150,17 @@ def _edges(texts: DataFrame, width: int, parts: int) -> list[str]:
     return sorted({heads[i * len(heads) // parts] for i in range(1, parts)} - {""}) if heads else []
 
 
-def store_prefix_index(texts: DataFrame, folder: str, width: int = WIDTH, parts: int | None = None) -> None:
-    """Write the prefix index of texts (text_id, body), text_id a long. parts: how many at most; the session's number of shuffle partitions if not given.
+def store_prefix_index(texts: DataFrame, folder: str, width: int = WIDTH, parts: int | None = None, step: int = 1) -> None:
+    """Write the prefix index of texts (text_id, body), text_id a long. parts: how many at most; the session's number of shuffle partitions if not given. step:
+    how far the places of written suffixes are apart; above 1 the index is smaller and sooner made, finds the same places, and has no ranks.
     Nothing is shuffled: each task writes what it has for a part, so a frequent head makes a part larger, but no file or row. Null and empty texts have no
     suffixes."""
     spark = texts.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = texts.select(F.col("text_id").cast("long"), "body").mapInArrow(_packed(width, _edges(texts, width, parts)), PACKED)
+    rows = texts.select(F.col("text_id").cast("long"), "body").mapInArrow(_packed(width, _edges(texts, width, parts), step), PACKED)
     rows.write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{folder}/suffixes")
     kept = spark.read.schema(PACKED).parquet(f"{folder}/suffixes")
-    kept.groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("width").alias("width")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/bounds")
+    kept.groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.first("width").alias("width"), F.first("step").alias("step")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/bounds")
 
 
 def _hashes(heads: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
@@ -158,80 +182,181 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _unpacked(row: dict, width: int) -> tuple[np.ndarray, ...]:
-    """(text number, place, rank, heads) of the suffixes of a row of the index."""
-    prefixes, sizes = (np.frombuffer(row[k], "<u2").astype(np.int64) for k in ("prefixes", "sizes"))
-    tails = np.frombuffer(row["tails"].encode("utf-32-le"), "<u4")
+    """(text number, place, rank, heads) of the suffixes of a row of the index; without ranks, all are 0."""
+    prefixes, sizes, tails = (_from_planes(row[k]) for k in ("prefixes", "sizes", "tails"))
     n, column = len(sizes), np.arange(width)
-    heads, fresh = np.zeros((n, width), np.uint32), (column >= prefixes[:, None]) & (column < sizes[:, None])
-    heads[fresh] = tails + 1
+    heads = np.zeros((n, width), np.uint32)
+    written = column >= prefixes[:, None]
+    heads[written & (column < sizes[:, None])] = tails + np.uint32(1)
     # What a head shares with the one before stands in the last row that spells that column out, or ends before it.
-    said = np.maximum.accumulate(np.where(column >= prefixes[:, None], np.arange(n)[:, None], 0), axis=0)
-    heads = heads[said, column]
-    number, places, counts, firsts = (_from_planes(row[k]) for k in ("texts", "places", "counts", "firsts"))
-    by = np.argsort(number, kind="stable")
-    ranks = np.empty(n, np.int64)
-    ranks[by] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(firsts, counts)
+    for k in range(width):
+        heads[:, k] = heads[np.maximum.accumulate(np.where(written[:, k], np.arange(n), 0)), k]
+    number, places, ranks = _from_planes(row["texts"]).astype(np.int64), _from_planes(row["places"]).astype(np.int64), np.zeros(n, np.int64)
+    if row["counts"]:
+        counts, firsts = (_from_planes(row[k]).astype(np.int64) for k in ("counts", "firsts"))
+        ranks[np.argsort(number, kind="stable")] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(firsts, counts)
     return number, places, ranks, heads
 
 
+def _keys(points: np.ndarray) -> np.ndarray:
+    """Rows of numbers as byte strings of the same order."""
+    return np.ascontiguousarray(points, ">u4").view(f"S{4 * points.shape[1]}").ravel()
+
+
+class Asked:
+    """Grams to look up in sorted heads. A gram may begin at each of the `step` places up to a written one: what it has from there on, its rest, is searched for
+    among the heads, once for all grams that share it, and the characters before tell which of them is there. A rest may be empty."""
+
+    def __init__(self, grams: list[str], width: int, step: int):
+        self.grams, self.step = grams, step
+        known: dict[tuple[str, int, int], list[int]] = {}
+        for i, gram in enumerate(grams):
+            for shift in range(step):
+                known.setdefault((gram[shift:], shift, min(shift, len(gram))), []).append(i)
+        groups = sorted(known)
+        self.rests = [rest for rest, _, _ in groups]
+        self.shifts, self.lefts = (np.array([g[k] for g in groups], np.int64) for k in (1, 2))
+        self.low, self.high = (np.full((len(groups), width), x, np.uint32) for x in (0, 0xFFFFFFFF))
+        members, befores = [], []
+        for at, group in enumerate(groups):
+            rest = code_points([group[0]])[0] + np.uint32(1)
+            self.low[at, : len(rest)] = self.high[at, : len(rest)] = rest
+            for i in known[group]:
+                members.append((at, i))
+                befores.append(np.zeros(step - 1, np.uint32))
+                befores[-1][step - 1 - group[1] : step - 1 - group[1] + group[2]] = code_points([grams[i][: group[2]]])[0] + np.uint32(1)
+        self.low, self.high = _keys(self.low), _keys(self.high)
+        at, which = (np.array([m[k] for m in members], np.int64) for k in (0, 1))
+        self.befores = np.array(befores, np.uint32).reshape(len(members), step - 1)
+        keys = self._members(at, self.befores)
+        by = np.argsort(keys, kind="stable")
+        self.members, self.which = keys[by], which[by]
+        column = np.arange(step - 1)
+        first = (step - 1 - self.shifts)[:, None]
+        self.asks = (column >= first) & (column < first + self.lefts[:, None])  # which of the characters before a group tells its grams by
+        self.empty = [(g, np.unique(self.befores[at == g, step - 1 - group[1]])) for g, group in enumerate(groups) if not group[0]]
+
+    def _members(self, groups: np.ndarray, befores: np.ndarray) -> np.ndarray:
+        return _keys(np.hstack([groups[:, None].astype(np.uint32) + np.uint32(1), befores]))
+
+    def _told(self, groups: np.ndarray, at: np.ndarray, befores: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(suffix, gram, shift) of the suffixes that may have a gram of a group, for those that do."""
+        keys = self._members(groups, np.where(self.asks[groups], befores[:, at].T, np.uint32(0)))
+        found = np.minimum(np.searchsorted(self.members, keys), len(self.members) - 1)
+        right = np.flatnonzero(self.members[found] == keys)
+        return at[right], self.which[found[right]], self.shifts[groups[right]]
+
+    def found(self, low: str, high: str, heads: np.ndarray, befores: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(suffix, gram, shift) for sorted heads from low to high and the characters before them, one row for each of the step - 1 places."""
+        if not self.grams:
+            return
+        spans = [(bisect_left(self.rests, low[:k]), bisect_right(self.rests, low[:k])) for k in range(1, len(low))]
+        spans.append((bisect_left(self.rests, low or "\x00"), bisect_right(self.rests, high)))
+        groups = np.concatenate([np.arange(a, b) for a, b in spans])
+        keys = _keys(heads)
+        first = np.searchsorted(keys, self.low[groups])
+        sizes = np.searchsorted(keys, self.high[groups], side="right") - first
+        groups, first, sizes = (x[sizes > 0] for x in (groups, first, sizes))
+        run = (np.cumsum(sizes) - sizes) // HITS
+        for r in np.unique(run).tolist():
+            g, a, n = (x[run == r] for x in (groups, first, sizes))
+            yield self._told(np.repeat(g, n), np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n), befores)
+        for g, letters in self.empty:
+            at = np.flatnonzero(np.isin(befores[self.step - 1 - self.shifts[g]], letters))
+            yield self._told(np.full(len(at), g), at, befores)
+
+
+OFFERED = "text_id long, serial long, pos long, rank long, gram string"
+
+
+def _rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(row, suffixes as unpacked, characters before them, what makes a batch of offers of some suffixes) for each row of the index."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
+            number, places, ranks, heads = _unpacked(row, row["width"])
+            befores = _from_planes(row["befores"]).reshape(row["step"] - 1, -1) if row["step"] > 1 else np.zeros((0, len(places)), np.uint32)
+            owners, serials = (np.frombuffer(row[k], "<i8") for k in ("owners", "serials"))
+
+            def offers(at, shift, grams, row=row, number=number, places=places, ranks=ranks, owners=owners, serials=serials) -> pa.RecordBatch:
+                rank = pa.array(ranks[at]) if row["counts"] else pa.nulls(len(at), pa.int64())
+                columns = [pa.array(owners[number[at]], pa.int64()), pa.array(serials[number[at]], pa.int64()), pa.array(places[at] - shift, pa.int64()), rank, grams]
+                return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in OFFERED.split(", ")])
+
+            yield row, heads, befores, offers
+
+
+def _searched_for(asked):
+    """Offers of the suffixes in rows of the index that have a gram, by binary search."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = pa.array(asked.value.grams, pa.string())
+        for row, heads, befores, offers in _rows_of(batches):
+            for at, which, shift in asked.value.found(row["low"], row["high"], heads, befores):
+                yield offers(at, shift, grams.take(pa.array(which, pa.int64())))
+
+    return run
+
+
 def _offered(known, sizes: list[int]):
-    """Rows (text_id, pos, rank, gram) of the suffixes in rows of the index whose first characters the bit table lets through."""
+    """Offers of the suffixes in rows of the index whose characters the bit table lets through, for more grams than a task should hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()}
-                number, places, ranks, heads = _unpacked(row, row["width"])
-                owners, size = np.frombuffer(row["owners"], "<i8"), (heads > 0).sum(axis=1)
-                for k, h in _hashes(heads, [s for s in sizes if s <= row["width"]]):
-                    at = np.flatnonzero((size >= k) & known.value.test(h))
-                    grams = heads[at, :k] - np.uint32(1)
-                    spelled = grams.astype("<u4").tobytes().decode("utf-32-le")
-                    texts = pa.array([spelled[j : j + k] for j in range(0, len(spelled), k)], pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(owners[number[at]], pa.int64()), pa.array(places[at]), pa.array(ranks[at]), texts], ["text_id", "pos", "rank", "gram"])
+        for row, heads, befores, offers in _rows_of(batches):
+            windows = np.hstack([befores.T, heads])
+            for shift in range(row["step"]):
+                own = windows[:, row["step"] - 1 - shift :]
+                for k, h in _hashes(own, [s for s in sizes if s <= row["width"]]):
+                    at = np.flatnonzero((own[:, 0] > 0) & (own[:, k - 1] > 0) & known.value.test(h))
+                    spelled = (own[at, :k] - np.uint32(1)).astype("<u4").tobytes().decode("utf-32-le")
+                    yield offers(at, shift, pa.array([spelled[j : j + k] for j in range(0, len(spelled), k)], pa.string()))
 
     return run
 
 
-def _parts(bounds: list[tuple[int, str, str]]):
-    """Rows (gram) with each part that may hold heads which begin with the gram. Bounds are in order; Python compares strings by code point, as Spark does by
-    UTF-8 byte."""
+def _parts(bounds: list[tuple[int, str, str]], width: int, step: int):
+    """Rows (gram) with each part that may hold heads which begin with the gram, or with what is left of it at one of the next step - 1 places. Bounds are in
+    order; Python compares strings by code point, as Spark does by UTF-8 byte."""
     numbers, lows, highs = ([b[i] for b in bounds] for i in range(3))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = {numbers[p] for gram in batch.column(0).to_pylist() for p in range(bisect_left(highs, gram), bisect_right(lows, gram + "\U0010ffff"))}
+            rests = {gram[k:] for gram in batch.column(0).to_pylist() for k in range(step)}
+            found = {numbers[p] for rest in rests for p in range(bisect_left(highs, rest), bisect_right(lows, rest + "\U0010ffff" * width))}
             yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.int32())], ["part"])
 
     return run
 
 
 def look_up(spark: SparkSession, folder: str, patterns: DataFrame) -> DataFrame:
-    """(text_id, pattern_id, pos, rank) of every occurrence of patterns (pattern_id, pattern) in the texts of a prefix index; rank is that of the suffix there.
+    """(text_id, pattern_id, pos, rank) of every occurrence of patterns (pattern_id, pattern) in the texts of a prefix index; rank is that of the suffix there, null
+    if the index has none.
 
-    Only parts whose heads a piece of some pattern may begin are opened; their numbers, at most one for each part, reach the driver. Of these, only suffixes whose
-    first characters a bit table of the pieces lets through leave the task that reads them. A pattern longer than a head is the pieces of a head's width that
-    cover it, and occurs where all of them do. Empty and null patterns occur nowhere."""
+    Only parts whose heads a piece of some pattern may begin are opened; their numbers, at most one for each part, reach the driver. Up to BROADCAST_GRAMS pieces
+    are sent to the tasks and searched for; of more, a bit table is, and suffixes that it lets through meet the pieces in a join. A pattern longer than a head is the
+    pieces of a head's width that cover it, and occurs where all of them do. Empty and null patterns occur nowhere."""
     bounds = sorted(tuple(r) for r in spark.read.parquet(f"{folder}/bounds").collect())
-    width = bounds[0][3] if bounds else WIDTH
+    width, step = bounds[0][3:] if bounds else (WIDTH, 1)
     size = F.length("pattern")
     last = size - width
     shifts = F.when(last <= 0, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(width)), F.array(last))))
-    pieces = patterns.where(size > 0).select("pattern_id", "pattern", shifts.alias("shifts")).select("pattern_id", F.size("shifts").alias("pieces"), F.explode("shifts").alias("shift"), "pattern")
-    grams = pieces.select("pattern_id", "pieces", "shift", F.substring(F.col("pattern"), F.col("shift") + 1, F.lit(width)).alias("gram"))
+    pieces = patterns.where(size > 0).select(F.monotonically_increasing_id().alias("asked"), "pattern_id", "pattern", shifts.alias("shifts")).select("asked", "pattern_id", F.size("shifts").alias("pieces"), F.explode("shifts").alias("shift"), "pattern")
+    grams = pieces.select("asked", "pattern_id", "pieces", "shift", F.substring(F.col("pattern"), F.col("shift") + 1, F.lit(width)).alias("gram"))
     distinct = grams.select("gram").distinct()
-    needed = sorted(r.part for r in distinct.mapInArrow(_parts([b[:3] for b in bounds]), "part int").distinct().collect())
-    hashed = distinct.mapInArrow(_hashed, "gram string, size int, hash long")
-    counts = hashed.groupBy("size").agg(F.count("*").alias("n")).collect()  # at most one row for each size up to a head's
-    n = sum(r.n for r in counts)
-    known = spark.sparkContext.broadcast(bit_table(hashed, "hash", n))
-    opened = spark.read.schema(PACKED).parquet(f"{folder}/suffixes").where(F.col("part").isin(needed)) if bounds else spark.createDataFrame([], PACKED)
-    offers = opened.drop("part", "low", "high").mapInArrow(_offered(known, sorted(r["size"] for r in counts)), "text_id long, pos long, rank long, gram string")
-    met = offers.join(F.broadcast(grams) if n <= BROADCAST_GRAMS else grams, "gram")
-    hits = met.select("text_id", "pattern_id", (F.col("pos") - F.col("shift")).alias("pos"), "rank", "pieces", "shift")
+    needed = sorted(r.part for r in distinct.mapInArrow(_parts([b[:3] for b in bounds], width, step), "part int").distinct().collect())
+    opened = (spark.read.schema(PACKED).parquet(f"{folder}/suffixes").where(F.col("part").isin(needed)) if bounds else spark.createDataFrame([], PACKED)).drop("part")
+    held = [r.gram for r in distinct.limit(BROADCAST_GRAMS + 1).collect()]
+    if few := len(held) <= BROADCAST_GRAMS:
+        offers = opened.mapInArrow(_searched_for(spark.sparkContext.broadcast(Asked(held, width, step))), OFFERED)
+    else:
+        hashed = distinct.mapInArrow(_hashed, "gram string, size int, hash long")
+        counts = hashed.groupBy("size").agg(F.count("*").alias("n")).collect()  # at most one row for each size up to a head's
+        known = spark.sparkContext.broadcast(bit_table(hashed, "hash", sum(r.n for r in counts)))
+        offers = opened.mapInArrow(_offered(known, sorted(r["size"] for r in counts)), OFFERED)
+    met = offers.join(F.broadcast(grams) if few else grams, "gram").select("text_id", "serial", "asked", "pattern_id", (F.col("pos") - F.col("shift")).alias("pos"), "rank", "pieces", "shift").where("pos >= 0")
     first = F.max(F.when(F.col("shift") == 0, F.col("rank"))).alias("rank")
-    many = hits.where("pieces > 1 and pos >= 0").groupBy("text_id", "pattern_id", "pos").agg(F.count("*").alias("n"), F.first("pieces").alias("pieces"), first).where("n = pieces")
-    return hits.where("pieces = 1").select("text_id", "pattern_id", "pos", "rank").unionByName(many.select("text_id", "pattern_id", "pos", "rank"))
+    whole = met.groupBy("serial", "asked", "pos").agg(*(F.first(c).alias(c) for c in ("text_id", "pattern_id", "pieces")), F.count("*").alias("n"), first).where("n = pieces")
+    return whole.select("text_id", "pattern_id", "pos", "rank")
 
 
 def looked_up_ranges(occurrences: DataFrame) -> DataFrame:

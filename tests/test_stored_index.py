@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 from echograms.operators import search, sets, stored_index as si, suffixes
+from echograms.plans import catalog
 from tests import brute
 
 
@@ -123,3 +124,50 @@ def test_packed_rows_are_read_back(monkeypatch):
                 owners = np.frombuffer(row["owners"], "<i8")
                 got += [(int(owners[t]), int(r), int(p), si._spelled(h)) for t, p, r, h in zip(number, places, ranks, heads)]
         assert sorted(got) == [(i, r, p, t[p : p + width]) for i, t in enumerate(texts) for r, p in enumerate(brute.suffix_order(t))]
+
+
+def test_prefix_index_of_every_few_places(spark, tmp_path, monkeypatch):
+    shared = [(i, t) for i, t in enumerate([*values(), "mississippi" * 3, "ÿĀÿ\U0010ffffa"])] + [(3, "issi mississippi issi"), (3, "mississippi")]
+    texts = spark.createDataFrame(shared, "text_id long, body string")
+    words = sorted({*patterns(), "ÿ", "Ā", "\U0010ffff", "i", "is", "iss", "miss", "mississippim", "pimississippimiss"})
+    asked = spark.createDataFrame([(w, w) for w in [*words, None]], "pattern_id string, pattern string")
+    want = sorted((i, w, p) for i, t in shared for w in words for p in occurrences(t or "", w))
+    for step, width, few in ((2, 5, 200_000), (4, 12, 200_000), (4, 4, 200_000), (7, 3, 200_000), (4, 5, 10), (1, 5, 10)):
+        monkeypatch.setattr(si, "BROADCAST_GRAMS", few)
+        folder = str(tmp_path / f"index-{step}-{width}-{few}")
+        si.store_prefix_index(texts, folder, width=width, parts=5, step=step)
+        got = si.look_up(spark, folder, asked).collect()
+        assert sorted((r.text_id, r.pattern_id, r.pos) for r in got) == want
+        assert all((r["rank"] is None) == (step > 1) for r in got)
+
+
+def test_grams_are_searched_for_in_few_suffixes_at_a_time(monkeypatch):
+    monkeypatch.setattr(si, "HITS", 3)
+    text = "abcabcabdabcab" * 5
+    for step in (1, 3):
+        (row,) = [r for b in si._packed(4, [], step)([pa.RecordBatch.from_pydict({"text_id": [9], "body": [text]})]) for r in b.to_pylist()]
+        grams = ["a", "b", "ab", "bc", "abc", "cab", "abda", "zz", "c"]
+        found = []
+        for _, heads, befores, _ in si._rows_of([pa.RecordBatch.from_pylist([row])]):
+            _, places, _, _ = si._unpacked(row, 4)
+            for at, gram, shift in si.Asked(grams, 4, step).found(row["low"], row["high"], heads, befores):
+                found += zip(gram.tolist(), (places[at] - shift).tolist())
+        assert sorted(found) == [(i, p) for i, g in enumerate(grams) for p in occurrences(text, g)]
+
+
+def test_index_of_documents_is_small_and_read_once(spark, tmp_path, monkeypatch):
+    rng = random.Random(47)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    items = [texts[3][10:90], "ab", "." + texts[5][:30] + "." + texts[6][700:703]]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(catalog, "_index_folder", lambda spark, what: str(tmp_path / "index"))
+    found = catalog.QUERIES["indexed_occurrences"](spark, str(tmp_path))
+    out = io.StringIO()
+    with redirect_stdout(out):
+        found.explain("formatted")
+    assert len([x for x in out.getvalue().splitlines() if x.startswith("PartitionFilters: [")]) == 1, out.getvalue()
+    want = sorted((i, p) for w in {x.strip() for t in items for x in t.split(".")} - {""} for i, t in enumerate(texts) for p in occurrences(t, w))
+    assert sorted((r.text_id, r.pos) for r in found.collect()) == want
+    assert sum(f.stat().st_size for f in (tmp_path / "index" / "suffixes").rglob("*.parquet")) < 4 * sum(map(len, texts))
