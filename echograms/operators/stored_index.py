@@ -35,20 +35,25 @@ PACKED = "part int, low string, high string, width int, step int, owners binary,
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers below 2^32, first all their low bytes, then all the next, so that what is 0 in all packs to nothing. Packed here, since rows wait for their part
-    in the memory of the task that writes them."""
-    raw = values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    """Whole numbers, first all their low bytes, then all the next, as many as the largest has. Packed here, since rows wait for their part in the memory of the task
+    that writes them."""
+    count = (int(values.max(initial=0)).bit_length() + 7) // 8
+    raw = b"".join((values >> values.dtype.type(8 * k)).astype(np.uint8).tobytes() for k in range(count))
+    return bytes([count]) + len(values).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _from_planes(packed: bytes) -> np.ndarray:
-    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), "zstd", asbytes=True)
-    return np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+    count, n = packed[0], int.from_bytes(packed[1:9], "little")
+    planes = np.frombuffer(pa.decompress(packed[9:], count * n, "zstd", asbytes=True), np.uint8).reshape(count, n)
+    out = np.zeros(n, np.uint32)
+    for k, plane in enumerate(planes):
+        out |= plane.astype(np.uint32) << np.uint32(8 * k)
+    return out
 
 
 def _windows(texts: list[str], width: int, step: int) -> tuple[np.ndarray, ...]:
     """(text, place, window) for each step-th place of texts, the last of which is that of the last character or past it. A window is the code points and 1 from
-    step - 1 before the place to the end of its head, 0 beyond either end of the text."""
+    step - 1 before the place to the end of its head, 0 beyond either end of the text, and a column."""
     points, offsets = code_points(texts)
     sizes, room = np.diff(offsets), width + 2 * step
     starts = offsets[:-1] + room * np.arange(1, len(texts) + 1)
@@ -57,22 +62,37 @@ def _windows(texts: list[str], width: int, step: int) -> tuple[np.ndarray, ...]:
     counts = np.where(sizes > 0, (sizes + 2 * step - 2) // step, 0)
     text = np.repeat(np.arange(len(texts)), counts)
     place = (np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * step
-    return text, place, spaced[(starts[text] + place - step + 1)[:, None] + np.arange(step - 1 + width)]
+    first = starts[text] + place - step + 1
+    return text, place, np.stack([spaced[first + k] for k in range(step - 1 + width)])
 
 
-def _by_head(heads: np.ndarray) -> np.ndarray:
-    """Rows in the order of their heads, equal ones as they come. Characters are numbered and packed into as few keys as hold them."""
+def _by_head(heads: np.ndarray, step: int) -> np.ndarray:
+    """Columns in the order of their heads; with step 1, equal ones as they come. Characters are numbered and packed into as few keys as hold them; columns that
+    are alike in one key are put in order by the next."""
+    width, n = heads.shape
     known = np.zeros(int(heads.max(initial=0)) + 1, dtype=bool)
-    known[heads] = True
-    name = (np.cumsum(known) - 1).astype(np.uint64)[heads]
+    known[heads[:step]] = known[0] = True  # between them, the first `step` characters of all heads are all characters of theirs
+    name = (np.cumsum(known) - 1).astype(np.uint64)
     bits = max(1, int(known.sum()).bit_length())
     keys, room = [], 64 // bits
-    for a in range(0, heads.shape[1], room):
-        key = name[:, a]
-        for k in range(a + 1, min(a + room, heads.shape[1])):
-            key = key << np.uint64(bits) | name[:, k]
-        keys.append(key)
-    return np.lexsort(keys[::-1])
+    for a in range(0, width, room):
+        key = name[heads[a]]
+        for k in range(a + 1, min(a + room, width)):
+            key = key << np.uint64(bits) | name[heads[k]]
+        keys.append((key, bits * min(room, width - a)))
+    if step == 1:
+        return np.lexsort([key for key, _ in keys[::-1]])
+    by, group, live = np.argsort(keys[0][0]), np.zeros(n, np.uint64), np.arange(n)
+    for (key, _), (further, size) in zip(keys, keys[1:], strict=False):
+        at = by[live]
+        new = np.concatenate([[True], (key[at[1:]] != key[at[:-1]]) | (group[1:] != group[:-1])])
+        alike = ~(new & np.append(new[1:], True))
+        live, at, group = live[alike], at[alike], (np.cumsum(new) - 1).astype(np.uint64)[alike]
+        if not len(live):
+            break
+        order = np.argsort(group << np.uint64(size) | further[at]) if int(group[-1]).bit_length() + size <= 64 else np.lexsort([further[at], group])
+        by[live] = at[order]
+    return by
 
 
 def _spelled(points: np.ndarray) -> str:
@@ -85,24 +105,29 @@ def _packed(width: int, edges: list[str], step: int = 1):
     a part follow each other, the first is. With a step above 1 there are none, and no order of whole suffixes is made."""
 
     def rows(ids: list, serials: np.ndarray, texts: np.ndarray, places: np.ndarray, ranks: np.ndarray, windows: np.ndarray) -> list[tuple]:
-        by = _by_head(windows[:, step - 1 :])
-        texts, places, ranks, windows = texts[by], places[by], ranks[by], windows[by]
-        befores, heads = windows[:, : step - 1], windows[:, step - 1 :]
-        shared = np.zeros(len(by), np.int64)
-        equal = np.ones(max(0, len(by) - 1), bool)
-        for k in range(width):
-            equal &= heads[1:, k] == heads[:-1, k]
+        by = _by_head(windows[step - 1 :], step)
+        texts, places, ranks, windows = texts[by], places[by], ranks[by], np.take(windows, by, axis=1)
+        heads = windows[step - 1 :]
+        shared, equal = np.zeros(len(by), np.int64), np.ones(len(by) - 1, bool)
+        for column in heads:
+            equal &= column[1:] == column[:-1]
             shared[1:] += equal
-        bounds = [0, *(bisect_left(range(len(by)), e, key=lambda i: _spelled(heads[i])) for e in edges), len(by)]
+        bounds = [0, *(bisect_left(range(len(by)), e, key=lambda i: _spelled(heads[:, i])) for e in edges), len(by)]
         out = []
         for part, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
             if a < b:
-                prefix, head = np.concatenate([[0], shared[a + 1 : b]]), heads[a:b]
-                held, first, number, count = np.unique(texts[a:b], return_index=True, return_inverse=True, return_counts=True)
+                prefix, head = np.concatenate([[0], shared[a + 1 : b]]), np.ascontiguousarray(heads[:, a:b].T)
+                holds = np.zeros(len(ids), bool)
+                holds[texts[a:b]] = True
+                held, number = np.flatnonzero(holds), (np.cumsum(holds) - 1)[texts[a:b]]
                 owners = np.array([ids[t] for t in held.tolist()], "<i8").tobytes()
-                order = (_planes(count), _planes(ranks[a:b][first])) if step == 1 else (b"", b"")
-                tails = head[np.arange(width) >= prefix[:, None]]
-                packed = (number, places[a:b], prefix, (head > 0).sum(axis=1), tails[tails > 0] - np.uint32(1), befores[a:b].T.ravel())
+                order = (b"", b"")
+                if step == 1:
+                    first = np.zeros(len(held), np.int64)
+                    first[number[::-1]] = np.arange(b - a)[::-1]
+                    order = _planes(np.bincount(number)), _planes(ranks[a:b][first])
+                tails = head[(np.arange(width, dtype=np.uint16) >= prefix.astype(np.uint16)[:, None]) & (head > 0)] - np.uint32(1)
+                packed = (number, places[a:b], prefix, np.count_nonzero(heads[:, a:b], axis=0), tails, windows[: step - 1, a:b].ravel())
                 out.append((part, _spelled(head[0]), _spelled(head[-1]), width, step, owners, serials[held].astype("<i8").tobytes(), *order, *map(_planes, packed)))
         return out
 
@@ -113,7 +138,7 @@ def _packed(width: int, edges: list[str], step: int = 1):
         serial = (task.partitionId() if task else 0) << 40
 
         def made(ids: list, found: list[tuple]) -> pa.RecordBatch:
-            got = rows(ids, serial + np.arange(len(ids)), *(np.concatenate([f[k] for f in found]) for k in range(4)))
+            got = rows(ids, serial + np.arange(len(ids)), *(np.concatenate([f[k] for f in found], axis=-1) for k in range(4)))
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in got], kind) for k, kind in enumerate(kinds)], names)
 
         for batch in batches:
@@ -125,7 +150,7 @@ def _packed(width: int, edges: list[str], step: int = 1):
                 ranks = place
                 if step == 1:
                     order = SuffixOrder(texts)
-                    text, place, windows = text[order.order], order.position, windows[order.order]
+                    text, place, windows = text[order.order], order.position, np.take(windows, order.order, axis=1)
                     ranks = np.arange(len(text)) - order.offsets[:-1][text]
                 found.append((a + text, place, ranks, windows))
                 size += len(text)
@@ -184,18 +209,18 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _unpacked(row: dict, width: int) -> tuple[np.ndarray, ...]:
     """(text number, place, rank, heads) of the suffixes of a row of the index; without ranks, all are 0."""
     prefixes, sizes, tails = (_from_planes(row[k]) for k in ("prefixes", "sizes", "tails"))
-    n, column = len(sizes), np.arange(width)
-    heads = np.zeros((n, width), np.uint32)
-    written = column >= prefixes[:, None]
-    heads[written & (column < sizes[:, None])] = tails + np.uint32(1)
+    n, column = len(sizes), np.arange(width, dtype=np.uint16)
+    heads, rows = np.zeros((n, width), np.uint32), np.arange(n, dtype=np.uint32)
+    heads[(column >= prefixes.astype(np.uint16)[:, None]) & (column < sizes.astype(np.uint16)[:, None])] = tails + np.uint32(1)
+    heads = np.ascontiguousarray(heads.T)
     # What a head shares with the one before stands in the last row that spells that column out, or ends before it.
-    for k in range(width):
-        heads[:, k] = heads[np.maximum.accumulate(np.where(written[:, k], np.arange(n), 0)), k]
+    for k, points in enumerate(heads):
+        points[:] = points[np.maximum.accumulate(np.where(prefixes <= k, rows, np.uint32(0)))]
     number, places, ranks = _from_planes(row["texts"]).astype(np.int64), _from_planes(row["places"]).astype(np.int64), np.zeros(n, np.int64)
     if row["counts"]:
         counts, firsts = (_from_planes(row[k]).astype(np.int64) for k in ("counts", "firsts"))
         ranks[np.argsort(number, kind="stable")] = np.arange(n) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(firsts, counts)
-    return number, places, ranks, heads
+    return number, places, ranks, heads.T
 
 
 def _keys(points: np.ndarray) -> np.ndarray:
@@ -234,13 +259,20 @@ class Asked:
         column = np.arange(step - 1)
         first = (step - 1 - self.shifts)[:, None]
         self.asks = (column >= first) & (column < first + self.lefts[:, None])  # which of the characters before a group tells its grams by
-        self.empty = [(g, np.unique(self.befores[at == g, step - 1 - group[1]])) for g, group in enumerate(groups) if not group[0]]
+        starts = np.searchsorted(at, np.arange(len(groups)))
+        least, most = (np.array([f.reduceat(self.befores[:, k], starts) for k in range(step - 1)]) if len(at) else self.befores.T for f in (np.minimum, np.maximum))
+        self.common = np.where(least == most, least, np.uint32(0))  # the characters before that all grams of a group share
+        self.empty = [(g, {k: np.unique(self.befores[at == g, k]) for k in range(step - 1 - group[1], step - 1 - group[1] + group[2])}) for g, group in enumerate(groups) if not group[0]]
 
     def _members(self, groups: np.ndarray, befores: np.ndarray) -> np.ndarray:
         return _keys(np.hstack([groups[:, None].astype(np.uint32) + np.uint32(1), befores]))
 
     def _told(self, groups: np.ndarray, at: np.ndarray, befores: np.ndarray) -> tuple[np.ndarray, ...]:
         """(suffix, gram, shift) of the suffixes that may have a gram of a group, for those that do."""
+        for before, common in zip(befores, self.common, strict=True):
+            asked = common[groups]
+            alike = (asked == 0) | (before[at] == asked)
+            groups, at = groups[alike], at[alike]
         keys = self._members(groups, np.where(self.asks[groups], befores[:, at].T, np.uint32(0)))
         found = np.minimum(np.searchsorted(self.members, keys), len(self.members) - 1)
         right = np.flatnonzero(self.members[found] == keys)
@@ -262,7 +294,9 @@ class Asked:
             g, a, n = (x[run == r] for x in (groups, first, sizes))
             yield self._told(np.repeat(g, n), np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n), befores)
         for g, letters in self.empty:
-            at = np.flatnonzero(np.isin(befores[self.step - 1 - self.shifts[g]], letters))
+            at = np.arange(len(heads))
+            for k, some in letters.items():
+                at = at[np.isin(befores[k][at], some)]
             yield self._told(np.full(len(at), g), at, befores)
 
 
@@ -355,7 +389,7 @@ def look_up(spark: SparkSession, folder: str, patterns: DataFrame) -> DataFrame:
         offers = opened.mapInArrow(_offered(known, sorted(r["size"] for r in counts)), OFFERED)
     met = offers.join(F.broadcast(grams) if few else grams, "gram").select("text_id", "serial", "asked", "pattern_id", (F.col("pos") - F.col("shift")).alias("pos"), "rank", "pieces", "shift").where("pos >= 0")
     first = F.max(F.when(F.col("shift") == 0, F.col("rank"))).alias("rank")
-    whole = met.groupBy("serial", "asked", "pos").agg(*(F.first(c).alias(c) for c in ("text_id", "pattern_id", "pieces")), F.count("*").alias("n"), first).where("n = pieces")
+    whole = met.groupBy("serial", "asked", "text_id", "pattern_id", "pieces", "pos").agg(F.count("*").alias("n"), first).where("n = pieces")
     return whole.select("text_id", "pattern_id", "pos", "rank")
 
 
