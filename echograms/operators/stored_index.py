@@ -153,7 +153,7 @@ def _packed(width: int, edges: list[str], step: int = 1):
                     text, place, windows = text[order.order], order.position, np.take(windows, order.order, axis=1)
                     ranks = np.arange(len(text)) - order.offsets[:-1][text]
                 found.append((a + text, place, ranks, windows))
-                size += len(text)
+                size += windows.size // width
                 if size >= RUN_POINTS:
                     yield made(ids, found)
                     found, size = [], 0
@@ -230,45 +230,55 @@ def _keys(points: np.ndarray) -> np.ndarray:
 
 class Asked:
     """Grams to look up in sorted heads. A gram may begin at each of the `step` places up to a written one: what it has from there on, its rest, is searched for
-    among the heads, once for all grams that share it, and the characters before tell which of them is there. A rest may be empty."""
+    among the heads, once for all grams that share it, and the characters before tell which of them is there. With a step above 1, grams shorter than a head would
+    leave rests of a letter or none; they are read off the characters before and the heads, along a tree of such grams."""
 
     def __init__(self, grams: list[str], width: int, step: int):
         self.grams, self.step = grams, step
-        known: dict[tuple[str, int, int], list[int]] = {}
+        known: dict[tuple[str, int], list[int]] = {}
+        edges: dict[tuple[int, int], int] = {}
+        ends = [-1]
         for i, gram in enumerate(grams):
-            for shift in range(step):
-                known.setdefault((gram[shift:], shift, min(shift, len(gram))), []).append(i)
+            if step == 1 or len(gram) >= max(step, width):
+                for shift in range(step):
+                    known.setdefault((gram[shift:], shift), []).append(i)
+                continue
+            node = 0
+            for letter in gram:
+                node = edges.setdefault((node, ord(letter) + 1), len(ends))
+                ends += [-1] * (node == len(ends))
+            ends[node] = i
         groups = sorted(known)
-        self.rests = [rest for rest, _, _ in groups]
-        self.shifts, self.lefts = (np.array([g[k] for g in groups], np.int64) for k in (1, 2))
+        self.rests, self.shifts = [rest for rest, _ in groups], np.array([shift for _, shift in groups], np.int64)
         self.low, self.high = (np.full((len(groups), width), x, np.uint32) for x in (0, 0xFFFFFFFF))
-        members, befores = [], []
-        for at, group in enumerate(groups):
-            rest = code_points([group[0]])[0] + np.uint32(1)
-            self.low[at, : len(rest)] = self.high[at, : len(rest)] = rest
-            for i in known[group]:
-                members.append((at, i))
-                befores.append(np.zeros(step - 1, np.uint32))
-                befores[-1][step - 1 - group[1] : step - 1 - group[1] + group[2]] = code_points([grams[i][: group[2]]])[0] + np.uint32(1)
+        sizes = np.array([len(known[g]) for g in groups], np.int64)
+        at, which = np.repeat(np.arange(len(groups)), sizes), np.array([i for g in groups for i in known[g]], np.int64)
+        befores = np.zeros((len(at), step - 1), np.uint32)
+        for k, (rest, _) in enumerate(groups):
+            self.low[k, : len(rest)] = self.high[k, : len(rest)] = code_points([rest])[0] + np.uint32(1)
+        for row, i, shift in zip(befores, which.tolist(), self.shifts[at].tolist(), strict=True):
+            row[step - 1 - shift :] = code_points([grams[i][:shift]])[0] + np.uint32(1)
         self.low, self.high = _keys(self.low), _keys(self.high)
-        at, which = (np.array([m[k] for m in members], np.int64) for k in (0, 1))
-        self.befores = np.array(befores, np.uint32).reshape(len(members), step - 1)
-        keys = self._members(at, self.befores)
+        keys = self._members(at, befores)
         by = np.argsort(keys, kind="stable")
         self.members, self.which = keys[by], which[by]
-        column = np.arange(step - 1)
-        first = (step - 1 - self.shifts)[:, None]
-        self.asks = (column >= first) & (column < first + self.lefts[:, None])  # which of the characters before a group tells its grams by
-        starts = np.searchsorted(at, np.arange(len(groups)))
-        least, most = (np.array([f.reduceat(self.befores[:, k], starts) for k in range(step - 1)]) if len(at) else self.befores.T for f in (np.minimum, np.maximum))
-        self.common = np.where(least == most, least, np.uint32(0))  # the characters before that all grams of a group share
-        self.empty = [(g, {k: np.unique(self.befores[at == g, k]) for k in range(step - 1 - group[1], step - 1 - group[1] + group[2])}) for g, group in enumerate(groups) if not group[0]]
+        self.asks = np.arange(step - 1) >= (step - 1 - self.shifts)[:, None]  # the characters before that tell the grams of a group
+        starts = np.cumsum(sizes) - sizes
+        least, most = (np.array([f.reduceat(column, starts) for column in befores.T]) if len(at) else befores.T for f in (np.minimum, np.maximum))
+        self.common = np.where(least == most, least, np.uint32(0))  # those that all grams of a group share
+        self.first = np.zeros(max((c for node, c in edges if not node), default=0) + 2, np.int64)  # the last stands for all characters beyond
+        for (node, c), to in edges.items():
+            if not node:
+                self.first[c] = to
+        self.edges = np.sort(np.array([node << 21 | c for node, c in edges], np.int64))
+        self.onto = np.array([edges[e >> 21, e & (1 << 21) - 1] for e in self.edges.tolist()], np.int64)
+        self.ends = np.array(ends, np.int64)
 
     def _members(self, groups: np.ndarray, befores: np.ndarray) -> np.ndarray:
         return _keys(np.hstack([groups[:, None].astype(np.uint32) + np.uint32(1), befores]))
 
     def _told(self, groups: np.ndarray, at: np.ndarray, befores: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(suffix, gram, shift) of the suffixes that may have a gram of a group, for those that do."""
+        """(suffix, gram, shift) of the suffixes that begin with a group's rest, for those that have a gram of it."""
         for before, common in zip(befores, self.common, strict=True):
             asked = common[groups]
             alike = (asked == 0) | (before[at] == asked)
@@ -278,12 +288,28 @@ class Asked:
         right = np.flatnonzero(self.members[found] == keys)
         return at[right], self.which[found[right]], self.shifts[groups[right]]
 
+    def _along_tree(self, windows: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(suffix, gram, shift) of the grams of the tree in windows, of which each column is given."""
+        for start in range(self.step):
+            node = self.first[np.minimum(windows[start], len(self.first) - 1)]
+            at = np.flatnonzero(node)
+            node = node[at]
+            for k, column in enumerate(windows[start:]):
+                if k:
+                    keys = node << 21 | column[at]
+                    edge = np.minimum(np.searchsorted(self.edges, keys), len(self.edges) - 1)
+                    on = np.flatnonzero(self.edges[edge] == keys)
+                    at, node = at[on], self.onto[edge[on]]
+                if not len(at):
+                    break
+                ended = np.flatnonzero(self.ends[node] >= 0)
+                if len(ended):
+                    yield at[ended], self.ends[node[ended]], np.full(len(ended), self.step - 1 - start)
+
     def found(self, low: str, high: str, heads: np.ndarray, befores: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """(suffix, gram, shift) for sorted heads from low to high and the characters before them, one row for each of the step - 1 places."""
-        if not self.grams:
-            return
         spans = [(bisect_left(self.rests, low[:k]), bisect_right(self.rests, low[:k])) for k in range(1, len(low))]
-        spans.append((bisect_left(self.rests, low or "\x00"), bisect_right(self.rests, high)))
+        spans.append((bisect_left(self.rests, low), bisect_right(self.rests, high)))
         groups = np.concatenate([np.arange(a, b) for a, b in spans])
         keys = _keys(heads)
         first = np.searchsorted(keys, self.low[groups])
@@ -293,11 +319,8 @@ class Asked:
         for r in np.unique(run).tolist():
             g, a, n = (x[run == r] for x in (groups, first, sizes))
             yield self._told(np.repeat(g, n), np.arange(n.sum()) + np.repeat(a - np.cumsum(n) + n, n), befores)
-        for g, letters in self.empty:
-            at = np.arange(len(heads))
-            for k, some in letters.items():
-                at = at[np.isin(befores[k][at], some)]
-            yield self._told(np.full(len(at), g), at, befores)
+        if len(self.edges):
+            yield from self._along_tree([*befores, *heads.T])
 
 
 OFFERED = "text_id long, serial long, pos long, rank long, gram string"
@@ -325,9 +348,21 @@ def _searched_for(asked):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = pa.array(asked.value.grams, pa.string())
+
+        def made(found: list[tuple], offers) -> pa.RecordBatch:
+            at, which, shift = (np.concatenate([f[k] for f in found]) for k in range(3))
+            return offers(at, shift, grams.take(pa.array(which, pa.int64())))
+
         for row, heads, befores, offers in _rows_of(batches):
-            for at, which, shift in asked.value.found(row["low"], row["high"], heads, befores):
-                yield offers(at, shift, grams.take(pa.array(which, pa.int64())))
+            found, size = [], 0
+            for some in asked.value.found(row["low"], row["high"], heads, befores):
+                found.append(some)
+                size += len(some[0])
+                if size > HITS:
+                    yield made(found, offers)
+                    found, size = [], 0
+            if size:
+                yield made(found, offers)
 
     return run
 
